@@ -34,6 +34,13 @@ def lit_matrix(rows: Sequence[Sequence[float]]) -> Column:
     return F.array(*[lit_vector(r) for r in rows])
 
 
+def let(value: Column, fn) -> Column:
+    """Bind a row-level scalar once and use it inside ``fn`` (Spark does not
+    share sub-expressions across lambda invocations, so a statistic written
+    inside ``transform`` would be recomputed for every element)."""
+    return F.element_at(F.transform(F.array(value), fn), 1)
+
+
 def vsum(x: ColumnOrName) -> Column:
     return F.aggregate(_c(x), F.lit(0.0), lambda s, v: s + v)
 
@@ -77,8 +84,7 @@ def norm(x: ColumnOrName, p: float = 2.0) -> Column:
 
 
 def l2_normalize(x: ColumnOrName, eps: float = 1e-12) -> Column:
-    n = F.greatest(norm(x, 2), F.lit(eps))
-    return F.transform(_c(x), lambda v: v / n)
+    return let(F.greatest(norm(x, 2), F.lit(eps)), lambda n: F.transform(_c(x), lambda v: v / n))
 
 
 def cosine(a: ColumnOrName, b: ColumnOrName) -> Column:
@@ -98,16 +104,16 @@ def euclid(a: ColumnOrName, b: ColumnOrName) -> Column:
 def softmax(x: ColumnOrName) -> Column:
     """Max-shifted softmax of an array."""
     x = _c(x)
-    m = F.array_max(x)
-    z = F.aggregate(x, F.lit(0.0), lambda s, v: s + F.exp(v - m))
-    return F.transform(x, lambda v: F.exp(v - m) / z)
+    return let(F.array_max(x), lambda m: let(
+        F.aggregate(x, F.lit(0.0), lambda s, v: s + F.exp(v - m)),
+        lambda z: F.transform(x, lambda v: F.exp(v - m) / z)))
 
 
 def log_softmax(x: ColumnOrName) -> Column:
     x = _c(x)
-    m = F.array_max(x)
-    lse = m + F.log(F.aggregate(x, F.lit(0.0), lambda s, v: s + F.exp(v - m)))
-    return F.transform(x, lambda v: v - lse)
+    return let(F.array_max(x), lambda m: let(
+        m + F.log(F.aggregate(x, F.lit(0.0), lambda s, v: s + F.exp(v - m))),
+        lambda lse: F.transform(x, lambda v: v - lse)))
 
 
 # -- activations (scalar Column -> Column); use with F.transform for arrays --
@@ -148,9 +154,9 @@ def layernorm(x: ColumnOrName, eps: float = 1e-5) -> Column:
     """Per-row normalisation with population variance (no affine part)."""
     x = _c(x)
     n = F.size(x).cast("double")
-    mu = vsum(x) / n
-    var = F.aggregate(x, F.lit(0.0), lambda s, v: s + (v - mu) * (v - mu)) / n
-    return F.transform(x, lambda v: (v - mu) / F.sqrt(var + F.lit(eps)))
+    return let(vsum(x) / n, lambda mu: let(
+        F.aggregate(x, F.lit(0.0), lambda s, v: s + (v - mu) * (v - mu)) / n,
+        lambda var: F.transform(x, lambda v: (v - mu) / F.sqrt(var + F.lit(eps)))))
 
 
 def linear(x: ColumnOrName, weights: Column, bias: Column | None = None) -> Column:
