@@ -57,12 +57,11 @@ def score_columns(x: Column, labels: list, vectors: list, sim: str) -> Column:
     if sim not in SIMILARITIES:
         raise ValueError(f"Invalid similarity type: {sim}")
     if sim == "cosine":
-        # normalise the model once on the driver side of the literal
+        # normalise the model once, on the driver, before it becomes a literal
         import math
         vectors = [[v / max(math.sqrt(sum(t * t for t in vec)), 1e-12) for v in vec] for vec in vectors]
-        xn = V.l2_normalize(x)
-        return F.array(*[V.dot(xn, V.lit_vector(v)) for v in vectors])
-    return F.array(*[similarity(x, V.lit_vector(v), sim) for v in vectors])
+        return V.let(V.l2_normalize(x), lambda xn: F.transform(V.lit_matrix(vectors), lambda c: V.dot(xn, c)))
+    return F.transform(V.lit_matrix(vectors), lambda c: similarity(x, c, sim))
 
 
 def argmax_label(scores: Column, labels: list) -> Column:
@@ -86,3 +85,9 @@ def predict_nearest_centroid(df: DataFrame, centroids: DataFrame, sim: str = "co
     labels, vectors = fetch_centroids(centroids, label)
     s = score_columns(F.col(features), labels, vectors, sim)
     return df.withColumn(out, argmax_label(s, labels))
+
+
+def predict_nearest_centroid_literal(df: DataFrame, labels: list, vectors: list, sim: str = "cosine",
+                                     features: str = "x", out: str = "pred") -> DataFrame:
+    """Score with an already-collected model (labels + vectors)."""
+    return df.withColumn(out, argmax_label(score_columns(F.col(features), labels, vectors, sim), labels))

@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quarry.operators.small import collect_small
+from quarry.functions.vec import lit_ints
 from quarry.session import cut_lineage
 
 _BUCKETS = 1024          # histogram width per refinement round
@@ -56,7 +57,7 @@ def with_global_index(df: DataFrame, order_cols: Sequence[str], name: str = "idx
     for i in range(n_parts):
         offsets.append(run)
         run += sizes.get(i, 0)
-    off = F.array(*[F.lit(o).cast("long") for o in offsets]) if offsets else F.array(F.lit(0).cast("long"))
+    off = lit_ints(offsets or [0])
     local = F.col("_qm") - F.shiftleft(F.col("_qp").cast("long"), 33)
     return ranged.withColumn(name, F.element_at(off, F.col("_qp") + 1) + local).drop("_qp", "_qm")
 

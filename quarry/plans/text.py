@@ -1 +1,233 @@
-"""Registered plans (filled in as operators land)."""
+"""Tokens, vocabularies, encoding, padding/masks, embedding lookups, the
+bigram language model and byte-pair merges — over whole texts."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from quarry.functions import text as TX
+from quarry.functions import vec as V
+from quarry.functions.hashing import sql_hash_unit
+from quarry.operators import text as T
+from quarry.operators.ordering import with_global_index
+from quarry.operators.small import broadcast_if_small, collect_small
+from quarry.plans.common import SEED, tbl
+from quarry.plans.registry import register
+
+R = 6
+MLM_P = 0.15
+
+
+@register("str_char_tokens", "SELECT t AS token, count(*) AS n FROM (SELECT unnest(string_split(text, '')) AS t FROM documents) GROUP BY t")
+def q_str_char_tokens(spark, sf):
+    """Characters as tokens over every document; token frequencies."""
+    return T.token_counts(tbl(spark, sf, "documents"), TX.chars("text"))
+
+
+@register("str_word_tokens", r"""SELECT t AS token, count(*) AS n FROM (
+  SELECT unnest(regexp_extract_all(text, '[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]')) AS t FROM documents) GROUP BY t""")
+def q_str_word_tokens(spark, sf):
+    """Words by letters/digits, punctuation as single tokens, case kept."""
+    return T.token_counts(tbl(spark, sf, "documents"), TX.words("text"))
+
+
+@register("str_sentence_tokens", r"""SELECT doc_id, idx, sentence FROM (
+  SELECT doc_id, unnest(s) AS sentence, unnest(range(len(s))) AS idx FROM (
+    SELECT doc_id, string_split(regexp_replace(text, '([.!?])\s+(\p{Lu})', '\1' || chr(31) || '\2', 'g'), chr(31)) AS s
+    FROM documents))""")
+def q_str_sentence_tokens(spark, sf):
+    """Sentences: split after . ! ? when whitespace and a capital follow."""
+    d = tbl(spark, sf, "documents").select("doc_id", F.posexplode(TX.sentences("text")).alias("idx", "sentence"))
+    return d.select("doc_id", F.col("idx").cast("long").alias("idx"), "sentence")
+
+
+@register("str_special_tokens", """SELECT a.conv_id, a.turn, '[CLS] ' || a.text || ' [SEP] ' || b.text || ' [SEP]' AS framed
+FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1""")
+def q_str_special_tokens(spark, sf):
+    """[CLS] A [SEP] B [SEP] for every turn and its reply: an equi-join on
+    (conversation, turn + 1), so a long conversation is no hot group."""
+    c = tbl(spark, sf, "conversations").select("conv_id", "turn", "text")
+    nxt = c.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("reply"))
+    return c.join(nxt, ["conv_id", "turn"]).select("conv_id", "turn", TX.frame_pair("text", "reply").alias("framed"))
+
+
+SQL_VOCAB = """v AS (SELECT '<PAD>' AS token, 0 AS idx
+      UNION ALL SELECT t, row_number() OVER (ORDER BY t) FROM (SELECT DISTINCT unnest(string_split(text, '')) AS t FROM conversations))"""
+
+
+@register("str_vocab", f"WITH {SQL_VOCAB} SELECT token, idx FROM v")
+def q_str_vocab(spark, sf):
+    """Sorted character vocabulary of all sequences, <PAD> at index 0."""
+    return T.vocabulary(tbl(spark, sf, "conversations"), TX.chars("text"))
+
+
+def _encoded(spark, sf):
+    c = tbl(spark, sf, "conversations").select("conv_id", "turn", "text")
+    m = T.vocab_map(T.vocabulary(c, TX.chars("text")))
+    labels = F.transform(TX.chars("text"), TX.char_class)
+    lv = T.vocab_map(T.vocabulary(c.select(labels.alias("l")), F.col("l"), pad=None))
+    return c.select("conv_id", "turn", T.encode(TX.chars("text"), m).alias("ids"),
+                    T.encode(labels, lv).alias("labs"))
+
+
+SQL_ENC = f"""WITH {SQL_VOCAB},
+ch AS (SELECT conv_id, turn, unnest(string_split(text, '')) AS c, unnest(range(length(text))) AS pos FROM conversations),
+lb AS (SELECT l, row_number() OVER (ORDER BY l) - 1 AS li FROM (SELECT DISTINCT
+         CASE WHEN regexp_matches(c, '^\\p{{L}}$') THEN 'L' WHEN regexp_matches(c, '^\\s$') THEN 'S' ELSE 'O' END AS l FROM ch)),
+ce AS (SELECT conv_id, turn, pos, v.idx,
+              CASE WHEN regexp_matches(c, '^\\p{{L}}$') THEN 'L' WHEN regexp_matches(c, '^\\s$') THEN 'S' ELSE 'O' END AS l
+       FROM ch JOIN v ON v.token = ch.c),
+enc0 AS (SELECT conv_id, turn, list(idx::INTEGER ORDER BY pos) AS ids, list(li::INTEGER ORDER BY pos) AS labs
+         FROM ce JOIN lb USING (l) GROUP BY ALL),
+enc AS (SELECT c.conv_id, c.turn, coalesce(ids, []::INTEGER[]) AS ids, coalesce(labs, []::INTEGER[]) AS labs
+        FROM conversations c LEFT JOIN enc0 USING (conv_id, turn))"""
+
+
+@register("join_vocab_encode", SQL_ENC + "\nSELECT conv_id, turn, ids FROM enc")
+def q_join_vocab_encode(spark, sf):
+    """Every character mapped to its vocabulary index (map literal lookup)."""
+    return _encoded(spark, sf).select("conv_id", "turn", "ids")
+
+
+SQL_PAD = SQL_ENC + """,
+b AS (SELECT *, (row_number() OVER (ORDER BY conv_id, turn) - 1) // 4 AS batch FROM enc),
+m AS (SELECT *, len(ids) AS n, max(len(ids)) OVER (PARTITION BY batch) AS mx FROM b),
+pad AS (SELECT conv_id, turn, batch,
+          list_concat(ids, list_transform(range(mx - n), lambda k: 0::INTEGER)) AS input_ids,
+          list_concat(labs, list_transform(range(mx - n), lambda k: -100::INTEGER)) AS label_ids,
+          list_concat(list_transform(range(n), lambda k: false), list_transform(range(mx - n), lambda k: true)) AS pad_mask FROM m)"""
+
+
+def _padded(spark, sf):
+    e = with_global_index(_encoded(spark, sf), ["conv_id", "turn"], "_i")
+    e = e.withColumn("batch", F.floor(F.col("_i") / 4).cast("long")).drop("_i")
+    return T.pad_batch(e, "ids", "labs", "batch")
+
+
+@register("str_pad_mask", SQL_PAD + "\nSELECT conv_id, turn, batch, input_ids, label_ids, pad_mask FROM pad")
+def q_str_pad_mask(spark, sf):
+    """Batches of 4 sequences: ids padded with <PAD>=0, labels with -100,
+    mask True on padding."""
+    return _padded(spark, sf).select("conv_id", "turn", "batch", "input_ids", "label_ids", "pad_mask")
+
+
+@register("prj_ignore_mask", SQL_PAD + """
+SELECT conv_id, turn, pos, label FROM (
+  SELECT conv_id, turn, unnest(label_ids) AS label, unnest(range(len(label_ids))) AS pos FROM pad) WHERE label <> -100""")
+def q_prj_ignore_mask(spark, sf):
+    """Drop the padded (-100) positions after exploding the label arrays."""
+    p = _padded(spark, sf).select("conv_id", "turn", F.posexplode("label_ids").alias("pos", "label"))
+    return p.filter(F.col("label") != TX.IGNORE_INDEX).select("conv_id", "turn", F.col("pos").cast("long").alias("pos"), "label")
+
+
+@register("str_mlm_mask", SQL_ENC + f""",
+vs AS (SELECT count(*) AS vsize FROM v)
+SELECT conv_id, turn,
+  list_transform(range(len(ids)), lambda i: CASE WHEN {sql_hash_unit(SEED, 'conv_id', 'turn', 'i')} < {MLM_P} THEN vsize::INTEGER ELSE ids[i + 1] END) AS input_ids,
+  list_transform(range(len(ids)), lambda i: CASE WHEN {sql_hash_unit(SEED, 'conv_id', 'turn', 'i')} < {MLM_P} THEN ids[i + 1] ELSE -100::INTEGER END) AS label_ids
+FROM enc, vs""")
+def q_str_mlm_mask(spark, sf):
+    """Hide a seeded 15 % of positions: the input gets [MASK] (index = vocab
+    size), the label keeps the hidden index, others are -100."""
+    c = tbl(spark, sf, "conversations").select("conv_id", "turn", "text")
+    vocab = T.vocabulary(c, TX.chars("text"))
+    vsize = vocab.count()
+    e = _encoded(spark, sf)
+    inp, lab = T.mlm_mask(F.col("ids"), ["conv_id", "turn"], MLM_P, vsize, SEED)
+    return e.select("conv_id", "turn", inp.alias("input_ids"), lab.alias("label_ids"))
+
+
+@register("str_embed_lookup", SQL_ENC + f""",
+u AS (SELECT conv_id, turn, unnest(ids) AS idx FROM enc),
+em AS (SELECT vec_id, unnest(CAST(embedding AS DOUBLE[])) AS v, unnest(range(len(embedding))) AS i FROM embeddings),
+j AS (SELECT conv_id, turn, i, avg(v) AS m, count(*) AS n FROM u JOIN em ON em.vec_id = u.idx GROUP BY ALL)
+SELECT conv_id, turn, max(n) AS n, list(round(m, {R}) ORDER BY i) AS pooled FROM j GROUP BY ALL""")
+def q_str_embed_lookup(spark, sf):
+    """Token index -> embedding row (row vec_id = index), mean-pooled per
+    sequence. Only rows up to the largest vocabulary index are needed
+    (bounded by the vocabulary, checked); they ship to the tasks once and
+    each Arrow batch does a numpy gather + mean."""
+    from quarry.operators.lookup import pooled_lookup
+    e = _encoded(spark, sf)
+    vmax = e.select(F.max(F.array_max("ids")).alias("m")).first()["m"] or 0
+    rows = collect_small(tbl(spark, sf, "embeddings").filter(F.col("vec_id") <= vmax)
+                         .select("vec_id", F.col("embedding").cast("array<double>").alias("x")), 200_000, "embedding rows")
+    out = pooled_lookup(e, "ids", {r["vec_id"]: list(r["x"]) for r in rows}, ["conv_id", "turn"])
+    return out.select("conv_id", "turn", "n", V.round_array("pooled", R).alias("pooled")).filter(F.col("n") > 0)
+
+
+# -- embedding table keyed by sequence --------------------------------------------
+
+SQL_SEQ_EMB = f"""WITH e AS (SELECT vec_id // 12 AS seq, vec_id % 12 AS pos, CAST(embedding AS DOUBLE[]) AS x, label FROM embeddings),
+el AS (SELECT seq, count(*) AS emb_len FROM e GROUP BY seq),
+s AS (SELECT seq, string_agg(CAST(label AS VARCHAR), '' ORDER BY pos) AS labels FROM e
+      WHERE seq % 2 = 1 OR (pos >= 1 AND pos <= 10) GROUP BY seq),
+a AS (SELECT s.seq, s.labels, length(s.labels) AS L, el.emb_len,
+             CASE WHEN el.emb_len = length(s.labels) + 2 THEN 1 ELSE 0 END AS off FROM s JOIN el USING (seq))
+SELECT a.seq, e.pos - a.off AS pos, substr(a.labels, (e.pos - a.off + 1)::INTEGER, 1) AS label_char,
+       list_transform(e.x, lambda v: round(v, {R})) AS x
+FROM a JOIN e USING (seq)
+WHERE e.pos - a.off >= 0 AND e.pos - a.off < least(a.L, a.emb_len - 2 * a.off)"""
+
+
+@register("join_embedding_lookup", SQL_SEQ_EMB)
+def q_join_embedding_lookup(spark, sf):
+    """Per-position vectors of a sequence joined to its label string; a
+    vector table of length L+2 (begin/end rows) is stripped, otherwise both
+    sides are cut to the shorter. Sequences: 12 consecutive vectors; even
+    sequences carry labels for the inner 10 positions only."""
+    from quarry.operators.sequence import align_embeddings
+    e = tbl(spark, sf, "embeddings").select(
+        (F.col("vec_id") / 12).cast("long").alias("seq"), (F.col("vec_id") % 12).cast("long").alias("pos"),
+        F.col("embedding").cast("array<double>").alias("x"), "label")
+    keep = (F.col("seq") % 2 == 1) | ((F.col("pos") >= 1) & (F.col("pos") <= 10))
+    labels = (e.filter(keep).groupBy("seq")
+              .agg(F.array_sort(F.collect_list(F.struct("pos", F.col("label").cast("string").alias("l")))).alias("_s"))
+              .select("seq", F.array_join(F.transform("_s", lambda t: t["l"]), "").alias("labels")))
+    out = align_embeddings(labels, e.select("seq", "pos", "x"), "seq", "labels")
+    return out.select("seq", "pos", "label_char", V.round_array("x", R).alias("x"))
+
+
+# -- bigram language model ----------------------------------------------------------
+
+SQL_BIGRAM = """WITH ch AS (SELECT doc_id, string_split(text, '') AS t FROM documents),
+bg AS (SELECT doc_id, unnest(t[1:len(t) - 1]) AS a, unnest(t[2:len(t)]) AS b FROM ch WHERE len(t) >= 2),
+vs AS (SELECT count(DISTINCT c) AS V FROM (SELECT unnest(t) AS c FROM ch)),
+cnt AS (SELECT a, b, count(*) AS n FROM bg GROUP BY a, b),
+na AS (SELECT a, sum(n) AS na FROM cnt GROUP BY a),
+pm AS (SELECT cnt.a, cnt.b, cnt.n, (cnt.n + 1.0) / (na.na + vs.V) AS p FROM cnt JOIN na USING (a), vs)"""
+
+
+@register("mdl_ngram_lm", SQL_BIGRAM + f"""
+SELECT doc_id, count(*) AS n_bigrams, round(sum(ln(p)), 4) AS loglik FROM bg JOIN pm USING (a, b) GROUP BY doc_id""")
+def q_mdl_ngram_lm(spark, sf):
+    """Character bigram model with add-one smoothing over the seen
+    vocabulary, and the log-likelihood of every document."""
+    d = tbl(spark, sf, "documents").select("doc_id", TX.chars("text").alias("t"))
+    model = T.bigram_model(d, F.col("t")).select("a", "b", "p")
+    bg = d.filter(F.size("t") >= 2).select("doc_id", F.explode(T.bigrams(F.col("t"))).alias("g")).select("doc_id", "g.a", "g.b")
+    j = bg.join(broadcast_if_small(model), ["a", "b"])
+    return j.groupBy("doc_id").agg(F.count("*").alias("n_bigrams"), F.round(F.sum(F.log("p")), 4).alias("loglik"))
+
+
+@register("mdl_ngram_lm_topk", SQL_BIGRAM + f"""
+SELECT a, b, round(p, {R}) AS p, rk AS rank FROM (
+  SELECT a, b, p, row_number() OVER (PARTITION BY a ORDER BY n DESC, b) AS rk FROM pm) WHERE rk <= 3""")
+def q_mdl_ngram_lm_topk(spark, sf):
+    """Greedy/top-3 next-character table from the same model."""
+    from pyspark.sql import Window
+    d = tbl(spark, sf, "documents").select(TX.chars("text").alias("t"))
+    m = T.bigram_model(d, F.col("t"))
+    w = Window.partitionBy("a").orderBy(F.desc("n"), "b")
+    return (m.withColumn("rank", F.row_number().over(w)).filter("rank <= 3")
+            .select("a", "b", F.round("p", R).alias("p"), F.col("rank").cast("long").alias("rank")))
+
+
+@register("str_bpe")
+def q_str_bpe(spark, sf):
+    """30 byte-pair merges learned from the word counts of every document
+    (rank, left, right, pair count)."""
+    words = T.token_counts(tbl(spark, sf, "documents"), TX.words("text"))
+    merges = T.bpe_learn(words.withColumnRenamed("token", "word"), 30)
+    return spark.createDataFrame([(i, a, b, c) for i, (a, b, c) in enumerate(merges)],
+                                 "rank int, left string, right string, count long")
