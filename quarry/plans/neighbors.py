@@ -1 +1,131 @@
-"""Registered plans (filled in as operators land)."""
+"""Nearest neighbours and clustering on ``embeddings``."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from quarry.functions import vec as V
+from quarry.functions.hashing import hash_u60, sql_hash_u60
+from quarry.operators import cluster as CL
+from quarry.operators import neighbors as NN
+from quarry.operators.small import collect_small
+from quarry.plans.common import SEED, SQL_EMB, emb
+from quarry.plans.registry import register
+
+R = 6
+K = 5
+N_CLUSTERS = 10
+
+SQL_KNN = f"""WITH {SQL_EMB},
+d AS (SELECT q.vec_id AS qid, t.vec_id AS rid, t.label, list_distance(q.x, t.x) AS dist
+      FROM e q, e t WHERE q.split = 'test' AND t.split = 'train'),
+nn AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY dist, rid) AS rank FROM d) WHERE rank <= {K})"""
+
+
+def _nn(spark, sf):
+    e = emb(spark, sf)
+    q = e.filter("split = 'test'").select(F.col("vec_id").alias("qid"), "x")
+    r = e.filter("split = 'train'").select(F.col("vec_id").alias("rid"), "x", "label")
+    return NN.knn(q, r, K, "qid", "rid", "x")
+
+
+@register("join_knn", SQL_KNN + f"\nSELECT qid, rid, rank::INTEGER AS rank, round(dist, {R}) AS dist FROM nn")
+def q_join_knn(spark, sf):
+    """Exact 5 nearest training vectors of every test vector (Euclidean)."""
+    return _nn(spark, sf).select("qid", "rid", "rank", F.round("dist", R).alias("dist"))
+
+
+@register("join_knn_classify", SQL_KNN + """,
+v AS (SELECT qid, label, count(*) AS n FROM nn GROUP BY ALL)
+SELECT qid AS vec_id, label AS pred FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY n DESC, label) AS r FROM v) WHERE r = 1""")
+def q_join_knn_classify(spark, sf):
+    """k = 5 majority vote (ties -> smallest class)."""
+    return NN.knn_classify(_nn(spark, sf), "qid", "label").withColumnRenamed("qid", "vec_id")
+
+
+@register("join_knn_prob", SQL_KNN + f"\nSELECT qid AS vec_id, label, round(count(*) / {float(K)}, {R}) AS prob FROM nn GROUP BY ALL")
+def q_join_knn_prob(spark, sf):
+    p = NN.knn_proba(_nn(spark, sf), "qid", "label", K)
+    return p.select(F.col("qid").alias("vec_id"), "label", F.round("prob", R).alias("prob"))
+
+
+@register("join_knn_regress", SQL_KNN + f"\nSELECT qid AS vec_id, round(avg(label), {R}) AS pred FROM nn GROUP BY ALL")
+def q_join_knn_regress(spark, sf):
+    """Mean target (the label as a number) of the 5 neighbours."""
+    p = NN.knn_regress(_nn(spark, sf), "qid", "label")
+    return p.select(F.col("qid").alias("vec_id"), F.round("pred", R).alias("pred"))
+
+
+@register("join_knn_approx")
+def q_join_knn_approx(spark, sf):
+    """LSH candidates re-ranked exactly; short candidate lists fall back to
+    the exact tiled search (rows-only: approximate by design)."""
+    e = emb(spark, sf)
+    q = e.filter("split = 'test'").select(F.col("vec_id").alias("qid"), "x")
+    r = e.filter("split = 'train'").select(F.col("vec_id").alias("rid"), "x")
+    return NN.knn_approx(q, r, K, "qid", "rid", "x")
+
+
+# -- clustering --------------------------------------------------------------------
+
+SQL_INIT = f"""WITH {SQL_EMB},
+init AS (SELECT cid, x AS c FROM (SELECT x, row_number() OVER (ORDER BY {sql_hash_u60(SEED, 'vec_id')}, vec_id) - 1 AS cid FROM e)
+         WHERE cid < {N_CLUSTERS}),
+asg AS (SELECT * FROM (SELECT e.vec_id, e.x, init.cid, list_distance(e.x, init.c) AS d, init.c,
+          row_number() OVER (PARTITION BY e.vec_id ORDER BY list_distance(e.x, init.c), init.cid) AS r FROM e, init) WHERE r = 1)"""
+
+
+def _init_centers(spark, sf):
+    e = emb(spark, sf)
+    rows = collect_small(e.withColumn("_h", hash_u60(SEED, "vec_id")).orderBy("_h", "vec_id").limit(N_CLUSTERS)
+                         .select("x"), N_CLUSTERS, "initial centers")
+    return e, [list(r["x"]) for r in rows], list(range(len(rows)))
+
+
+@register("mdl_kmeans_step", SQL_INIT + f""",
+u AS (SELECT cid, unnest(x) AS v, unnest(range(len(x))) AS i FROM asg),
+m AS (SELECT cid, i, avg(v) AS m FROM u GROUP BY ALL)
+SELECT cid AS cluster, (SELECT count(*) FROM asg WHERE asg.cid = m.cid) AS n, list(round(m, {R}) ORDER BY i) AS centroid
+FROM m GROUP BY cid""")
+def q_mdl_kmeans_step(spark, sf):
+    """One k-means round from 10 seeded initial centers: assign, then mean."""
+    e, centers, ids = _init_centers(spark, sf)
+    st = CL.kmeans_step(e, centers, ids)
+    return st.select(F.col("cluster").cast("bigint").alias("cluster"), "n", V.round_array("centroid", R).alias("centroid"))
+
+
+@register("agg_inertia", SQL_INIT + f"\nSELECT round(sum(d * d), {R - 2}) AS inertia FROM asg")
+def q_agg_inertia(spark, sf):
+    """Σ squared distance of every vector to its assigned center."""
+    e, centers, ids = _init_centers(spark, sf)
+    a = CL.assign(e, centers, ids)
+    return CL.inertia(a, centers, ids).select(F.round("inertia", R - 2).alias("inertia"))
+
+
+@register("agg_silhouette", SQL_INIT + f""",
+pd AS (SELECT a.vec_id, a.cid, b.cid AS cto, list_distance(a.x, b.x) AS d, list_distance(a.x, b.x) ^ 2 AS d2
+       FROM asg a JOIN asg b ON a.vec_id <> b.vec_id),
+pc AS (SELECT vec_id, cid, cto, avg(d) AS md, avg(d2) AS md2 FROM pd GROUP BY ALL),
+ab AS (SELECT vec_id, max(md) FILTER (WHERE cid = cto) AS a, min(md) FILTER (WHERE cid <> cto) AS b,
+              max(md2) FILTER (WHERE cid = cto) AS a2, min(md2) FILTER (WHERE cid <> cto) AS b2 FROM pc GROUP BY vec_id),
+full_ AS (SELECT asg.vec_id, ab.a, ab.b, ab.a2, ab.b2 FROM asg LEFT JOIN ab USING (vec_id))
+SELECT round(avg(CASE WHEN a IS NULL OR b IS NULL THEN 0.0 ELSE (b - a) / greatest(a, b) END), {R}) AS silhouette_euclid,
+       round(avg(CASE WHEN a2 IS NULL OR b2 IS NULL THEN 0.0 ELSE (b2 - a2) / greatest(a2, b2) END), {R}) AS silhouette_sq
+FROM full_""")
+def q_agg_silhouette(spark, sf):
+    """Mean silhouette of the seeded-center assignment, with Euclidean
+    distance (exact, blocked pair sums) and with squared Euclidean distance
+    (exact, O(n K) from cluster sums)."""
+    e, centers, ids = _init_centers(spark, sf)
+    a = CL.assign(e, centers, ids)
+    s1 = CL.silhouette_euclid(a, "vec_id").select(F.round("silhouette", R).alias("silhouette_euclid"))
+    s2 = CL.silhouette_sq(a).select(F.round("silhouette", R).alias("silhouette_sq"))
+    from quarry.operators.stats import _one_row_concat
+    return _one_row_concat(s1, s2)
+
+
+@register("mdl_kmeans_sweep")
+def q_mdl_kmeans_sweep(spark, sf):
+    """k = 2..10 with Spark's k-means (seed 42): inertia and silhouette per k."""
+    from quarry.operators.models import kmeans_sweep
+    return kmeans_sweep(emb(spark, sf).select("vec_id", "x"), range(2, 11), seed=SEED)
