@@ -27,8 +27,9 @@ def gram(df: DataFrame, features: str, target: str | None = None, by: Sequence[s
     the constant, 1..d the features, d+1 the target (when given)."""
     by = list(by)
     cols = by + [features] + ([target] if target else [])
-    src = df.select(*by, F.col(features).cast("array<double>").alias("_x"),
-                    *([F.col(target).cast("double").alias("_y")] if target else []))
+    multi = bool(target) and df.schema[target].dataType.typeName() == "array"
+    ycol = F.col(target).cast("array<double>" if multi else "double").alias("_y") if target else None
+    src = df.select(*by, F.col(features).cast("array<double>").alias("_x"), *([ycol] if target else []))
     schema = T.StructType([src.schema[c] for c in by] + [
         T.StructField("i", T.IntegerType()), T.StructField("j", T.IntegerType()), T.StructField("value", T.DoubleType())])
 
@@ -43,7 +44,9 @@ def gram(df: DataFrame, features: str, target: str | None = None, by: Sequence[s
                 key = key if isinstance(key, tuple) else (key,)
                 x = np.stack(g["_x"].to_numpy())
                 parts = [np.ones((len(g), 1)), x]
-                if target:
+                if target and multi:
+                    parts.append(np.stack(g["_y"].to_numpy()))
+                elif target:
                     parts.append(g["_y"].to_numpy(dtype=float).reshape(-1, 1))
                 z = np.hstack(parts)
                 m = z.T @ z
