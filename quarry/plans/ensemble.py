@@ -1 +1,161 @@
-"""Registered plans (filled in as operators land)."""
+"""Fitted-model plans (Spark ML): predictions of the test split. These are
+iterative fits, so the correctness gate is rows-only; own property tests
+live in tests/."""
+
+from __future__ import annotations
+
+from pyspark.ml.functions import array_to_vector
+from pyspark.sql import functions as F
+
+from quarry.functions import text as TX
+from quarry.operators import metrics as M
+from quarry.operators import models as MD
+from quarry.operators import prep as P
+from quarry.plans.common import SEED, emb, tbl
+from quarry.plans.registry import register
+
+R = 6
+
+
+def _xy(spark, sf, binary=False):
+    e = emb(spark, sf)
+    if binary:
+        e = e.filter(F.col("label").isin(0, 1))
+    e = MD.with_vector(e).withColumn("label", F.col("label").cast("double"))
+    return e.filter("split = 'train'"), e.filter("split = 'test'")
+
+
+@register("mdl_logistic")
+def q_mdl_logistic(spark, sf):
+    """Multinomial logistic regression, L2 with C = 1, 200 iterations."""
+    tr, te = _xy(spark, sf)
+    return MD.predict(MD.logistic(tr), te, "vec_id")
+
+
+@register("mdl_svm")
+def q_mdl_svm(spark, sf):
+    """Max-margin classifier on classes 0/1, C = 1: linear and RBF (random
+    Fourier features, gamma = 'scale')."""
+    tr, te = _xy(spark, sf, binary=True)
+    lin = MD.predict(MD.linear_svm(tr), te, "vec_id", name="linear")
+    g = MD.rbf_gamma_scale(tr, "x")
+    trf = MD.with_vector(MD.rff_transform(tr.drop("features"), "x", 256, g, SEED), "rff").persist()
+    tef = MD.with_vector(MD.rff_transform(te.drop("features"), "x", 256, g, SEED), "rff")
+    model = MD.linear_svm(trf)
+    rbf = MD.predict(model, tef, "vec_id", name="rbf")
+    return lin.unionByName(rbf)
+
+
+@register("mdl_tree")
+def q_mdl_tree(spark, sf):
+    tr, te = _xy(spark, sf)
+    return MD.predict(MD.tree(tr), te, "vec_id")
+
+
+@register("mdl_random_forest")
+def q_mdl_random_forest(spark, sf):
+    """100 trees, sqrt features per split."""
+    tr, te = _xy(spark, sf)
+    return MD.predict(MD.forest(tr, 100), te, "vec_id")
+
+
+@register("mdl_random_forest_reg")
+def q_mdl_random_forest_reg(spark, sf):
+    """100-tree regressor: part price from size, brand and type indices."""
+    p = tbl(spark, sf, "part").select("p_partkey", "p_size", "p_brand", "p_type", F.col("p_retailprice").alias("y"))
+    p = P.label_encode(P.label_encode(p, "p_brand"), "p_type")
+    p = P.exact_split(p, "p_partkey", 0.25, SEED)
+    p = MD.with_vector(p.withColumn("x", F.array(F.col("p_size").cast("double"), F.col("p_brand_idx").cast("double"),
+                                                  F.col("p_type_idx").cast("double"))))
+    m = MD.forest_regressor(p.filter("split = 'train'"))
+    return m.transform(p.filter("split = 'test'")).select("p_partkey", "y", F.round("prediction", R).alias("pred"))
+
+
+@register("mdl_voting")
+def q_mdl_voting(spark, sf):
+    """Logistic + tree + linear SVM, hard vote (classes 0/1)."""
+    tr, te = _xy(spark, sf, binary=True)
+    parts = [MD.predict(MD.logistic(tr), te, "vec_id"), MD.predict(MD.tree(tr), te, "vec_id"),
+             MD.predict(MD.linear_svm(tr), te, "vec_id")]
+    u = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    return M.hard_vote(u.select("vec_id", "pred")).join(te.select("vec_id", F.col("label").cast("int")), "vec_id")
+
+
+@register("mdl_stacking")
+def q_mdl_stacking(spark, sf):
+    """Base logistic + tree, meta forest of 50 on out-of-fold probabilities."""
+    tr, te = _xy(spark, sf)
+    return MD.stacking(tr, te, "vec_id", 5, seed=SEED)
+
+
+@register("mdl_bagging")
+def q_mdl_bagging(spark, sf):
+    """20 random-feature trees on Poisson bootstrap bags; out-of-bag
+    predictions of training rows and voted test predictions."""
+    tr, te = _xy(spark, sf)
+    oob, test = MD.bagging(tr, te, "vec_id", 20, seed=SEED)
+    return oob.withColumn("split", F.lit("oob")).unionByName(test.withColumn("split", F.lit("test")))
+
+
+@register("mdl_boosting")
+def q_mdl_boosting(spark, sf):
+    """Gradient-boosted trees (classes 0/1)."""
+    tr, te = _xy(spark, sf, binary=True)
+    return MD.predict(MD.boosting(tr), te, "vec_id")
+
+
+@register("mdl_mlp")
+def q_mdl_mlp(spark, sf):
+    """Feed-forward classifier 64-128-64-10 (sigmoid hidden units, L-BFGS)."""
+    tr, te = _xy(spark, sf)
+    return MD.predict(MD.mlp(tr, [64, 128, 64, 10]), te, "vec_id")
+
+
+@register("prep_pipeline")
+def q_prep_pipeline(spark, sf):
+    """Assemble -> standardise -> linear regression as one fitted pipeline."""
+    li = tbl(spark, sf, "lineitem").select("l_quantity", "l_discount", "l_tax", "l_extendedprice")
+    m = MD.pipeline_regression(li, ["l_quantity", "l_discount", "l_tax"], "l_extendedprice")
+    pr = m.transform(li)
+    return pr.agg(F.sqrt(F.avg(F.pow(F.col("prediction") - F.col("l_extendedprice"), 2))).alias("rmse"), F.count("*").alias("n"))
+
+
+@register("mdl_token_probe")
+def q_mdl_token_probe(spark, sf):
+    """Per-character label (letter / space / other) from the one-hot
+    characters of a +-1 window, logistic probe trained on the train split of
+    conversations; weighted F1 and accuracy on valid and test."""
+    from pyspark.ml.feature import OneHotEncoder, VectorAssembler
+    from quarry.operators import text as T
+    c = tbl(spark, sf, "conversations").select("conv_id", "turn", "text")
+    m = T.vocab_map(T.vocabulary(c, TX.chars("text")))
+    c = P.hash_split(c, "conv_id", {"train": 0.8, "valid": 0.1, "test": 0.1}, SEED)
+    ids = T.encode(TX.chars("text"), m)
+    n = F.size(ids)
+    prev = F.concat(F.array(F.lit(0)), F.slice(ids, 1, F.greatest(n - 1, F.lit(0))))
+    nxt = F.concat(F.slice(ids, 2, F.greatest(n - 1, F.lit(0))), F.array(F.lit(0)))
+    z = F.arrays_zip(TX.chars("text").alias("ch"), ids.alias("cur"), prev.alias("prev"), nxt.alias("next"))
+    tok = c.select("split", F.explode(z).alias("t")).select("split", "t.ch", "t.cur", "t.prev", "t.next")
+    lab = F.when(TX.char_class(F.col("ch")) == "L", 0).when(TX.char_class(F.col("ch")) == "O", 1).otherwise(2)
+    tok = tok.withColumn("label", lab.cast("double"))
+    enc = OneHotEncoder(inputCols=["prev", "cur", "next"], outputCols=["o1", "o2", "o3"], dropLast=False,
+                        handleInvalid="keep").fit(tok)
+    feats = (VectorAssembler(inputCols=["o1", "o2", "o3"], outputCol="features").transform(enc.transform(tok))
+             .select("split", "label", "features").persist())
+    train = feats.filter("split = 'train'")
+    from pyspark.ml.classification import LogisticRegression
+    lr = LogisticRegression(featuresCol="features", labelCol="label", maxIter=50, regParam=1e-4).fit(train)
+    pred = lr.transform(feats.filter("split != 'train'")).select(
+        "split", F.col("label").cast("int").alias("label"), F.col("prediction").cast("int").alias("pred"))
+    rows = pred.groupBy("split", "label", "pred").count().collect()  # K*K cells per split
+    feats.unpersist()
+    counts = spark.createDataFrame(rows, "split string, label int, pred int, n long")
+    out = []
+    for s in ("valid", "test"):
+        ps = counts.filter(F.col("split") == s)
+        conf = M.confusion(ps.select("label", "pred", F.explode(F.array_repeat(F.lit(1), F.col("n").cast("int"))).alias("_")))
+        f1 = M.f1_weighted(conf)
+        acc = conf.agg((F.sum(F.when(F.col("actual") == F.col("predicted"), F.col("n")).otherwise(0)) / F.sum("n")).alias("accuracy"))
+        from quarry.operators.stats import _one_row_concat
+        out.append(_one_row_concat(f1, acc).select(F.lit(s).alias("split"), "f1_weighted", "accuracy"))
+    return out[0].unionByName(out[1])
