@@ -80,21 +80,42 @@ def mlm_mask(ids: Column, key_cols: Sequence[str], p: float, mask_idx: int, seed
 
 
 def bigrams(tokens: Column) -> Column:
-    """Adjacent pairs of a token array as structs (a, b)."""
-    return F.transform(F.sequence(F.lit(1), F.size(tokens) - 1),
-                       lambda i: F.struct(F.element_at(tokens, i).alias("a"), F.element_at(tokens, i + 1).alias("b")))
+    """Adjacent pairs of a token array as structs (a, b) — two slices
+    zipped, so no per-element lambda runs."""
+    n = F.size(tokens)
+    return F.arrays_zip(F.slice(tokens, 1, F.greatest(n - 1, F.lit(0))).alias("a"),
+                        F.slice(tokens, 2, F.greatest(n - 1, F.lit(0))).alias("b"))
 
 
-def bigram_model(df: DataFrame, tokens: Column) -> DataFrame:
-    """(a, b, n, p): add-one smoothed P(b | a) over the vocabulary of seen
-    tokens, for every seen bigram. Unseen bigrams have p = 1 / (n_a + V)."""
-    t = df.select(tokens.alias("_t")).filter(F.size("_t") >= 2)
-    pairs = t.select(F.explode(bigrams(F.col("_t"))).alias("g")).select("g.a", "g.b")
-    c = pairs.groupBy("a", "b").agg(F.count("*").alias("n"))
+def bigram_counts(df: DataFrame, key: str, tokens: Column) -> DataFrame:
+    """(key, a, b, n): bigram counts per document. The one big explode of
+    the corpus happens here, followed by a partial aggregation; the result is
+    written to the shared checkpoint folder because model and scoring both
+    read it."""
+    t = df.select(key, tokens.alias("_t")).filter(F.size("_t") >= 2)
+    g = t.select(key, F.explode(bigrams(F.col("_t"))).alias("g")).select(key, "g.a", "g.b")
+    return cut_lineage(g.groupBy(key, "a", "b").agg(F.count("*").alias("n")))
+
+
+def vocab_size(df: DataFrame, tokens: Column) -> int:
+    """Distinct tokens over all rows (deduplicated per row first)."""
+    return df.select(F.explode(F.array_distinct(tokens)).alias("t")).distinct().count()
+
+
+def bigram_model_from_counts(counts: DataFrame, V: int) -> DataFrame:
+    """(a, b, n, p): add-one smoothed P(b | a) = (n_ab + 1) / (n_a + V) for
+    every seen bigram (unseen bigrams: 1 / (n_a + V))."""
+    c = counts.groupBy("a", "b").agg(F.sum("n").alias("n"))
     na = c.groupBy("a").agg(F.sum("n").alias("na"))
-    V = df.select(F.explode(tokens).alias("tok")).distinct().count()
-    return c.join(na, "a").select("a", "b", "n", ((F.col("n") + 1) / (F.col("na") + V)).alias("p"),
-                                  F.col("na"), F.lit(V).alias("V"))
+    return c.join(na, "a").select("a", "b", "n", ((F.col("n") + 1) / (F.col("na") + F.lit(V))).alias("p"))
+
+
+def bigram_model(df: DataFrame, tokens: Column, key: str | None = None) -> DataFrame:
+    """Convenience: counts + model over a table (key optional)."""
+    if key is None:
+        df = df.withColumn("_k", F.monotonically_increasing_id())
+        key = "_k"
+    return bigram_model_from_counts(bigram_counts(df, key, tokens), vocab_size(df, tokens))
 
 
 def bpe_learn(word_counts: DataFrame, n_merges: int, word: str = "word", count: str = "n",

@@ -204,10 +204,10 @@ def q_mdl_ngram_lm(spark, sf):
     """Character bigram model with add-one smoothing over the seen
     vocabulary, and the log-likelihood of every document."""
     d = tbl(spark, sf, "documents").select("doc_id", TX.chars("text").alias("t"))
-    model = T.bigram_model(d, F.col("t")).select("a", "b", "p")
-    bg = d.filter(F.size("t") >= 2).select("doc_id", F.explode(T.bigrams(F.col("t"))).alias("g")).select("doc_id", "g.a", "g.b")
-    j = bg.join(broadcast_if_small(model), ["a", "b"])
-    return j.groupBy("doc_id").agg(F.count("*").alias("n_bigrams"), F.round(F.sum(F.log("p")), 4).alias("loglik"))
+    counts = T.bigram_counts(d, "doc_id", F.col("t"))
+    model = T.bigram_model_from_counts(counts, T.vocab_size(d, F.col("t"))).select("a", "b", "p")
+    j = counts.join(broadcast_if_small(model), ["a", "b"])
+    return j.groupBy("doc_id").agg(F.sum("n").alias("n_bigrams"), F.round(F.sum(F.col("n") * F.log("p")), 4).alias("loglik"))
 
 
 @register("mdl_ngram_lm_topk", SQL_BIGRAM + f"""
@@ -216,8 +216,8 @@ SELECT a, b, round(p, {R}) AS p, rk AS rank FROM (
 def q_mdl_ngram_lm_topk(spark, sf):
     """Greedy/top-3 next-character table from the same model."""
     from pyspark.sql import Window
-    d = tbl(spark, sf, "documents").select(TX.chars("text").alias("t"))
-    m = T.bigram_model(d, F.col("t"))
+    d = tbl(spark, sf, "documents").select("doc_id", TX.chars("text").alias("t"))
+    m = T.bigram_model(d, F.col("t"), key="doc_id")
     w = Window.partitionBy("a").orderBy(F.desc("n"), "b")
     return (m.withColumn("rank", F.row_number().over(w)).filter("rank <= 3")
             .select("a", "b", F.round("p", R).alias("p"), F.col("rank").cast("long").alias("rank")))
