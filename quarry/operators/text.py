@@ -31,13 +31,19 @@ def token_counts(df: DataFrame, tokens: Column) -> DataFrame:
 def vocabulary(df: DataFrame, tokens: Column, pad: str | None = TX.PAD) -> DataFrame:
     """Sorted distinct tokens -> 0-based index (binary string order); with
     ``pad`` the pad token takes index 0 and every other index shifts by 1."""
-    d = df.select(F.explode(tokens).alias("token")).distinct()
-    v = with_global_index(d, ["token"], "idx")
+    spark = df.sparkSession
+    d = df.select(F.explode(F.array_distinct(tokens)).alias("token")).distinct()
+    shift = 0 if pad is None else 1
+    small = d.limit(MAX_VOCAB_LITERAL + 1).collect()
+    if len(small) <= MAX_VOCAB_LITERAL:
+        # proven small: index on the driver (code-point order = UTF-8 byte order)
+        toks = sorted(r["token"] for r in small)
+        v = spark.createDataFrame([(t, i + shift) for i, t in enumerate(toks)], "token string, idx long")
+    else:
+        v = with_global_index(d, ["token"], "idx").select("token", (F.col("idx") + shift).alias("idx"))
     if pad is None:
         return v
-    spark = df.sparkSession
-    shifted = v.select("token", (F.col("idx") + 1).alias("idx"))
-    return spark.createDataFrame([(pad, 0)], "token string, idx long").unionByName(shifted)
+    return spark.createDataFrame([(pad, 0)], "token string, idx long").unionByName(v)
 
 
 def vocab_map(vocab: DataFrame, key: str = "token", value: str = "idx") -> Column:

@@ -259,3 +259,22 @@ def q_win_maxabs_norm(spark, sf):
     mx = long.groupBy("label").agg(F.greatest(F.max(F.abs("mean")), F.lit(1e-8)).alias("m"))
     return long.join(F.broadcast(mx), "label").select(
         "label", F.col("i").cast("long").alias("i"), F.round(F.col("mean") / F.col("m"), R).alias("value"))
+
+
+@register("join_matmul", f"""WITH {SQL_EMB}, {SQL_CENTROIDS},
+a AS (SELECT vec_id, unnest(range(len(x))) AS j, unnest(x) AS v FROM e WHERE split = 'test'),
+b AS (SELECT label AS k, unnest(range(len(centroid))) AS j, unnest(centroid) AS w FROM c)
+SELECT vec_id, k, round(sum(v * w), {R}) AS value FROM a JOIN b USING (j) GROUP BY vec_id, k""")
+def q_join_matmul(spark, sf):
+    """X Wᵀ in long form: test vectors (row, j, v) times the class-mean
+    matrix transposed (j, k, w) — an equi-join on the inner index j (the
+    K x d side is broadcast after a size check) and a grouped sum; partial
+    sums combine map-side because one row's cells sit in one partition."""
+    from quarry.operators.linalg import matmul_long, to_long, transpose_long
+    e = emb(spark, sf)
+    a = to_long(e.filter("split = 'test'"), "vec_id", "x", "vec_id", "j", "v")
+    w = C.class_average_long(e.filter("split = 'train'")).select(F.col("label").alias("k"), F.col("i").cast("long").alias("j"),
+                                                                 F.col("mean").alias("v"))
+    wt = transpose_long(w, "k", "j")  # (k, j) -> (j, k): column names swap
+    out = matmul_long(a, wt.select(F.col("k").alias("j"), F.col("j").alias("k"), "v"), "vec_id", "j", "k")
+    return out.select("vec_id", "k", F.round("value", R).alias("value"))

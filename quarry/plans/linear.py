@@ -225,3 +225,22 @@ def q_mdl_regularisation_study(spark, sf):
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
+
+
+@register("agg_mse_rmse", """WITH f AS (SELECT regr_intercept(l_extendedprice, l_quantity) AS b, regr_slope(l_extendedprice, l_quantity) AS w FROM lineitem),
+p AS (SELECT l_extendedprice AS y, b + w * l_quantity AS pred FROM lineitem, f)
+SELECT round(avg((pred - y) ^ 2), 2) AS mse, round(sqrt(avg((pred - y) ^ 2)), 6) AS rmse,
+       round(sqrt(avg((greatest(0.0, least(50000.0, pred)) - y) ^ 2)), 6) AS rmse_clipped FROM p""")
+def q_agg_mse_rmse(spark, sf):
+    """MSE and RMSE of the one-feature OLS fit, plus RMSE of predictions
+    clipped to a range ([0, 50000] here)."""
+    from quarry.operators import metrics as M
+    li = tbl(spark, sf, "lineitem").select(F.array("l_quantity").alias("x"), "l_quantity", F.col("l_extendedprice").alias("y"))
+    b, w = L.ols(G.gram_matrix(G.gram(li, "x", "y")))
+    p = li.select("y", (F.lit(float(b)) + F.lit(float(w[0])) * F.col("l_quantity")).alias("pred"))
+    p = p.withColumn("pc", F.greatest(F.lit(0.0), F.least(F.lit(50000.0), F.col("pred"))))
+    m = M.mse_rmse(p, "y", "pred")
+    mc = M.mse_rmse(p, "y", "pc").select(F.col("rmse").alias("rmse_clipped"))
+    from quarry.operators.stats import _one_row_concat
+    return _one_row_concat(m, mc).select(F.round("mse", 2).alias("mse"), F.round("rmse", R).alias("rmse"),
+                                         F.round("rmse_clipped", R).alias("rmse_clipped"))

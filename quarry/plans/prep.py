@@ -85,20 +85,24 @@ def q_prep_kfold(spark, sf):
     labels = sorted(tot_n)
     d = max(i for (_, i) in tot_s) + 1
     folds = sorted({f for (f, *_rest) in by})
-    preds = []
+    # one pass: every row is scored with the model of its own fold, the K
+    # centroid sets travel as one literal array indexed by fold
+    models = []
     for f in folds:
-        labs, vecs = [], []
+        vecs = []
         for l in labels:
             n = tot_n[l] - by.get((f, l), 0)
-            if n <= 0:
-                continue
-            labs.append(l)
-            vecs.append([(tot_s[(l, i)] - by.get((f, l, i), 0.0)) / n for i in range(d)])
-        pf = C.predict_nearest_centroid_literal(e.filter(F.col("fold") == f), labs, vecs, "cosine")
-        preds.append(pf)
-    allp = preds[0]
-    for p in preds[1:]:
-        allp = allp.unionByName(p)
+            vecs.append([(tot_s[(l, i)] - by.get((f, l, i), 0.0)) / n for i in range(d)] if n > 0 else None)
+        models.append(vecs)
+    import math as _m
+    unit = [[([v / max(_m.sqrt(sum(t * t for t in vec)), 1e-12) for v in vec] if vec is not None else [float("nan")] * d)
+             for vec in m] for m in models]
+    import json as _j
+    lit = F.from_json(F.lit(_j.dumps(unit).replace("NaN", "null")), "array<array<array<double>>>")
+    pos = F.array_position(V.lit_ints(folds), F.col("fold").cast("long")).cast("int")
+    scores = V.let(V.l2_normalize("x"), lambda xn: F.transform(
+        F.element_at(lit, pos), lambda c: F.coalesce(V.dot(xn, c), F.lit(float("-inf")))))
+    allp = e.withColumn("pred", C.argmax_label(scores, labels))
     return allp.groupBy("fold").agg(F.round(F.avg((F.col("label") == F.col("pred")).cast("double")), R).alias("accuracy"),
                                     F.count("*").alias("n"))
 
