@@ -39,6 +39,18 @@ def char_class(c: Column) -> Column:
     return F.when(c.rlike(r"^\p{L}$"), "L").when(c.rlike(r"^\s$"), "S").otherwise("O")
 
 
+def char_classes(text) -> Column:
+    """The class letter of every character of a string, as a string of the
+    same length, by whole-string regex replacement (no per-character work):
+    other -> U+0001, letters -> U+0002, whitespace -> U+0003, then one
+    translate to O / L / S."""
+    t = _c(text)
+    t = F.regexp_replace(t, r"[^\p{L}\s]", "\u0001")
+    t = F.regexp_replace(t, r"\p{L}", "\u0002")
+    t = F.regexp_replace(t, r"\s", "\u0003")
+    return F.translate(t, "\u0001\u0002\u0003", "OLS")
+
+
 def frame_pair(a, b) -> Column:
     """[CLS] A [SEP] B [SEP]"""
     return F.concat_ws(" ", F.lit(CLS), _c(a), F.lit(SEP), _c(b), F.lit(SEP))

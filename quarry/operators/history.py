@@ -24,3 +24,43 @@ def best_so_far(hist: DataFrame, run: str, epoch: str, metric: str, patience: in
     h = h.withColumn("_first_stop", F.min(F.when(F.col("stale") >= patience, F.col(epoch))).over(
         Window.partitionBy(run)))
     return h.withColumn("stop", F.coalesce(F.col(epoch) == F.col("_first_stop"), F.lit(False))).drop("_prev", "_last", "_first_stop")
+
+
+def best_so_far_segmented(hist: DataFrame, run: str, order: list[str], metric: str, patience: int = 3,
+                          initial_best: float = -1.0, segment_rows: int = 1 << 20) -> DataFrame:
+    """Same table as :func:`best_so_far`, without one window per run.
+
+    A run may hold a large share of all rows, so rows are numbered in
+    (run, order) with the distributed global index and cut into fixed-size
+    segments; every window is per (run, segment) — at most ``segment_rows``
+    rows — and what earlier segments contribute (the running best and the
+    last improving epoch) comes from a small per-(run, segment) table with a
+    prefix window over segments."""
+    from quarry.operators.ordering import with_global_index
+    from quarry.operators.small import broadcast_if_small
+    g = with_global_index(hist.select(run, *order, metric), [run, *order], "_g")
+    g = g.withColumn("_seg", F.floor(F.col("_g") / segment_rows).cast("long"))
+    first = g.groupBy(run).agg(F.min("_g").alias("_g0"))
+    g = g.join(broadcast_if_small(first), run).withColumn("epoch", F.col("_g") - F.col("_g0") + 1).drop("_g0")
+
+    seg = Window.partitionBy(run).orderBy("_seg").rowsBetween(Window.unboundedPreceding, -1)
+    local_prev = Window.partitionBy(run, "_seg").orderBy("_g").rowsBetween(Window.unboundedPreceding, -1)
+    local_cur = Window.partitionBy(run, "_seg").orderBy("_g").rowsBetween(Window.unboundedPreceding, 0)
+
+    smax = g.groupBy(run, "_seg").agg(F.max(metric).alias("_smax"))
+    carry = smax.select(run, "_seg", F.max("_smax").over(seg).alias("_carry"))
+    h = g.join(broadcast_if_small(carry), [run, "_seg"])
+    prev = F.greatest(F.lit(initial_best), F.coalesce(F.col("_carry"), F.lit(initial_best)),
+                      F.coalesce(F.max(metric).over(local_prev), F.lit(initial_best)))
+    h = h.withColumn("_prev", prev).withColumn("improved", F.col(metric) > F.col("_prev"))
+    h = h.withColumn("best_so_far", F.greatest(F.col("_prev"), F.col(metric)))
+    h = h.withColumn("_llast", F.max(F.when(F.col("improved"), F.col("epoch"))).over(local_cur))
+    slast = h.groupBy(run, "_seg").agg(F.max(F.when(F.col("improved"), F.col("epoch"))).alias("_sl"))
+    lcarry = slast.select(run, "_seg", F.max("_sl").over(seg).alias("_lc"))
+    h = h.join(broadcast_if_small(lcarry), [run, "_seg"])
+    last = F.coalesce(F.col("_llast"), F.col("_lc"), F.lit(0))
+    h = h.withColumn("stale", (F.col("epoch") - last).cast("int"))
+    stop = h.groupBy(run).agg(F.min(F.when(F.col("stale") >= patience, F.col("epoch"))).alias("_fs"))
+    h = h.join(broadcast_if_small(stop), run)
+    return (h.withColumn("stop", F.coalesce(F.col("epoch") == F.col("_fs"), F.lit(False)))
+            .drop("_g", "_seg", "_carry", "_prev", "_llast", "_lc", "_fs"))

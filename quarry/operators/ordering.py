@@ -63,7 +63,7 @@ def with_global_index(df: DataFrame, order_cols: Sequence[str], name: str = "idx
 
 
 def select_ranks(df: DataFrame, value: str, targets: list[tuple], group_cols: Sequence[str] = (),
-                 tiebreak: Sequence[str] = ()) -> DataFrame:
+                 tiebreak: Sequence[str] = (), bounds: dict | None = None) -> DataFrame:
     """Rows at given 0-based ranks of ``value`` (then ``tiebreak``) per group.
 
     ``targets`` is a list of ``(group values..., rank)`` tuples. Returns a
@@ -78,7 +78,9 @@ def select_ranks(df: DataFrame, value: str, targets: list[tuple], group_cols: Se
     base = df.select(*gcols, value, *tiebreak).filter(F.col(value).isNotNull())
     vtype = base.schema[value].dataType
     # state: tid -> dict(group, rank, lo, hi, below, n_cand, done, answer)
-    if gcols:
+    if bounds is not None:
+        pass
+    elif gcols:
         bounds = {tuple(r[c] for c in gcols): r for r in collect_small(
             base.groupBy(*gcols).agg(F.min(value).alias("lo"), F.max(value).alias("hi"), F.count("*").alias("n")),
             max_rows=_MAX_TARGETS, what="group bounds")}
@@ -142,6 +144,8 @@ def select_ranks(df: DataFrame, value: str, targets: list[tuple], group_cols: Se
                     if h["c"] < total:
                         progressed = True
                     s["lo"], s["hi"], s["below"] = h["mn"], h["mx"], s["below"] + acc
+                    if h["c"] <= _FINAL_ROWS or h["mn"] == h["mx"]:
+                        s["final"] = True  # the bucket is known to be small: no extra scan
                     break
                 acc += h["c"]
         if all(s.get("final") for _, s in active) or not progressed:
@@ -166,11 +170,10 @@ def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float], group_col
     ``(group..., prob, quantile)``; equal to ``percentile`` / ``quantile_cont``."""
     gcols = list(group_cols)
     base = df.select(*gcols, F.col(value).cast("double").alias("_v")).filter(F.col("_v").isNotNull())
-    if gcols:
-        counts = collect_small(base.groupBy(*gcols).count(), max_rows=_MAX_TARGETS, what="group counts")
-        groups = [(tuple(r[c] for c in gcols), r["count"]) for r in counts]
-    else:
-        groups = [((), base.count())]
+    stats = collect_small(base.groupBy(*gcols).agg(F.min("_v").alias("lo"), F.max("_v").alias("hi"),
+                                                   F.count("*").alias("n")), max_rows=_MAX_TARGETS, what="group bounds")
+    bounds = {tuple(r[c] for c in gcols): r for r in stats}
+    groups = [(g, r["n"]) for g, r in bounds.items()]
     targets, plan = set(), []
     for g, n in groups:
         if n == 0:
@@ -186,7 +189,7 @@ def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float], group_col
         schema = T.StructType([base.schema[c] for c in gcols] + [T.StructField("prob", T.DoubleType()),
                                                                   T.StructField("quantile", T.DoubleType())])
         return spark.createDataFrame([], schema)
-    picked = select_ranks(base, "_v", sorted(targets), gcols)
+    picked = select_ranks(base, "_v", sorted(targets), gcols, bounds=bounds)
     pschema = T.StructType([base.schema[c] for c in gcols] + [
         T.StructField("prob", T.DoubleType()), T.StructField("_lo", T.LongType()),
         T.StructField("_hi", T.LongType()), T.StructField("_frac", T.DoubleType())])

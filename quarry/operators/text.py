@@ -108,6 +108,14 @@ def vocab_size(df: DataFrame, tokens: Column) -> int:
     return df.select(F.explode(F.array_distinct(tokens)).alias("t")).distinct().count()
 
 
+def vocab_size_from_counts(counts: DataFrame, df: DataFrame, tokens: Column) -> int:
+    """Distinct tokens = symbols of the bigram counts plus those of one-token
+    rows (the only tokens that appear in no bigram) — no second corpus scan."""
+    sym = counts.select(F.col("a").alias("t")).union(counts.select(F.col("b").alias("t")))
+    single = df.select(tokens.alias("_t")).filter(F.size("_t") == 1).select(F.element_at("_t", 1).alias("t"))
+    return sym.union(single).distinct().count()
+
+
 def bigram_model_from_counts(counts: DataFrame, V: int) -> DataFrame:
     """(a, b, n, p): add-one smoothed P(b | a) = (n_ab + 1) / (n_a + V) for
     every seen bigram (unseen bigrams: 1 / (n_a + V))."""
@@ -121,7 +129,8 @@ def bigram_model(df: DataFrame, tokens: Column, key: str | None = None) -> DataF
     if key is None:
         df = df.withColumn("_k", F.monotonically_increasing_id())
         key = "_k"
-    return bigram_model_from_counts(bigram_counts(df, key, tokens), vocab_size(df, tokens))
+    counts = bigram_counts(df, key, tokens)
+    return bigram_model_from_counts(counts, vocab_size_from_counts(counts, df, tokens))
 
 
 def bpe_learn(word_counts: DataFrame, n_merges: int, word: str = "word", count: str = "n",

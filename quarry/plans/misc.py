@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from quarry.functions import vec as V
 from quarry.operators import centroid as C
-from quarry.operators.history import best_so_far
 from quarry.plans.common import SQL_EMB, emb, tbl
 from quarry.plans.registry import register
 
@@ -24,10 +23,9 @@ SELECT run, epoch, round(value, {R}) AS value, improved, round(best_so_far, {R})
 def q_win_best_so_far(spark, sf):
     """Early-stopping table: every user's events in time order are the
     epochs of one run, the event value its validation metric (patience 3)."""
-    ev = tbl(spark, sf, "events")
-    h = ev.select(F.col("user_id").alias("run"),
-                  F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")).alias("epoch"), "value")
-    b = best_so_far(h, "run", "epoch", "value", patience=3)
+    from quarry.operators.history import best_so_far_segmented
+    ev = tbl(spark, sf, "events").select(F.col("user_id").alias("run"), "ts", "event_id", "value")
+    b = best_so_far_segmented(ev, "run", ["ts", "event_id"], "value", patience=3)
     return b.select("run", F.col("epoch").cast("long").alias("epoch"), F.round("value", R).alias("value"), "improved",
                     F.round("best_so_far", R).alias("best_so_far"), "stale", "stop")
 

@@ -64,7 +64,7 @@ def q_str_vocab(spark, sf):
 def _encoded(spark, sf):
     c = tbl(spark, sf, "conversations").select("conv_id", "turn", "text")
     m = T.vocab_map(T.vocabulary(c, TX.chars("text")))
-    labels = F.transform(TX.chars("text"), TX.char_class)
+    labels = TX.chars(TX.char_classes("text"))
     lv = T.vocab_map(T.vocabulary(c.select(labels.alias("l")), F.col("l"), pad=None))
     return c.select("conv_id", "turn", T.encode(TX.chars("text"), m).alias("ids"),
                     T.encode(labels, lv).alias("labs"))
@@ -205,7 +205,7 @@ def q_mdl_ngram_lm(spark, sf):
     vocabulary, and the log-likelihood of every document."""
     d = tbl(spark, sf, "documents").select("doc_id", TX.chars("text").alias("t"))
     counts = T.bigram_counts(d, "doc_id", F.col("t"))
-    model = T.bigram_model_from_counts(counts, T.vocab_size(d, F.col("t"))).select("a", "b", "p")
+    model = T.bigram_model_from_counts(counts, T.vocab_size_from_counts(counts, d, F.col("t"))).select("a", "b", "p")
     j = counts.join(broadcast_if_small(model), ["a", "b"])
     return j.groupBy("doc_id").agg(F.sum("n").alias("n_bigrams"), F.round(F.sum(F.col("n") * F.log("p")), 4).alias("loglik"))
 

@@ -123,3 +123,19 @@ def test_empty_input(spark):
     e = spark.createDataFrame([], "label int, pred int")
     assert M.accuracy(e).first()["n"] == 0
     assert M.confusion(e).count() == 0
+
+
+def test_segmented_history_equals_window_version(spark):
+    from quarry.operators.history import best_so_far, best_so_far_segmented
+    rng = np.random.default_rng(11)
+    runs = np.concatenate([np.zeros(300, int), rng.integers(1, 6, 100)])  # run 0 holds 3/4 of the rows
+    vals = np.round(rng.normal(size=len(runs)), 2)
+    pdf = [(int(r), int(i), float(v)) for i, (r, v) in enumerate(zip(runs, vals))]
+    h = spark.createDataFrame(pdf, "run int, t long, f1 double")
+    seg = best_so_far_segmented(h, "run", ["t"], "f1", segment_rows=37)  # many segments per run
+    from pyspark.sql import Window
+    ref = best_so_far(h.withColumn("epoch", F.row_number().over(Window.partitionBy("run").orderBy("t"))), "run", "epoch", "f1")
+    cols = ["run", "epoch", "improved", "best_so_far", "stale", "stop"]
+    a = sorted(tuple(r) for r in seg.select(*cols).collect())
+    b = sorted(tuple(r) for r in ref.select(*cols).collect())
+    assert a == b
