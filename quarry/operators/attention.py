@@ -19,7 +19,8 @@ from quarry.functions import vec as V
 
 
 def attention_weights(df: DataFrame, seq: str = "seq", pos: str = "pos", x: str = "x",
-                      causal: bool = False, key_mask: str | None = None, scale: float | None = None) -> DataFrame:
+                      causal: bool = False, key_mask: str | None = None, scale: float | None = None,
+                      keep_values: bool = False) -> DataFrame:
     """(seq, q_pos, k_pos, weight) with weight = softmax_k(q·k / sqrt(d)).
 
     ``key_mask``: boolean column, True = padding; masked keys get no weight
@@ -39,18 +40,22 @@ def attention_weights(df: DataFrame, seq: str = "seq", pos: str = "pos", x: str
     w = Window.partitionBy("_s", "q_pos")
     e = F.exp(F.col("_sc") - F.max("_sc").over(w))
     return s.withColumn("weight", e / F.sum(e).over(w)).select(
-        F.col("_s").alias(seq), "q_pos", "k_pos", "weight")
+        F.col("_s").alias(seq), "q_pos", "k_pos", "weight", *(["_k"] if keep_values else []))
 
 
 def attend(df: DataFrame, seq: str = "seq", pos: str = "pos", x: str = "x", causal: bool = False,
            key_mask: str | None = None) -> DataFrame:
-    """(seq, q_pos, out array<double>) = Σ_k weight · v_k (V = the same rows)."""
-    w = attention_weights(df, seq, pos, x, causal, key_mask)
-    v = df.select(F.col(seq).alias(seq), F.col(pos).alias("k_pos"), F.posexplode(x).alias("i", "v"))
-    acc = (w.join(v, [seq, "k_pos"]).groupBy(seq, "q_pos", "i")
-           .agg(F.sum(F.col("weight") * F.col("v")).alias("o")))
-    return (acc.groupBy(seq, "q_pos").agg(F.array_sort(F.collect_list(F.struct("i", "o"))).alias("_o"))
-            .select(seq, "q_pos", F.transform("_o", lambda t: t["o"]).alias("out")))
+    """(seq, q_pos, out array<double>) = Σ_k weight · v_k (V = the same rows).
+
+    The key vector rides along each pair, so the weighted sum is one
+    aggregate over the (seq, q_pos) partitioning the softmax window already
+    created — no second scan, join or shuffle for the values."""
+    w = attention_weights(df, seq, pos, x, causal, key_mask, keep_values=True)
+    d = F.size(F.col("_p")[0]["_k"])
+    acc = w.groupBy(seq, "q_pos").agg(F.collect_list(F.struct("weight", "_k")).alias("_p"))
+    out = F.aggregate("_p", F.array_repeat(F.lit(0.0), d),
+                      lambda a, t: F.zip_with(a, t["_k"], lambda u, v: u + t["weight"] * v))
+    return acc.select(seq, "q_pos", out.alias("out"))
 
 
 def mean_pool(df: DataFrame, group: str, x: str = "x") -> DataFrame:

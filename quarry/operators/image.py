@@ -13,13 +13,13 @@ from pyspark.sql import functions as F
 def pixels(df: DataFrame, img: str, vec: str, width: int) -> DataFrame:
     """Row-major vector -> (img, r, c, v)."""
     p = df.select(F.col(img).alias("img"), F.posexplode(vec).alias("i", "v"))
-    return p.select("img", (F.col("i") / width).cast("int").alias("r"), (F.col("i") % width).alias("c"), "v")
+    return p.select("img", F.expr(f"i div {width}").cast("int").alias("r"), (F.col("i") % width).alias("c"), "v")
 
 
 def pool(px: DataFrame, size: int = 2, how: str = "avg") -> DataFrame:
     """size x size, stride = size pooling (avg or max)."""
     agg = {"avg": F.avg, "max": F.max}[how]
-    return (px.groupBy("img", (F.col("r") / size).cast("int").alias("r"), (F.col("c") / size).cast("int").alias("c"))
+    return (px.groupBy("img", F.expr(f"r div {size}").cast("int").alias("r"), F.expr(f"c div {size}").cast("int").alias("c"))
             .agg(agg("v").alias("v")))
 
 

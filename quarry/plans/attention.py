@@ -17,7 +17,7 @@ BLOCK = 10
 
 def _seqs(spark, sf):
     e = tbl(spark, sf, "embeddings")
-    return e.select((F.col("vec_id") / BLOCK).cast("long").alias("seq"), (F.col("vec_id") % BLOCK).cast("long").alias("pos"),
+    return e.select(F.expr(f"vec_id div {BLOCK}").alias("seq"), (F.col("vec_id") % BLOCK).cast("long").alias("pos"),
                     F.col("embedding").cast("array<double>").alias("x"), (F.col("label") == 0).alias("pad"))
 
 

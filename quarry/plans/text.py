@@ -100,7 +100,7 @@ pad AS (SELECT conv_id, turn, batch,
 
 def _padded(spark, sf):
     e = with_global_index(_encoded(spark, sf), ["conv_id", "turn"], "_i")
-    e = e.withColumn("batch", F.floor(F.col("_i") / 4).cast("long")).drop("_i")
+    e = e.withColumn("batch", F.expr("_i div 4")).drop("_i")
     return T.pad_batch(e, "ids", "labs", "batch")
 
 
@@ -178,7 +178,7 @@ def q_join_embedding_lookup(spark, sf):
     sequences carry labels for the inner 10 positions only."""
     from quarry.operators.sequence import align_embeddings
     e = tbl(spark, sf, "embeddings").select(
-        (F.col("vec_id") / 12).cast("long").alias("seq"), (F.col("vec_id") % 12).cast("long").alias("pos"),
+        F.expr("vec_id div 12").alias("seq"), (F.col("vec_id") % 12).cast("long").alias("pos"),
         F.col("embedding").cast("array<double>").alias("x"), "label")
     keep = (F.col("seq") % 2 == 1) | ((F.col("pos") >= 1) & (F.col("pos") <= 10))
     labels = (e.filter(keep).groupBy("seq")

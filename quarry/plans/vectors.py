@@ -125,7 +125,7 @@ def q_vec_batchnorm(spark, sf):
     (distributed global index), per-batch mean/population variance by a
     grouped aggregate joined back."""
     o = tbl(spark, sf, "orders").select("o_orderkey", "o_totalprice")
-    o = with_global_index(o, ["o_orderkey"], "idx").withColumn("batch", F.floor(F.col("idx") / 512).cast("long"))
+    o = with_global_index(o, ["o_orderkey"], "idx").withColumn("batch", F.expr("idx div 512"))
     st = o.groupBy("batch").agg(F.avg("o_totalprice").alias("mu"), F.var_pop("o_totalprice").alias("var"))
     return o.join(st, "batch").select("o_orderkey", "batch",
                                       F.round((F.col("o_totalprice") - F.col("mu")) / F.sqrt(F.col("var") + 1e-5), R).alias("z"))
@@ -135,7 +135,7 @@ def q_vec_batchnorm(spark, sf):
   (row_number() OVER (ORDER BY o_orderkey) - 1) % 64 AS pos_in_batch FROM orders""")
 def q_win_batch_id(spark, sf):
     o = with_global_index(tbl(spark, sf, "orders").select("o_orderkey"), ["o_orderkey"], "idx")
-    return o.select("o_orderkey", F.floor(F.col("idx") / 64).cast("long").alias("batch"),
+    return o.select("o_orderkey", F.expr("idx div 64").alias("batch"),
                     (F.col("idx") % 64).cast("long").alias("pos_in_batch"))
 
 
