@@ -207,7 +207,7 @@ def q_set_distinct_seqs(spark, sf):
 
 @register("srt_by_length", """SELECT doc_id, length(text) AS len, row_number() OVER (ORDER BY length(text), doc_id) - 1 AS rank FROM documents""")
 def q_srt_by_length(spark, sf):
-    d = tbl(spark, sf, "documents").select("doc_id", F.length("text").alias("len"))
+    d = tbl(spark, sf, "documents").select("doc_id", F.length("text").cast("long").alias("len"))
     return with_global_index(d, ["len", "doc_id"], "rank")
 
 
@@ -235,7 +235,7 @@ def q_src_csv(spark, sf):
     return read_csv_labelled(spark, path, PART_SCHEMA)
 
 
-@register("src_split_dataset", f"""SELECT {SQL_DOC_SPLIT} AS split, count(*) AS n_docs, sum(length(text)) AS n_chars FROM documents GROUP BY 1""")
+@register("src_split_dataset", f"""SELECT {SQL_DOC_SPLIT} AS split, count(*) AS n_docs, sum(length(text))::BIGINT AS n_chars FROM documents GROUP BY 1""")
 def q_src_split_dataset(spark, sf):
     """Named splits of a dataset (train/valid/test) and their sizes."""
     a, b, c = _doc_splits(spark, sf)

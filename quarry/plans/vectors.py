@@ -261,7 +261,7 @@ def q_prj_poly(spark, sf):
     generated code does not grow with the number of terms."""
     from quarry.operators.prep import poly2
     e = emb(spark, sf).select("vec_id", poly2("x").alias("poly"))
-    return e.select("vec_id", F.size("poly").alias("n_terms"), ra("poly").alias("poly"))
+    return e.select("vec_id", F.size("poly").cast("long").alias("n_terms"), ra("poly").alias("poly"))
 
 
 @register("prj_exp_feature", f"SELECT l_orderkey, l_linenumber, round(exp(l_discount), {R}) AS exp_discount FROM lineitem")
