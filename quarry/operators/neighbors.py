@@ -121,25 +121,94 @@ def knn_regress(nn: DataFrame, q_id: str, target: str) -> DataFrame:
     return nn.groupBy(q_id).agg(F.avg(target).alias("pred"))
 
 
-def knn_approx(queries: DataFrame, ref: DataFrame, k: int, q_id: str = "qid", r_id: str = "rid",
-               features: str = "x", bucket_length: float = 1.0, num_tables: int = 4, threshold: float = 1.5,
-               seed: int = 42) -> DataFrame:
-    """LSH candidates (random projections, Euclidean), re-ranked exactly;
-    every query that gets fewer than k candidates is answered by the exact
-    tiled search instead, so nobody is left with a short list."""
-    from pyspark.ml.feature import BucketedRandomProjectionLSH
-    from pyspark.ml.functions import array_to_vector
-    qv = queries.select(F.col(q_id).alias("_qid"), array_to_vector(F.col(features).cast("array<double>")).alias("v"))
-    rv = ref.select(F.col(r_id).alias("_rid"), array_to_vector(F.col(features).cast("array<double>")).alias("v"))
-    lsh = BucketedRandomProjectionLSH(inputCol="v", outputCol="h", bucketLength=bucket_length,
-                                      numHashTables=num_tables, seed=seed).fit(rv)
-    pairs = lsh.approxSimilarityJoin(qv, rv, threshold, distCol="dist").select(
-        F.col("datasetA._qid").alias("_qid"), F.col("datasetB._rid").alias("_rid"), "dist")
+def _block_topk_fn(k: int, metric: str):
+    def block(qp: pd.DataFrame, rp: pd.DataFrame) -> pd.DataFrame:
+        if len(qp) == 0 or len(rp) == 0:
+            return pd.DataFrame({"_qid": pd.Series([], dtype="int64"), "_rid": pd.Series([], dtype="int64"),
+                                 "dist": pd.Series([], dtype=float)})
+        Q = np.stack(qp["_x"].to_numpy())
+        Rm = np.stack(rp["_y"].to_numpy())
+        qid, rid = qp["_qid"].to_numpy(), rp["_rid"].to_numpy()
+        D = _pair_block(Q, Rm, metric)
+        m = min(D.shape[1], k + 8)
+        part = np.argpartition(D, m - 1, axis=1)[:, :m] if m < D.shape[1] else np.tile(np.arange(D.shape[1]), (len(qid), 1))
+        qi = np.repeat(np.arange(len(qid)), part.shape[1])
+        ri = part.ravel()
+        out = pd.DataFrame({"_q": qi, "_qid": qid[qi], "_rid": rid[ri], "dist": _exact_rows(Q[qi], Rm[ri], metric)})
+        out = out.sort_values(["_q", "dist", "_rid"]).groupby("_q", sort=False).head(min(k, D.shape[1]))
+        return out[["_qid", "_rid", "dist"]]
+    return block
+
+
+def knn_indexed(queries: DataFrame, ref: DataFrame, k: int, q_id: str = "qid", r_id: str = "rid",
+                features: str = "x", n_clusters: int = 16, nprobe: int = 3, tile_rows: int = TILE_ROWS,
+                seed: int = 42) -> DataFrame:
+    """Exact Euclidean kNN with a clustered index (inverted-file search).
+
+    The reference side is clustered (seeded centers, two Lloyd rounds); each
+    cluster is cut into hash tiles of at most ``tile_rows`` rows, so a
+    cluster holding a third of the data is just many tiles. A query is
+    compared only with the tiles of its ``nprobe`` nearest clusters. Its
+    answer is then *certified*: every unprobed cluster C is at distance at
+    least |q - c_C| - r_C (triangle inequality, r_C = cluster radius); if the
+    k-th distance found is within that bound the answer is exact. Queries
+    that cannot be certified are answered by the full tiled search, so the
+    result always equals exact kNN while most work is pruned on clustered
+    data."""
+    from quarry.functions import vec as V
+    from quarry.functions.hashing import hash_u60
+    from quarry.operators.cluster import assign, kmeans_step
+    from quarry.operators.small import collect_small
+
+    r = ref.select(F.col(r_id).alias("_rid"), F.col(features).cast("array<double>").alias("_y"))
+    init = collect_small(r.withColumn("_h", hash_u60(seed, "_rid")).orderBy("_h", "_rid").limit(n_clusters)
+                         .select("_y"), n_clusters, "initial centers")
+    centers = [list(x["_y"]) for x in init]
+    ids = list(range(len(centers)))
+    for _ in range(2):
+        st = collect_small(kmeans_step(r.withColumnRenamed("_y", "x"), centers, ids), n_clusters, "centers")
+        by = {x["cluster"]: list(x["centroid"]) for x in st}
+        centers = [by.get(i, centers[i]) for i in ids]
+    ra = assign(r.withColumnRenamed("_y", "x"), centers, ids, "x", "_c").withColumnRenamed("x", "_y")
+    pos = F.col("_c") + 1
+    ra = ra.withColumn("_d", V.euclid("_y", F.element_at(V.lit_matrix(centers), pos)))
+    stats = {x["_c"]: (x["n"], x["rad"]) for x in collect_small(
+        ra.groupBy("_c").agg(F.count("*").alias("n"), F.max("_d").alias("rad")), n_clusters, "cluster stats")}
+    sizes = [stats.get(i, (0, 0.0))[0] for i in ids]
+    radii = [stats.get(i, (0, 0.0))[1] for i in ids]
+    ctiles = [_tiles(n, tile_rows) for n in sizes]
+    nq = queries.count()
+    tq = _tiles(nq, tile_rows)
+    probe = min(nprobe, len(ids))
+
+    q = queries.select(F.col(q_id).alias("_qid"), F.col(features).cast("array<double>").alias("_x"))
+    cd = F.transform(V.lit_matrix(centers), lambda c: V.euclid("_x", c))
+    q = q.withColumn("_cd", cd)
+    # nprobe nearest clusters (ties -> lower id)
+    order = F.array_sort(F.transform("_cd", lambda d, i: F.struct(d.alias("d"), i.alias("i"))))
+    q = q.withColumn("_probe", F.transform(F.slice(order, 1, probe), lambda t: t["i"]))
+    tiles_lit = V.lit_ints(ctiles)
+    qs = (q.select("_qid", "_x", F.explode("_probe").alias("_c"))
+          .withColumn("_ct", F.explode(F.sequence(F.lit(0), F.element_at(tiles_lit, F.col("_c") + 1) - 1)))
+          .withColumn("_qt", F.pmod(F.xxhash64("_qid"), F.lit(tq))))
+    rs = (ra.select("_rid", "_y", "_c")
+          .withColumn("_ct", F.pmod(F.xxhash64("_rid"), F.element_at(tiles_lit, F.col("_c") + 1)))
+          .withColumn("_qt", F.explode(F.sequence(F.lit(0), F.lit(tq - 1)))))
+    schema = T.StructType([T.StructField("_qid", q.schema["_qid"].dataType),
+                           T.StructField("_rid", r.schema["_rid"].dataType), T.StructField("dist", T.DoubleType())])
+    cand = (qs.groupBy("_c", "_ct", "_qt").cogroup(rs.groupBy("_c", "_ct", "_qt"))
+            .applyInPandas(_block_topk_fn(k, "euclid"), schema))
     w = Window.partitionBy("_qid").orderBy("dist", "_rid")
-    top = pairs.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
-    full = top.groupBy("_qid").agg(F.count("*").alias("_n")).filter(F.col("_n") >= k).select("_qid")
-    good = top.join(full, "_qid")
-    short = queries.join(full.withColumnRenamed("_qid", q_id), q_id, "left_anti")
-    exact = knn(short, ref.select(r_id, features), k, q_id, r_id, features)
+    top = cand.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    kth = top.groupBy("_qid").agg(F.count("*").alias("_n"), F.max("dist").alias("_dk"))
+    # certification bound over the clusters that were not probed
+    lb = F.transform("_cd", lambda d, i: F.when(F.array_contains("_probe", i), F.lit(None))
+                     .otherwise(d - F.element_at(V.lit_vector(radii), i + 1)))
+    bound = q.select("_qid", F.array_min(F.filter(lb, lambda v: v.isNotNull())).alias("_lb"))
+    cert = kth.join(bound, "_qid").filter(
+        (F.col("_n") >= F.lit(min(k, sum(sizes)))) & (F.col("_lb").isNull() | (F.col("_dk") <= F.col("_lb"))))
+    good = top.join(cert.select("_qid"), "_qid")
+    rest = queries.join(cert.select(F.col("_qid").alias(q_id)), q_id, "left_anti")
+    exact = knn(rest, ref.select(r_id, features), k, q_id, r_id, features, tile_rows=tile_rows)
     return (good.select(F.col("_qid").alias(q_id), F.col("_rid").alias(r_id), "dist", F.col("rank").cast("int").alias("rank"))
             .unionByName(exact.select(q_id, r_id, "dist", "rank")))

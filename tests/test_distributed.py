@@ -122,3 +122,20 @@ def test_bpe_matches_plain_python(spark):
     assert merges == exp
     got = {r["word"]: r["s"] for r in df.select("word", bpe_apply(F.col("word"), merges).alias("s")).collect()}
     assert got == seqs
+
+
+def test_indexed_knn_is_exact_and_prunes(spark):
+    from quarry.operators.neighbors import knn_indexed
+    rng = np.random.default_rng(4)
+    centers = rng.normal(0, 10, (6, 4))
+    X = np.vstack([c + rng.normal(0, 0.5, (60, 4)) for c in centers])  # clustered data
+    idx = rng.permutation(len(X))
+    qi, ri = idx[:50], idx[50:]
+    q = spark.createDataFrame([(int(i), X[i].tolist()) for i in qi], "qid long, x array<double>")
+    r = spark.createDataFrame([(int(i), X[i].tolist()) for i in ri], "rid long, x array<double>")
+    got = knn_indexed(q, r, 5, n_clusters=6, nprobe=2, tile_rows=32).collect()
+    got = {(g["qid"], g["rank"]): g["rid"] for g in got}
+    for i in qi:
+        d = np.sqrt(((X[ri] - X[i]) ** 2).sum(1))
+        order = ri[np.lexsort((ri, d))][:5]
+        assert [got[(int(i), k + 1)] for k in range(5)] == [int(v) for v in order]
