@@ -34,8 +34,11 @@ def confusion(df: DataFrame, y: str = "label", p: str = "pred") -> DataFrame:
         counts.select(F.col("actual").alias("c")).union(counts.select(F.col("predicted").alias("c"))).distinct(),
         MAX_CLASSES, "class list")})
     dtype = df.schema[y].dataType
-    grid = spark.createDataFrame([(a, b) for a in classes for b in classes],
-                                 T.StructType([T.StructField("actual", dtype), T.StructField("predicted", dtype)]))
+    # K x K cells generated on the executors from the (checked) class list
+    import json
+    lit = F.from_json(F.lit(json.dumps(classes)), T.ArrayType(dtype)) if classes else F.array().cast(T.ArrayType(dtype))
+    base = spark.range(1).select(F.explode(lit).alias("actual"))
+    grid = base.select("actual", F.explode(lit).alias("predicted"))
     return (grid.join(counts, ["actual", "predicted"], "left")
             .select("actual", "predicted", F.coalesce("n", F.lit(0)).cast("long").alias("n")))
 
