@@ -175,7 +175,8 @@ def kmeans_sweep(df: DataFrame, ks, seed: int = 42, x: str = "x") -> DataFrame:
             rows.append((int(k), float(m.summary.trainingCost), float(s)))
     finally:
         v.unpersist()
-    return df.sparkSession.createDataFrame(rows, "k int, inertia double, silhouette double")
+    from quarry.operators.small import local_frame
+    return local_frame(df.sparkSession, rows, "k int, inertia double, silhouette double")
 
 
 def pipeline_regression(train: DataFrame, cols: Sequence[str], label: str):

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarry.operators.small import collect_small
+from quarry.operators.small import collect_small, local_frame
 from quarry.functions.vec import lit_ints
 from quarry.session import cut_lineage
 
@@ -102,7 +102,7 @@ def select_ranks(df: DataFrame, value: str, targets: list[tuple], group_cols: Se
         fields += [T.StructField("_tid", T.IntegerType()), T.StructField("_lo", vtype), T.StructField("_hi", vtype),
                    T.StructField("_below", T.LongType()), T.StructField("_rank", T.LongType())]
         rows = [tuple(s["g"]) + (i, s["lo"], s["hi"], s["below"], s["rank"]) for i, s in items]
-        return spark.createDataFrame(rows, T.StructType(fields))
+        return local_frame(spark, rows, T.StructType(fields))
 
     def candidates(items):
         tf = target_frame(items)
@@ -162,7 +162,7 @@ def select_ranks(df: DataFrame, value: str, targets: list[tuple], group_cols: Se
 def _empty_result(spark, base, gcols, value, tiebreak):
     fields = [base.schema[c] for c in gcols] + [T.StructField("_rank", T.LongType())] + \
              [base.schema[value]] + [base.schema[c] for c in tiebreak]
-    return spark.createDataFrame([], T.StructType(fields))
+    return local_frame(spark, [], T.StructType(fields))
 
 
 def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float], group_cols: Sequence[str] = ()) -> DataFrame:
@@ -188,12 +188,12 @@ def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float], group_col
     if not plan:
         schema = T.StructType([base.schema[c] for c in gcols] + [T.StructField("prob", T.DoubleType()),
                                                                   T.StructField("quantile", T.DoubleType())])
-        return spark.createDataFrame([], schema)
+        return local_frame(spark, [], schema)
     picked = select_ranks(base, "_v", sorted(targets), gcols, bounds=bounds)
     pschema = T.StructType([base.schema[c] for c in gcols] + [
         T.StructField("prob", T.DoubleType()), T.StructField("_lo", T.LongType()),
         T.StructField("_hi", T.LongType()), T.StructField("_frac", T.DoubleType())])
-    pf = spark.createDataFrame(plan, pschema)
+    pf = local_frame(spark, plan, pschema)
     a = picked.select(*gcols, F.col("_rank").alias("_lo"), F.col("_v").alias("_vlo"))
     b = picked.select(*gcols, F.col("_rank").alias("_hi"), F.col("_v").alias("_vhi"))
     out = (pf.join(a, on=gcols + ["_lo"]).join(b, on=gcols + ["_hi"])

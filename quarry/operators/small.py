@@ -38,3 +38,25 @@ def collect_small(df: DataFrame, max_rows: int = COLLECT_MAX_ROWS, what: str = "
     if len(rows) > max_rows:
         raise TooLargeError(f"{what} has more than {max_rows} rows; refusing to collect it")
     return rows
+
+
+def local_frame(spark, rows, schema) -> DataFrame:
+    """A small driver-side table (a fitted model, a plan of targets) as a
+    DataFrame built entirely in the JVM: one JSON literal, parsed once by
+    constant folding and exploded. Unlike ``createDataFrame(list)`` this
+    needs no Python RDD, so no Python worker starts for it."""
+    import json
+
+    from pyspark.sql import types as T
+
+    if isinstance(schema, str):
+        schema = T._parse_datatype_string(schema)
+    names = [f.name for f in schema.fields]
+
+    def clean(v):
+        # NaN / +-Infinity stay non-numeric JSON tokens (parsed back as such)
+        return v.item() if hasattr(v, "item") else v
+
+    recs = [dict(zip(names, (clean(v) for v in r))) for r in rows]
+    arr = F.from_json(F.lit(json.dumps(recs)), T.ArrayType(schema), {"allowNonNumericNumbers": "true"})
+    return spark.range(1).select(F.explode(arr).alias("_r")).select(*[F.col(f"_r.{n}").alias(n) for n in names])

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from quarry.functions import text as TX
 from quarry.functions.hashing import hash_unit
 from quarry.operators.ordering import with_global_index
-from quarry.operators.small import collect_small
+from quarry.operators.small import collect_small, local_frame
 from quarry.session import cut_lineage
 
 MAX_VOCAB_LITERAL = 200_000
@@ -38,12 +38,12 @@ def vocabulary(df: DataFrame, tokens: Column, pad: str | None = TX.PAD) -> DataF
     if len(small) <= MAX_VOCAB_LITERAL:
         # proven small: index on the driver (code-point order = UTF-8 byte order)
         toks = sorted(r["token"] for r in small)
-        v = spark.createDataFrame([(t, i + shift) for i, t in enumerate(toks)], "token string, idx long")
+        v = local_frame(spark, [(t, i + shift) for i, t in enumerate(toks)], "token string, idx long")
     else:
         v = with_global_index(d, ["token"], "idx").select("token", (F.col("idx") + shift).alias("idx"))
     if pad is None:
         return v
-    return spark.createDataFrame([(pad, 0)], "token string, idx long").unionByName(v)
+    return local_frame(spark, [(pad, 0)], "token string, idx long").unionByName(v)
 
 
 def vocab_map(vocab: DataFrame, key: str = "token", value: str = "idx") -> Column:

@@ -12,6 +12,7 @@ from quarry.operators import metrics as M
 from quarry.operators import models as MD
 from quarry.operators import prep as P
 from quarry.plans.common import SEED, emb, tbl
+from quarry.operators.small import local_frame
 from quarry.plans.registry import register
 
 R = 6
@@ -149,7 +150,7 @@ def q_mdl_token_probe(spark, sf):
         "split", F.col("label").cast("int").alias("label"), F.col("prediction").cast("int").alias("pred"))
     rows = pred.groupBy("split", "label", "pred").count().collect()  # K*K cells per split
     feats.unpersist()
-    counts = spark.createDataFrame(rows, "split string, label int, pred int, n long")
+    counts = local_frame(spark, rows, "split string, label int, pred int, n long")
     out = []
     for s in ("valid", "test"):
         ps = counts.filter(F.col("split") == s)

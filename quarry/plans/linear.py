@@ -14,6 +14,7 @@ from quarry.operators import prep as P
 from quarry.operators.ordering import with_global_index  # noqa: F401
 from quarry.plans.common import SEED, emb, tbl
 from quarry.plans.prep import _synth_sql
+from quarry.operators.small import local_frame
 from quarry.plans.registry import register
 
 R = 6
@@ -24,7 +25,7 @@ LASSO_ALPHAS = V.logspace(-3, 1, 9)
 
 def _coef_frame(spark, names, b, w):
     rows = [("intercept", float(b))] + [(n, float(c)) for n, c in zip(names, w)]
-    return spark.createDataFrame(rows, "term string, coef double").select("term", F.round("coef", R).alias("coef"))
+    return local_frame(spark, rows, "term string, coef double").select("term", F.round("coef", R).alias("coef"))
 
 
 @register("mdl_ols", f"""SELECT 'intercept' AS term, round(regr_intercept(l_extendedprice, l_quantity), {R}) AS coef FROM lineitem
@@ -81,7 +82,7 @@ def _fold_grams(spark, sf):
 
 
 def _path_frame(spark, path):
-    return spark.createDataFrame(path, "alpha double, cv_mse double").select(
+    return local_frame(spark, path, "alpha double, cv_mse double").select(
         F.round("alpha", R).alias("alpha"), F.round("cv_mse", 2).alias("cv_mse"))
 
 
@@ -119,7 +120,7 @@ def q_top_best_alpha(spark, sf):
                 "p_partkey", 5, SEED)
     grams = G.gram_matrices(G.gram(p, "x", "p_retailprice", by=["fold"]), "fold")
     a, mse = L.best_alpha(L.cv_path(grams, RIDGE_ALPHAS, L.ridge))
-    return spark.createDataFrame([(a, mse)], "alpha double, cv_mse double").select(
+    return local_frame(spark, [(a, mse)], "alpha double, cv_mse double").select(
         F.round("alpha", R).alias("alpha"), F.round("cv_mse", 2).alias("cv_mse"))
 
 
@@ -177,7 +178,7 @@ def q_agg_explained_var(spark, sf):
     """Share of variance of each of the first 10 components."""
     e, mu, cov, vals, vecs = _pca(spark, sf, 10)
     tot = float(np.trace(cov))
-    return spark.createDataFrame([(i + 1, float(v), float(v / tot)) for i, v in enumerate(vals)],
+    return local_frame(spark, [(i + 1, float(v), float(v / tot)) for i, v in enumerate(vals)],
                                  "component int, variance double, ratio double")
 
 

@@ -12,6 +12,7 @@ from quarry.operators import text as T
 from quarry.operators.ordering import with_global_index
 from quarry.operators.small import broadcast_if_small, collect_small
 from quarry.plans.common import SEED, tbl
+from quarry.operators.small import local_frame
 from quarry.plans.registry import register
 
 R = 6
@@ -229,5 +230,5 @@ def q_str_bpe(spark, sf):
     (rank, left, right, pair count)."""
     words = T.token_counts(tbl(spark, sf, "documents"), TX.words("text"))
     merges = T.bpe_learn(words.withColumnRenamed("token", "word"), 30)
-    return spark.createDataFrame([(i, a, b, c) for i, (a, b, c) in enumerate(merges)],
+    return local_frame(spark, [(i, a, b, c) for i, (a, b, c) in enumerate(merges)],
                                  "rank int, left string, right string, count long")
