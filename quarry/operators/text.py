@@ -60,6 +60,31 @@ def encode(tokens: Column, mapping: Column) -> Column:
     return F.transform(tokens, lambda t: F.element_at(mapping, t).cast("int"))
 
 
+MAX_MAP_LOOKUP = 4096  # a map literal is scanned linearly per lookup: only for small vocabularies
+
+
+def encode_frame(df: DataFrame, keys: Sequence[str], tokens: Column, vocab: DataFrame, out: str = "ids",
+                 max_literal: int = MAX_MAP_LOOKUP) -> DataFrame:
+    """Add ``out`` = vocabulary indices of ``tokens`` (unknown -> null).
+
+    Small vocabularies (checked) become a map literal and encoding is a
+    projection. Larger ones are joined: tokens exploded with positions,
+    hash-joined to the vocabulary (broadcast only when proven small), and
+    regrouped per row in position order — a row's tokens are one row's
+    worth of data, so the regroup is bounded by the row itself."""
+    from quarry.operators.small import broadcast_if_small, count_upto
+    if count_upto(vocab, max_literal) <= max_literal:
+        return df.withColumn(out, encode(tokens, vocab_map(vocab)))
+    keys = list(keys)
+    ex = df.select(*keys, F.posexplode(tokens).alias("_p", "_t"))
+    v = broadcast_if_small(vocab.select(F.col("token").alias("_t"), F.col("idx").cast("int").alias("_i")))
+    g = (ex.join(v, "_t", "left").groupBy(*keys)
+         .agg(F.array_sort(F.collect_list(F.struct("_p", "_i"))).alias("_s"))
+         .select(*keys, F.transform("_s", lambda t: t["_i"]).alias(out)))
+    j = df.join(g, keys, "left")
+    return j.withColumn(out, F.coalesce(F.col(out), F.array().cast("array<int>")))
+
+
 def pad_batch(df: DataFrame, ids: str, labels: str, batch: str, pad_idx: int = 0,
               ignore_index: int = TX.IGNORE_INDEX) -> DataFrame:
     """Pad ids with ``pad_idx`` and labels with ``ignore_index`` up to the

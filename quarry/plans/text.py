@@ -64,11 +64,12 @@ def q_str_vocab(spark, sf):
 
 def _encoded(spark, sf):
     c = tbl(spark, sf, "conversations").select("conv_id", "turn", "text")
-    m = T.vocab_map(T.vocabulary(c, TX.chars("text")))
+    vocab = T.vocabulary(c, TX.chars("text"))
     labels = TX.chars(TX.char_classes("text"))
-    lv = T.vocab_map(T.vocabulary(c.select(labels.alias("l")), F.col("l"), pad=None))
-    return c.select("conv_id", "turn", T.encode(TX.chars("text"), m).alias("ids"),
-                    T.encode(labels, lv).alias("labs"))
+    lv = T.vocabulary(c.select(labels.alias("l")), F.col("l"), pad=None)
+    e = T.encode_frame(c, ["conv_id", "turn"], TX.chars("text"), vocab, "ids")
+    e = T.encode_frame(e, ["conv_id", "turn"], labels, lv, "labs")
+    return e.select("conv_id", "turn", "ids", "labs")
 
 
 SQL_ENC = f"""WITH {SQL_VOCAB},

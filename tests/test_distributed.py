@@ -139,3 +139,13 @@ def test_indexed_knn_is_exact_and_prunes(spark):
         d = np.sqrt(((X[ri] - X[i]) ** 2).sum(1))
         order = ri[np.lexsort((ri, d))][:5]
         assert [got[(int(i), k + 1)] for k in range(5)] == [int(v) for v in order]
+
+
+def test_encode_large_vocabulary_path_equals_literal_path(spark):
+    from quarry.functions import text as TX
+    from quarry.operators import text as T
+    df = spark.createDataFrame([(1, "abcab"), (2, ""), (3, "zz a")], "id int, text string")
+    vocab = T.vocabulary(df, TX.chars("text"))
+    a = {r["id"]: r["ids"] for r in T.encode_frame(df, ["id"], TX.chars("text"), vocab).collect()}
+    b = {r["id"]: r["ids"] for r in T.encode_frame(df, ["id"], TX.chars("text"), vocab, max_literal=2).collect()}
+    assert a == b and a[2] == [] and len(a[1]) == 5
