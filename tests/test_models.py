@@ -139,3 +139,48 @@ def test_segmented_history_equals_window_version(spark):
     a = sorted(tuple(r) for r in seg.select(*cols).collect())
     b = sorted(tuple(r) for r in ref.select(*cols).collect())
     assert a == b
+
+
+def test_poly_beats_linear_on_quadratic_data(spark):
+    import __spark_entry__ as E
+    from tests.conftest import SF_SMALL
+    r = {x["model"]: x["mse"] for x in E.queries()["mdl_poly_regression"](spark, SF_SMALL).collect()}
+    assert r["poly2"] < r["linear"]
+    assert abs(r["poly2"] - 0.01) < 0.005  # noise variance 0.1^2
+
+
+def test_gram_ols_equals_spark_normal_solver(spark):
+    from pyspark.ml.functions import array_to_vector
+    from pyspark.ml.regression import LinearRegression
+    X, y, Gm = _data(spark, n=300, d=3, seed=9)
+    b, w = L.ols(Gm)
+    df = spark.createDataFrame([(X[i].tolist(), float(y[i])) for i in range(len(y))], "x array<double>, y double")
+    m = LinearRegression(featuresCol="f", labelCol="y", solver="normal", regParam=0.0).fit(
+        df.withColumn("f", array_to_vector("x")))
+    assert np.allclose([b, *w], [m.intercept, *m.coefficients.toArray()], atol=1e-8)
+
+
+def test_pca_matches_numpy_up_to_sign(spark):
+    rng = np.random.default_rng(12)
+    X = rng.normal(size=(200, 5)) @ rng.normal(size=(5, 5))
+    df = spark.createDataFrame([(x.tolist(),) for x in X], "x array<double>")
+    Gm = G.gram_matrix(G.gram(df, "x"))
+    n = Gm[0, 0]
+    mu = Gm[0, 1:] / n
+    cov = (Gm[1:, 1:] - n * np.outer(mu, mu)) / (n - 1)
+    vals, vecs = L.pca_from_cov(cov, 2)
+    ev, evec = np.linalg.eigh(np.cov(X.T))
+    order = np.argsort(ev)[::-1][:2]
+    assert np.allclose(vals, ev[order])
+    for j in range(2):
+        assert np.allclose(np.abs(vecs[:, j]), np.abs(evec[:, order[j]]), atol=1e-8)
+        assert vecs[np.argmax(np.abs(vecs[:, j])), j] > 0
+
+
+def test_knn_ties_break_on_id(spark):
+    from quarry.operators.neighbors import knn
+    q = spark.createDataFrame([(0, [0.0, 0.0])], "qid long, x array<double>")
+    r = spark.createDataFrame([(5, [1.0, 0.0]), (3, [0.0, 1.0]), (9, [-1.0, 0.0]), (1, [0.0, -1.0]), (7, [2.0, 0.0])],
+                              "rid long, x array<double>")
+    got = [x["rid"] for x in sorted(knn(q, r, 3, "qid", "rid").collect(), key=lambda x: x["rank"])]
+    assert got == [1, 3, 5]
