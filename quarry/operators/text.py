@@ -118,14 +118,15 @@ def bigrams(tokens: Column) -> Column:
                         F.slice(tokens, 2, F.greatest(n - 1, F.lit(0))).alias("b"))
 
 
-def bigram_counts(df: DataFrame, key: str, tokens: Column) -> DataFrame:
-    """(key, a, b, n): bigram counts per document. The one big explode of
-    the corpus happens here, followed by a partial aggregation; the result is
-    written to the shared checkpoint folder because model and scoring both
-    read it."""
-    t = df.select(key, tokens.alias("_t")).filter(F.size("_t") >= 2)
-    g = t.select(key, F.explode(bigrams(F.col("_t"))).alias("g")).select(key, "g.a", "g.b")
-    return cut_lineage(g.groupBy(key, "a", "b").agg(F.count("*").alias("n")))
+def bigram_counts(df: DataFrame, tokens: Column) -> DataFrame:
+    """(a, b, n): corpus bigram counts, plus (a, null) for one-token rows so
+    that the vocabulary can be read off the same table. The explode streams
+    inside the scan stage and the partial aggregation collapses it to at
+    most V² keys per partition before the shuffle."""
+    t = df.select(tokens.alias("_t")).filter(F.size("_t") >= 1)
+    single = F.array(F.struct(F.element_at("_t", 1).alias("a"), F.lit(None).cast("string").alias("b")))
+    g = t.select(F.explode(F.when(F.size("_t") == 1, single).otherwise(bigrams(F.col("_t")))).alias("g"))
+    return g.select("g.a", "g.b").groupBy("a", "b").agg(F.count("*").alias("n"))
 
 
 def vocab_size(df: DataFrame, tokens: Column) -> int:
@@ -133,29 +134,42 @@ def vocab_size(df: DataFrame, tokens: Column) -> int:
     return df.select(F.explode(F.array_distinct(tokens)).alias("t")).distinct().count()
 
 
-def vocab_size_from_counts(counts: DataFrame, df: DataFrame, tokens: Column) -> int:
-    """Distinct tokens = symbols of the bigram counts plus those of one-token
-    rows (the only tokens that appear in no bigram) — no second corpus scan."""
-    sym = counts.select(F.col("a").alias("t")).union(counts.select(F.col("b").alias("t")))
-    single = df.select(tokens.alias("_t")).filter(F.size("_t") == 1).select(F.element_at("_t", 1).alias("t"))
-    return sym.union(single).distinct().count()
+MAX_MODEL_ROWS = 4_000_000
 
 
-def bigram_model_from_counts(counts: DataFrame, V: int) -> DataFrame:
+def bigram_model(df: DataFrame, tokens: Column) -> DataFrame:
     """(a, b, n, p): add-one smoothed P(b | a) = (n_ab + 1) / (n_a + V) for
-    every seen bigram (unseen bigrams: 1 / (n_a + V))."""
-    c = counts.groupBy("a", "b").agg(F.sum("n").alias("n"))
-    na = c.groupBy("a").agg(F.sum("n").alias("na"))
-    return c.join(na, "a").select("a", "b", "n", ((F.col("n") + 1) / (F.col("na") + F.lit(V))).alias("p"))
-
-
-def bigram_model(df: DataFrame, tokens: Column, key: str | None = None) -> DataFrame:
-    """Convenience: counts + model over a table (key optional)."""
-    if key is None:
-        df = df.withColumn("_k", F.monotonically_increasing_id())
-        key = "_k"
-    counts = bigram_counts(df, key, tokens)
-    return bigram_model_from_counts(counts, vocab_size_from_counts(counts, df, tokens))
+    every seen bigram (unseen: 1 / (n_a + V)), V = distinct tokens. One pass
+    over the corpus; the model (at most V² rows) is collected once under a
+    size check and handed back as a JVM literal table, so later joins
+    broadcast it without recomputing it."""
+    from quarry.operators.small import count_upto, local_frame
+    counts = bigram_counts(df, tokens).persist()
+    try:
+        V = counts.select(F.col("a").alias("t")).union(counts.select(F.col("b").alias("t"))) \
+            .filter(F.col("t").isNotNull()).distinct().count()
+        pairs = counts.filter(F.col("b").isNotNull())
+        na = pairs.groupBy("a").agg(F.sum("n").alias("na"))
+        model = pairs.join(na, "a").select("a", "b", "n", ((F.col("n") + 1) / (F.col("na") + F.lit(V))).alias("p"))
+        if count_upto(model, MAX_MODEL_ROWS) <= MAX_MODEL_ROWS:
+            rows = [(r["a"], r["b"], r["n"], r["p"]) for r in model.collect()]
+            return local_frame(df.sparkSession, rows, "a string, b string, n long, p double")
+        from quarry.session import cut_lineage
+        return cut_lineage(model)
+    finally:
+        counts.unpersist()
+
+
+def bigram_loglik(df: DataFrame, key: str, tokens: Column, model: DataFrame) -> DataFrame:
+    """(key, n_bigrams, loglik) per row: bigrams exploded in the scan stage,
+    joined to the (size-checked, broadcast) model and summed per row — one
+    row's bigrams come from one input row, so the partial aggregation leaves
+    one row per document before the shuffle."""
+    from quarry.operators.small import broadcast_if_small
+    t = df.select(key, tokens.alias("_t")).filter(F.size("_t") >= 2)
+    g = t.select(key, F.explode(bigrams(F.col("_t"))).alias("g")).select(key, "g.a", "g.b")
+    j = g.join(broadcast_if_small(model.select("a", "b", "p"), MAX_MODEL_ROWS), ["a", "b"])
+    return j.groupBy(key).agg(F.count("*").alias("n_bigrams"), F.sum(F.log("p")).alias("loglik"))
 
 
 def bpe_learn(word_counts: DataFrame, n_merges: int, word: str = "word", count: str = "n",

@@ -101,8 +101,11 @@ pad AS (SELECT conv_id, turn, batch,
 
 
 def _padded(spark, sf):
-    e = with_global_index(_encoded(spark, sf), ["conv_id", "turn"], "_i")
-    e = e.withColumn("batch", F.expr("_i div 4")).drop("_i")
+    """Batches of 4 consecutive sequences in key order: the distributed index
+    is built on the keys alone (a narrow table) and joined back."""
+    e = _encoded(spark, sf)
+    keys = with_global_index(e.select("conv_id", "turn"), ["conv_id", "turn"], "_i")
+    e = e.join(keys.select("conv_id", "turn", F.expr("_i div 4").alias("batch")), ["conv_id", "turn"])
     return T.pad_batch(e, "ids", "labs", "batch")
 
 
@@ -206,10 +209,9 @@ def q_mdl_ngram_lm(spark, sf):
     """Character bigram model with add-one smoothing over the seen
     vocabulary, and the log-likelihood of every document."""
     d = tbl(spark, sf, "documents").select("doc_id", TX.chars("text").alias("t"))
-    counts = T.bigram_counts(d, "doc_id", F.col("t"))
-    model = T.bigram_model_from_counts(counts, T.vocab_size_from_counts(counts, d, F.col("t"))).select("a", "b", "p")
-    j = counts.join(broadcast_if_small(model), ["a", "b"])
-    return j.groupBy("doc_id").agg(F.sum("n").alias("n_bigrams"), F.round(F.sum(F.col("n") * F.log("p")), 4).alias("loglik"))
+    model = T.bigram_model(d, F.col("t"))
+    ll = T.bigram_loglik(d, "doc_id", F.col("t"), model)
+    return ll.select("doc_id", "n_bigrams", F.round("loglik", 4).alias("loglik"))
 
 
 @register("mdl_ngram_lm_topk", SQL_BIGRAM + f"""
@@ -219,7 +221,7 @@ def q_mdl_ngram_lm_topk(spark, sf):
     """Greedy/top-3 next-character table from the same model."""
     from pyspark.sql import Window
     d = tbl(spark, sf, "documents").select("doc_id", TX.chars("text").alias("t"))
-    m = T.bigram_model(d, F.col("t"), key="doc_id")
+    m = T.bigram_model(d, F.col("t"))
     w = Window.partitionBy("a").orderBy(F.desc("n"), "b")
     return (m.withColumn("rank", F.row_number().over(w)).filter("rank <= 3")
             .select("a", "b", F.round("p", R).alias("p"), F.col("rank").cast("long").alias("rank")))
