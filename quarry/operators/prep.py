@@ -98,8 +98,9 @@ def standardize_apply(df: DataFrame, stats: dict, suffix: str = "_z") -> DataFra
 
 def standardize_vectors_fit(df: DataFrame, vec: str = "x") -> tuple[list, list]:
     """Per-coordinate mean / population std of an array column (d values)."""
-    s = (df.select(F.posexplode(vec).alias("i", "v")).groupBy("i")
-         .agg(F.avg("v").alias("mu"), F.stddev_pop("v").alias("sd")).orderBy("i").collect())
+    s = sorted(collect_small(df.select(F.posexplode(vec).alias("i", "v")).groupBy("i")
+                             .agg(F.avg("v").alias("mu"), F.stddev_pop("v").alias("sd")), 1_000_000, "coordinate stats"),
+               key=lambda r: r["i"])
     return [r["mu"] for r in s], [r["sd"] if r["sd"] else 1.0 for r in s]
 
 

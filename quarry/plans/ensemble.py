@@ -148,7 +148,8 @@ def q_mdl_token_probe(spark, sf):
     lr = LogisticRegression(featuresCol="features", labelCol="label", maxIter=50, regParam=1e-4).fit(train)
     pred = lr.transform(feats.filter("split != 'train'")).select(
         "split", F.col("label").cast("int").alias("label"), F.col("prediction").cast("int").alias("pred"))
-    rows = pred.groupBy("split", "label", "pred").count().collect()  # K*K cells per split
+    from quarry.operators.small import collect_small
+    rows = collect_small(pred.groupBy("split", "label", "pred").count(), 1_000_000, "confusion cells")  # K*K per split
     feats.unpersist()
     counts = local_frame(spark, rows, "split string, label int, pred int, n long")
     out = []

@@ -74,12 +74,13 @@ def q_prep_kfold(spark, sf):
     e = P.kfold(emb(spark, sf), "vec_id", 5, SEED)
     fs = e.select("fold", "label", F.posexplode("x").alias("i", "v")).groupBy("fold", "label", "i").agg(F.sum("v").alias("s"))
     fn = e.groupBy("fold", "label").agg(F.count("*").alias("n"))
-    rows = fs.join(fn, ["fold", "label"]).collect()  # folds * K * d cells: the fitted models
+    from quarry.operators.small import collect_small
+    rows = collect_small(fs, 5_000_000, "fold class sums")  # folds * K * d cells: the fitted models
     tot_s, tot_n, by = {}, {}, {}
     for r in rows:
         tot_s[(r["label"], r["i"])] = tot_s.get((r["label"], r["i"]), 0.0) + r["s"]
         by[(r["fold"], r["label"], r["i"])] = r["s"]
-    for r in fn.collect():
+    for r in collect_small(fn, 1_000_000, "fold class counts"):
         tot_n[r["label"]] = tot_n.get(r["label"], 0) + r["n"]
         by[(r["fold"], r["label"])] = r["n"]
     labels = sorted(tot_n)

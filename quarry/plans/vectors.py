@@ -42,7 +42,8 @@ def q_vec_add_mul(spark, sf):
     column-mean vector (a one-row aggregate shipped as a literal)."""
     e = emb(spark, sf)
     mean = (e.select(F.posexplode("x").alias("i", "v")).groupBy("i").agg(F.avg("v").alias("m")).orderBy("i"))
-    mu = [r["m"] for r in mean.collect()]  # d values
+    from quarry.operators.small import collect_small
+    mu = [r["m"] for r in collect_small(mean, 1_000_000, "mean vector")]  # d values
     return e.select("vec_id", ra(V.add("x", rev())).alias("plus"), ra(V.mul("x", rev())).alias("times"),
                     ra(V.sub("x", V.lit_vector(mu))).alias("centred"))
 
