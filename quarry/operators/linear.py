@@ -68,12 +68,13 @@ def ridge(G: np.ndarray, alpha: float) -> tuple[float, np.ndarray]:
 
 
 def elastic_net(G: np.ndarray, alpha: float, l1_ratio: float = 1.0, max_iter: int = 5000,
-                tol: float = 1e-10) -> tuple[float, np.ndarray]:
-    """Coordinate descent on the centred Gram (l1_ratio=1 is the lasso)."""
+                tol: float = 1e-10, w0: np.ndarray | None = None) -> tuple[float, np.ndarray]:
+    """Coordinate descent on the centred Gram (l1_ratio=1 is the lasso);
+    ``w0`` warm-starts it (the minimiser is unique for alpha > 0)."""
     m = moments(G)
     n, d = m.n, m.sxx.shape[0]
     A, c = m.sxx / n, m.sxy / n
-    w = np.zeros(d)
+    w = np.zeros(d) if w0 is None else np.array(w0, dtype=float)
     l1, l2 = alpha * l1_ratio, alpha * (1.0 - l1_ratio)
     for _ in range(max_iter):
         delta = 0.0
@@ -114,6 +115,19 @@ def cv_path(fold_grams: dict, alphas, fit) -> list[tuple[float, float]]:
     return out
 
 
+def cv_path_enet(fold_grams: dict, alphas, l1_ratio: float = 1.0, max_iter: int = 5000) -> list[tuple[float, float]]:
+    """Like :func:`cv_path` for lasso / elastic net, walking the alphas from
+    large to small with warm starts in every fold."""
+    total = sum(fold_grams.values())
+    errs: dict = {float(a): [] for a in alphas}
+    for f, Gf in sorted(fold_grams.items()):
+        w = None
+        for a in sorted(alphas, reverse=True):
+            b, w = elastic_net(total - Gf, a, l1_ratio, max_iter, w0=w)
+            errs[float(a)].append(heldout_mse(Gf, b, w))
+    return [(float(a), float(np.mean(errs[float(a)]))) for a in alphas]
+
+
 def best_alpha(path: list[tuple[float, float]]) -> tuple[float, float]:
     """Smallest CV error; ties -> smallest alpha."""
     return min(path, key=lambda t: (t[1], t[0]))

@@ -25,7 +25,7 @@ from quarry.functions.vec import lit_ints
 from quarry.session import cut_lineage
 
 _BUCKETS = 1024          # histogram width per refinement round
-_FINAL_ROWS = 50_000     # candidates per target small enough for a final sort
+_FINAL_ROWS = 200_000    # candidates per target small enough for a final sort
 _MAX_ROUNDS = 12
 _MAX_TARGETS = 20_000
 

@@ -96,8 +96,7 @@ def q_mdl_ridge_cv(spark, sf):
 @register("mdl_lasso_cv")
 def q_mdl_lasso_cv(spark, sf):
     """Lasso over 9 alphas in 1e-3..1e1 with 5 folds (coordinate descent)."""
-    return _path_frame(spark, L.cv_path(_fold_grams(spark, sf), LASSO_ALPHAS,
-                                        lambda g, a: L.elastic_net(g, a, 1.0, max_iter=5000)))
+    return _path_frame(spark, L.cv_path_enet(_fold_grams(spark, sf), LASSO_ALPHAS, 1.0, max_iter=5000))
 
 
 _ALPHA_SQL = ", ".join(repr(a) for a in RIDGE_ALPHAS)
@@ -209,7 +208,7 @@ def q_mdl_regularisation_study(spark, sf):
     grams = G.gram_matrices(G.gram(z.filter("split = 'train'"), "xz", "y", by=["fold"]), "fold")
     total = sum(grams.values())
     ra, _ = L.best_alpha(L.cv_path(grams, RIDGE_ALPHAS, L.ridge))
-    la, _ = L.best_alpha(L.cv_path(grams, LASSO_ALPHAS, lambda g, a: L.elastic_net(g, a, 1.0)))
+    la, _ = L.best_alpha(L.cv_path_enet(grams, LASSO_ALPHAS, 1.0))
     fits = {"OLS": (L.ols(total), None), "RidgeCV": (L.ridge(total, ra), ra),
             "LassoCV": (L.elastic_net(total, la, 1.0), la)}
     test = z.filter("split = 'test'")

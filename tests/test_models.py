@@ -184,3 +184,18 @@ def test_knn_ties_break_on_id(spark):
                               "rid long, x array<double>")
     got = [x["rid"] for x in sorted(knn(q, r, 3, "qid", "rid").collect(), key=lambda x: x["rank"])]
     assert got == [1, 3, 5]
+
+
+def test_warm_started_lasso_path_equals_cold_fits(spark):
+    rng = np.random.default_rng(13)
+    X = rng.normal(size=(300, 6))
+    y = X @ np.array([2.0, 0.0, 0.0, -1.0, 0.5, 0.0]) + rng.normal(size=300)
+    folds = rng.integers(0, 4, 300)
+    df = spark.createDataFrame([(X[i].tolist(), float(y[i]), int(folds[i])) for i in range(300)],
+                               "x array<double>, y double, fold int")
+    grams = G.gram_matrices(G.gram(df, "x", "y", by=["fold"]), "fold")
+    alphas = [1e-3, 1e-2, 0.1, 1.0]
+    warm = dict(L.cv_path_enet(grams, alphas, 1.0))
+    cold = dict(L.cv_path(grams, alphas, lambda g, a: L.elastic_net(g, a, 1.0)))
+    for a in alphas:
+        assert abs(warm[a] - cold[a]) < 1e-8
