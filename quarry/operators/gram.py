@@ -38,7 +38,6 @@ def gram(df: DataFrame, features: str, target: str | None = None, by: Sequence[s
         for pdf in batches:
             if len(pdf) == 0:
                 continue
-            keys = pdf[by].itertuples(index=False, name=None) if by else None
             groups = pdf.groupby(by, sort=False, dropna=False) if by else [((), pdf)]
             for key, g in groups:
                 key = key if isinstance(key, tuple) else (key,)
@@ -51,7 +50,6 @@ def gram(df: DataFrame, features: str, target: str | None = None, by: Sequence[s
                 z = np.hstack(parts)
                 m = z.T @ z
                 acc[key] = acc[key] + m if key in acc else m
-            del keys
         for key, m in acc.items():
             k = m.shape[0]
             ii, jj = np.meshgrid(np.arange(k), np.arange(k), indexing="ij")

@@ -25,7 +25,8 @@ from quarry.functions.vec import lit_ints
 from quarry.session import cut_lineage
 
 _BUCKETS = 1024          # histogram width per refinement round
-_FINAL_ROWS = 200_000    # candidates per target small enough for a final sort
+_FINAL_ROWS = 50_000     # candidates per target small enough for a final sort
+_DIRECT_ROWS = 4096      # groups this small go straight to the final sort
 _MAX_ROUNDS = 12
 _MAX_TARGETS = 20_000
 
@@ -116,8 +117,11 @@ def select_ranks(df: DataFrame, value: str, targets: list[tuple], group_cols: Se
             joined = base.withColumn("_t", F.explode(F.array(*structs))).select("*", "_t.*").drop("_t")
         return joined.filter((F.col(value) >= F.col("_lo")) & (F.col(value) <= F.col("_hi")))
 
-    active = list(enumerate(state))
-    for _ in range(_MAX_ROUNDS):
+    for s_ in state:  # tiny groups need no histogram round
+        if s_["n"] <= _DIRECT_ROWS or s_["lo"] == s_["hi"]:
+            s_["final"] = True
+    active = [(i, s_) for i, s_ in enumerate(state) if not s_.get("final")]
+    for _ in range(_MAX_ROUNDS if active else 0):
         cand = candidates(active)
         width = F.col("_hi").cast("double") - F.col("_lo").cast("double")
         bucket = F.when(width <= 0, F.lit(0)).otherwise(
@@ -194,8 +198,10 @@ def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float], group_col
         T.StructField("prob", T.DoubleType()), T.StructField("_lo", T.LongType()),
         T.StructField("_hi", T.LongType()), T.StructField("_frac", T.DoubleType())])
     pf = local_frame(spark, plan, pschema)
-    a = picked.select(*gcols, F.col("_rank").alias("_lo"), F.col("_v").alias("_vlo"))
-    b = picked.select(*gcols, F.col("_rank").alias("_hi"), F.col("_v").alias("_vhi"))
-    out = (pf.join(a, on=gcols + ["_lo"]).join(b, on=gcols + ["_hi"])
-           .select(*gcols, "prob", (F.col("_vlo") + (F.col("_vhi") - F.col("_vlo")) * F.col("_frac")).alias("quantile")))
-    return out
+    # each (group, prob) needs the values at ranks lo and hi: one join of the
+    # picked rows, then min_by / max_by over the two ranks
+    want = pf.select(*gcols, "prob", "_frac", "_lo", "_hi", F.explode(F.array_distinct(F.array("_lo", "_hi"))).alias("_rank"))
+    j = want.join(picked, on=gcols + ["_rank"])
+    agg = j.groupBy(*gcols, "prob").agg(F.first("_frac").alias("_frac"), F.min_by("_v", "_rank").alias("_vlo"),
+                                        F.max_by("_v", "_rank").alias("_vhi"))
+    return agg.select(*gcols, "prob", (F.col("_vlo") + (F.col("_vhi") - F.col("_vlo")) * F.col("_frac")).alias("quantile"))

@@ -62,8 +62,6 @@ def exact_split(df: DataFrame, key: str, test_fraction: float, seed=42, by: str
     targets = [t for t in targets if t[-1] >= 0]
     thr = select_ranks(h, "_h", targets, gcols, tiebreak=[key]).select(
         *gcols, F.col("_h").alias("_th"), F.col(key).alias("_tk"))
-    j = h.join(broadcast_if_small(thr), gcols, "left") if gcols else h.join(F.broadcast(thr), how="left") \
-        if False else None
     if gcols:
         j = h.join(broadcast_if_small(thr), gcols, "left")
         is_test = (F.col("_h") < F.col("_th")) | ((F.col("_h") == F.col("_th")) & (F.col(key) <= F.col("_tk")))
