@@ -35,6 +35,30 @@ def class_average(df: DataFrame, features: str = "x", label: str = "label") -> D
     return arr.join(counts, label)
 
 
+def class_average_model(df: DataFrame, features: str = "x", label: str = "label"):
+    """Fit and collect in one job: (labels, centroid vectors, counts), K*d
+    long cells collected under a size check (one shuffle, no regroup)."""
+    long = (df.select(label, F.posexplode(features).alias("i", "v"))
+            .groupBy(label, "i").agg(F.avg("v").alias("mean"), F.count("*").alias("n")))
+    rows = collect_small(long, MAX_CLASSES * 4096, "class-average cells")
+    by: dict = {}
+    for r in rows:
+        by.setdefault(r[label], {})[r["i"]] = (r["mean"], r["n"])
+    labels = sorted(by)
+    vectors = [[by[l][i][0] for i in sorted(by[l])] for l in labels]
+    counts = [next(iter(by[l].values()))[1] for l in labels]
+    return labels, vectors, counts
+
+
+def scores_long(df: DataFrame, labels: list, vectors: list, sim: str = "cosine", id_col: str = "vec_id",
+                features: str = "x") -> DataFrame:
+    """(id, cls, score) against an already-collected model."""
+    scored = df.select(id_col, score_columns(F.col(features), labels, vectors, sim).alias("_s"))
+    lab = F.array(*[F.lit(l) for l in labels])
+    return scored.select(id_col, F.explode(F.arrays_zip(lab.alias("cls"), F.col("_s").alias("score"))).alias("z")) \
+        .select(id_col, F.col("z.cls").alias("cls"), F.col("z.score").alias("score"))
+
+
 def fetch_centroids(centroids: DataFrame, label: str = "label", vector: str = "centroid"):
     """Collect a small centroid table (size-checked), ordered by label."""
     rows = collect_small(centroids.select(label, vector), MAX_CLASSES, "centroid table")

@@ -16,21 +16,21 @@ R = 6  # rounding of every float output (both engines)
 
 
 def _fit(spark, sf):
+    """Test split and the class-average model of the training split."""
     e = emb(spark, sf)
-    cents = C.class_average(e.filter("split = 'train'"))
-    return e, cents
+    labels, vectors, _ = C.class_average_model(e.filter("split = 'train'"))
+    return e, labels, vectors
 
 
 def _scores(spark, sf, sim="cosine") -> DataFrame:
-    e, cents = _fit(spark, sf)
-    return C.nearest_centroid_scores(e.filter("split = 'test'"), cents, sim)
+    e, labels, vectors = _fit(spark, sf)
+    return C.scores_long(e.filter("split = 'test'"), labels, vectors, sim)
 
 
 def _preds(spark, sf) -> DataFrame:
     """(vec_id, label, sim, pred) for the three similarity modes."""
-    e, cents = _fit(spark, sf)
+    e, labels, vectors = _fit(spark, sf)
     test = e.filter("split = 'test'")
-    labels, vectors = C.fetch_centroids(cents)
     cols = [F.struct(F.lit(s).alias("sim"),
                      C.argmax_label(C.score_columns(F.col("x"), labels, vectors, s), labels).alias("pred"))
             for s in C.SIMILARITIES]
@@ -152,9 +152,9 @@ pr AS (SELECT vec_id, cls, sim, exp(score - mx) / sum(exp(score - mx)) OVER (PAR
 
 
 def _probs(spark, sf):
-    e, cents = _fit(spark, sf)
+    e, labels, vectors = _fit(spark, sf)
     test = e.filter("split = 'test'")
-    parts = [C.nearest_centroid_scores(test, cents, s).withColumn("sim", F.lit(s)) for s in C.SIMILARITIES]
+    parts = [C.scores_long(test, labels, vectors, s).withColumn("sim", F.lit(s)) for s in C.SIMILARITIES]
     allsc = parts[0].unionByName(parts[1]).unionByName(parts[2])
     return M.softmax_group(allsc, ["vec_id", "sim"])
 
