@@ -39,17 +39,19 @@ def best_so_far_segmented(hist: DataFrame, run: str, order: list[str], metric: s
     from quarry.operators.ordering import with_global_index
     from quarry.operators.small import broadcast_if_small
     g = with_global_index(hist.select(run, *order, metric), [run, *order], "_g")
-    g = g.withColumn("_seg", F.floor(F.col("_g") / segment_rows).cast("long"))
-    first = g.groupBy(run).agg(F.min("_g").alias("_g0"))
-    g = g.join(broadcast_if_small(first), run).withColumn("epoch", F.col("_g") - F.col("_g0") + 1).drop("_g0")
+    g = g.withColumn("_seg", F.expr(f"_g div {int(segment_rows)}"))
 
     seg = Window.partitionBy(run).orderBy("_seg").rowsBetween(Window.unboundedPreceding, -1)
     local_prev = Window.partitionBy(run, "_seg").orderBy("_g").rowsBetween(Window.unboundedPreceding, -1)
     local_cur = Window.partitionBy(run, "_seg").orderBy("_g").rowsBetween(Window.unboundedPreceding, 0)
 
-    smax = g.groupBy(run, "_seg").agg(F.max(metric).alias("_smax"))
-    carry = smax.select(run, "_seg", F.max("_smax").over(seg).alias("_carry"))
+    # one small per-(run, segment) table gives both the run's first index
+    # (epoch numbering) and the best value of all earlier segments
+    sstat = g.groupBy(run, "_seg").agg(F.max(metric).alias("_smax"), F.min("_g").alias("_gmin"))
+    carry = sstat.select(run, "_seg", F.max("_smax").over(seg).alias("_carry"),
+                         F.min("_gmin").over(Window.partitionBy(run)).alias("_g0"))
     h = g.join(broadcast_if_small(carry), [run, "_seg"])
+    h = h.withColumn("epoch", F.col("_g") - F.col("_g0") + 1).drop("_g0")
     prev = F.greatest(F.lit(initial_best), F.coalesce(F.col("_carry"), F.lit(initial_best)),
                       F.coalesce(F.max(metric).over(local_prev), F.lit(initial_best)))
     h = h.withColumn("_prev", prev).withColumn("improved", F.col(metric) > F.col("_prev"))

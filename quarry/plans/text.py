@@ -62,12 +62,14 @@ def q_str_vocab(spark, sf):
     return T.vocabulary(tbl(spark, sf, "conversations"), TX.chars("text"))
 
 
-def _encoded(spark, sf):
+def _encoded(spark, sf, with_labels: bool = True):
     c = tbl(spark, sf, "conversations").select("conv_id", "turn", "text")
     vocab = T.vocabulary(c, TX.chars("text"))
+    e = T.encode_frame(c, ["conv_id", "turn"], TX.chars("text"), vocab, "ids")
+    if not with_labels:
+        return e.select("conv_id", "turn", "ids")
     labels = TX.chars(TX.char_classes("text"))
     lv = T.vocabulary(c.select(labels.alias("l")), F.col("l"), pad=None)
-    e = T.encode_frame(c, ["conv_id", "turn"], TX.chars("text"), vocab, "ids")
     e = T.encode_frame(e, ["conv_id", "turn"], labels, lv, "labs")
     return e.select("conv_id", "turn", "ids", "labs")
 
@@ -88,7 +90,7 @@ enc AS (SELECT c.conv_id, c.turn, coalesce(ids, []::INTEGER[]) AS ids, coalesce(
 @register("join_vocab_encode", SQL_ENC + "\nSELECT conv_id, turn, ids FROM enc")
 def q_join_vocab_encode(spark, sf):
     """Every character mapped to its vocabulary index (map literal lookup)."""
-    return _encoded(spark, sf).select("conv_id", "turn", "ids")
+    return _encoded(spark, sf, with_labels=False)
 
 
 SQL_PAD = SQL_ENC + """,
@@ -137,7 +139,7 @@ def q_str_mlm_mask(spark, sf):
     c = tbl(spark, sf, "conversations").select("conv_id", "turn", "text")
     vocab = T.vocabulary(c, TX.chars("text"))
     vsize = vocab.count()
-    e = _encoded(spark, sf)
+    e = _encoded(spark, sf, with_labels=False)
     inp, lab = T.mlm_mask(F.col("ids"), ["conv_id", "turn"], MLM_P, vsize, SEED)
     return e.select("conv_id", "turn", inp.alias("input_ids"), lab.alias("label_ids"))
 
@@ -153,7 +155,7 @@ def q_str_embed_lookup(spark, sf):
     (bounded by the vocabulary, checked); they ship to the tasks once and
     each Arrow batch does a numpy gather + mean."""
     from quarry.operators.lookup import pooled_lookup
-    e = _encoded(spark, sf)
+    e = _encoded(spark, sf, with_labels=False)
     vmax = e.select(F.max(F.array_max("ids")).alias("m")).first()["m"] or 0
     rows = collect_small(tbl(spark, sf, "embeddings").filter(F.col("vec_id") <= vmax)
                          .select("vec_id", F.col("embedding").cast("array<double>").alias("x")), 200_000, "embedding rows")
