@@ -88,11 +88,10 @@ def gram_matrices(g: DataFrame, by: str) -> dict:
 def covariance_long(g: DataFrame) -> DataFrame:
     """Sample covariance cells (i, j) of the features from Gram cells (no
     target): (Σ x_i x_j - n μ_i μ_j) / (n - 1), as a join of d² rows."""
-    n = g.filter("i = 0 AND j = 0").select(F.col("value").alias("n"))
+    n = g.filter("i = 0 AND j = 0").first()["value"]  # the row count, one scalar
     s = g.filter("i = 0 AND j > 0").select(F.col("j").alias("k"), F.col("value").alias("s"))
     cells = g.filter("i > 0 AND j > 0")
-    t = (cells.join(F.broadcast(n), how="inner")
-         .join(F.broadcast(s.withColumnRenamed("k", "i").withColumnRenamed("s", "si")), "i")
+    t = (cells.join(F.broadcast(s.withColumnRenamed("k", "i").withColumnRenamed("s", "si")), "i")
          .join(F.broadcast(s.withColumnRenamed("k", "j").withColumnRenamed("s", "sj")), "j"))
-    cov = (F.col("value") - F.col("si") * F.col("sj") / F.col("n")) / (F.col("n") - 1)
+    cov = (F.col("value") - F.col("si") * F.col("sj") / F.lit(n)) / F.lit(n - 1)
     return t.select((F.col("i") - 1).alias("i"), (F.col("j") - 1).alias("j"), cov.alias("cov"))

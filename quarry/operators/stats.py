@@ -38,9 +38,13 @@ def basic_stats(df: DataFrame, col: str) -> DataFrame:
 
 
 def _one_row_concat(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Combine two single-row frames side by side (keyed join on a constant
-    key of a one-row relation; both sides are proven to have one row)."""
-    return a.withColumn("_k", F.lit(1)).join(b.withColumn("_k", F.lit(1)), "_k").drop("_k")
+    """Put two single-row frames side by side without a join: pad each with
+    the other's columns as nulls, union the two rows and keep the first
+    non-null value of every column."""
+    ca, cb = a.columns, b.columns
+    pa = a.select(*ca, *[F.lit(None).cast(b.schema[c].dataType).alias(c) for c in cb])
+    pb = b.select(*[F.lit(None).cast(a.schema[c].dataType).alias(c) for c in ca], *cb)
+    return pa.unionByName(pb).agg(*[F.first(c, ignorenulls=True).alias(c) for c in ca + cb])
 
 
 def mode(df: DataFrame, col: str) -> DataFrame:

@@ -42,3 +42,16 @@ def test_entry_runs(spark):
     import __spark_entry__ as E
     df = E.entry(spark)
     assert df.count() >= 0 and "pred" in df.columns
+
+
+@pytest.mark.parametrize("name", SUBSET + ["agg_basic_stats", "agg_covariance", "join_matmul", "join_similarity_matrix"])
+def test_plan_has_no_cross_join(spark, name):
+    import contextlib
+    import io
+
+    import __spark_entry__ as E
+    buf = io.StringIO()
+    with contextlib.redirect_stdout(buf):
+        E.queries()[name](spark, SF_SMALL).explain()
+    plan = buf.getvalue()
+    assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
