@@ -26,14 +26,32 @@ def mse_rmse(df: DataFrame, y: str = "y", p: str = "pred", by: list[str] | None
     return df.groupBy(*(by or [])).agg(F.avg(e2).alias("mse"), F.sqrt(F.avg(e2)).alias("rmse"))
 
 
+MAX_CELLS_COLLECT = 1_000_000
+
+
 def confusion(df: DataFrame, y: str = "label", p: str = "pred") -> DataFrame:
-    """(actual, predicted, n) over the union of seen classes, zero cells kept."""
+    """(actual, predicted, n) over the union of seen classes, zero cells kept.
+
+    The counts are one partial+final aggregation. When the cell table is
+    small (checked) it is collected once and the zero-filled K x K grid is
+    rebuilt as a JVM literal table; otherwise the grid is generated on the
+    executors from the class list and left-joined to the counts."""
     spark = df.sparkSession
     counts = df.groupBy(F.col(y).alias("actual"), F.col(p).alias("predicted")).agg(F.count("*").alias("n"))
+    dtype = df.schema[y].dataType
+    from quarry.operators.small import local_frame
+    rows = counts.limit(MAX_CELLS_COLLECT + 1).collect()
+    if len(rows) <= MAX_CELLS_COLLECT:
+        cells = {(r["actual"], r["predicted"]): r["n"] for r in rows}
+        classes = sorted({a for a, _ in cells} | {b for _, b in cells})
+        if len(classes) ** 2 <= MAX_CELLS_COLLECT:
+            grid = [(a, b, int(cells.get((a, b), 0))) for a in classes for b in classes]
+            schema = T.StructType([T.StructField("actual", dtype), T.StructField("predicted", dtype),
+                                   T.StructField("n", T.LongType())])
+            return local_frame(spark, grid, schema)
     classes = sorted({r[0] for r in collect_small(
         counts.select(F.col("actual").alias("c")).union(counts.select(F.col("predicted").alias("c"))).distinct(),
         MAX_CLASSES, "class list")})
-    dtype = df.schema[y].dataType
     # K x K cells generated on the executors from the (checked) class list
     import json
     lit = F.from_json(F.lit(json.dumps(classes)), T.ArrayType(dtype)) if classes else F.array().cast(T.ArrayType(dtype))

@@ -169,14 +169,16 @@ def _empty_result(spark, base, gcols, value, tiebreak):
     return local_frame(spark, [], T.StructType(fields))
 
 
-def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float], group_cols: Sequence[str] = ()) -> DataFrame:
+def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float], group_cols: Sequence[str] = (),
+                    bounds: dict | None = None) -> DataFrame:
     """Exact linear-interpolated quantiles per group: columns
     ``(group..., prob, quantile)``; equal to ``percentile`` / ``quantile_cont``."""
     gcols = list(group_cols)
     base = df.select(*gcols, F.col(value).cast("double").alias("_v")).filter(F.col("_v").isNotNull())
-    stats = collect_small(base.groupBy(*gcols).agg(F.min("_v").alias("lo"), F.max("_v").alias("hi"),
-                                                   F.count("*").alias("n")), max_rows=_MAX_TARGETS, what="group bounds")
-    bounds = {tuple(r[c] for c in gcols): r for r in stats}
+    if bounds is None:  # {group tuple: {"lo", "hi", "n"}} may come from the caller's own aggregate
+        stats = collect_small(base.groupBy(*gcols).agg(F.min("_v").alias("lo"), F.max("_v").alias("hi"),
+                                                       F.count("*").alias("n")), max_rows=_MAX_TARGETS, what="group bounds")
+        bounds = {tuple(r[c] for c in gcols): r for r in stats}
     groups = [(g, r["n"]) for g, r in bounds.items()]
     targets, plan = set(), []
     for g, n in groups:

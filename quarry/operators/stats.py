@@ -18,16 +18,23 @@ def stack_columns(df: DataFrame, cols: Sequence[str], name: str = "column", valu
 
 
 def describe(df: DataFrame, cols: Sequence[str], probs: Sequence[float] = (0.25, 0.5, 0.75)) -> DataFrame:
-    """count, mean, sample std, min, quantiles (exact, linear), max per column."""
+    """count, mean, sample std, min, quantiles (exact, linear), max per column.
+
+    One aggregate job gives the per-column moments and the bounds the exact
+    quantile selection starts from; its few rows come back as a literal table."""
+    from quarry.operators.small import collect_small, local_frame
     long = stack_columns(df, cols)
-    base = long.groupBy("column").agg(
+    rows = collect_small(long.groupBy("column").agg(
         F.count("v").alias("count"), F.avg("v").alias("mean"), F.stddev_samp("v").alias("std"),
-        F.min("v").alias("min"), F.max("v").alias("max"))
-    q = exact_quantiles(long, "v", probs, ["column"])
+        F.min("v").alias("min"), F.max("v").alias("max")), 100_000, "column moments")
+    base = local_frame(df.sparkSession, [(r["column"], r["count"], r["mean"], r["std"], r["min"], r["max"]) for r in rows],
+                       "column string, count long, mean double, std double, min double, max double")
+    bounds = {(r["column"],): {"lo": r["min"], "hi": r["max"], "n": r["count"]} for r in rows if r["count"]}
+    q = exact_quantiles(long, "v", probs, ["column"], bounds=bounds)
     piv = q.groupBy("column").pivot("prob", [float(p) for p in probs]).agg(F.first("quantile"))
     for p in probs:
         piv = piv.withColumnRenamed(str(float(p)), f"p{int(round(p * 100))}")
-    return base.join(piv, "column")
+    return base.join(piv, "column", "left")
 
 
 def basic_stats(df: DataFrame, col: str) -> DataFrame:
