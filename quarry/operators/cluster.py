@@ -75,7 +75,10 @@ def silhouette_euclid(df: DataFrame, id_col: str, features: str = "x", cluster:
     base = df.select(F.col(id_col).alias("_id"), F.col(features).cast("array<double>").alias("_x"),
                      F.col(cluster).alias("_c")).withColumn("_tile", F.pmod(F.xxhash64("_id"), F.lit(t)))
     left = base.withColumn("_other", F.explode(F.sequence(F.lit(0), F.lit(t - 1))))
-    right = base.withColumnRenamed("_tile", "_other").withColumn("_tile", F.explode(F.sequence(F.lit(0), F.lit(t - 1))))
+    # fresh aliases: the two co-grouped sides must not share attribute ids,
+    # or the optimizer may prune the right side's value columns
+    right = base.select(F.col("_id").alias("_rid"), F.col("_x").alias("_rx"), F.col("_c").alias("_rc"),
+                        F.col("_tile").alias("_other"), F.explode(F.sequence(F.lit(0), F.lit(t - 1))).alias("_tile"))
     schema = T.StructType([T.StructField("_id", base.schema["_id"].dataType), T.StructField("_c", base.schema["_c"].dataType),
                            T.StructField("_to", base.schema["_c"].dataType),
                            T.StructField("s", T.DoubleType()), T.StructField("n", T.LongType())])
@@ -84,12 +87,12 @@ def silhouette_euclid(df: DataFrame, id_col: str, features: str = "x", cluster:
         if len(lp) == 0 or len(rp) == 0:
             return pd.DataFrame({k: [] for k in ("_id", "_c", "_to", "s", "n")})
         A = np.stack(lp["_x"].to_numpy())
-        B = np.stack(rp["_x"].to_numpy())
+        B = np.stack(rp["_rx"].to_numpy())
         d2 = (A * A).sum(1)[:, None] + (B * B).sum(1)[None, :] - 2.0 * A @ B.T
         D = np.sqrt(np.maximum(d2, 0.0))
-        same = lp["_id"].to_numpy()[:, None] == rp["_id"].to_numpy()[None, :]
+        same = lp["_id"].to_numpy()[:, None] == rp["_rid"].to_numpy()[None, :]
         D[same] = 0.0
-        rc = rp["_c"].to_numpy()
+        rc = rp["_rc"].to_numpy()
         out = []
         for c in np.unique(rc):
             m = rc == c

@@ -38,6 +38,7 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
     spark = b.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     checkpoint_dir(spark)
+    ship_package(spark)
     return spark
 
 
@@ -74,3 +75,30 @@ def cut_lineage(df):
     survives executor loss). Never a local checkpoint."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``quarry`` importable in the Python workers (executors), once per
+    SparkContext: the package is zipped into the shared checkpoint folder and
+    added with ``addPyFile`` — the same as ``--py-files`` on a cluster."""
+    import zipfile
+
+    sc = spark.sparkContext
+    if getattr(sc, "_quarry_shipped", False):
+        return
+    pkg = os.path.dirname(os.path.abspath(__file__))
+    path = scratch_path(spark, "quarry-pkg") + ".zip"
+    local = path[len("file:"):] if path.startswith("file:") else path
+    if "://" in local:  # a remote shared folder: build locally, let Spark copy it
+        local = os.path.join(tempfile.mkdtemp(prefix="quarry-pkg-"), "quarry.zip")
+    os.makedirs(os.path.dirname(local), exist_ok=True)
+    with zipfile.ZipFile(local, "w", zipfile.ZIP_DEFLATED) as z:
+        for root, _dirs, files in os.walk(pkg):
+            if "__pycache__" in root:
+                continue
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(root, f)
+                    z.write(full, os.path.join("quarry", os.path.relpath(full, pkg)))
+    sc.addPyFile(local)
+    sc._quarry_shipped = True
