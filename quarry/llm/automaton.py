@@ -60,6 +60,9 @@ class Graph:
             raise ValueError("rules are ASCII expressions")
         return self._step(frozenset([arg]), at)
 
+    def _not_literal(self, arg: int, at: int) -> int:
+        return self._step(frozenset(set(range(128)) - {arg}), at)
+
     def _in(self, arg, at: int) -> int:
         found: set[int] = set()
         for op, x in arg:

@@ -19,7 +19,7 @@ class Settings(NamedTuple):
     bins: int = 64
     rate: float = 0.15
     l2: float = 1.0
-    least_rows: float = 20.0   # sum of hessians x 4 that a leaf needs
+    least_hessian: float = 0.5  # that a leaf needs
     least_gain: float = 1e-3
 
 
@@ -93,8 +93,7 @@ def fit(x: np.ndarray, y: np.ndarray, settings: Settings = Settings()) -> Trees:
             gl, hl = (np.cumsum(s, axis=2) for s in sums)
             g_all, h_all = gl[:, :, -1:], hl[:, :, -1:]
             gain = gl ** 2 / (hl + settings.l2) + (g_all - gl) ** 2 / (h_all - hl + settings.l2) - g_all ** 2 / (h_all + settings.l2)
-            small = settings.least_rows / 4
-            gain[(hl < small) | (h_all - hl < small)] = 0
+            gain[np.minimum(hl, h_all - hl) < settings.least_hessian] = 0
             nxt = []
             for i, node in enumerate(open_nodes):
                 k, c = np.unravel_index(np.argmax(gain[i]), (f, b))

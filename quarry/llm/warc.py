@@ -126,9 +126,9 @@ def _decided(keys: DataFrame, least: int) -> DataFrame:
     """The rows to write as revisits: (page, url, digest, refers_to, copies to
     keep as responses). One row per (page, url, digest)."""
     one = keys.groupBy("page", "url", "digest", "n_bytes").agg(F.count(F.lit(1)).alias("n"))
-    first = (one.where((F.col("n_bytes") >= least) & F.col("page").isNotNull())
+    first = (one.where(F.col("n_bytes") >= least)
              .groupBy("digest", "n_bytes").agg(F.max(F.struct("page", "url")).alias("top"), F.sum("n").alias("copies"))
-             .where("copies > 1").select(F.col("digest").alias("d"), F.col("n_bytes").alias("b"),
+             .where("copies > 1 AND top.page IS NOT NULL").select(F.col("digest").alias("d"), F.col("n_bytes").alias("b"),
                                       F.col("top.page").alias("refers"), F.col("top.url").alias("u")))
     return (one.join(first, (F.col("digest") == F.col("d")) & (F.col("n_bytes") == F.col("b")))
             .select("page", "url", "digest", "refers",
@@ -160,8 +160,8 @@ def write_warc(pages: DataFrame, folder: str, id_col: str = "page_id", url_col:
     The payload is the html in UTF-8, null as empty. Of rows with equal payloads
     of ``revisit_from`` bytes or more, the one with the largest id is stored as
     a response (of several such rows: the greatest url; of repeated rows: one)
-    and the rest as revisits. A null id is never referred to and never a
-    revisit, nor the smallest payloads. Records go by (id, url, digest); null ids
+    and the rest as revisits. A null id is never referred to; where all of
+    equal payloads have none, all are responses, as smaller payloads are. Records go by (id, url, digest); null ids
     come first. An empty table gives an empty manifest and no file.
     """
     spark = pages.sparkSession
