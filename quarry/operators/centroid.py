@@ -40,7 +40,7 @@ def class_average_model(df: DataFrame, features: str = "x", label: str = "label"
     long cells collected under a size check (one shuffle, no regroup)."""
     long = (df.select(label, F.posexplode(features).alias("i", "v"))
             .groupBy(label, "i").agg(F.avg("v").alias("mean"), F.count("*").alias("n")))
-    rows = collect_small(long, MAX_CLASSES * 4096, "class-average cells")
+    rows = collect_small(long, "class-average cells")
     by: dict = {}
     for r in rows:
         by.setdefault(r[label], {})[r["i"]] = (r["mean"], r["n"])
@@ -61,7 +61,7 @@ def scores_long(df: DataFrame, labels: list, vectors: list, sim: str = "cosine",
 
 def fetch_centroids(centroids: DataFrame, label: str = "label", vector: str = "centroid"):
     """Collect a small centroid table (size-checked), ordered by label."""
-    rows = collect_small(centroids.select(label, vector), MAX_CLASSES, "centroid table")
+    rows = collect_small(centroids.select(label, vector), "centroid table")
     rows = sorted(rows, key=lambda r: r[label])
     return [r[label] for r in rows], [list(r[vector]) for r in rows]
 
@@ -73,13 +73,13 @@ def similarity(x: Column, c: Column, sim: str) -> Column:
         return -V.euclid(x, c)
     if sim == "dot":
         return V.dot(x, c)
-    raise ValueError(f"Invalid similarity type: {sim}")
+    raise ValueError(f"no such score: {sim!r}; there are {SIMILARITIES}")
 
 
 def score_columns(x: Column, labels: list, vectors: list, sim: str) -> Column:
     """array<double> of scores against each centroid, in label order."""
     if sim not in SIMILARITIES:
-        raise ValueError(f"Invalid similarity type: {sim}")
+        raise ValueError(f"no such score: {sim!r}; there are {SIMILARITIES}")
     if sim == "cosine":
         # normalise the model once, on the driver, before it becomes a literal
         import math

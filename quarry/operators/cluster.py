@@ -47,7 +47,7 @@ def silhouette_sq(df: DataFrame, features: str = "x", cluster: str = "cluster")
     """Mean silhouette with squared Euclidean distance, exact, O(n K)."""
     stats = C.class_average(df.select(cluster, F.col(features).alias("x")), "x", cluster)
     q = df.groupBy(cluster).agg(F.sum(V.dot(features, features)).alias("q"))
-    rows = collect_small(stats.join(q, cluster), 100_000, "cluster sums")
+    rows = collect_small(stats.join(q, cluster), "cluster sums")
     ids = sorted(r[cluster] for r in rows)
     by = {r[cluster]: r for r in rows}
     mus = [list(by[c]["centroid"]) for c in ids]
@@ -67,45 +67,104 @@ def silhouette_sq(df: DataFrame, features: str = "x", cluster: str = "cluster")
     return df.select(means.alias("_m"), cluster).select(F.avg(s).alias("silhouette"))
 
 
+def lloyd_sweep(df: DataFrame, id_col: str, starts: dict[int, list], rounds: int = 2, features: str = "x") -> DataFrame:
+    """(k, inertia, silhouette) after ``rounds`` of Lloyd's updates from the
+    given centers of each k; silhouettes are Euclidean and exact. One pass over
+    the rows serves all k: each batch is summed by (k, cluster) in its task. A
+    cluster that loses all its rows keeps its center."""
+    ks = sorted(starts)
+    centers = {k: np.array(starts[k], float) for k in ks}
+    rows = df.select(F.col(id_col).alias("_id"), F.col(features).cast("array<double>").alias("_x"))
+
+    def nearest(x: np.ndarray, k: int, at: dict) -> tuple[np.ndarray, np.ndarray]:
+        d2 = ((x[:, None, :] - at[k][None]) ** 2).sum(2)
+        own = d2.argmin(1)
+        return own, d2[np.arange(len(x)), own]
+
+    def summed(at):
+        def run(batches):
+            for pdf in batches:
+                for a in range(0, len(pdf), 2048):
+                    x = np.stack(pdf["_x"].iloc[a:a + 2048].to_numpy())
+                    for k in ks:
+                        own, d2 = nearest(x, k, at)
+                        for c in np.unique(own):
+                            mine = own == c
+                            yield pd.DataFrame({"k": [k], "c": [int(c)], "n": [int(mine.sum())], "sse": [float(d2[mine].sum())],
+                                                "s": [x[mine].sum(0).tolist()]})
+        parts = rows.select("_x").mapInPandas(run, "k int, c int, n long, sse double, s array<double>")
+        whole = parts.groupBy("k", "c").agg(F.sum("n").alias("n"), F.sum("sse").alias("sse"))
+        sums = parts.select("k", "c", F.posexplode("s").alias("i", "v")).groupBy("k", "c", "i").agg(F.sum("v").alias("v"))
+        vectors = sums.groupBy("k", "c").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "v"))), lambda t: t["v"]).alias("s"))
+        return collect_small(whole.join(vectors, ["k", "c"]), "cluster sums")
+
+    for _ in range(rounds):
+        nxt = {k: c.copy() for k, c in centers.items()}
+        for r in summed(centers):
+            nxt[r["k"]][r["c"]] = np.array(r["s"]) / r["n"]
+        centers = nxt
+    inertias: dict[int, float] = {}
+    for r in sorted(summed(centers), key=lambda r: (r["k"], r["c"])):
+        inertias[r["k"]] = inertias.get(r["k"], 0.0) + r["sse"]
+
+    def label(batches):
+        for pdf in batches:
+            if len(pdf):
+                x = np.stack(pdf["_x"].to_numpy())
+                yield pdf.assign(**{f"_c{k}": nearest(x, k, centers)[0].astype("int32") for k in ks})
+
+    names = [f"_c{k}" for k in ks]
+    assigned = rows.mapInPandas(label, T.StructType([*rows.schema.fields, *[T.StructField(c, T.IntegerType()) for c in names]]))
+    sil = silhouettes_euclid(assigned, "_id", names, "_x")
+    pick = lambda values: F.element_at(F.array(*[F.lit(v) for v in values]), F.col("clustering") + 1)
+    return sil.select(pick(ks).alias("k"), pick([inertias.get(k, 0.0) for k in ks]).alias("inertia"), "silhouette")
+
+
 def silhouette_euclid(df: DataFrame, id_col: str, features: str = "x", cluster: str = "cluster",
                       tile_rows: int = TILE_ROWS) -> DataFrame:
     """Mean silhouette with Euclidean distance, exact (blocked pair sums)."""
-    n = df.count()
-    t = _tiles(n, tile_rows)
-    base = df.select(F.col(id_col).alias("_id"), F.col(features).cast("array<double>").alias("_x"),
-                     F.col(cluster).alias("_c")).withColumn("_tile", F.pmod(F.xxhash64("_id"), F.lit(t)))
-    left = base.withColumn("_other", F.explode(F.sequence(F.lit(0), F.lit(t - 1))))
-    # fresh aliases: the two co-grouped sides must not share attribute ids,
-    # or the optimizer may prune the right side's value columns
-    right = base.select(F.col("_id").alias("_rid"), F.col("_x").alias("_rx"), F.col("_c").alias("_rc"),
-                        F.col("_tile").alias("_other"), F.explode(F.sequence(F.lit(0), F.lit(t - 1))).alias("_tile"))
-    schema = T.StructType([T.StructField("_id", base.schema["_id"].dataType), T.StructField("_c", base.schema["_c"].dataType),
-                           T.StructField("_to", base.schema["_c"].dataType),
-                           T.StructField("s", T.DoubleType()), T.StructField("n", T.LongType())])
-
-    def block(lp: pd.DataFrame, rp: pd.DataFrame) -> pd.DataFrame:
-        if len(lp) == 0 or len(rp) == 0:
-            return pd.DataFrame({k: [] for k in ("_id", "_c", "_to", "s", "n")})
-        A = np.stack(lp["_x"].to_numpy())
-        B = np.stack(rp["_rx"].to_numpy())
-        d2 = (A * A).sum(1)[:, None] + (B * B).sum(1)[None, :] - 2.0 * A @ B.T
-        D = np.sqrt(np.maximum(d2, 0.0))
-        same = lp["_id"].to_numpy()[:, None] == rp["_rid"].to_numpy()[None, :]
-        D[same] = 0.0
-        rc = rp["_rc"].to_numpy()
+    return silhouettes_euclid(df, id_col, [cluster], features, tile_rows).select("silhouette")
+
+
+def silhouettes_euclid(df: DataFrame, id_col: str, clusters: list[str], features: str = "x",
+                       tile_rows: int = TILE_ROWS) -> DataFrame:
+    """(clustering, silhouette) for several cluster columns at once: each pair
+    of tiles of rows is one group, in one order only, whose distances serve
+    both sides and all clusterings. A group holds two tiles at the most."""
+    t = _tiles(df.count(), tile_rows)
+    base = df.select(F.xxhash64(id_col).alias("_id"), F.col(features).cast("array<double>").alias("_x"),
+                     F.array(*[F.col(c).cast("int") for c in clusters]).alias("_c"), F.pmod(F.xxhash64(id_col), F.lit(t)).cast("int").alias("_t"))
+    pairs = F.transform(F.sequence(F.lit(0), F.lit(t - 1)),
+                        lambda k: F.struct(F.least("_t", k).alias("i"), F.greatest("_t", k).alias("j")))
+    rows = base.withColumn("_w", F.explode(pairs)).select("_id", "_x", "_c", "_t", "_w.i", "_w.j")
+    schema = "_id long, clustering int, own int, other int, s double, n long"
+
+    def block(pdf: pd.DataFrame) -> pd.DataFrame:
+        a, b = pdf["i"].iat[0], pdf["j"].iat[0]
+        tile = pdf["_t"].to_numpy()
         out = []
-        for c in np.unique(rc):
-            m = rc == c
-            out.append(pd.DataFrame({"_id": lp["_id"].to_numpy(), "_c": lp["_c"].to_numpy(), "_to": c,
-                                     "s": D[:, m].sum(1), "n": int(m.sum()) - same[:, m].sum(1)}))
-        return pd.concat(out, ignore_index=True)
-
-    sums = (left.groupBy("_tile", "_other").cogroup(right.groupBy("_tile", "_other")).applyInPandas(block, schema)
-            .groupBy("_id", "_c", "_to").agg(F.sum("s").alias("s"), F.sum("n").alias("n")))
-    own = sums.filter(F.col("_c") == F.col("_to")).select("_id", F.when(F.col("n") > 0, F.col("s") / F.col("n")).alias("a"),
-                                                          F.col("n").alias("n_own"))
-    other = sums.filter(F.col("_c") != F.col("_to")).groupBy("_id").agg(F.min(F.col("s") / F.col("n")).alias("b"))
-    j = own.join(other, "_id", "left")
-    s = F.when((F.col("n_own") == 0) | F.col("b").isNull(), 0.0).otherwise(
-        (F.col("b") - F.col("a")) / F.greatest(F.col("a"), F.col("b")))
-    return j.agg(F.avg(s).alias("silhouette"))
+        sides = [(tile == a, tile == b)] + ([(tile == b, tile == a)] if a != b else [])
+        x, ids, cs = np.stack(pdf["_x"].to_numpy()), pdf["_id"].to_numpy(), np.stack(pdf["_c"].to_numpy())
+        for left, right in sides:
+            A, B = x[left], x[right]
+            if not len(A) or not len(B):
+                continue
+            d2 = (A * A).sum(1)[:, None] + (B * B).sum(1)[None, :] - 2.0 * A @ B.T
+            D = np.sqrt(np.maximum(d2, 0.0))
+            same = ids[left][:, None] == ids[right][None, :]
+            D[same] = 0.0
+            for k in range(cs.shape[1]):
+                seen, at = np.unique(cs[right, k], return_inverse=True)
+                one = np.eye(len(seen))[at]
+                sums, counts = D @ one, one.sum(0)[None, :] - same @ one
+                out.append(pd.DataFrame({"_id": np.repeat(ids[left], len(seen)), "clustering": k, "own": np.repeat(cs[left, k], len(seen)),
+                                         "other": np.tile(seen, len(A)), "s": sums.ravel(), "n": counts.ravel().astype("int64")}))
+        return pd.concat(out, ignore_index=True) if out else pd.DataFrame({c: [] for c in ("_id", "clustering", "own", "other", "s", "n")})
+
+    sums = (rows.groupBy("i", "j").applyInPandas(block, schema)
+            .groupBy("clustering", "_id", "own", "other").agg(F.sum("s").alias("s"), F.sum("n").alias("n")))
+    mean = F.col("s") / F.when(F.col("n") > 0, F.col("n"))
+    is_own = F.col("own") == F.col("other")
+    each = sums.groupBy("clustering", "_id").agg(F.max(F.when(is_own, mean)).alias("a"), F.min(F.when(~is_own, mean)).alias("b"))
+    s = F.when(F.col("a").isNull() | F.col("b").isNull(), 0.0).otherwise((F.col("b") - F.col("a")) / F.greatest("a", "b"))
+    return each.groupBy("clustering").agg(F.avg(s).alias("silhouette"))

@@ -67,7 +67,7 @@ def gram_matrix(g: DataFrame, by_value: tuple = (), by: Sequence[str] = ()) -> n
     sel = g
     for c, v in zip(by, by_value):
         sel = sel.filter(F.col(c) == v)
-    rows = collect_small(sel.select("i", "j", "value"), 4_000_000, "Gram matrix")
+    rows = collect_small(sel.select("i", "j", "value"), "Gram matrix")
     k = max(max(r["i"], r["j"]) for r in rows) + 1
     m = np.zeros((k, k))
     for r in rows:
@@ -77,7 +77,7 @@ def gram_matrix(g: DataFrame, by_value: tuple = (), by: Sequence[str] = ()) -> n
 
 def gram_matrices(g: DataFrame, by: str) -> dict:
     """All Grams of a grouped result, keyed by group value."""
-    rows = collect_small(g.select(by, "i", "j", "value"), 20_000_000, "Gram matrices")
+    rows = collect_small(g.select(by, "i", "j", "value"), "Gram matrices")
     out: dict = {}
     k = max(max(r["i"], r["j"]) for r in rows) + 1
     for r in rows:
@@ -91,7 +91,7 @@ def covariance_long(g: DataFrame) -> DataFrame:
     n = g.filter("i = 0 AND j = 0").first()["value"]  # the row count, one scalar
     s = g.filter("i = 0 AND j > 0").select(F.col("j").alias("k"), F.col("value").alias("s"))
     cells = g.filter("i > 0 AND j > 0")
-    t = (cells.join(F.broadcast(s.withColumnRenamed("k", "i").withColumnRenamed("s", "si")), "i")
-         .join(F.broadcast(s.withColumnRenamed("k", "j").withColumnRenamed("s", "sj")), "j"))
+    t = (cells.join(s.withColumnRenamed("k", "i").withColumnRenamed("s", "si"), "i")
+         .join(s.withColumnRenamed("k", "j").withColumnRenamed("s", "sj"), "j"))
     cov = (F.col("value") - F.col("si") * F.col("sj") / F.lit(n)) / F.lit(n - 1)
     return t.select((F.col("i") - 1).alias("i"), (F.col("j") - 1).alias("j"), cov.alias("cov"))

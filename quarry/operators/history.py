@@ -37,7 +37,7 @@ def best_so_far_segmented(hist: DataFrame, run: str, order: list[str], metric: s
     last improving epoch) comes from a small per-(run, segment) table with a
     prefix window over segments."""
     from quarry.operators.ordering import with_global_index
-    from quarry.operators.small import broadcast_if_small
+    from quarry.session import cut_lineage
     g = with_global_index(hist.select(run, *order, metric), [run, *order], "_g")
     g = g.withColumn("_seg", F.expr(f"_g div {int(segment_rows)}"))
 
@@ -50,19 +50,20 @@ def best_so_far_segmented(hist: DataFrame, run: str, order: list[str], metric: s
     sstat = g.groupBy(run, "_seg").agg(F.max(metric).alias("_smax"), F.min("_g").alias("_gmin"))
     carry = sstat.select(run, "_seg", F.max("_smax").over(seg).alias("_carry"),
                          F.min("_gmin").over(Window.partitionBy(run)).alias("_g0"))
-    h = g.join(broadcast_if_small(carry), [run, "_seg"])
+    h = g.join(carry, [run, "_seg"])
     h = h.withColumn("epoch", F.col("_g") - F.col("_g0") + 1).drop("_g0")
     prev = F.greatest(F.lit(initial_best), F.coalesce(F.col("_carry"), F.lit(initial_best)),
                       F.coalesce(F.max(metric).over(local_prev), F.lit(initial_best)))
     h = h.withColumn("_prev", prev).withColumn("improved", F.col(metric) > F.col("_prev"))
     h = h.withColumn("best_so_far", F.greatest(F.col("_prev"), F.col(metric)))
     h = h.withColumn("_llast", F.max(F.when(F.col("improved"), F.col("epoch"))).over(local_cur))
+    h = cut_lineage(h)  # the windows run once; the carries below are taken from the result
     slast = h.groupBy(run, "_seg").agg(F.max(F.when(F.col("improved"), F.col("epoch"))).alias("_sl"))
     lcarry = slast.select(run, "_seg", F.max("_sl").over(seg).alias("_lc"))
-    h = h.join(broadcast_if_small(lcarry), [run, "_seg"])
+    h = h.join(lcarry, [run, "_seg"])
     last = F.coalesce(F.col("_llast"), F.col("_lc"), F.lit(0))
     h = h.withColumn("stale", (F.col("epoch") - last).cast("int"))
     stop = h.groupBy(run).agg(F.min(F.when(F.col("stale") >= patience, F.col("epoch"))).alias("_fs"))
-    h = h.join(broadcast_if_small(stop), run)
+    h = h.join(stop, run)
     return (h.withColumn("stop", F.coalesce(F.col("epoch") == F.col("_fs"), F.lit(False)))
             .drop("_g", "_seg", "_carry", "_prev", "_llast", "_lc", "_fs"))

@@ -11,14 +11,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.operators.small import broadcast_if_small
-
 
 def matmul_long(a: DataFrame, b: DataFrame, a_row: str, inner: str, b_col: str,
                 value: str = "v") -> DataFrame:
     """C = A B with A as (a_row, inner, value) and B as (inner, b_col, value)."""
     left = a.select(F.col(a_row), F.col(inner), F.col(value).alias("_va"))
-    right = broadcast_if_small(b.select(F.col(inner), F.col(b_col), F.col(value).alias("_vb")))
+    right = b.select(F.col(inner), F.col(b_col), F.col(value).alias("_vb"))
     return (left.join(right, inner)
             .groupBy(a_row, b_col).agg(F.sum(F.col("_va") * F.col("_vb")).alias("value")))
 

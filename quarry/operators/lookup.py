@@ -1,39 +1,23 @@
-"""Index -> vector lookups against a small (checked) table."""
+"""Index -> vector lookups."""
 
 from __future__ import annotations
 
-from typing import Sequence
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import types as T
-
+from pyspark.sql import functions as F
 
-def pooled_lookup(df: DataFrame, ids: str, table: dict, keys: Sequence[str]) -> DataFrame:
-    """Mean of the looked-up vectors of each row's index array (unknown
-    indices skipped): (keys..., n, pooled). ``table`` is a small model that
-    the closure ships to every task once."""
-    keys = list(keys)
-    known = np.array(sorted(table), dtype=np.int64)
-    mat = np.array([table[k] for k in known], dtype=float) if len(known) else np.zeros((0, 0))
-    d = mat.shape[1] if mat.size else 0
-    schema = T.StructType([df.schema[k] for k in keys] + [
-        T.StructField("n", T.LongType()), T.StructField("pooled", T.ArrayType(T.DoubleType()))])
 
-    def fn(batches):
-        for pdf in batches:
-            ns, pooled = [], []
-            for arr in pdf[ids]:
-                a = np.asarray(arr if arr is not None else [], dtype=np.int64)
-                pos = np.searchsorted(known, a)
-                ok = (pos < len(known)) & (known[np.minimum(pos, len(known) - 1)] == a) if len(known) else np.zeros(len(a), bool)
-                sel = pos[ok]
-                ns.append(int(sel.size))
-                pooled.append(mat[sel].mean(axis=0).tolist() if sel.size else [0.0] * d)
-            out = pdf[keys].copy()
-            out["n"] = ns
-            out["pooled"] = pooled
-            yield out
+def pooled_lookup(df: DataFrame, ids: str, table: DataFrame, width: int) -> DataFrame:
+    """Add (n, pooled): how many of a row's indices ``table`` (idx, x) knows and
+    the mean of their vectors (null where n = 0).
 
-    return df.select(*keys, ids).mapInPandas(fn, schema)
+    Each distinct index array is looked up once (arrays are told apart by a
+    128-bit hash). An index that occurs often in an array is joined once, with
+    its count, and the sums of the ``width`` coordinates combine map-side."""
+    names = df.columns
+    h = df.withColumns({"_h": F.xxhash64(ids), "_g": F.xxhash64(F.lit(1), F.col(ids))})
+    each = h.select("_h", "_g", F.col(ids).alias("_ids")).dropDuplicates(["_h", "_g"])
+    counts = each.select("_h", "_g", F.explode("_ids").alias("_i")).groupBy("_h", "_g", "_i").agg(F.count("*").alias("_n"))
+    j = counts.join(table.select(F.col("idx").alias("_i"), F.col("x").alias("_x")), "_i")
+    sums = j.groupBy("_h", "_g").agg(F.sum("_n").alias("n"), *[F.sum(F.col("_n") * F.get("_x", F.lit(k))).alias(f"_s{k}") for k in range(width)])
+    pooled = sums.select("_h", "_g", "n", F.array(*[F.col(f"_s{k}") / F.col("n") for k in range(width)]).alias("pooled"))
+    return h.join(pooled, ["_h", "_g"], "left").select(*names, F.coalesce("n", F.lit(0)).cast("long").alias("n"), "pooled")

@@ -7,13 +7,12 @@ metrics cost one pass over the data however large it is.
 
 from __future__ import annotations
 
+from typing import Sequence
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
-from quarry.operators.small import collect_small
 
-MAX_CLASSES = 10_000
+from quarry.session import cut_lineage
 
 
 def accuracy(df: DataFrame, y: str = "label", p: str = "pred", by: list[str] | None = None) -> DataFrame:
@@ -26,47 +25,33 @@ def mse_rmse(df: DataFrame, y: str = "y", p: str = "pred", by: list[str] | None
     return df.groupBy(*(by or [])).agg(F.avg(e2).alias("mse"), F.sqrt(F.avg(e2)).alias("rmse"))
 
 
-MAX_CELLS_COLLECT = 1_000_000
-
-
 def confusion(df: DataFrame, y: str = "label", p: str = "pred") -> DataFrame:
-    """(actual, predicted, n) over the union of seen classes, zero cells kept.
-
-    The counts are one partial+final aggregation. When the cell table is
-    small (checked) it is collected once and the zero-filled K x K grid is
-    rebuilt as a JVM literal table; otherwise the grid is generated on the
-    executors from the class list and left-joined to the counts."""
-    spark = df.sparkSession
-    counts = df.groupBy(F.col(y).alias("actual"), F.col(p).alias("predicted")).agg(F.count("*").alias("n"))
-    dtype = df.schema[y].dataType
-    from quarry.operators.small import local_frame
-    rows = counts.limit(MAX_CELLS_COLLECT + 1).collect()
-    if len(rows) <= MAX_CELLS_COLLECT:
-        cells = {(r["actual"], r["predicted"]): r["n"] for r in rows}
-        classes = sorted({a for a, _ in cells} | {b for _, b in cells})
-        if len(classes) ** 2 <= MAX_CELLS_COLLECT:
-            grid = [(a, b, int(cells.get((a, b), 0))) for a in classes for b in classes]
-            schema = T.StructType([T.StructField("actual", dtype), T.StructField("predicted", dtype),
-                                   T.StructField("n", T.LongType())])
-            return local_frame(spark, grid, schema)
-    classes = sorted({r[0] for r in collect_small(
-        counts.select(F.col("actual").alias("c")).union(counts.select(F.col("predicted").alias("c"))).distinct(),
-        MAX_CLASSES, "class list")})
-    # K x K cells generated on the executors from the (checked) class list
-    import json
-    lit = F.from_json(F.lit(json.dumps(classes)), T.ArrayType(dtype)) if classes else F.array().cast(T.ArrayType(dtype))
-    base = spark.range(1).select(F.explode(lit).alias("actual"))
-    grid = base.select("actual", F.explode(lit).alias("predicted"))
-    return (grid.join(counts, ["actual", "predicted"], "left")
-            .select("actual", "predicted", F.coalesce("n", F.lit(0)).cast("long").alias("n")))
-
-
-def per_class(conf: DataFrame) -> DataFrame:
-    """(cls, tp, support, predicted, precision, recall, f1); undefined -> 0."""
-    tp = conf.filter(F.col("actual") == F.col("predicted")).select(F.col("actual").alias("cls"), F.col("n").alias("tp"))
-    sup = conf.groupBy(F.col("actual").alias("cls")).agg(F.sum("n").alias("support"))
-    pred = conf.groupBy(F.col("predicted").alias("cls")).agg(F.sum("n").alias("npred"))
-    t = tp.join(sup, "cls").join(pred, "cls")
+    """(actual, predicted, n) over the union of seen classes, zero cells kept."""
+    return confusion_grid(df.groupBy(F.col(y).alias("actual"), F.col(p).alias("predicted")).agg(F.count("*").alias("n")))
+
+
+def confusion_grid(counts: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Counts (by..., actual, predicted, n), zero cells filled in: K x K rows
+    for the K classes seen on either side. The counts are written once; the
+    classes of each group become one array, exploded twice."""
+    by = list(by)
+    counts = cut_lineage(counts)
+    seen = (counts.select(*by, F.explode(F.array("actual", "predicted")).alias("c"))
+            .groupBy(*by).agg(F.collect_set("c").alias("cs")))
+    grid = seen.select(*by, F.explode("cs").alias("actual"), "cs").select(*by, "actual", F.explode("cs").alias("predicted"))
+    return (grid.join(counts, [*by, "actual", "predicted"], "left")
+            .select(*by, "actual", "predicted", F.coalesce("n", F.lit(0)).cast("long").alias("n")))
+
+
+def per_class(conf: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """(by..., cls, tp, support, npred, precision, recall, f1); undefined -> 0.
+    Each cell counts for its row's and its column's class, in one aggregation."""
+    hit = F.when(F.col("actual") == F.col("predicted"), F.col("n")).otherwise(0)
+    sides = F.array(F.struct(F.col("actual").alias("cls"), hit.alias("tp"), F.col("n").alias("support"), F.lit(0).cast("long").alias("npred")),
+                    F.struct(F.col("predicted").alias("cls"), F.lit(0).cast("long").alias("tp"), F.lit(0).cast("long").alias("support"),
+                             F.col("n").alias("npred")))
+    t = conf.select(*by, F.explode(sides).alias("s")).groupBy(*by, F.col("s.cls").alias("cls")).agg(
+        *[F.sum(f"s.{c}").alias(c) for c in ("tp", "support", "npred")])
     prec = F.when(F.col("npred") > 0, F.col("tp") / F.col("npred")).otherwise(0.0)
     rec = F.when(F.col("support") > 0, F.col("tp") / F.col("support")).otherwise(0.0)
     t = t.withColumn("precision", prec).withColumn("recall", rec)
@@ -95,26 +80,18 @@ def class_report(conf: DataFrame) -> DataFrame:
     return rows.unionByName(acc).unionByName(mac).unionByName(wei)
 
 
-def f1_weighted(conf: DataFrame) -> DataFrame:
-    pc = per_class(conf)
-    return pc.agg((F.sum(F.col("f1") * F.col("support")) / F.sum("support")).alias("f1_weighted"))
+def f1_weighted(conf: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    pc = per_class(conf, by)
+    return pc.groupBy(*by).agg((F.sum(F.col("f1") * F.col("support")) / F.sum("support")).alias("f1_weighted"),
+                               (F.sum("tp") / F.sum("support")).alias("accuracy"))
 
 
 def mcc(conf: DataFrame) -> DataFrame:
     """Multi-class Matthews correlation (0 when undefined)."""
-    t = conf.groupBy(F.col("actual").alias("k")).agg(F.sum("n").alias("t"))
-    p = conf.groupBy(F.col("predicted").alias("k")).agg(F.sum("n").alias("p"))
-    # per-class marginals (K rows) -> one row of sums; c = trace
-    kk = (t.join(p, "k", "full").na.fill(0)
-          .select(F.lit(1).alias("_one"), "t", "p",
-                  F.lit(0).cast("long").alias("c"))
-          .unionByName(conf.filter(F.col("actual") == F.col("predicted"))
-                       .select(F.lit(1).alias("_one"), F.lit(0).cast("long").alias("t"),
-                               F.lit(0).cast("long").alias("p"), F.col("n").alias("c"))))
-    s = kk.groupBy("_one").agg(
-        F.sum("t").cast("double").alias("s"), F.sum(F.col("t") * F.col("p")).cast("double").alias("tp_"),
-        F.sum(F.col("t") * F.col("t")).cast("double").alias("tt"),
-        F.sum(F.col("p") * F.col("p")).cast("double").alias("pp"), F.sum("c").cast("double").alias("c"))
+    total = lambda c: F.sum(F.col(c).cast("double"))
+    square = lambda a, b: F.sum(F.col(a).cast("double") * F.col(b))
+    s = per_class(conf).agg(total("support").alias("s"), square("support", "npred").alias("tp_"), square("support", "support").alias("tt"),
+                            square("npred", "npred").alias("pp"), total("tp").alias("c"))
     num = F.col("c") * F.col("s") - F.col("tp_")
     den = F.sqrt((F.col("s") * F.col("s") - F.col("pp")) * (F.col("s") * F.col("s") - F.col("tt")))
     return s.select(F.when(den > 0, num / den).otherwise(0.0).alias("mcc"))
@@ -142,15 +119,21 @@ def softmax_group(scores: DataFrame, group: list[str], score: str = "score", out
     return scores.withColumn(out, e / F.sum(e).over(w))
 
 
+def sample_losses(scores: DataFrame, truth: DataFrame, id_col: str = "vec_id", cls: str = "cls", score: str = "score",
+                  label: str = "label", ignore_index: int | None = -100, keep: Sequence[str] = ()) -> DataFrame:
+    """(id, keep..., loss = -log softmax(score)[label]) of the kept rows. The
+    log-sum is an aggregate per row's class list, joined back by the id."""
+    t = truth.select(id_col, F.col(label).alias("_y"), *keep)
+    if ignore_index is not None:
+        t = t.filter(F.col("_y") != ignore_index)
+    j = scores.join(t, id_col).groupBy(id_col, *keep).agg(
+        F.max(score).alias("_m"), F.collect_list(score).alias("_s"), F.max(F.when(F.col(cls) == F.col("_y"), F.col(score))).alias("_own"))
+    total = F.aggregate("_s", F.lit(0.0), lambda a, s: a + F.exp(s - F.col("_m")))
+    return j.filter(F.col("_own").isNotNull()).select(id_col, *keep, (F.col("_m") + F.log(total) - F.col("_own")).alias("loss"))
+
+
 def cross_entropy(scores: DataFrame, truth: DataFrame, id_col: str = "vec_id", cls: str = "cls",
                   score: str = "score", label: str = "label", ignore_index: int | None = -100) -> DataFrame:
     """Mean of -log softmax(score)[label] over kept rows (sample-weighted)."""
-    w = Window.partitionBy(id_col)
-    m = F.max(score).over(w)
-    lse = m + F.log(F.sum(F.exp(F.col(score) - m)).over(w))
-    ls = scores.withColumn("_logp", F.col(score) - lse)
-    t = truth.select(id_col, F.col(label).alias("_y"))
-    if ignore_index is not None:
-        t = t.filter(F.col("_y") != ignore_index)
-    j = ls.join(t, id_col).filter(F.col(cls) == F.col("_y"))
-    return j.agg((-F.avg("_logp")).alias("cross_entropy"), F.count("*").alias("n"))
+    return sample_losses(scores, truth, id_col, cls, score, label, ignore_index).agg(
+        F.avg("loss").alias("cross_entropy"), F.count("*").alias("n"))

@@ -18,8 +18,7 @@ import numpy as np
 import pandas as pd
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import (DecisionTreeClassifier, GBTClassifier, LinearSVC, LogisticRegression,
-                                       MultilayerPerceptronClassifier, RandomForestClassifier)
-from pyspark.ml.clustering import KMeans
+                                       MultilayerPerceptronClassifier, OneVsRest, RandomForestClassifier)
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import DataFrame
@@ -45,6 +44,24 @@ def linear_svm(train: DataFrame, C: float = 1.0, label: str = "label", max_iter:
     return LinearSVC(featuresCol="features", labelCol=label, regParam=1.0 / (C * n), maxIter=max_iter).fit(train)
 
 
+def svm_estimator(train: DataFrame, C: float = 1.0, max_iter: int = 100):
+    return LinearSVC(featuresCol="features", labelCol="label", regParam=1.0 / (C * train.count()), maxIter=max_iter)
+
+
+def boosting_estimator(max_iter: int = 20, max_depth: int = 5, seed: int = 42):
+    return GBTClassifier(featuresCol="features", labelCol="label", maxIter=max_iter, maxDepth=max_depth, seed=seed)
+
+
+def fit_rows(train: DataFrame) -> DataFrame:
+    """The columns that a fit reads, kept for its many passes; unpersist after."""
+    return train.select("features", "label").persist()
+
+
+def one_vs_rest(estimator, train: DataFrame, parallelism: int = 8):
+    """A two-class estimator for any number of classes, the fits side by side."""
+    return OneVsRest(classifier=estimator, featuresCol="features", labelCol="label", parallelism=parallelism).fit(train)
+
+
 def rff_transform(df: DataFrame, x: str, d_out: int, gamma: float, seed: int = 42, out: str = "rff") -> DataFrame:
     """Random Fourier features for the RBF kernel exp(-gamma |x - y|²); the
     projection (d x D, a small model) ships with the closure and each Arrow
@@ -89,10 +106,6 @@ def forest_regressor(train: DataFrame, n_trees: int = 100, label: str = "y", see
                                  seed=seed).fit(train)
 
 
-def boosting(train: DataFrame, label: str = "label", max_iter: int = 20, seed: int = 42):
-    return GBTClassifier(featuresCol="features", labelCol=label, maxIter=max_iter, seed=seed).fit(train)
-
-
 def mlp(train: DataFrame, layers: Sequence[int], label: str = "label", max_iter: int = 100, seed: int = 42):
     return MultilayerPerceptronClassifier(featuresCol="features", labelCol=label, layers=list(layers),
                                           maxIter=max_iter, seed=seed).fit(train)
@@ -161,24 +174,6 @@ def stacking(train: DataFrame, test: DataFrame, id_col: str, k: int = 5, label:
     return predict(meta, with_vector(tz, "z"), id_col, label)
 
 
-def kmeans_sweep(df: DataFrame, ks, seed: int = 42, x: str = "x") -> DataFrame:
-    """(k, inertia, silhouette) for each k; silhouette is the exact squared
-    Euclidean one (O(n k))."""
-    from quarry.operators.cluster import silhouette_sq
-    v = with_vector(df, x).cache()
-    rows = []
-    try:
-        for k in ks:
-            m = KMeans(featuresCol="features", k=k, seed=seed, maxIter=50).fit(v)
-            a = m.transform(v).withColumnRenamed("prediction", "cluster")
-            s = silhouette_sq(a, x, "cluster").first()["silhouette"]
-            rows.append((int(k), float(m.summary.trainingCost), float(s)))
-    finally:
-        v.unpersist()
-    from quarry.operators.small import local_frame
-    return local_frame(df.sparkSession, rows, "k int, inertia double, silhouette double")
-
-
 def pipeline_regression(train: DataFrame, cols: Sequence[str], label: str):
     from pyspark.ml.feature import StandardScaler, VectorAssembler
     from pyspark.ml.regression import LinearRegression

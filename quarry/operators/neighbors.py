@@ -1,12 +1,14 @@
 """Exact and approximate nearest neighbours without a cross join.
 
-Exact search is a blocked nested loop expressed as a co-grouped join:
-both sides are cut into hash tiles of at most ``tile_rows`` rows; every
-(query tile, reference tile) pair is one group of a ``cogroup`` whose task
-computes the distance block with numpy and keeps only the k best per query.
-So no pair is ever materialised as a row, no group exceeds two tiles, and a
-final ``row_number() <= k`` over at most k * tiles candidates per query
-gives the exact answer (ties: distance, then reference id).
+Exact search holds a block of queries (bounded in bytes) and streams the
+reference past it: each task compares the block with the rows it reads, by
+matrix product, and keeps the k best per query. The reference isn't shuffled;
+what is shuffled is k candidates per query and batch, and the best k of them
+per query are the answer (ties: distance, then reference id). Further blocks of
+queries are further passes.
+
+Approximate search clusters the reference and looks into the clusters whose
+centers are nearest to the query.
 """
 
 from __future__ import annotations
@@ -19,7 +21,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quarry.operators.small import collect_small
+from quarry.session import cut_lineage
+
 TILE_ROWS = 4096
+BLOCK_BYTES = 8 << 20   # of query vectors that are held at once
 
 
 def _tiles(n: int, tile_rows: int) -> int:
@@ -51,59 +57,64 @@ def _exact_rows(q: np.ndarray, t: np.ndarray, metric: str) -> np.ndarray:
     return 1.0 - (qn * tn).sum(1)
 
 
+def _nearest_of(qid: np.ndarray, Q: np.ndarray, rid: np.ndarray, R: np.ndarray, k: int, metric: str,
+                exclude_self: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query position, reference position, distance) of the k nearest."""
+    D = _pair_block(Q, R, metric)
+    if exclude_self:
+        D = np.where(qid[:, None] == rid[None, :], np.inf, D)
+    # a few more candidates guard the exact tie order among near-equal products
+    m = min(D.shape[1], k + 8)
+    part = np.argpartition(D, m - 1, axis=1)[:, :m] if m < D.shape[1] else np.tile(np.arange(D.shape[1]), (len(qid), 1))
+    qi, ri = np.repeat(np.arange(len(qid)), part.shape[1]), part.ravel()
+    d = _exact_rows(Q[qi], R[ri], metric)
+    keep = np.isfinite(D[qi, ri])
+    qi, ri, d = qi[keep], ri[keep], d[keep]
+    order = np.lexsort((rid[ri], d, qi))
+    qi, ri, d = qi[order], ri[order], d[order]
+    first = np.searchsorted(qi, qi)  # where each query's candidates begin
+    top = np.arange(len(qi)) - first < k
+    return qi[top], ri[top], d[top]
+
+
 def knn(queries: DataFrame, ref: DataFrame, k: int, q_id: str = "qid", r_id: str = "rid",
-        features: str = "x", metric: str = "euclid", tile_rows: int = TILE_ROWS,
-        exclude_self: bool = False) -> DataFrame:
+        features: str = "x", metric: str = "euclid", exclude_self: bool = False) -> DataFrame:
     """(qid, rid, dist, rank) for the k nearest reference rows of each query.
 
     ``queries`` has (q_id, features), ``ref`` has (r_id, features, ...extra
     columns carried to the output)."""
     extra = [c for c in ref.columns if c not in (r_id, features)]
-    nq, nr = queries.count(), ref.count()
-    tq, tr = _tiles(nq, tile_rows), _tiles(nr, tile_rows)
-    qs = (queries.select(F.col(q_id).alias("_qid"), F.col(features).cast("array<double>").alias("_x"))
-          .withColumn("_qt", F.pmod(F.xxhash64("_qid"), F.lit(tq)))
-          .withColumn("_rt", F.explode(F.sequence(F.lit(0), F.lit(tr - 1)))))
-    rs = (ref.select(F.col(r_id).alias("_rid"), F.col(features).cast("array<double>").alias("_y"), *extra)
-          .withColumn("_rt", F.pmod(F.xxhash64("_rid"), F.lit(tr)))
-          .withColumn("_qt", F.explode(F.sequence(F.lit(0), F.lit(tq - 1)))))
-    qtype, rtype = qs.schema["_qid"].dataType, rs.schema["_rid"].dataType
-    schema = T.StructType([T.StructField("_qid", qtype), T.StructField("_rid", rtype),
-                           T.StructField("dist", T.DoubleType())])
-
-    def block(qp: pd.DataFrame, rp: pd.DataFrame) -> pd.DataFrame:
-        if len(qp) == 0 or len(rp) == 0:
-            return pd.DataFrame({"_qid": pd.Series([], dtype=object), "_rid": pd.Series([], dtype=object),
-                                 "dist": pd.Series([], dtype=float)})
-        Q = np.stack(qp["_x"].to_numpy())
-        Rm = np.stack(rp["_y"].to_numpy())
-        qid = qp["_qid"].to_numpy()
-        rid = rp["_rid"].to_numpy()
-        D = _pair_block(Q, Rm, metric)
-        if exclude_self:
-            D = np.where(qid[:, None] == rid[None, :], np.inf, D)
-        kk = min(k, D.shape[1])
-        # a slack of candidates guards the exact tie order among near-equal BLAS values
-        m = min(D.shape[1], kk + 8)
-        part = np.argpartition(D, m - 1, axis=1)[:, :m] if m < D.shape[1] else np.tile(np.arange(D.shape[1]), (len(qid), 1))
-        qi = np.repeat(np.arange(len(qid)), part.shape[1])
-        ri = part.ravel()
-        d = _exact_rows(Q[qi], Rm[ri], metric)
-        if exclude_self:
-            d = np.where(qid[qi] == rid[ri], np.inf, d)
-        out = pd.DataFrame({"_q": qi, "_qid": qid[qi], "_rid": rid[ri], "dist": d})
-        out = out[np.isfinite(out["dist"])]
-        out = out.sort_values(["_q", "dist", "_rid"]).groupby("_q", sort=False).head(kk)
-        return out[["_qid", "_rid", "dist"]]
-
-    cand = (qs.groupBy("_qt", "_rt").cogroup(rs.select("_qt", "_rt", "_rid", "_y").groupBy("_qt", "_rt"))
-            .applyInPandas(block, schema))
+    qs = queries.select(F.col(q_id).alias("_qid"), F.col(features).cast("array<double>").alias("_x"))
+    rs = ref.select(F.col(r_id).alias("_rid"), F.col(features).cast("array<double>").alias("_y"), *extra)
+    one = qs.first()
+    width = len(one["_x"]) if one else 1
+    blocks = _tiles(qs.count(), max(1, BLOCK_BYTES // (8 * width)))
+    schema = T.StructType([qs.schema["_qid"], T.StructField("_rid", rs.schema["_rid"].dataType), T.StructField("dist", T.DoubleType()),
+                           *[rs.schema[c] for c in extra]])
+
+    def search(block: list):
+        qid, Q = np.array([r["_qid"] for r in block]), np.array([r["_x"] for r in block], float)
+
+        def run(batches):
+            for batch in batches:
+                for at in range(0, len(batch), 1024):
+                    pdf = batch.iloc[at:at + 1024]
+                    qi, ri, d = _nearest_of(qid, Q, pdf["_rid"].to_numpy(), np.stack(pdf["_y"].to_numpy()), k, metric, exclude_self)
+                    out = pdf.iloc[ri][["_rid", *extra]].reset_index(drop=True)
+                    out.insert(0, "_qid", qid[qi])
+                    out.insert(2, "dist", d)
+                    yield out
+
+        return rs.mapInPandas(run, schema)
+
+    found = None
+    for b in range(blocks):
+        block = qs.where(F.pmod(F.xxhash64("_qid"), F.lit(blocks)) == b).collect()
+        part = search(block) if block else rs.mapInPandas(lambda batches: iter(()), schema)
+        found = part if found is None else found.unionByName(part)
     w = Window.partitionBy("_qid").orderBy("dist", "_rid")
-    top = cand.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
-    out = top.select(F.col("_qid").alias(q_id), F.col("_rid").alias(r_id), "dist", F.col("rank").cast("int").alias("rank"))
-    if extra:
-        out = out.join(ref.select(r_id, *extra), r_id)
-    return out
+    top = found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    return top.select(F.col("_qid").alias(q_id), F.col("_rid").alias(r_id), "dist", F.col("rank").cast("int").alias("rank"), *extra)
 
 
 def knn_classify(nn: DataFrame, q_id: str, label: str) -> DataFrame:
@@ -121,94 +132,72 @@ def knn_regress(nn: DataFrame, q_id: str, target: str) -> DataFrame:
     return nn.groupBy(q_id).agg(F.avg(target).alias("pred"))
 
 
-def _block_topk_fn(k: int, metric: str):
+def knn_clustered(queries: DataFrame, ref: DataFrame, k: int, q_id: str = "qid", r_id: str = "rid",
+                  features: str = "x", nprobe: int = 8, tile_rows: int = TILE_ROWS, seed: int = 42) -> DataFrame:
+    """Approximate Euclidean kNN with a clustered index: (qid, rid, dist, rank).
+
+    The centers are the ceil(sqrt(n)) reference rows with the lowest seeded
+    hash; every reference row belongs to the nearest center (ties: the center
+    of lower number), and a query looks into the ``nprobe`` nearest clusters.
+    Clusters and the queries that visit them are cut into tiles of about
+    ``tile_rows`` rows, so a large cluster is many tasks' work. Recall grows
+    with ``nprobe``; :func:`recall` measures it."""
+    from quarry.functions.hashing import hash_u60
+    r = ref.select(F.col(r_id).alias("_rid"), F.col(features).cast("array<double>").alias("_y"))
+    q = queries.select(F.col(q_id).alias("_qid"), F.col(features).cast("array<double>").alias("_x"))
+    n = r.count()
+    init = collect_small(r.withColumn("_h", hash_u60(seed, "_rid")).orderBy("_h", "_rid").limit(math.ceil(math.sqrt(n))).select("_y"), "centers")
+    centers = np.array([x["_y"] for x in init], float)
+
+    def near(x: np.ndarray, m: int) -> np.ndarray:
+        """Numbers of the m nearest centers of each row, nearest first."""
+        qi, ci, _ = _nearest_of(np.arange(len(x)), x, np.arange(len(centers)), centers, m, "euclid")
+        return ci.reshape(len(x), -1)
+
+    def assign(batches):
+        for pdf in batches:
+            for at in range(0, len(pdf), 1024):
+                part = pdf.iloc[at:at + 1024]
+                yield part.assign(_c=near(np.stack(part["_y"].to_numpy()), 1)[:, 0].astype("int32"))
+
+    def probe(batches):
+        for pdf in batches:
+            for at in range(0, len(pdf), 1024):
+                part = pdf.iloc[at:at + 1024]
+                yield part.assign(_c=list(near(np.stack(part["_x"].to_numpy()), min(nprobe, len(centers))).astype("int32")))
+
+    if not n:
+        return queries.join(ref, F.lit(False)).select(q_id, r_id, F.lit(0.0).alias("dist"), F.lit(1).alias("rank"))
+    ra = cut_lineage(r.mapInPandas(assign, T.StructType([*r.schema.fields, T.StructField("_c", T.IntegerType())])))
+    qa = cut_lineage(q.mapInPandas(probe, T.StructType([*q.schema.fields, T.StructField("_c", T.ArrayType(T.IntegerType()))]))
+                     .withColumn("_c", F.explode("_c")))
+    tiles = lambda df, name: df.groupBy("_c").agg(F.ceil(F.count("*") / tile_rows).cast("int").alias(name))
+    sizes = tiles(ra, "_nr").join(tiles(qa, "_nq"), "_c")
+    own = lambda c, m: F.pmod(F.xxhash64(c), F.col(m)).cast("int")
+    every = lambda m: F.explode(F.sequence(F.lit(0), F.col(m) - 1))
+    rs = ra.join(sizes, "_c").select("_rid", "_y", "_c", own("_rid", "_nr").alias("_rt"), every("_nq").alias("_qt"))
+    qs = qa.join(sizes, "_c").select("_qid", "_x", F.col("_c").alias("_qc"), own("_qid", "_nq").alias("_qq"), every("_nr").alias("_qr"))
+    schema = T.StructType([q.schema["_qid"], T.StructField("_rid", r.schema["_rid"].dataType), T.StructField("dist", T.DoubleType())])
+
     def block(qp: pd.DataFrame, rp: pd.DataFrame) -> pd.DataFrame:
         if len(qp) == 0 or len(rp) == 0:
-            return pd.DataFrame({"_qid": pd.Series([], dtype="int64"), "_rid": pd.Series([], dtype="int64"),
-                                 "dist": pd.Series([], dtype=float)})
-        Q = np.stack(qp["_x"].to_numpy())
-        Rm = np.stack(rp["_y"].to_numpy())
+            return pd.DataFrame({"_qid": pd.Series([], dtype="int64"), "_rid": pd.Series([], dtype="int64"), "dist": pd.Series([], dtype=float)})
         qid, rid = qp["_qid"].to_numpy(), rp["_rid"].to_numpy()
-        D = _pair_block(Q, Rm, metric)
-        m = min(D.shape[1], k + 8)
-        part = np.argpartition(D, m - 1, axis=1)[:, :m] if m < D.shape[1] else np.tile(np.arange(D.shape[1]), (len(qid), 1))
-        qi = np.repeat(np.arange(len(qid)), part.shape[1])
-        ri = part.ravel()
-        out = pd.DataFrame({"_q": qi, "_qid": qid[qi], "_rid": rid[ri], "dist": _exact_rows(Q[qi], Rm[ri], metric)})
-        out = out.sort_values(["_q", "dist", "_rid"]).groupby("_q", sort=False).head(min(k, D.shape[1]))
-        return out[["_qid", "_rid", "dist"]]
-    return block
-
-
-def knn_indexed(queries: DataFrame, ref: DataFrame, k: int, q_id: str = "qid", r_id: str = "rid",
-                features: str = "x", n_clusters: int = 16, nprobe: int = 3, tile_rows: int = TILE_ROWS,
-                seed: int = 42) -> DataFrame:
-    """Exact Euclidean kNN with a clustered index (inverted-file search).
-
-    The reference side is clustered (seeded centers, two Lloyd rounds); each
-    cluster is cut into hash tiles of at most ``tile_rows`` rows, so a
-    cluster holding a third of the data is just many tiles. A query is
-    compared only with the tiles of its ``nprobe`` nearest clusters. Its
-    answer is then *certified*: every unprobed cluster C is at distance at
-    least |q - c_C| - r_C (triangle inequality, r_C = cluster radius); if the
-    k-th distance found is within that bound the answer is exact. Queries
-    that cannot be certified are answered by the full tiled search, so the
-    result always equals exact kNN while most work is pruned on clustered
-    data."""
-    from quarry.functions import vec as V
-    from quarry.functions.hashing import hash_u60
-    from quarry.operators.cluster import assign, kmeans_step
-    from quarry.operators.small import collect_small
-
-    r = ref.select(F.col(r_id).alias("_rid"), F.col(features).cast("array<double>").alias("_y"))
-    init = collect_small(r.withColumn("_h", hash_u60(seed, "_rid")).orderBy("_h", "_rid").limit(n_clusters)
-                         .select("_y"), n_clusters, "initial centers")
-    centers = [list(x["_y"]) for x in init]
-    ids = list(range(len(centers)))
-    for _ in range(2):
-        st = collect_small(kmeans_step(r.withColumnRenamed("_y", "x"), centers, ids), n_clusters, "centers")
-        by = {x["cluster"]: list(x["centroid"]) for x in st}
-        centers = [by.get(i, centers[i]) for i in ids]
-    ra = assign(r.withColumnRenamed("_y", "x"), centers, ids, "x", "_c").withColumnRenamed("x", "_y")
-    pos = F.col("_c") + 1
-    ra = ra.withColumn("_d", V.euclid("_y", F.element_at(V.lit_matrix(centers), pos)))
-    stats = {x["_c"]: (x["n"], x["rad"]) for x in collect_small(
-        ra.groupBy("_c").agg(F.count("*").alias("n"), F.max("_d").alias("rad")), n_clusters, "cluster stats")}
-    sizes = [stats.get(i, (0, 0.0))[0] for i in ids]
-    radii = [stats.get(i, (0, 0.0))[1] for i in ids]
-    ctiles = [_tiles(n, tile_rows) for n in sizes]
-    nq = queries.count()
-    tq = _tiles(nq, tile_rows)
-    probe = min(nprobe, len(ids))
+        qi, ri, d = _nearest_of(qid, np.stack(qp["_x"].to_numpy()), rid, np.stack(rp["_y"].to_numpy()), k, "euclid")
+        return pd.DataFrame({"_qid": qid[qi], "_rid": rid[ri], "dist": d})
 
-    q = queries.select(F.col(q_id).alias("_qid"), F.col(features).cast("array<double>").alias("_x"))
-    cd = F.transform(V.lit_matrix(centers), lambda c: V.euclid("_x", c))
-    q = q.withColumn("_cd", cd)
-    # nprobe nearest clusters (ties -> lower id)
-    order = F.array_sort(F.transform("_cd", lambda d, i: F.struct(d.alias("d"), i.alias("i"))))
-    q = q.withColumn("_probe", F.transform(F.slice(order, 1, probe), lambda t: t["i"]))
-    tiles_lit = V.lit_ints(ctiles)
-    qs = (q.select("_qid", "_x", F.explode("_probe").alias("_c"))
-          .withColumn("_ct", F.explode(F.sequence(F.lit(0), F.element_at(tiles_lit, F.col("_c") + 1) - 1)))
-          .withColumn("_qt", F.pmod(F.xxhash64("_qid"), F.lit(tq))))
-    rs = (ra.select("_rid", "_y", "_c")
-          .withColumn("_ct", F.pmod(F.xxhash64("_rid"), F.element_at(tiles_lit, F.col("_c") + 1)))
-          .withColumn("_qt", F.explode(F.sequence(F.lit(0), F.lit(tq - 1)))))
-    schema = T.StructType([T.StructField("_qid", q.schema["_qid"].dataType),
-                           T.StructField("_rid", r.schema["_rid"].dataType), T.StructField("dist", T.DoubleType())])
-    cand = (qs.groupBy("_c", "_ct", "_qt").cogroup(rs.groupBy("_c", "_ct", "_qt"))
-            .applyInPandas(_block_topk_fn(k, "euclid"), schema))
+    cand = qs.groupBy("_qc", "_qr", "_qq").cogroup(rs.groupBy("_c", "_rt", "_qt")).applyInPandas(block, schema)
     w = Window.partitionBy("_qid").orderBy("dist", "_rid")
     top = cand.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
-    kth = top.groupBy("_qid").agg(F.count("*").alias("_n"), F.max("dist").alias("_dk"))
-    # certification bound over the clusters that were not probed
-    lb = F.transform("_cd", lambda d, i: F.when(F.array_contains("_probe", i), F.lit(None))
-                     .otherwise(d - F.element_at(V.lit_vector(radii), i + 1)))
-    bound = q.select("_qid", F.array_min(F.filter(lb, lambda v: v.isNotNull())).alias("_lb"))
-    cert = kth.join(bound, "_qid").filter(
-        (F.col("_n") >= F.lit(min(k, sum(sizes)))) & (F.col("_lb").isNull() | (F.col("_dk") <= F.col("_lb"))))
-    good = top.join(cert.select("_qid"), "_qid")
-    rest = queries.join(cert.select(F.col("_qid").alias(q_id)), q_id, "left_anti")
-    exact = knn(rest, ref.select(r_id, features), k, q_id, r_id, features, tile_rows=tile_rows)
-    return (good.select(F.col("_qid").alias(q_id), F.col("_rid").alias(r_id), "dist", F.col("rank").cast("int").alias("rank"))
-            .unionByName(exact.select(q_id, r_id, "dist", "rank")))
+    return top.select(F.col("_qid").alias(q_id), F.col("_rid").alias(r_id), "dist", F.col("rank").cast("int").alias("rank"))
+
+
+def recall(found: DataFrame, queries: DataFrame, ref: DataFrame, k: int, q_id: str = "qid", r_id: str = "rid", features: str = "x",
+           sample: int = 256, seed: int = 42) -> float | None:
+    """Share of the true k nearest that ``found`` has, over the ``sample``
+    queries with the lowest seeded hash (None without any)."""
+    from quarry.functions.hashing import hash_u60
+    some = cut_lineage(queries.withColumn("_h", hash_u60(seed, q_id)).orderBy("_h", q_id).limit(sample).drop("_h"))
+    true = knn(some, ref.select(r_id, features), k, q_id, r_id, features).select(q_id, r_id)
+    hit = found.select(q_id, r_id, F.lit(1).alias("_hit"))
+    return true.join(hit, [q_id, r_id], "left").agg(F.avg(F.coalesce("_hit", F.lit(0)).cast("double"))).first()[0]

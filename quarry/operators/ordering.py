@@ -25,10 +25,8 @@ from quarry.functions.vec import lit_ints
 from quarry.session import cut_lineage
 
 _BUCKETS = 1024          # histogram width per refinement round
-_FINAL_ROWS = 50_000     # candidates per target small enough for a final sort
-_DIRECT_ROWS = 4096      # groups this small go straight to the final sort
-_MAX_ROUNDS = 12
-_MAX_TARGETS = 20_000
+_FINAL_ROWS = 4096       # candidates of an interval that are few enough to sort
+_AT_ONCE = 64            # intervals refined in one job
 
 
 def with_global_index(df: DataFrame, order_cols: Sequence[str], name: str = "idx",
@@ -51,7 +49,7 @@ def with_global_index(df: DataFrame, order_cols: Sequence[str], name: str = "idx
     ranged = cut_lineage(df.repartitionByRange(p, *keys).sortWithinPartitions(*keys)
                          .withColumn("_qp", F.spark_partition_id())
                          .withColumn("_qm", F.monotonically_increasing_id()))
-    counts = collect_small(ranged.groupBy("_qp").count(), max_rows=1_000_000, what="partition counts")
+    counts = collect_small(ranged.groupBy("_qp").count(), "partition counts")
     sizes = {r["_qp"]: r["count"] for r in counts}
     n_parts = max(sizes) + 1 if sizes else 1
     offsets, run = [], 0
@@ -68,99 +66,93 @@ def select_ranks(df: DataFrame, value: str, targets: list[tuple], group_cols: Se
     """Rows at given 0-based ranks of ``value`` (then ``tiebreak``) per group.
 
     ``targets`` is a list of ``(group values..., rank)`` tuples. Returns a
-    DataFrame ``(group cols..., _rank, value, tiebreak...)``. Each round is one
-    scan of the (filtered) input plus a partial aggregation of bucket counts;
-    only the small per-target state comes to the driver.
+    DataFrame ``(group cols..., _rank, value, tiebreak...)``. The targets lie
+    in intervals of values; each round counts the rows of an interval by
+    bucket and narrows it, until few rows are left, which are sorted, or one
+    value, which is the answer (with a tiebreak: then that is searched among
+    the rows of that value). So no task ever holds many tied rows.
     """
     spark = df.sparkSession
     gcols = list(group_cols)
-    if len(targets) > _MAX_TARGETS:
-        raise ValueError("too many rank targets")
     base = df.select(*gcols, value, *tiebreak).filter(F.col(value).isNotNull())
     vtype = base.schema[value].dataType
-    # state: tid -> dict(group, rank, lo, hi, below, n_cand, done, answer)
-    if bounds is not None:
-        pass
-    elif gcols:
+    if bounds is None:
         bounds = {tuple(r[c] for c in gcols): r for r in collect_small(
-            base.groupBy(*gcols).agg(F.min(value).alias("lo"), F.max(value).alias("hi"), F.count("*").alias("n")),
-            max_rows=_MAX_TARGETS, what="group bounds")}
-    else:
-        r = base.agg(F.min(value).alias("lo"), F.max(value).alias("hi"), F.count("*").alias("n")).collect()[0]
-        bounds = {(): r}
-    state = []
+            base.groupBy(*gcols).agg(F.min(value).alias("lo"), F.max(value).alias("hi"), F.count("*").alias("n")), "group bounds")}
+    # interval: (group, lo, hi, rows below it, rows in it) -> ranks wanted
+    open_: dict[tuple, list[int]] = {}
     for t in targets:
-        g, rank = tuple(t[:-1]), int(t[-1])
-        b = bounds.get(g)
-        if b is None or rank < 0 or rank >= b["n"]:
-            continue
-        state.append({"g": g, "rank": rank, "lo": b["lo"], "hi": b["hi"], "below": 0, "n": b["n"]})
-    if not state:
+        b = bounds.get(tuple(t[:-1]))
+        if b is not None and 0 <= int(t[-1]) < b["n"]:
+            open_.setdefault((tuple(t[:-1]), b["lo"], b["hi"], 0, b["n"]), []).append(int(t[-1]))
+
+    def rows_in(intervals):
+        fields = [base.schema[c] for c in gcols] + [T.StructField("_iid", T.IntegerType()), T.StructField("_lo", vtype),
+                                                    T.StructField("_hi", vtype)]
+        if not gcols:  # one literal array instead of a join
+            each = F.array(*[F.struct(F.lit(i).alias("_iid"), F.lit(v[1]).cast(vtype).alias("_lo"), F.lit(v[2]).cast(vtype).alias("_hi"))
+                             for i, v in enumerate(intervals)])
+            inside = F.filter(each, lambda v: (F.col(value) >= v["_lo"]) & (F.col(value) <= v["_hi"]))
+            return base.withColumn("_t", F.explode(inside)).select("*", "_t.*").drop("_t")
+        table = local_frame(spark, [v[0] + (i, v[1], v[2]) for i, v in enumerate(intervals)], T.StructType(fields))
+        return base.join(table, gcols).filter((F.col(value) >= F.col("_lo")) & (F.col(value) <= F.col("_hi")))
+
+    small, single = {}, {}
+    while open_:
+        nxt: dict[tuple, list[int]] = {}
+        large = []
+        for v, ranks in open_.items():
+            if v[1] == v[2]:
+                single.setdefault(v, []).extend(ranks)
+            elif v[4] <= _FINAL_ROWS:
+                small.setdefault(v, []).extend(ranks)
+            else:
+                large.append((v, ranks))
+        for at in range(0, len(large), _AT_ONCE):
+            some = large[at:at + _AT_ONCE]
+            width = F.col("_hi").cast("double") - F.col("_lo").cast("double")
+            place = (F.col(value).cast("double") - F.col("_lo").cast("double")) / width * _BUCKETS
+            bucket = F.when(width <= 0, 0).otherwise(F.least(F.lit(_BUCKETS - 1), F.floor(place).cast("int")))
+            hist = collect_small(rows_in([v for v, _ in some]).groupBy("_iid", bucket.alias("_b")).agg(
+                F.count("*").alias("c"), F.min(value).alias("mn"), F.max(value).alias("mx")), "histogram")
+            for i, (v, ranks) in enumerate(some):
+                cells = sorted((h for h in hist if h["_iid"] == i), key=lambda h: h["_b"])
+                for rank in ranks:
+                    below = v[3]
+                    for h in cells:
+                        if below + h["c"] > rank:
+                            new = (v[0], h["mn"], h["mx"], below, h["c"])
+                            # values that doubles can't tell apart are sorted as they are
+                            (small if new == v else nxt).setdefault(new, []).append(rank)
+                            break
+                        below += h["c"]
+        open_ = nxt
+
+    parts = []
+    if single and not tiebreak:
+        fields = [base.schema[c] for c in gcols] + [T.StructField("_rank", T.LongType()), base.schema[value]]
+        parts.append(local_frame(spark, [v[0] + (r, v[1]) for v, ranks in single.items() for r in ranks], T.StructType(fields)))
+    for v, ranks in single.items() if tiebreak else ():
+        same = base.filter(F.col(value) == F.lit(v[1]).cast(vtype))
+        for c, x in zip(gcols, v[0]):
+            same = same.filter(F.col(c).eqNullSafe(F.lit(x)))
+        found = select_ranks(same.select(*tiebreak), tiebreak[0], [(r - v[3],) for r in ranks], (), list(tiebreak[1:]))
+        parts.append(found.select(*[F.lit(x).cast(base.schema[c].dataType).alias(c) for c, x in zip(gcols, v[0])],
+                                  (F.col("_rank") + v[3]).alias("_rank"), F.lit(v[1]).cast(vtype).alias(value), *tiebreak))
+    if small:
+        items = list(small.items())
+        wanted = [F.struct(F.lit(i).alias("i"), F.lit(v[3]).cast("long").alias("below"), F.lit(ranks).cast("array<long>").alias("ranks"))
+                  for i, (v, ranks) in enumerate(items)]
+        w = Window.partitionBy("_iid").orderBy(F.col(value), *[F.col(c) for c in tiebreak])
+        ranked = (rows_in([v for v, _ in items]).withColumn("_rn", F.row_number().over(w) - 1)
+                  .withColumn("_w", F.get(F.array(*wanted), F.col("_iid"))).withColumn("_rank", F.col("_rn") + F.col("_w.below")))
+        parts.append(ranked.filter(F.array_contains(F.col("_w.ranks"), F.col("_rank"))).select(*gcols, "_rank", value, *tiebreak))
+    if not parts:
         return _empty_result(spark, base, gcols, value, tiebreak)
-
-    def target_frame(items):
-        fields = [T.StructField(c, base.schema[c].dataType) for c in gcols]
-        fields += [T.StructField("_tid", T.IntegerType()), T.StructField("_lo", vtype), T.StructField("_hi", vtype),
-                   T.StructField("_below", T.LongType()), T.StructField("_rank", T.LongType())]
-        rows = [tuple(s["g"]) + (i, s["lo"], s["hi"], s["below"], s["rank"]) for i, s in items]
-        return local_frame(spark, rows, T.StructType(fields))
-
-    def candidates(items):
-        tf = target_frame(items)
-        if gcols:
-            joined = base.join(F.broadcast(tf), on=gcols, how="inner")
-        else:
-            # few targets and no group: explode them as a literal array, no join
-            structs = [F.struct(F.lit(i).alias("_tid"), F.lit(s["lo"]).cast(vtype).alias("_lo"),
-                                F.lit(s["hi"]).cast(vtype).alias("_hi"), F.lit(s["below"]).cast("long").alias("_below"),
-                                F.lit(s["rank"]).cast("long").alias("_rank")) for i, s in items]
-            joined = base.withColumn("_t", F.explode(F.array(*structs))).select("*", "_t.*").drop("_t")
-        return joined.filter((F.col(value) >= F.col("_lo")) & (F.col(value) <= F.col("_hi")))
-
-    for s_ in state:  # tiny groups need no histogram round
-        if s_["n"] <= _DIRECT_ROWS or s_["lo"] == s_["hi"]:
-            s_["final"] = True
-    active = [(i, s_) for i, s_ in enumerate(state) if not s_.get("final")]
-    for _ in range(_MAX_ROUNDS if active else 0):
-        cand = candidates(active)
-        width = F.col("_hi").cast("double") - F.col("_lo").cast("double")
-        bucket = F.when(width <= 0, F.lit(0)).otherwise(
-            F.least(F.lit(_BUCKETS - 1),
-                    F.floor((F.col(value).cast("double") - F.col("_lo").cast("double")) / width * _BUCKETS).cast("int")))
-        hist = collect_small(cand.groupBy("_tid", bucket.alias("_b")).agg(
-            F.count("*").alias("c"), F.min(value).alias("mn"), F.max(value).alias("mx")),
-            max_rows=_MAX_TARGETS * _BUCKETS, what="histogram")
-        by_t: dict[int, list] = {}
-        for h in hist:
-            by_t.setdefault(h["_tid"], []).append(h)
-        progressed = False
-        for tid, s in active:
-            hs = sorted(by_t.get(tid, []), key=lambda h: h["_b"])
-            total = sum(h["c"] for h in hs)
-            s["n_cand"] = total
-            if total <= _FINAL_ROWS or s["lo"] == s["hi"]:
-                s["final"] = True
-                continue
-            need = s["rank"] - s["below"]
-            acc = 0
-            for h in hs:
-                if acc + h["c"] > need:
-                    if h["c"] < total:
-                        progressed = True
-                    s["lo"], s["hi"], s["below"] = h["mn"], h["mx"], s["below"] + acc
-                    if h["c"] <= _FINAL_ROWS or h["mn"] == h["mx"]:
-                        s["final"] = True  # the bucket is known to be small: no extra scan
-                    break
-                acc += h["c"]
-        if all(s.get("final") for _, s in active) or not progressed:
-            break
-    # final pick: candidates per target are few; order them and take the rank
-    cand = candidates(list(enumerate(state)))
-    w = Window.partitionBy("_tid").orderBy(F.col(value), *[F.col(c) for c in tiebreak])
-    picked = (cand.withColumn("_rn", F.row_number().over(w) - 1)
-              .filter(F.col("_rn") == F.col("_rank") - F.col("_below"))
-              .select(*gcols, "_rank", value, *tiebreak))
-    return picked
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
 
 
 def _empty_result(spark, base, gcols, value, tiebreak):
@@ -177,7 +169,7 @@ def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float], group_col
     base = df.select(*gcols, F.col(value).cast("double").alias("_v")).filter(F.col("_v").isNotNull())
     if bounds is None:  # {group tuple: {"lo", "hi", "n"}} may come from the caller's own aggregate
         stats = collect_small(base.groupBy(*gcols).agg(F.min("_v").alias("lo"), F.max("_v").alias("hi"),
-                                                       F.count("*").alias("n")), max_rows=_MAX_TARGETS, what="group bounds")
+                                                       F.count("*").alias("n")), "group bounds")
         bounds = {tuple(r[c] for c in gcols): r for r in stats}
     groups = [(g, r["n"]) for g, r in bounds.items()]
     targets, plan = set(), []

@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from quarry.functions.hashing import hash_u60, hash_unit
 from quarry.operators.ordering import select_ranks, with_global_index
-from quarry.operators.small import broadcast_if_small, collect_small
+from quarry.operators.small import collect_small
 
 
 def poly2(x: str | Column) -> Column:
@@ -24,12 +24,14 @@ def poly2(x: str | Column) -> Column:
     return F.concat(x, cross)
 
 
-def poly2_names(names: Sequence[str]) -> list[str]:
-    out = list(names)
-    for i in range(len(names)):
-        for j in range(i, len(names)):
-            out.append(f"{names[i]}^2" if i == j else f"{names[i]} {names[j]}")
-    return out
+def poly2_names(x: str | Column, stem: str = "x") -> Column:
+    """Names of the terms of :func:`poly2`: x0.., then x0^2, x0 x1, ..."""
+    d = F.size(F.col(x) if isinstance(x, str) else x)
+    name = lambda i: F.concat(F.lit(stem), i.cast("string"))
+    every = F.sequence(F.lit(0), d - 1)
+    cross = F.flatten(F.transform(every, lambda i: F.transform(F.sequence(i, d - 1), lambda j: F.when(
+        i == j, F.concat(name(i), F.lit("^2"))).otherwise(F.concat_ws(" ", name(i), name(j))))))
+    return F.concat(F.transform(every, name), cross)
 
 
 def hash_split(df: DataFrame, key: str, fractions: dict[str, float], seed=42, out: str = "split") -> DataFrame:
@@ -54,7 +56,7 @@ def exact_split(df: DataFrame, key: str, test_fraction: float, seed=42, by: str
     h = df.withColumn("_h", hash_u60(seed, key))
     gcols = [by] if by else []
     if by:
-        counts = collect_small(h.groupBy(by).count(), 100_000, "class counts")
+        counts = collect_small(h.groupBy(by).count(), "class counts")
         targets = [(r[by], math.ceil(r["count"] * test_fraction) - 1) for r in counts]
     else:
         n = h.count()
@@ -63,7 +65,7 @@ def exact_split(df: DataFrame, key: str, test_fraction: float, seed=42, by: str
     thr = select_ranks(h, "_h", targets, gcols, tiebreak=[key]).select(
         *gcols, F.col("_h").alias("_th"), F.col(key).alias("_tk"))
     if gcols:
-        j = h.join(broadcast_if_small(thr), gcols, "left")
+        j = h.join(thr, gcols, "left")
         is_test = (F.col("_h") < F.col("_th")) | ((F.col("_h") == F.col("_th")) & (F.col(key) <= F.col("_tk")))
         return j.withColumn(out, F.when(F.coalesce(is_test, F.lit(False)), "test").otherwise("train")).drop("_h", "_th", "_tk")
     rows = thr.collect()
@@ -97,7 +99,7 @@ def standardize_apply(df: DataFrame, stats: dict, suffix: str = "_z") -> DataFra
 def standardize_vectors_fit(df: DataFrame, vec: str = "x") -> tuple[list, list]:
     """Per-coordinate mean / population std of an array column (d values)."""
     s = sorted(collect_small(df.select(F.posexplode(vec).alias("i", "v")).groupBy("i")
-                             .agg(F.avg("v").alias("mu"), F.stddev_pop("v").alias("sd")), 1_000_000, "coordinate stats"),
+                             .agg(F.avg("v").alias("mu"), F.stddev_pop("v").alias("sd")), "coordinate stats"),
                key=lambda r: r["i"])
     return [r["mu"] for r in s], [r["sd"] if r["sd"] else 1.0 for r in s]
 
@@ -111,11 +113,11 @@ def standardize_vectors_apply(df: DataFrame, mu: list, sd: list, vec: str = "x",
 def label_encode(df: DataFrame, col: str, out: str | None = None) -> DataFrame:
     """Distinct strings -> 0-based integer in ascending (binary) order. The
     distinct value table is indexed without a single-task window and joined
-    back (broadcast when small)."""
+    back."""
     out = out or f"{col}_idx"
     d = df.select(col).distinct().filter(F.col(col).isNotNull())
     idx = with_global_index(d, [col], out)
-    return df.join(broadcast_if_small(idx), col, "left")
+    return df.join(idx, col, "left")
 
 
 def bin_floor(col: str, width: float) -> Column:

@@ -1,42 +1,39 @@
-"""Size-checked handling of the small side of a plan.
+"""Bounded collects of the small results of a plan.
 
-Broadcasting or collecting is only done after the row count has been
-checked against a bound; beyond it the caller's shuffle path is used (or,
-for a model that must reach the driver, a clear error is raised).
+Join sides carry no broadcast hint: Spark broadcasts a side itself when its
+size at run time is under its own threshold, and shuffles it otherwise.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-# Rows we are willing to ship to every executor as a broadcast relation.
-BROADCAST_MAX_ROWS = 2_000_000
-# Rows of a fitted model (centroids, vocabulary, weights) we pull to the driver.
-COLLECT_MAX_ROWS = 200_000
+# Bytes of a fitted model (centroids, Grams, histograms) that may reach the driver.
+COLLECT_MAX_BYTES = 128 << 20
+_ARRAY_ITEMS = 128  # items that an array is taken to hold
 
 
 class TooLargeError(ValueError):
-    """A side that must be small turned out not to be."""
+    """A result that must be small turned out not to be."""
 
 
-def count_upto(df: DataFrame, bound: int) -> int:
-    """Count rows, stopping early once past ``bound`` (returns bound+1)."""
-    return df.limit(bound + 1).count()
+def row_bytes(kind: T.DataType) -> int:
+    """About how many bytes a value of a type takes."""
+    if isinstance(kind, T.StructType):
+        return 16 + sum(row_bytes(f.dataType) for f in kind.fields)
+    if isinstance(kind, T.ArrayType):
+        return 16 + _ARRAY_ITEMS * row_bytes(kind.elementType)
+    return 40 if isinstance(kind, (T.StringType, T.BinaryType)) else 8
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """Broadcast hint only when the side is proven small; otherwise leave the
-    join to a shuffle (AQE may still convert it at run time)."""
-    n = count_upto(df, max_rows)
-    return F.broadcast(df) if n <= max_rows else df
-
-
-def collect_small(df: DataFrame, max_rows: int = COLLECT_MAX_ROWS, what: str = "table") -> list:
-    """Collect a small table (a fitted model) with a hard size check."""
-    rows = df.limit(max_rows + 1).collect()
-    if len(rows) > max_rows:
-        raise TooLargeError(f"{what} has more than {max_rows} rows; refusing to collect it")
+def collect_small(df: DataFrame, what: str = "table", max_bytes: int = COLLECT_MAX_BYTES) -> list:
+    """Collect a small table (a fitted model) under a bound in bytes."""
+    most = max(1, max_bytes // row_bytes(df.schema))
+    rows = df.limit(most + 1).collect()
+    if len(rows) > most:
+        raise TooLargeError(f"{what} takes more than {max_bytes} bytes; refusing to collect it")
     return rows
 
 
@@ -47,8 +44,6 @@ def local_frame(spark, rows, schema) -> DataFrame:
     needs no Python RDD, so no Python worker starts for it."""
     import json
 
-    from pyspark.sql import types as T
-
     if isinstance(schema, str):
         schema = T._parse_datatype_string(schema)
     names = [f.name for f in schema.fields]

@@ -26,7 +26,7 @@ def describe(df: DataFrame, cols: Sequence[str], probs: Sequence[float] = (0.25,
     long = stack_columns(df, cols)
     rows = collect_small(long.groupBy("column").agg(
         F.count("v").alias("count"), F.avg("v").alias("mean"), F.stddev_samp("v").alias("std"),
-        F.min("v").alias("min"), F.max("v").alias("max")), 100_000, "column moments")
+        F.min("v").alias("min"), F.max("v").alias("max")), "column moments")
     base = local_frame(df.sparkSession, [(r["column"], r["count"], r["mean"], r["std"], r["min"], r["max"]) for r in rows],
                        "column string, count long, mean double, std double, min double, max double")
     bounds = {(r["column"],): {"lo": r["min"], "hi": r["max"], "n": r["count"]} for r in rows if r["count"]}

@@ -2,9 +2,8 @@
 bigram language model and byte-pair merges.
 
 Design: a document stays one row; tokens are produced by JVM array
-functions inside the scan stage. Vocabularies are small fitted models: they
-are indexed without a single-task window and shipped to executors as a map
-literal after a size check, so encoding needs no explode/shuffle/regroup.
+functions inside the scan stage. Vocabularies are tables, indexed by a
+distributed sort; encoding is a join on the token, by position, at every size.
 """
 
 from __future__ import annotations
@@ -17,12 +16,9 @@ from pyspark.sql import functions as F
 from quarry.functions import text as TX
 from quarry.functions.hashing import hash_unit
 from quarry.operators.ordering import with_global_index
-from quarry.operators.small import collect_small, local_frame
+from quarry.operators.small import local_frame
 from quarry.session import cut_lineage
 
-MAX_VOCAB_LITERAL = 200_000
-
-
 def token_counts(df: DataFrame, tokens: Column) -> DataFrame:
     """(token, n) over all rows — a partial+final aggregation."""
     return df.select(F.explode(tokens).alias("token")).groupBy("token").agg(F.count("*").alias("n"))
@@ -31,58 +27,30 @@ def token_counts(df: DataFrame, tokens: Column) -> DataFrame:
 def vocabulary(df: DataFrame, tokens: Column, pad: str | None = TX.PAD) -> DataFrame:
     """Sorted distinct tokens -> 0-based index (binary string order); with
     ``pad`` the pad token takes index 0 and every other index shifts by 1."""
-    spark = df.sparkSession
     d = df.select(F.explode(F.array_distinct(tokens)).alias("token")).distinct()
-    shift = 0 if pad is None else 1
-    small = d.limit(MAX_VOCAB_LITERAL + 1).collect()
-    if len(small) <= MAX_VOCAB_LITERAL:
-        # proven small: index on the driver (code-point order = UTF-8 byte order)
-        toks = sorted(r["token"] for r in small)
-        v = local_frame(spark, [(t, i + shift) for i, t in enumerate(toks)], "token string, idx long")
-    else:
-        v = with_global_index(d, ["token"], "idx").select("token", (F.col("idx") + shift).alias("idx"))
+    v = with_global_index(d, ["token"], "idx")
     if pad is None:
-        return v
-    return local_frame(spark, [(pad, 0)], "token string, idx long").unionByName(v)
-
-
-def vocab_map(vocab: DataFrame, key: str = "token", value: str = "idx") -> Column:
-    """Size-checked vocabulary as a map literal."""
-    rows = collect_small(vocab.select(key, value), MAX_VOCAB_LITERAL, "vocabulary")
-    kv = []
-    for r in sorted(rows, key=lambda r: r[value]):
-        kv += [F.lit(r[key]), F.lit(r[value])]
-    return F.create_map(*kv)
-
-
-def encode(tokens: Column, mapping: Column) -> Column:
-    """Token array -> index array through a map literal."""
-    return F.transform(tokens, lambda t: F.element_at(mapping, t).cast("int"))
-
-
-MAX_MAP_LOOKUP = 4096  # a map literal is scanned linearly per lookup: only for small vocabularies
+        return v.select("token", "idx")
+    v = v.select("token", (F.col("idx") + 1).alias("idx"))
+    return local_frame(df.sparkSession, [(pad, 0)], "token string, idx long").unionByName(v)
 
 
-def encode_frame(df: DataFrame, keys: Sequence[str], tokens: Column, vocab: DataFrame, out: str = "ids",
-                 max_literal: int = MAX_MAP_LOOKUP) -> DataFrame:
-    """Add ``out`` = vocabulary indices of ``tokens`` (unknown -> null).
+def encode_frame(df: DataFrame, tokens: Column, vocab: DataFrame, out: str = "ids") -> DataFrame:
+    """Add ``out`` = vocabulary indices of ``tokens`` (unknown -> null; no
+    tokens -> empty array).
 
-    Small vocabularies (checked) become a map literal and encoding is a
-    projection. Larger ones are joined: tokens exploded with positions,
-    hash-joined to the vocabulary (broadcast only when proven small), and
-    regrouped per row in position order — a row's tokens are one row's
-    worth of data, so the regroup is bounded by the row itself."""
-    from quarry.operators.small import broadcast_if_small, count_upto
-    if count_upto(vocab, max_literal) <= max_literal:
-        return df.withColumn(out, encode(tokens, vocab_map(vocab)))
-    keys = list(keys)
-    ex = df.select(*keys, F.posexplode(tokens).alias("_p", "_t"))
-    v = broadcast_if_small(vocab.select(F.col("token").alias("_t"), F.col("idx").cast("int").alias("_i")))
-    g = (ex.join(v, "_t", "left").groupBy(*keys)
-         .agg(F.array_sort(F.collect_list(F.struct("_p", "_i"))).alias("_s"))
-         .select(*keys, F.transform("_s", lambda t: t["_i"]).alias(out)))
-    j = df.join(g, keys, "left")
-    return j.withColumn(out, F.coalesce(F.col(out), F.array().cast("array<int>")))
+    The index array depends on the tokens alone, so each distinct token array
+    is encoded once: exploded with positions, joined to the vocabulary, put
+    together again by position, and joined back. Array identity is a 128-bit
+    hash, so rows with equal keys but other tokens stay apart."""
+    names = df.columns
+    h = df.withColumns({"_h": F.xxhash64(tokens), "_g": F.xxhash64(F.lit(1), tokens), "_t": tokens})
+    each = h.select("_h", "_g", "_t").dropDuplicates(["_h", "_g"]).select("_h", "_g", F.posexplode("_t").alias("_p", "_t"))
+    v = vocab.select(F.col("token").alias("_t"), F.col("idx").cast("int").alias("_i"))
+    arrays = (each.join(v, "_t", "left").groupBy("_h", "_g")
+              .agg(F.transform(F.array_sort(F.collect_list(F.struct("_p", "_i"))), lambda t: t["_i"]).alias(out)))
+    joined = h.drop("_t").join(arrays, ["_h", "_g"], "left")
+    return joined.select(*names, F.coalesce(out, F.array().cast("array<int>")).alias(out))
 
 
 def pad_batch(df: DataFrame, ids: str, labels: str, batch: str, pad_idx: int = 0,
@@ -118,58 +86,33 @@ def bigrams(tokens: Column) -> Column:
                         F.slice(tokens, 2, F.greatest(n - 1, F.lit(0))).alias("b"))
 
 
-def bigram_counts(df: DataFrame, tokens: Column) -> DataFrame:
-    """(a, b, n): corpus bigram counts, plus (a, null) for one-token rows so
-    that the vocabulary can be read off the same table. The explode streams
-    inside the scan stage and the partial aggregation collapses it to at
-    most V² keys per partition before the shuffle."""
-    t = df.select(tokens.alias("_t")).filter(F.size("_t") >= 1)
-    single = F.array(F.struct(F.element_at("_t", 1).alias("a"), F.lit(None).cast("string").alias("b")))
-    g = t.select(F.explode(F.when(F.size("_t") == 1, single).otherwise(bigrams(F.col("_t")))).alias("g"))
-    return g.select("g.a", "g.b").groupBy("a", "b").agg(F.count("*").alias("n"))
-
-
-def vocab_size(df: DataFrame, tokens: Column) -> int:
-    """Distinct tokens over all rows (deduplicated per row first)."""
-    return df.select(F.explode(F.array_distinct(tokens)).alias("t")).distinct().count()
-
-
-MAX_MODEL_ROWS = 4_000_000
-
-
-def bigram_model(df: DataFrame, tokens: Column) -> DataFrame:
-    """(a, b, n, p): add-one smoothed P(b | a) = (n_ab + 1) / (n_a + V) for
-    every seen bigram (unseen: 1 / (n_a + V)), V = distinct tokens. One pass
-    over the corpus; the model (at most V² rows) is collected once under a
-    size check and handed back as a JVM literal table, so later joins
-    broadcast it without recomputing it."""
-    from quarry.operators.small import count_upto, local_frame
-    counts = bigram_counts(df, tokens).persist()
-    try:
-        V = counts.select(F.col("a").alias("t")).union(counts.select(F.col("b").alias("t"))) \
-            .filter(F.col("t").isNotNull()).distinct().count()
-        pairs = counts.filter(F.col("b").isNotNull())
-        na = pairs.groupBy("a").agg(F.sum("n").alias("na"))
-        model = pairs.join(na, "a").select("a", "b", "n", ((F.col("n") + 1) / (F.col("na") + F.lit(V))).alias("p"))
-        if count_upto(model, MAX_MODEL_ROWS) <= MAX_MODEL_ROWS:
-            rows = [(r["a"], r["b"], r["n"], r["p"]) for r in model.collect()]
-            return local_frame(df.sparkSession, rows, "a string, b string, n long, p double")
-        from quarry.session import cut_lineage
-        return cut_lineage(model)
-    finally:
-        counts.unpersist()
-
-
-def bigram_loglik(df: DataFrame, key: str, tokens: Column, model: DataFrame) -> DataFrame:
-    """(key, n_bigrams, loglik) per row: bigrams exploded in the scan stage,
-    joined to the (size-checked, broadcast) model and summed per row — one
-    row's bigrams come from one input row, so the partial aggregation leaves
-    one row per document before the shuffle."""
-    from quarry.operators.small import broadcast_if_small
-    t = df.select(key, tokens.alias("_t")).filter(F.size("_t") >= 2)
-    g = t.select(key, F.explode(bigrams(F.col("_t"))).alias("g")).select(key, "g.a", "g.b")
-    j = g.join(broadcast_if_small(model.select("a", "b", "p"), MAX_MODEL_ROWS), ["a", "b"])
-    return j.groupBy(key).agg(F.count("*").alias("n_bigrams"), F.sum(F.log("p")).alias("loglik"))
+def pair_counts(df: DataFrame, key: str, tokens: Column) -> DataFrame:
+    """(key, a, b, n): adjacent pairs of every row, counted per row and written
+    once; a row without a pair has one line with b (and, without tokens, a)
+    null, so that no row and no lone token is lost."""
+    t = df.select(key, tokens.alias("_t"))
+    lone = F.array(F.struct(F.get("_t", F.lit(0)).alias("a"), F.lit(None).cast("string").alias("b")))
+    g = t.select(key, F.explode(F.when(F.size("_t") >= 2, bigrams(F.col("_t"))).otherwise(lone)).alias("g"))
+    return cut_lineage(g.groupBy(key, "g.a", "g.b").agg(F.count("*").alias("n")))
+
+
+def bigram_model(pairs: DataFrame) -> DataFrame:
+    """(a, b, n, p) from :func:`pair_counts`: add-one smoothed P(b | a) =
+    (n_ab + 1) / (n_a + V) for every seen bigram (unseen: 1 / (n_a + V)), V =
+    distinct tokens. The model stays a table; only V reaches the driver."""
+    seen = cut_lineage(pairs.groupBy("a", "b").agg(F.sum("n").alias("n")))
+    V = (seen.select(F.explode(F.array("a", "b")).alias("t")).where(F.col("t").isNotNull()).distinct().count())
+    both = seen.filter(F.col("b").isNotNull())
+    na = both.groupBy("a").agg(F.sum("n").alias("na"))
+    return both.join(na, "a").select("a", "b", "n", ((F.col("n") + 1) / (F.col("na") + F.lit(V))).alias("p"))
+
+
+def bigram_loglik(pairs: DataFrame, key: str, model: DataFrame) -> DataFrame:
+    """(key, n_bigrams, loglik) per row of the counted texts: 0 and null for a
+    row without a pair. The counted pairs, not the texts, are joined."""
+    j = pairs.join(model.select("a", "b", "p"), ["a", "b"], "left")
+    n = F.when(F.col("b").isNotNull(), F.col("n")).otherwise(0)
+    return j.groupBy(key).agg(F.sum(n).alias("n_bigrams"), F.sum(F.col("n") * F.log("p")).alias("loglik"))
 
 
 def bpe_learn(word_counts: DataFrame, n_merges: int, word: str = "word", count: str = "n",

@@ -32,7 +32,7 @@ pm AS (SELECT *, max(sc) OVER (PARTITION BY seq, q_pos) AS mx FROM p),
 w AS (SELECT seq, q_pos, k_pos, v, exp(sc - mx) / sum(exp(sc - mx)) OVER (PARTITION BY seq, q_pos) AS weight FROM pm),
 u AS (SELECT seq, q_pos, unnest(range(len(v))) AS i, unnest(v) AS vv, weight FROM w),
 o AS (SELECT seq, q_pos, i, sum(weight * vv) AS o FROM u GROUP BY ALL)
-SELECT seq, q_pos, list(round(o, {R}) ORDER BY i) AS out FROM o GROUP BY seq, q_pos"""
+SELECT seq, q_pos, list(round(o, {R}) + 0.0 ORDER BY i) AS out FROM o GROUP BY seq, q_pos"""
 
 
 def _out(df):
@@ -69,7 +69,7 @@ def q_att_causal(spark, sf):
 
 @register("att_mean_pool", SQL_SEQ + f""",
 u AS (SELECT seq, unnest(range(len(x))) AS i, unnest(x) AS v FROM t)
-SELECT seq, list(round(m, {R}) ORDER BY i) AS pooled FROM (SELECT seq, i, avg(v) AS m FROM u GROUP BY ALL) GROUP BY seq""")
+SELECT seq, list(round(m, {R}) + 0.0 ORDER BY i) AS pooled FROM (SELECT seq, i, avg(v) AS m FROM u GROUP BY ALL) GROUP BY seq""")
 def q_att_mean_pool(spark, sf):
     p = A.mean_pool(_seqs(spark, sf), "seq")
     return p.select("seq", V.round_array("pooled", R).alias("pooled"))

@@ -154,8 +154,12 @@ pr AS (SELECT vec_id, cls, sim, exp(score - mx) / sum(exp(score - mx)) OVER (PAR
 def _probs(spark, sf):
     e, labels, vectors = _fit(spark, sf)
     test = e.filter("split = 'test'")
-    parts = [C.scores_long(test, labels, vectors, s).withColumn("sim", F.lit(s)) for s in C.SIMILARITIES]
-    allsc = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    sims = F.array(*[F.struct(F.lit(s).alias("sim"), C.score_columns(F.col("x"), labels, vectors, s).alias("scores"))
+                     for s in C.SIMILARITIES])
+    lab = F.array(*[F.lit(c) for c in labels])
+    allsc = (test.select("vec_id", F.explode(sims).alias("t"))
+             .select("vec_id", "t.sim", F.explode(F.arrays_zip(lab.alias("cls"), F.col("t.scores").alias("score"))).alias("z"))
+             .select("vec_id", "sim", "z.cls", "z.score"))
     return M.softmax_group(allsc, ["vec_id", "sim"])
 
 
@@ -183,17 +187,42 @@ def q_agg_cross_entropy(spark, sf):
     return ce.select(F.round("cross_entropy", R).alias("cross_entropy"), "n")
 
 
+@register("agg_cross_entropy_batches", SQL_SCORES + f""",
+sm AS (SELECT *, max(s_cosine) OVER (PARTITION BY vec_id) AS mx FROM s),
+ls AS (SELECT vec_id, label, cls, s_cosine - (mx + ln(sum(exp(s_cosine - mx)) OVER (PARTITION BY vec_id))) AS logp FROM sm),
+b AS (SELECT vec_id, (row_number() OVER (ORDER BY vec_id) - 1) // 64 AS batch FROM e WHERE split = 'test'),
+m AS (SELECT batch, -avg(logp) AS loss FROM ls JOIN b USING (vec_id) WHERE cls = label GROUP BY batch)
+SELECT round(avg(loss), {R}) AS cross_entropy, count(*) AS n_batches FROM m""")
+def q_agg_cross_entropy_batches(spark, sf):
+    """Mean over batches (64 consecutive test rows) of each batch's mean loss,
+    as a training loop reports it: a short last batch counts like the others."""
+    from quarry.operators.ordering import with_global_index
+    test = emb(spark, sf).filter("split = 'test'")
+    b = with_global_index(test.select("vec_id", "label"), ["vec_id"], "_i").withColumn("batch", F.expr("_i div 64"))
+    losses = M.sample_losses(_scores(spark, sf, "cosine"), b.select("vec_id", "label", "batch"), keep=["batch"])
+    m = losses.groupBy("batch").agg(F.avg("loss").alias("loss"))
+    return m.agg(F.round(F.avg("loss"), R).alias("cross_entropy"), F.count("*").alias("n_batches"))
+
+
 def _compare(spark, sf):
+    """Accuracy, RMSE of the class number and share of zero weights by model."""
+    e, labels, vectors = _fit(spark, sf)
+    weights = [v for vec in vectors for v in vec]
+    sparsity = sum(v == 0 for v in weights) / len(weights) if weights else None
     p = _preds(spark, sf)
     return p.groupBy(F.col("sim").alias("model")).agg(
-        F.avg((F.col("label") == F.col("pred")).cast("double")).alias("accuracy"), F.count("*").alias("n"))
+        F.avg((F.col("label") == F.col("pred")).cast("double")).alias("accuracy"),
+        F.sqrt(F.avg(F.pow(F.col("pred") - F.col("label"), 2))).alias("rmse"), F.lit(sparsity).cast("double").alias("sparsity"),
+        F.count("*").alias("n"))
 
 
-@register("agg_compare_models", SQL_SCORES + f"""
-SELECT sim AS model, round(avg(CASE WHEN label = pred THEN 1.0 ELSE 0.0 END), {R}) AS accuracy, count(*) AS n
-FROM p GROUP BY sim""")
+@register("agg_compare_models", SQL_SCORES + f""",
+w AS (SELECT avg(CASE WHEN v = 0 THEN 1.0 ELSE 0.0 END) AS sparsity FROM (SELECT unnest(centroid) AS v FROM c))
+SELECT sim AS model, round(avg(CASE WHEN label = pred THEN 1.0 ELSE 0.0 END), {R}) AS accuracy,
+       round(sqrt(avg((pred - label) ^ 2)), {R}) AS rmse, round(any_value(sparsity), {R}) AS sparsity, count(*) AS n
+FROM p, w GROUP BY sim""")
 def q_agg_compare_models(spark, sf):
-    return _compare(spark, sf).select("model", F.round("accuracy", R).alias("accuracy"), "n")
+    return _compare(spark, sf).select("model", *[F.round(c, R).alias(c) for c in ("accuracy", "rmse", "sparsity")], "n")
 
 
 @register("srt_results", SQL_SCORES + f""",
@@ -235,6 +264,27 @@ def q_join_similarity_matrix(spark, sf):
                     F.round(F.col("dot") / (F.col("na") * F.col("nb")), R).alias("cosine"))
 
 
+@register("join_similarity_weights")
+def q_join_similarity_weights(spark, sf):
+    """Class means of the train split against the weights of the multi-output
+    least-squares model (no intercept): dot, cosine and row softmax of the
+    K x K products. The weights come from a pseudo-inverse, which SQL lacks."""
+    from quarry.operators import gram as G
+    from quarry.operators import linear as L
+    from quarry.operators.linalg import matmul_long
+    from quarry.operators.small import local_frame
+    train = emb(spark, sf).filter("split = 'train'")
+    labels, vectors, _ = C.class_average_model(train)
+    theta = L.ols_multi(G.gram_matrix(G.gram(train.withColumn("y", V.onehot("label", 10)), "x", "y")), len(vectors[0]))
+    a = local_frame(spark, [(l, i, v) for l, vec in zip(labels, vectors) for i, v in enumerate(vec)], "row int, i int, v double")
+    b = local_frame(spark, [(i, k, float(theta[i, k])) for i in range(theta.shape[0]) for k in range(theta.shape[1])], "i int, col int, v double")
+    dots = matmul_long(a, b, "row", "i", "col").withColumnRenamed("value", "dot")
+    size = lambda df, c, name: df.groupBy(c).agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias(name))
+    t = M.softmax_group(dots.join(size(a, "row", "na"), "row").join(size(b, "col", "nb"), "col"), ["row"], score="dot", out="softmax")
+    return t.select(F.col("row").alias("a"), F.col("col").alias("b"), F.round("dot", R).alias("dot"), F.round("softmax", R).alias("softmax"),
+                    F.round(F.col("dot") / (F.col("na") * F.col("nb")), R).alias("cosine"))
+
+
 @register("join_zero_shot", SQL_SCORES + f"""
 SELECT vec_id, pred, round(score, {R}) AS score FROM (
   SELECT vec_id, cls AS pred, s_cosine AS score, row_number() OVER (PARTITION BY vec_id ORDER BY s_cosine DESC, cls) AS rn FROM s)
@@ -252,12 +302,12 @@ u AS (SELECT label, unnest(centroid) AS v, unnest(range(len(centroid))) AS i FRO
 SELECT label, i, round(v / greatest(max(abs(v)) OVER (PARTITION BY label), 1e-8), {R}) AS value FROM u""")
 def q_win_maxabs_norm(spark, sf):
     """Per-class max-abs scaling of the class means. The per-class maxima are
-    a grouped aggregate joined back (K rows, broadcast), not a window that
+    a grouped aggregate joined back (K rows), not a window that
     would pull each class into one task."""
     e = emb(spark, sf).filter("split = 'train'")
     long = C.class_average_long(e)
     mx = long.groupBy("label").agg(F.greatest(F.max(F.abs("mean")), F.lit(1e-8)).alias("m"))
-    return long.join(F.broadcast(mx), "label").select(
+    return long.join(mx, "label").select(
         "label", F.col("i").cast("long").alias("i"), F.round(F.col("mean") / F.col("m"), R).alias("value"))
 
 

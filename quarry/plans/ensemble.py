@@ -12,8 +12,8 @@ from quarry.operators import metrics as M
 from quarry.operators import models as MD
 from quarry.operators import prep as P
 from quarry.plans.common import SEED, emb, tbl
-from quarry.operators.small import local_frame
 from quarry.plans.registry import register
+from quarry.session import cut_lineage
 
 R = 6
 
@@ -26,6 +26,14 @@ def _xy(spark, sf, binary=False):
     return e.filter("split = 'train'"), e.filter("split = 'test'")
 
 
+def _with_accuracy(preds, *scores):
+    """Add the accuracy of the predictions (and given scores) to every row."""
+    preds = cut_lineage(preds)
+    share = preds.agg(F.avg((F.col("pred") == F.col("label")).cast("double"))).first()[0]
+    cols = {"accuracy": share, **dict(scores)}
+    return preds.withColumns({c: F.round(F.lit(v).cast("double"), R) for c, v in cols.items()})
+
+
 @register("mdl_logistic")
 def q_mdl_logistic(spark, sf):
     """Multinomial logistic regression, L2 with C = 1, 200 iterations."""
@@ -43,6 +51,7 @@ def q_mdl_svm(spark, sf):
     trf = MD.with_vector(MD.rff_transform(tr.drop("features"), "x", 256, g, SEED), "rff").persist()
     tef = MD.with_vector(MD.rff_transform(te.drop("features"), "x", 256, g, SEED), "rff")
     model = MD.linear_svm(trf)
+    trf.unpersist()
     rbf = MD.predict(model, tef, "vec_id", name="rbf")
     return lin.unionByName(rbf)
 
@@ -55,9 +64,13 @@ def q_mdl_tree(spark, sf):
 
 @register("mdl_random_forest")
 def q_mdl_random_forest(spark, sf):
-    """100 trees, sqrt features per split."""
+    """100 trees, sqrt features per split, with the test accuracy and an
+    out-of-bag score: the share of training rows that the bagged trees that
+    haven't seen them vote right on."""
     tr, te = _xy(spark, sf)
-    return MD.predict(MD.forest(tr, 100), te, "vec_id")
+    oob, _ = MD.bagging(tr, te, "vec_id", 20, seed=SEED)
+    score = oob.agg(F.avg((F.col("pred") == F.col("label")).cast("double"))).first()[0]
+    return _with_accuracy(MD.predict(MD.forest(tr, 100), te, "vec_id"), ("oob_score", score))
 
 
 @register("mdl_random_forest_reg")
@@ -74,12 +87,20 @@ def q_mdl_random_forest_reg(spark, sf):
 
 @register("mdl_voting")
 def q_mdl_voting(spark, sf):
-    """Logistic + tree + linear SVM, hard vote (classes 0/1)."""
-    tr, te = _xy(spark, sf, binary=True)
-    parts = [MD.predict(MD.logistic(tr), te, "vec_id"), MD.predict(MD.tree(tr), te, "vec_id"),
-             MD.predict(MD.linear_svm(tr), te, "vec_id")]
-    u = parts[0].unionByName(parts[1]).unionByName(parts[2])
-    return M.hard_vote(u.select("vec_id", "pred")).join(te.select("vec_id", F.col("label").cast("int")), "vec_id")
+    """Logistic + tree + linear SVM (one against the rest), hard vote over
+    all classes, with its accuracy."""
+    tr, te = _xy(spark, sf)
+    tr = MD.fit_rows(tr)
+    try:
+        models = [MD.logistic(tr), MD.tree(tr), MD.one_vs_rest(MD.svm_estimator(tr, max_iter=20), tr)]
+    finally:
+        tr.unpersist()
+    u = None
+    for m in models:
+        p = MD.predict(m, te, "vec_id")
+        u = p if u is None else u.unionByName(p)
+    voted = M.hard_vote(u.select("vec_id", "pred")).join(te.select("vec_id", F.col("label").cast("int").alias("label")), "vec_id")
+    return _with_accuracy(voted)
 
 
 @register("mdl_stacking")
@@ -100,64 +121,83 @@ def q_mdl_bagging(spark, sf):
 
 @register("mdl_boosting")
 def q_mdl_boosting(spark, sf):
-    """Gradient-boosted trees (classes 0/1)."""
-    tr, te = _xy(spark, sf, binary=True)
-    return MD.predict(MD.boosting(tr), te, "vec_id")
+    """Gradient-boosted trees, one ensemble against the rest for each class."""
+    tr, te = _xy(spark, sf)
+    tr = MD.fit_rows(tr)
+    try:
+        model = MD.one_vs_rest(MD.boosting_estimator(max_iter=8, max_depth=3), tr)
+    finally:
+        tr.unpersist()
+    return _with_accuracy(MD.predict(model, te, "vec_id"))
 
 
 @register("mdl_mlp")
 def q_mdl_mlp(spark, sf):
-    """Feed-forward classifier 64-128-64-10 (sigmoid hidden units, L-BFGS)."""
+    """Feed-forward classifier 64-128-64-10 (sigmoid hidden units, L-BFGS):
+    predictions with the mean cross-entropy and the accuracy on the test rows."""
+    from pyspark.ml.functions import vector_to_array
     tr, te = _xy(spark, sf)
-    return MD.predict(MD.mlp(tr, [64, 128, 64, 10]), te, "vec_id")
+    out = MD.mlp(tr, [64, 128, 64, 10]).transform(te)
+    own = F.get(vector_to_array("probability"), F.col("label").cast("int"))
+    p = cut_lineage(out.select("vec_id", "label", F.col("prediction").cast("int").alias("pred"),
+                               (-F.log(F.greatest(own, F.lit(1e-15)))).alias("loss")))
+    return _with_accuracy(p.drop("loss"), ("loss", p.agg(F.avg("loss")).first()[0]))
+
+
+_C = {"t": "l_extendedprice", "p": "l_quantity", "q": "l_discount", "r": "l_tax"}
 
 
-@register("prep_pipeline")
+@register("prep_pipeline", f"""WITH m AS (SELECT {", ".join(
+    f"covar_pop({_C[u]}, {_C[v]}) AS {u}{v}" for u, v in ("pp", "pq", "pr", "qq", "qr", "rr", "pt", "qt", "rt", "tt"))},
+       count(*) AS n FROM lineitem),
+d AS (SELECT *, pp * (qq * rr - qr * qr) - pq * (pq * rr - qr * pr) + pr * (pq * qr - qq * pr) AS det FROM m),
+w AS (SELECT *, (pt * (qq * rr - qr * qr) - pq * (qt * rr - qr * rt) + pr * (qt * qr - qq * rt)) / det AS wp,
+                (pp * (qt * rr - qr * rt) - pt * (pq * rr - qr * pr) + pr * (pq * rt - qt * pr)) / det AS wq,
+                (pp * (qq * rt - qt * qr) - pq * (pq * rt - qt * pr) + pt * (pq * qr - qq * pr)) / det AS wr FROM d)
+SELECT round(sqrt(tt - wp * pt - wq * qt - wr * rt), 4) AS rmse, n FROM w""")
 def q_prep_pipeline(spark, sf):
     """Assemble -> standardise -> linear regression as one fitted pipeline."""
     li = tbl(spark, sf, "lineitem").select("l_quantity", "l_discount", "l_tax", "l_extendedprice")
     m = MD.pipeline_regression(li, ["l_quantity", "l_discount", "l_tax"], "l_extendedprice")
     pr = m.transform(li)
-    return pr.agg(F.sqrt(F.avg(F.pow(F.col("prediction") - F.col("l_extendedprice"), 2))).alias("rmse"), F.count("*").alias("n"))
+    return pr.agg(F.round(F.sqrt(F.avg(F.pow(F.col("prediction") - F.col("l_extendedprice"), 2))), 4).alias("rmse"), F.count("*").alias("n"))
 
 
 @register("mdl_token_probe")
 def q_mdl_token_probe(spark, sf):
-    """Per-character label (letter / space / other) from the one-hot
-    characters of a +-1 window, logistic probe trained on the train split of
-    conversations; weighted F1 and accuracy on valid and test."""
+    """Per-character label (letter / space / other) by a logistic probe trained
+    on the train split of conversations, from the one-hot characters of a +-1
+    window and from the embedding of the character: the confusion counts on
+    valid and test, with weighted F1 and accuracy of each. Equal windows are
+    counted first and weigh as much as they occur, so the fits and the metrics
+    run on distinct windows, not on characters."""
+    from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.feature import OneHotEncoder, VectorAssembler
     from quarry.operators import text as T
     c = tbl(spark, sf, "conversations").select("conv_id", "turn", "text")
-    m = T.vocab_map(T.vocabulary(c, TX.chars("text")))
+    c = T.encode_frame(c, TX.chars("text"), T.vocabulary(c, TX.chars("text")), "ids")
     c = P.hash_split(c, "conv_id", {"train": 0.8, "valid": 0.1, "test": 0.1}, SEED)
-    ids = T.encode(TX.chars("text"), m)
-    n = F.size(ids)
+    ids, n = F.col("ids"), F.size("ids")
     prev = F.concat(F.array(F.lit(0)), F.slice(ids, 1, F.greatest(n - 1, F.lit(0))))
     nxt = F.concat(F.slice(ids, 2, F.greatest(n - 1, F.lit(0))), F.array(F.lit(0)))
     z = F.arrays_zip(TX.chars("text").alias("ch"), ids.alias("cur"), prev.alias("prev"), nxt.alias("next"))
-    tok = c.select("split", F.explode(z).alias("t")).select("split", "t.ch", "t.cur", "t.prev", "t.next")
-    lab = F.when(TX.char_class(F.col("ch")) == "L", 0).when(TX.char_class(F.col("ch")) == "O", 1).otherwise(2)
-    tok = tok.withColumn("label", lab.cast("double"))
+    lab = F.when(TX.char_class(F.col("t.ch")) == "L", 0).when(TX.char_class(F.col("t.ch")) == "O", 1).otherwise(2)
+    tok = cut_lineage(c.filter(n > 0).select("split", F.explode(z).alias("t"))
+                      .groupBy("split", "t.prev", "t.cur", "t.next", lab.cast("double").alias("label")).agg(F.count("*").alias("n")))
     enc = OneHotEncoder(inputCols=["prev", "cur", "next"], outputCols=["o1", "o2", "o3"], dropLast=False,
                         handleInvalid="keep").fit(tok)
-    feats = (VectorAssembler(inputCols=["o1", "o2", "o3"], outputCol="features").transform(enc.transform(tok))
-             .select("split", "label", "features").persist())
-    train = feats.filter("split = 'train'")
-    from pyspark.ml.classification import LogisticRegression
-    lr = LogisticRegression(featuresCol="features", labelCol="label", maxIter=50, regParam=1e-4).fit(train)
-    pred = lr.transform(feats.filter("split != 'train'")).select(
-        "split", F.col("label").cast("int").alias("label"), F.col("prediction").cast("int").alias("pred"))
-    from quarry.operators.small import collect_small
-    rows = collect_small(pred.groupBy("split", "label", "pred").count(), 1_000_000, "confusion cells")  # K*K per split
-    feats.unpersist()
-    counts = local_frame(spark, rows, "split string, label int, pred int, n long")
-    out = []
-    for s in ("valid", "test"):
-        ps = counts.filter(F.col("split") == s)
-        conf = M.confusion(ps.select("label", "pred", F.explode(F.array_repeat(F.lit(1), F.col("n").cast("int"))).alias("_")))
-        f1 = M.f1_weighted(conf)
-        acc = conf.agg((F.sum(F.when(F.col("actual") == F.col("predicted"), F.col("n")).otherwise(0)) / F.sum("n")).alias("accuracy"))
-        from quarry.operators.stats import _one_row_concat
-        out.append(_one_row_concat(f1, acc).select(F.lit(s).alias("split"), "f1_weighted", "accuracy"))
-    return out[0].unionByName(out[1])
+    onehot = VectorAssembler(inputCols=["o1", "o2", "o3"], outputCol="features").transform(enc.transform(tok))
+    table = tbl(spark, sf, "embeddings").select(F.col("vec_id").alias("cur"), F.col("embedding").alias("x"))
+    known = tok.groupBy("split", "cur", "label").agg(F.sum("n").alias("n")).join(table, "cur")
+    counts = None
+    for name, feats in (("onehot", onehot), ("embedding", MD.with_vector(known))):
+        feats = feats.select("split", "label", "n", "features").persist()
+        lr = LogisticRegression(featuresCol="features", labelCol="label", weightCol="n", maxIter=50, regParam=1e-4)
+        pred = lr.fit(feats.filter("split = 'train'")).transform(feats.filter("split != 'train'"))
+        part = cut_lineage(pred.groupBy(F.lit(name).alias("features"), "split", F.col("label").cast("int").alias("actual"),
+                                        F.col("prediction").cast("int").alias("predicted")).agg(F.sum("n").alias("n")))
+        feats.unpersist()
+        counts = part if counts is None else counts.unionByName(part)
+    by = ["features", "split"]
+    conf = M.confusion_grid(counts, by)
+    return conf.join(M.f1_weighted(conf, by), by)

@@ -23,9 +23,9 @@ RIDGE_ALPHAS = V.logspace(-3, 3, 13)
 LASSO_ALPHAS = V.logspace(-3, 1, 9)
 
 
-def _coef_frame(spark, names, b, w):
+def _coef_frame(spark, names, b, w, digits=R):
     rows = [("intercept", float(b))] + [(n, float(c)) for n, c in zip(names, w)]
-    return local_frame(spark, rows, "term string, coef double").select("term", F.round("coef", R).alias("coef"))
+    return local_frame(spark, rows, "term string, coef double").select("term", F.round("coef", digits).alias("coef"))
 
 
 @register("mdl_ols", f"""SELECT 'intercept' AS term, round(regr_intercept(l_extendedprice, l_quantity), {R}) AS coef FROM lineitem
@@ -53,22 +53,80 @@ def q_mdl_ols_multi(spark, sf):
 def _li_fit(spark, sf, fit):
     li = tbl(spark, sf, "lineitem").select(F.array(*LI_X).alias("x"), "l_extendedprice")
     b, w = fit(G.gram_matrix(G.gram(li, "x", "l_extendedprice")))
-    return _coef_frame(spark, LI_X, b, w)
+    return _coef_frame(spark, LI_X, b, w, 4)
 
 
-@register("mdl_ridge")
+# -- twins: the same three-feature problems, solved in SQL ------------------------
+
+_V = {"p": "l_quantity", "q": "l_discount", "r": "l_tax", "t": "l_extendedprice"}
+_PAIRS = ("pp", "pq", "pr", "qq", "qr", "rr", "pt", "qt", "rt", "tt")
+_FOLD = f"({sql_hash_u60(SEED, 'l_orderkey')}) % 5"
+# means (m*), and centred sums of products per row (two letters), with n rows
+_SQL_MOMENTS = "count(*)::DOUBLE AS n, " + ", ".join(f"avg({c}) AS m{v}" for v, c in _V.items()) + ", " + ", ".join(
+    f"covar_pop({_V[p[0]]}, {_V[p[1]]}) AS {p}" for p in _PAIRS)
+
+
+def _sql_ridge(alpha: str) -> str:
+    """wp, wq, wr from moments in scope: Cramer's rule on S + alpha / n I."""
+    pp, qq, rr = (f"({p} + {alpha} / n)" for p in ("pp", "qq", "rr"))
+    det = f"({pp} * ({qq} * {rr} - qr * qr) - pq * (pq * {rr} - qr * pr) + pr * (pq * qr - {qq} * pr))"
+    return f"""(pt * ({qq} * {rr} - qr * qr) - pq * (qt * {rr} - qr * rt) + pr * (qt * qr - {qq} * rt)) / {det} AS wp,
+       ({pp} * (qt * {rr} - qr * rt) - pt * (pq * {rr} - qr * pr) + pr * (pq * rt - qt * pr)) / {det} AS wq,
+       ({pp} * ({qq} * rt - qt * qr) - pq * (pq * rt - qt * pr) + pt * (pq * qr - {qq} * pr)) / {det} AS wr"""
+
+
+def _sql_descent(source: str, l1: str, l2: str, rounds: int = 60) -> str:
+    """Rounds of coordinate descent over the rows of ``source`` (key columns k,
+    and moments), as a recursive query ``cd`` with wp, wq, wr."""
+    soft = lambda rho, d: f"(sign({rho}) * greatest(abs({rho}) - {l1}, 0.0) / ({d} + {l2}))"
+    one = soft("(pt - pq * wq - pr * wr)", "pp")
+    two = soft("(qt - pq * np - qr * wr)", "qq")
+    three = soft("(rt - pr * np - qr * nq)", "rr")
+    return f"""cd AS (SELECT *, 0 AS step, 0.0::DOUBLE AS wp, 0.0::DOUBLE AS wq, 0.0::DOUBLE AS wr FROM {source}
+  UNION ALL SELECT * EXCLUDE (np, nq) REPLACE (step + 1 AS step, np AS wp, nq AS wq, {three} AS wr) FROM (
+    SELECT *, {two} AS nq FROM (SELECT *, {one} AS np FROM cd WHERE step < {rounds}))),
+fit AS (SELECT * FROM cd WHERE step = {rounds})"""
+
+
+_SQL_COEFS = """SELECT t.term, round(t.coef, 4) + 0.0 AS coef FROM fit, LATERAL (VALUES
+  ('intercept', mt - wp * mp - wq * mq - wr * mr), ('l_quantity', wp), ('l_discount', wq), ('l_tax', wr)) t(term, coef)"""
+
+
+def _sql_enet(alpha: float, l1_ratio: float) -> str:
+    return f"""WITH RECURSIVE mo AS (SELECT {_SQL_MOMENTS} FROM lineitem),
+{_sql_descent("mo", repr(alpha * l1_ratio), repr(alpha * (1 - l1_ratio)))}
+{_SQL_COEFS}"""
+
+
+# moments of the rows outside each fold (tr) and inside it (te)
+_SQL_FOLDS = f"""li AS (SELECT *, {_FOLD} AS fold FROM lineitem),
+tr AS (SELECT f.fold AS f, {_SQL_MOMENTS} FROM li, (SELECT DISTINCT fold FROM li) f WHERE li.fold <> f.fold GROUP BY f.fold),
+te AS (SELECT fold AS f, {_SQL_MOMENTS} FROM li GROUP BY fold)"""
+# held-out error of (wp, wq, wr) and its intercept, from the fold's own moments
+_SQL_HELD_OUT = """err AS (SELECT alpha, te.tt + wp * wp * te.pp + wq * wq * te.qq + wr * wr * te.rr
+  + 2 * (wp * wq * te.pq + wp * wr * te.pr + wq * wr * te.qr - wp * te.pt - wq * te.qt - wr * te.rt)
+  + ((te.mt - fit.mt) - wp * (te.mp - fit.mp) - wq * (te.mq - fit.mq) - wr * (te.mr - fit.mr)) ^ 2 AS mse FROM fit JOIN te USING (f))
+SELECT round(alpha, 6) AS alpha, round(avg(mse), 2) AS cv_mse FROM err GROUP BY alpha"""
+
+
+def _sql_alphas(alphas) -> str:
+    return f"al AS (SELECT unnest([{', '.join(map(repr, alphas))}]::DOUBLE[]) AS alpha)"
+
+
+@register("mdl_ridge", f"""WITH mo AS (SELECT {_SQL_MOMENTS} FROM lineitem), fit AS (SELECT *, {_sql_ridge("1.0")} FROM mo)
+{_SQL_COEFS}""")
 def q_mdl_ridge(spark, sf):
     """Ridge, alpha = 1 (closed form on the centred Gram)."""
     return _li_fit(spark, sf, lambda g: L.ridge(g, 1.0))
 
 
-@register("mdl_lasso")
+@register("mdl_lasso", _sql_enet(0.1, 1.0))
 def q_mdl_lasso(spark, sf):
     """Lasso, alpha = 0.1 (coordinate descent on the centred Gram)."""
     return _li_fit(spark, sf, lambda g: L.elastic_net(g, 0.1, 1.0))
 
 
-@register("mdl_elastic_net")
+@register("mdl_elastic_net", _sql_enet(0.1, 0.5))
 def q_mdl_elastic_net(spark, sf):
     """Elastic net, alpha = 0.1, l1_ratio = 0.5."""
     return _li_fit(spark, sf, lambda g: L.elastic_net(g, 0.1, 0.5))
@@ -86,14 +144,19 @@ def _path_frame(spark, path):
         F.round("alpha", R).alias("alpha"), F.round("cv_mse", 2).alias("cv_mse"))
 
 
-@register("mdl_ridge_cv")
+@register("mdl_ridge_cv", f"""WITH {_SQL_FOLDS}, {_sql_alphas(RIDGE_ALPHAS)},
+fit AS (SELECT *, {_sql_ridge("alpha")} FROM tr, al),
+{_SQL_HELD_OUT}""")
 def q_mdl_ridge_cv(spark, sf):
     """Ridge over 13 alphas in 1e-3..1e3 with 5 folds: all fold Grams in one
     pass, 65 small solves; (alpha, mean held-out MSE)."""
     return _path_frame(spark, L.cv_path(_fold_grams(spark, sf), RIDGE_ALPHAS, L.ridge))
 
 
-@register("mdl_lasso_cv")
+@register("mdl_lasso_cv", f"""WITH RECURSIVE {_SQL_FOLDS}, {_sql_alphas(LASSO_ALPHAS)},
+paths AS (SELECT * FROM tr, al),
+{_sql_descent("paths", "alpha", "0.0")},
+{_SQL_HELD_OUT}""")
 def q_mdl_lasso_cv(spark, sf):
     """Lasso over 9 alphas in 1e-3..1e1 with 5 folds (coordinate descent)."""
     return _path_frame(spark, L.cv_path_enet(_fold_grams(spark, sf), LASSO_ALPHAS, 1.0, max_iter=5000))

@@ -11,6 +11,7 @@ from quarry.operators import neighbors as NN
 from quarry.operators.small import collect_small
 from quarry.plans.common import SEED, SQL_EMB, emb
 from quarry.plans.registry import register
+from quarry.session import cut_lineage
 
 R = 6
 K = 5
@@ -56,17 +57,33 @@ def q_join_knn_regress(spark, sf):
     return p.select(F.col("qid").alias("vec_id"), F.round("pred", R).alias("pred"))
 
 
-@register("join_knn_approx", SQL_KNN + f"\nSELECT qid, rid, rank::INTEGER AS rank, round(dist, {R}) AS dist FROM nn")
+NPROBE, RECALL_SAMPLE = 8, 256
+
+
+@register("join_knn_approx", SQL_KNN + f""",
+ref AS (SELECT vec_id, x, {sql_hash_u60(SEED, 'vec_id')} AS h FROM e WHERE split = 'train'),
+cen AS (SELECT x AS c, row_number() OVER (ORDER BY h, vec_id) AS cid FROM ref
+        QUALIFY row_number() OVER (ORDER BY h, vec_id) <= ceil(sqrt((SELECT count(*) FROM ref)))),
+ra AS (SELECT vec_id AS rid, x, cid FROM ref, cen
+       QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY list_distance(x, c), cid) = 1),
+qa AS (SELECT vec_id AS qid, x, cid FROM e, cen WHERE split = 'test'
+       QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY list_distance(x, c), cid) <= {NPROBE}),
+f AS (SELECT qid, rid, list_distance(qa.x, ra.x) AS dist FROM qa JOIN ra USING (cid)),
+fr AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY dist, rid) AS rank FROM f
+       QUALIFY row_number() OVER (PARTITION BY qid ORDER BY dist, rid) <= {K}),
+sq AS (SELECT qid FROM (SELECT DISTINCT qid FROM nn) ORDER BY {sql_hash_u60(SEED, 'qid')}, qid LIMIT {RECALL_SAMPLE}),
+rc AS (SELECT avg(CASE WHEN fr.rid IS NULL THEN 0.0 ELSE 1.0 END) AS recall
+       FROM nn JOIN sq USING (qid) LEFT JOIN fr ON fr.qid = nn.qid AND fr.rid = nn.rid)
+SELECT qid, rid, rank::INTEGER AS rank, round(dist, {R}) AS dist, round(recall, {R}) AS recall FROM fr, rc""")
 def q_join_knn_approx(spark, sf):
-    """kNN at scale through a clustered index: probe the 3 nearest of 16
-    clusters tile by tile, certify each answer with the triangle-inequality
-    bound, and send uncertified queries to the full tiled search. Same
-    answer as exact search (so it has the same SQL twin)."""
+    """Approximate kNN through a clustered index (ceil(sqrt(n)) seeded centers,
+    8 probed), with its recall against exact search on a sample of queries."""
     e = emb(spark, sf)
     q = e.filter("split = 'test'").select(F.col("vec_id").alias("qid"), "x")
     r = e.filter("split = 'train'").select(F.col("vec_id").alias("rid"), "x")
-    out = NN.knn_indexed(q, r, K, "qid", "rid", "x", n_clusters=16, nprobe=3, seed=SEED)
-    return out.select("qid", "rid", "rank", F.round("dist", R).alias("dist"))
+    out = cut_lineage(NN.knn_clustered(q, r, K, "qid", "rid", "x", nprobe=NPROBE, seed=SEED))
+    share = NN.recall(out, q, r, K, "qid", "rid", "x", RECALL_SAMPLE, SEED)
+    return out.select("qid", "rid", "rank", F.round("dist", R).alias("dist"), F.round(F.lit(share).cast("double"), R).alias("recall"))
 
 
 # -- clustering --------------------------------------------------------------------
@@ -81,14 +98,14 @@ asg AS (SELECT * FROM (SELECT e.vec_id, e.x, init.cid, list_distance(e.x, init.c
 def _init_centers(spark, sf):
     e = emb(spark, sf)
     rows = collect_small(e.withColumn("_h", hash_u60(SEED, "vec_id")).orderBy("_h", "vec_id").limit(N_CLUSTERS)
-                         .select("x"), N_CLUSTERS, "initial centers")
+                         .select("x"), "initial centers")
     return e, [list(r["x"]) for r in rows], list(range(len(rows)))
 
 
 @register("mdl_kmeans_step", SQL_INIT + f""",
 u AS (SELECT cid, unnest(x) AS v, unnest(range(len(x))) AS i FROM asg),
 m AS (SELECT cid, i, avg(v) AS m FROM u GROUP BY ALL)
-SELECT cid AS cluster, (SELECT count(*) FROM asg WHERE asg.cid = m.cid) AS n, list(round(m, {R}) ORDER BY i) AS centroid
+SELECT cid AS cluster, (SELECT count(*) FROM asg WHERE asg.cid = m.cid) AS n, list(round(m, {R}) + 0.0 ORDER BY i) AS centroid
 FROM m GROUP BY cid""")
 def q_mdl_kmeans_step(spark, sf):
     """One k-means round from 10 seeded initial centers: assign, then mean."""
@@ -127,8 +144,37 @@ def q_agg_silhouette(spark, sf):
     return _one_row_concat(s1, s2)
 
 
-@register("mdl_kmeans_sweep")
+ROUNDS = 2
+
+
+def _sql_rounds() -> str:
+    out = []
+    for i in range(ROUNDS + 1):
+        out.append(f"""a{i} AS (SELECT k, vec_id, x, cid, list_distance(x, c) AS d FROM e, c{i}
+       QUALIFY row_number() OVER (PARTITION BY k, vec_id ORDER BY list_distance(x, c), cid) = 1)""")
+        if i < ROUNDS:
+            out.append(f"""m{i} AS (SELECT k, cid, list(m ORDER BY i) AS c FROM (SELECT k, cid, i, avg(v) AS m FROM (
+         SELECT k, cid, unnest(x) AS v, unnest(range(len(x))) AS i FROM a{i}) GROUP BY ALL) GROUP BY ALL),
+c{i + 1} AS (SELECT c{i}.k, c{i}.cid, coalesce(m{i}.c, c{i}.c) AS c FROM c{i} LEFT JOIN m{i} USING (k, cid))""")
+    return ",\n".join(out)
+
+
+@register("mdl_kmeans_sweep", f"""WITH {SQL_EMB},
+init AS (SELECT x AS c, row_number() OVER (ORDER BY {sql_hash_u60(SEED, 'vec_id')}, vec_id) - 1 AS cid FROM e),
+c0 AS (SELECT k::INTEGER AS k, cid, c FROM range(2, 11) t(k) JOIN init ON cid < k),
+{_sql_rounds()},
+asg AS (SELECT k, vec_id, x, cid, d FROM a{ROUNDS}),
+dist AS (SELECT a.vec_id AS va, b.vec_id AS vb, list_distance(a.x, b.x) AS d FROM e a JOIN e b ON a.vec_id <> b.vec_id),
+pc AS (SELECT a.k, va, a.cid, b.cid AS cto, avg(dist.d) AS md FROM dist JOIN asg a ON a.vec_id = va JOIN asg b ON b.vec_id = vb AND b.k = a.k
+       GROUP BY ALL),
+ab AS (SELECT k, va, max(md) FILTER (cid = cto) AS a, min(md) FILTER (cid <> cto) AS b FROM pc GROUP BY ALL),
+sil AS (SELECT k, avg(CASE WHEN a IS NULL OR b IS NULL THEN 0.0 ELSE (b - a) / greatest(a, b) END) AS s FROM ab GROUP BY k)
+SELECT k, round(sum(d * d), {R - 2}) AS inertia, round(any_value(s), {R}) AS silhouette FROM asg JOIN sil USING (k) GROUP BY k""")
 def q_mdl_kmeans_sweep(spark, sf):
-    """k = 2..10 with Spark's k-means (seed 42): inertia and silhouette per k."""
-    from quarry.operators.models import kmeans_sweep
-    return kmeans_sweep(emb(spark, sf).select("vec_id", "x"), range(2, 11), seed=SEED)
+    """k = 2..10 from seeded centers and two Lloyd rounds: inertia and
+    Euclidean silhouette per k."""
+    e = emb(spark, sf)
+    rows = collect_small(e.withColumn("_h", hash_u60(SEED, "vec_id")).orderBy("_h", "vec_id").limit(10).select("x"), "initial centers")
+    starts = {k: [list(r["x"]) for r in rows[:k]] for k in range(2, min(10, len(rows)) + 1)}
+    out = CL.lloyd_sweep(e, "vec_id", starts, ROUNDS)
+    return out.select("k", F.round("inertia", R - 2).alias("inertia"), F.round("silhouette", R).alias("silhouette"))

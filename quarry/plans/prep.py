@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -65,8 +66,8 @@ c AS (SELECT fold, label, list(m ORDER BY i) AS centroid FROM cm GROUP BY ALL),
 s AS (SELECT f.vec_id, f.fold, f.label, c.label AS cls, list_cosine_similarity(f.x, c.centroid) AS score
       FROM f JOIN c ON c.fold = f.fold),
 p AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY score DESC, cls) AS rn FROM s) WHERE rn = 1)
-SELECT fold::INTEGER AS fold, round(avg(CASE WHEN label = cls THEN 1.0 ELSE 0.0 END), {R}) AS accuracy, count(*) AS n
-FROM p GROUP BY fold""")
+SELECT fold, round(accuracy, {R}) AS accuracy, n, round(avg(accuracy) OVER (), {R}) AS mean_accuracy FROM (
+  SELECT fold::INTEGER AS fold, avg(CASE WHEN label = cls THEN 1.0 ELSE 0.0 END) AS accuracy, count(*) AS n FROM p GROUP BY fold)""")
 def q_prep_kfold(spark, sf):
     """5-fold CV of the class-average classifier in one pass: per-(fold,
     class) coordinate sums; the training means of fold f are
@@ -75,12 +76,12 @@ def q_prep_kfold(spark, sf):
     fs = e.select("fold", "label", F.posexplode("x").alias("i", "v")).groupBy("fold", "label", "i").agg(F.sum("v").alias("s"))
     fn = e.groupBy("fold", "label").agg(F.count("*").alias("n"))
     from quarry.operators.small import collect_small
-    rows = collect_small(fs, 5_000_000, "fold class sums")  # folds * K * d cells: the fitted models
+    rows = collect_small(fs, "fold class sums")  # folds * K * d cells: the fitted models
     tot_s, tot_n, by = {}, {}, {}
     for r in rows:
         tot_s[(r["label"], r["i"])] = tot_s.get((r["label"], r["i"]), 0.0) + r["s"]
         by[(r["fold"], r["label"], r["i"])] = r["s"]
-    for r in collect_small(fn, 1_000_000, "fold class counts"):
+    for r in collect_small(fn, "fold class counts"):
         tot_n[r["label"]] = tot_n.get(r["label"], 0) + r["n"]
         by[(r["fold"], r["label"])] = r["n"]
     labels = sorted(tot_n)
@@ -104,8 +105,9 @@ def q_prep_kfold(spark, sf):
     scores = V.let(V.l2_normalize("x"), lambda xn: F.transform(
         F.element_at(lit, pos), lambda c: F.coalesce(V.dot(xn, c), F.lit(float("-inf")))))
     allp = e.withColumn("pred", C.argmax_label(scores, labels))
-    return allp.groupBy("fold").agg(F.round(F.avg((F.col("label") == F.col("pred")).cast("double")), R).alias("accuracy"),
-                                    F.count("*").alias("n"))
+    each = allp.groupBy("fold").agg(F.avg((F.col("label") == F.col("pred")).cast("double")).alias("accuracy"), F.count("*").alias("n"))
+    mean = F.avg("accuracy").over(Window.partitionBy(F.lit(1)))  # over the handful of folds
+    return each.select("fold", F.round("accuracy", R).alias("accuracy"), "n", F.round(mean, R).alias("mean_accuracy"))
 
 
 # -- scaling, encoding, binning ---------------------------------------------
@@ -130,7 +132,7 @@ IMG_MEAN, IMG_STD = 0.1307, 0.3081
 
 
 @register("prep_normalize_const", f"""WITH {SQL_EMB}
-SELECT vec_id, {"list_transform(x, lambda v: round((((v + 1.0) * 127.5) / 255.0 - 0.1307) / 0.3081, 6))"} AS xn FROM e""")
+SELECT vec_id, {"list_transform(x, lambda v: round((((v + 1.0) * 127.5) / 255.0 - 0.1307) / 0.3081, 6) + 0.0)"} AS xn FROM e""")
 def q_prep_normalize_const(spark, sf):
     """Pixel-style normalisation with given constants: values mapped to
     0..255, divided by 255, then (v - mean) / std."""
@@ -268,6 +270,21 @@ def q_src_synth_linear(spark, sf):
     return o.select("o_orderkey", F.round(x, R).alias("x"), F.round(4.0 + 3.0 * x + noise, R).alias("y"))
 
 
+@register("src_synth_regression", f"""SELECT o_orderkey, round({_SX} - 1.0, {R}) AS x, round(60.0 * ({_SX} - 1.0) + 10.0 * ({_SN}), {R}) AS y FROM orders""")
+def q_src_synth_regression(spark, sf):
+    """One-feature regression data with noise of deviation 10, one row per order."""
+    x, noise = _synth_cols("o_orderkey")
+    o = tbl(spark, sf, "orders").select("o_orderkey")
+    return o.select("o_orderkey", F.round(x - 1.0, R).alias("x"), F.round(60.0 * (x - 1.0) + 10.0 * noise, R).alias("y"))
+
+
+@register("src_synth_normal", f"""SELECT o_orderkey, round({_SN}, {R}) AS v FROM orders""")
+def q_src_synth_normal(spark, sf):
+    """A standard normal draw per order, from seeded hashes (Box-Muller)."""
+    _, noise = _synth_cols("o_orderkey")
+    return tbl(spark, sf, "orders").select("o_orderkey", F.round(noise, R).alias("v"))
+
+
 @register("src_preview", "SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice FROM orders ORDER BY o_orderkey LIMIT 5")
 def q_src_preview(spark, sf):
     o = tbl(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice")
@@ -280,7 +297,7 @@ def q_src_row_at(spark, sf):
 
 
 @register("snk_embeddings", f"""WITH {SQL_EMB}
-SELECT vec_id, list_transform(x, lambda v: round(v / greatest(sqrt(list_sum(list_transform(x, lambda w: w * w))), 1e-12), {R})) AS xn FROM e""")
+SELECT vec_id, list_transform(x, lambda v: round(v / greatest(sqrt(list_sum(list_transform(x, lambda w: w * w))), 1e-12), {R}) + 0.0) AS xn FROM e""")
 def q_snk_embeddings(spark, sf):
     """Persist (normalised) vectors as parquet and read them back."""
     from quarry.sources.sinks import write_vectors

@@ -81,7 +81,7 @@ def q_agg_gram(spark, sf):
 
 @register("agg_covariance", f"""WITH {SQL_EMB},
 u AS (SELECT vec_id, unnest(range(len(x))) AS i, unnest(x) AS v FROM e)
-SELECT a.i::INTEGER AS i, b.i::INTEGER AS j, round(covar_samp(a.v, b.v), {R}) AS cov FROM u a JOIN u b USING (vec_id) GROUP BY a.i, b.i""")
+SELECT a.i::INTEGER AS i, b.i::INTEGER AS j, round(covar_samp(a.v, b.v), {R}) + 0.0 AS cov FROM u a JOIN u b USING (vec_id) GROUP BY a.i, b.i""")
 def q_agg_covariance(spark, sf):
     """Sample covariance matrix of the 64 coordinates, from the Gram cells."""
     c = G.covariance_long(G.gram(emb(spark, sf), "x"))

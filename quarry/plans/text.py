@@ -10,10 +10,10 @@ from quarry.functions import vec as V
 from quarry.functions.hashing import sql_hash_unit
 from quarry.operators import text as T
 from quarry.operators.ordering import with_global_index
-from quarry.operators.small import broadcast_if_small, collect_small
 from quarry.plans.common import SEED, tbl
 from quarry.operators.small import local_frame
 from quarry.plans.registry import register
+from quarry.session import cut_lineage
 
 R = 6
 MLM_P = 0.15
@@ -52,6 +52,12 @@ def q_str_special_tokens(spark, sf):
     return c.join(nxt, ["conv_id", "turn"]).select("conv_id", "turn", TX.frame_pair("text", "reply").alias("framed"))
 
 
+@register("str_special_eos", "SELECT conv_id, turn, text || ' [EOS]' AS framed FROM conversations")
+def q_str_special_eos(spark, sf):
+    """A [EOS] for every turn."""
+    return tbl(spark, sf, "conversations").select("conv_id", "turn", TX.frame_single("text").alias("framed"))
+
+
 SQL_VOCAB = """v AS (SELECT '<PAD>' AS token, 0 AS idx
       UNION ALL SELECT t, row_number() OVER (ORDER BY t) FROM (SELECT DISTINCT unnest(string_split(text, '')) AS t FROM conversations))"""
 
@@ -65,12 +71,12 @@ def q_str_vocab(spark, sf):
 def _encoded(spark, sf, with_labels: bool = True):
     c = tbl(spark, sf, "conversations").select("conv_id", "turn", "text")
     vocab = T.vocabulary(c, TX.chars("text"))
-    e = T.encode_frame(c, ["conv_id", "turn"], TX.chars("text"), vocab, "ids")
+    e = T.encode_frame(c, TX.chars("text"), vocab, "ids")
     if not with_labels:
         return e.select("conv_id", "turn", "ids")
     labels = TX.chars(TX.char_classes("text"))
     lv = T.vocabulary(c.select(labels.alias("l")), F.col("l"), pad=None)
-    e = T.encode_frame(e, ["conv_id", "turn"], labels, lv, "labs")
+    e = T.encode_frame(e, labels, lv, "labs")
     return e.select("conv_id", "turn", "ids", "labs")
 
 
@@ -89,7 +95,7 @@ enc AS (SELECT c.conv_id, c.turn, coalesce(ids, []::INTEGER[]) AS ids, coalesce(
 
 @register("join_vocab_encode", SQL_ENC + "\nSELECT conv_id, turn, ids FROM enc")
 def q_join_vocab_encode(spark, sf):
-    """Every character mapped to its vocabulary index (map literal lookup)."""
+    """Every character mapped to its vocabulary index (join by position)."""
     return _encoded(spark, sf, with_labels=False)
 
 
@@ -147,20 +153,18 @@ def q_str_mlm_mask(spark, sf):
 @register("str_embed_lookup", SQL_ENC + f""",
 u AS (SELECT conv_id, turn, unnest(ids) AS idx FROM enc),
 em AS (SELECT vec_id, unnest(CAST(embedding AS DOUBLE[])) AS v, unnest(range(len(embedding))) AS i FROM embeddings),
-j AS (SELECT conv_id, turn, i, avg(v) AS m, count(*) AS n FROM u JOIN em ON em.vec_id = u.idx GROUP BY ALL)
-SELECT conv_id, turn, max(n) AS n, list(round(m, {R}) ORDER BY i) AS pooled FROM j GROUP BY ALL""")
+j AS (SELECT conv_id, turn, i, avg(v) AS m, count(*) AS n FROM u JOIN em ON em.vec_id = u.idx GROUP BY ALL),
+g AS (SELECT conv_id, turn, max(n) AS n, list(round(m, {R}) + 0.0 ORDER BY i) AS pooled FROM j GROUP BY ALL)
+SELECT enc.conv_id, enc.turn, coalesce(n, 0) AS n, pooled FROM enc LEFT JOIN g USING (conv_id, turn)""")
 def q_str_embed_lookup(spark, sf):
     """Token index -> embedding row (row vec_id = index), mean-pooled per
-    sequence. Only rows up to the largest vocabulary index are needed
-    (bounded by the vocabulary, checked); they ship to the tasks once and
-    each Arrow batch does a numpy gather + mean."""
+    sequence; a sequence without a known token keeps its row (n = 0)."""
     from quarry.operators.lookup import pooled_lookup
     e = _encoded(spark, sf, with_labels=False)
-    vmax = e.select(F.max(F.array_max("ids")).alias("m")).first()["m"] or 0
-    rows = collect_small(tbl(spark, sf, "embeddings").filter(F.col("vec_id") <= vmax)
-                         .select("vec_id", F.col("embedding").cast("array<double>").alias("x")), 200_000, "embedding rows")
-    out = pooled_lookup(e, "ids", {r["vec_id"]: list(r["x"]) for r in rows}, ["conv_id", "turn"])
-    return out.select("conv_id", "turn", "n", V.round_array("pooled", R).alias("pooled")).filter(F.col("n") > 0)
+    table = tbl(spark, sf, "embeddings").select(F.col("vec_id").alias("idx"), F.col("embedding").cast("array<double>").alias("x"))
+    width = table.select(F.size("x")).first()
+    out = pooled_lookup(e, "ids", table, width[0] if width else 0)
+    return out.select("conv_id", "turn", "n", V.round_array("pooled", R).alias("pooled"))
 
 
 # -- embedding table keyed by sequence --------------------------------------------
@@ -172,7 +176,7 @@ s AS (SELECT seq, string_agg(CAST(label AS VARCHAR), '' ORDER BY pos) AS labels
 a AS (SELECT s.seq, s.labels, length(s.labels) AS L, el.emb_len,
              CASE WHEN el.emb_len = length(s.labels) + 2 THEN 1 ELSE 0 END AS off FROM s JOIN el USING (seq))
 SELECT a.seq, e.pos - a.off AS pos, substr(a.labels, (e.pos - a.off + 1)::INTEGER, 1) AS label_char,
-       list_transform(e.x, lambda v: round(v, {R})) AS x
+       list_transform(e.x, lambda v: round(v, {R}) + 0.0) AS x
 FROM a JOIN e USING (seq)
 WHERE e.pos - a.off >= 0 AND e.pos - a.off < least(a.L, a.emb_len - 2 * a.off)"""
 
@@ -206,13 +210,14 @@ pm AS (SELECT cnt.a, cnt.b, cnt.n, (cnt.n + 1.0) / (na.na + vs.V) AS p FROM cnt
 
 
 @register("mdl_ngram_lm", SQL_BIGRAM + f"""
-SELECT doc_id, count(*) AS n_bigrams, round(sum(ln(p)), 4) AS loglik FROM bg JOIN pm USING (a, b) GROUP BY doc_id""")
+SELECT ch.doc_id, coalesce(n, 0) AS n_bigrams, loglik FROM ch LEFT JOIN (
+  SELECT doc_id, count(*) AS n, round(sum(ln(p)), 4) AS loglik FROM bg JOIN pm USING (a, b) GROUP BY doc_id) USING (doc_id)""")
 def q_mdl_ngram_lm(spark, sf):
     """Character bigram model with add-one smoothing over the seen
-    vocabulary, and the log-likelihood of every document."""
-    d = tbl(spark, sf, "documents").select("doc_id", TX.chars("text").alias("t"))
-    model = T.bigram_model(d, F.col("t"))
-    ll = T.bigram_loglik(d, "doc_id", F.col("t"), model)
+    vocabulary, and the log-likelihood of every document (null where it has
+    no bigram)."""
+    pairs = T.pair_counts(tbl(spark, sf, "documents"), "doc_id", TX.chars("text"))
+    ll = T.bigram_loglik(pairs, "doc_id", T.bigram_model(pairs))
     return ll.select("doc_id", "n_bigrams", F.round("loglik", 4).alias("loglik"))
 
 
@@ -222,8 +227,7 @@ SELECT a, b, round(p, {R}) AS p, rk AS rank FROM (
 def q_mdl_ngram_lm_topk(spark, sf):
     """Greedy/top-3 next-character table from the same model."""
     from pyspark.sql import Window
-    d = tbl(spark, sf, "documents").select("doc_id", TX.chars("text").alias("t"))
-    m = T.bigram_model(d, F.col("t"))
+    m = T.bigram_model(T.pair_counts(tbl(spark, sf, "documents"), "doc_id", TX.chars("text")))
     w = Window.partitionBy("a").orderBy(F.desc("n"), "b")
     return (m.withColumn("rank", F.row_number().over(w)).filter("rank <= 3")
             .select("a", "b", F.round("p", R).alias("p"), F.col("rank").cast("long").alias("rank")))
@@ -237,3 +241,12 @@ def q_str_bpe(spark, sf):
     merges = T.bpe_learn(words.withColumnRenamed("token", "word"), 30)
     return local_frame(spark, [(i, a, b, c) for i, (a, b, c) in enumerate(merges)],
                                  "rank int, left string, right string, count long")
+
+
+@register("str_bpe_apply")
+def q_str_bpe_apply(spark, sf):
+    """Every distinct word of the documents, cut by the 30 learned merges in
+    the order of learning: (word, n, pieces)."""
+    words = cut_lineage(T.token_counts(tbl(spark, sf, "documents"), TX.words("text")).withColumnRenamed("token", "word"))
+    merges = T.bpe_learn(words, 30)
+    return words.select("word", "n", T.bpe_apply(F.col("word"), merges).alias("pieces"))

@@ -22,7 +22,7 @@ def ra(col):
 
 
 def sra(expr: str) -> str:
-    return f"list_transform({expr}, lambda v: round(v, {R}))"
+    return f"list_transform({expr}, lambda v: round(v, {R}) + 0.0)"
 
 
 def rev(col="x"):
@@ -43,7 +43,7 @@ def q_vec_add_mul(spark, sf):
     e = emb(spark, sf)
     mean = (e.select(F.posexplode("x").alias("i", "v")).groupBy("i").agg(F.avg("v").alias("m")).orderBy("i"))
     from quarry.operators.small import collect_small
-    mu = [r["m"] for r in collect_small(mean, 1_000_000, "mean vector")]  # d values
+    mu = [r["m"] for r in collect_small(mean, "mean vector")]  # d values
     return e.select("vec_id", ra(V.add("x", rev())).alias("plus"), ra(V.mul("x", rev())).alias("times"),
                     ra(V.sub("x", V.lit_vector(mu))).alias("centred"))
 
@@ -104,11 +104,8 @@ _ACT_SQL = {
     for k, s in _ACT_SQL.items()) + ")")
 def q_vec_activations(spark, sf):
     e = emb(spark, sf).select("vec_id", V.scale("x", 4.0).alias("x4"))
-    parts = [e.select("vec_id", F.lit(k).alias("act"), ra(V.activation("x4", k)).alias("value")) for k in _ACT_SQL]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    each = F.array(*[F.struct(F.lit(k).alias("act"), ra(V.activation("x4", k)).alias("value")) for k in _ACT_SQL])
+    return e.select("vec_id", F.explode(each).alias("a")).select("vec_id", "a.act", "a.value")
 
 
 @register("vec_layernorm", E + f"""SELECT vec_id, {sra('list_transform(x, lambda v: (v - mu) / sqrt(var + 1e-5))')} AS ln
@@ -186,7 +183,7 @@ def q_vec_neg_cosine_loss(spark, sf):
     own class mean (join on the class key; the model side is K rows)."""
     e = emb(spark, sf)
     cents = C.class_average(e.filter("split = 'train'")).select("label", "centroid")
-    j = e.filter("split = 'test'").join(F.broadcast(cents), "label")
+    j = e.filter("split = 'test'").join(cents, "label")
     return j.agg(F.round(F.avg(-V.cosine("x", "centroid")), R).alias("loss"), F.count("*").alias("n"))
 
 
@@ -255,14 +252,16 @@ def q_prj_xy(spark, sf):
 
 
 @register("prj_poly", E + f"""SELECT vec_id, len(list_concat(x, flatten(list_transform(range(len(x)), lambda i: list_transform(range(i, len(x)), lambda j: x[i + 1] * x[j + 1]))))) AS n_terms,
-  {sra('list_concat(x, flatten(list_transform(range(len(x)), lambda i: list_transform(range(i, len(x)), lambda j: x[i + 1] * x[j + 1]))))')} AS poly FROM e""")
+  {sra('list_concat(x, flatten(list_transform(range(len(x)), lambda i: list_transform(range(i, len(x)), lambda j: x[i + 1] * x[j + 1]))))')} AS poly,
+  list_concat(list_transform(range(len(x)), lambda i: 'x' || i), flatten(list_transform(range(len(x)), lambda i: list_transform(range(i, len(x)),
+    lambda j: CASE WHEN i = j THEN 'x' || i || '^2' ELSE 'x' || i || ' x' || j END)))) AS names FROM e""")
 def q_prj_poly(spark, sf):
     """Degree-2 expansion without bias in the usual order: all degree-1
     terms, then x_i * x_j for i <= j (lexicographic). One lambda, so the
     generated code does not grow with the number of terms."""
-    from quarry.operators.prep import poly2
-    e = emb(spark, sf).select("vec_id", poly2("x").alias("poly"))
-    return e.select("vec_id", F.size("poly").cast("long").alias("n_terms"), ra("poly").alias("poly"))
+    from quarry.operators.prep import poly2, poly2_names
+    e = emb(spark, sf).select("vec_id", poly2("x").alias("poly"), poly2_names("x", "x").alias("names"))
+    return e.select("vec_id", F.size("poly").cast("long").alias("n_terms"), ra("poly").alias("poly"), "names")
 
 
 @register("prj_exp_feature", f"SELECT l_orderkey, l_linenumber, round(exp(l_discount), {R}) AS exp_discount FROM lineitem")

@@ -4,6 +4,7 @@ checkpoint folder every lineage cut and scratch write goes to."""
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -17,6 +18,7 @@ _DEFAULT_CONF = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",  # with the frame that they were made for
 }
 
 
@@ -45,13 +47,15 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder for checkpoints and scratch tables.
 
-    Read from ``spark.checkpoint.dir`` (set by the cluster). Only when it is
-    unset (local tests) do we create one of our own under the system temp
-    folder and register it.
+    Read from ``spark.checkpoint.dir`` (set by the cluster). Where it is unset
+    a local session gets a temporary one; on a cluster that would be a folder
+    that executors can't see, so there it is an error.
     """
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
         d = spark.sparkContext.getCheckpointDir() if hasattr(spark.sparkContext, "getCheckpointDir") else None
+    if not d and not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not d:
         d = tempfile.mkdtemp(prefix="quarry-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
@@ -70,6 +74,12 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{base}/{name}-{uuid.uuid4().hex[:12]}"
 
 
+def forget_at_exit(spark: SparkSession, path: str) -> None:
+    """Remove a scratch folder when the session's process ends."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(p)
+
+
 def cut_lineage(df):
     """Reliable lineage cut (written to the shared checkpoint folder, so it
     survives executor loss). Never a local checkpoint."""

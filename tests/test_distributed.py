@@ -49,13 +49,14 @@ def test_kfold_complete_and_disjoint(spark):
     assert sorted(r[0] for r in df.select("fold").distinct().collect()) == [0, 1, 2, 3, 4]
 
 
-def test_knn_matches_brute_force(spark):
-    from quarry.operators.neighbors import knn
+def test_knn_matches_brute_force(spark, monkeypatch):
+    from quarry.operators import neighbors
     rng = np.random.default_rng(2)
     X = rng.normal(size=(120, 5))
     q = spark.createDataFrame([(i, X[i].tolist()) for i in range(40)], "qid long, x array<double>")
     r = spark.createDataFrame([(i, X[i].tolist()) for i in range(40, 120)], "rid long, x array<double>")
-    got = knn(q, r, 4, "qid", "rid", tile_rows=16).collect()  # many tiles on both sides
+    monkeypatch.setattr(neighbors, "BLOCK_BYTES", 16 * 8 * 5)  # several blocks of queries
+    got = neighbors.knn(q, r, 4, "qid", "rid").collect()
     got = {(g["qid"], g["rank"]): g["rid"] for g in got}
     for i in range(40):
         d = np.sqrt(((X[40:] - X[i]) ** 2).sum(1))
@@ -124,28 +125,88 @@ def test_bpe_matches_plain_python(spark):
     assert got == seqs
 
 
-def test_indexed_knn_is_exact_and_prunes(spark):
-    from quarry.operators.neighbors import knn_indexed
+def _clustered(spark):
     rng = np.random.default_rng(4)
     centers = rng.normal(0, 10, (6, 4))
-    X = np.vstack([c + rng.normal(0, 0.5, (60, 4)) for c in centers])  # clustered data
+    X = np.vstack([c + rng.normal(0, 0.5, (60, 4)) for c in centers])
     idx = rng.permutation(len(X))
-    qi, ri = idx[:50], idx[50:]
-    q = spark.createDataFrame([(int(i), X[i].tolist()) for i in qi], "qid long, x array<double>")
-    r = spark.createDataFrame([(int(i), X[i].tolist()) for i in ri], "rid long, x array<double>")
-    got = knn_indexed(q, r, 5, n_clusters=6, nprobe=2, tile_rows=32).collect()
-    got = {(g["qid"], g["rank"]): g["rid"] for g in got}
-    for i in qi:
-        d = np.sqrt(((X[ri] - X[i]) ** 2).sum(1))
-        order = ri[np.lexsort((ri, d))][:5]
-        assert [got[(int(i), k + 1)] for k in range(5)] == [int(v) for v in order]
+    q = spark.createDataFrame([(int(i), X[i].tolist()) for i in idx[:50]], "qid long, x array<double>")
+    r = spark.createDataFrame([(int(i), X[i].tolist()) for i in idx[50:]], "rid long, x array<double>")
+    return q, r
+
+
+def test_clustered_knn_recall_and_tiles(spark):
+    from quarry.operators.neighbors import knn, knn_clustered, recall
+    q, r = _clustered(spark)
+    few, all_ = (knn_clustered(q, r, 5, nprobe=p, tile_rows=16) for p in (4, 1000))
+    assert recall(few, q, r, 5) > 0.8
+    exact = {(g["qid"], g["rank"]): g["rid"] for g in knn(q, r, 5).collect()}
+    assert {(g["qid"], g["rank"]): g["rid"] for g in all_.collect()} == exact  # every cluster probed
 
 
-def test_encode_large_vocabulary_path_equals_literal_path(spark):
+def test_encoding_depends_on_the_tokens_alone(spark):
     from quarry.functions import text as TX
     from quarry.operators import text as T
-    df = spark.createDataFrame([(1, "abcab"), (2, ""), (3, "zz a")], "id int, text string")
-    vocab = T.vocabulary(df, TX.chars("text"))
-    a = {r["id"]: r["ids"] for r in T.encode_frame(df, ["id"], TX.chars("text"), vocab).collect()}
-    b = {r["id"]: r["ids"] for r in T.encode_frame(df, ["id"], TX.chars("text"), vocab, max_literal=2).collect()}
-    assert a == b and a[2] == [] and len(a[1]) == 5
+    rows = [(1, "abcab"), (1, "zz a"), (2, ""), (3, "zz a"), (3, "zz a"), (4, "q")]
+    df = spark.createDataFrame(rows, "id int, text string")
+    vocab = T.vocabulary(df.filter("id < 4"), TX.chars("text"))
+    index = {r["token"]: r["idx"] for r in vocab.collect()}
+    got = sorted((r["id"], r["text"], r["ids"]) for r in T.encode_frame(df, TX.chars("text"), vocab).collect())
+    assert got == sorted((i, t, [index.get(c) for c in t]) for i, t in rows)
+
+
+def test_two_valued_column_sorts_no_ties(spark, monkeypatch):
+    monkeypatch.setattr(O, "_FINAL_ROWS", 10)
+    vals = [1.0] * 700 + [2.0] * 301
+    df = spark.createDataFrame([(v, i) for i, v in enumerate(vals)], "v double, i long")
+    q = {r["prob"]: r["quantile"] for r in O.exact_quantiles(df, "v", [0.0, 0.5, 0.7, 0.75, 1.0]).collect()}
+    assert q == {p: float(np.quantile(vals, p)) for p in q}
+    out = O.select_ranks(df, "v", [(0,), (450,), (700,), (1000,)], tiebreak=["i"])
+    assert sorted((r["_rank"], r["v"], r["i"]) for r in out.collect()) == [(0, 1.0, 0), (450, 1.0, 450), (700, 2.0, 700), (1000, 2.0, 1000)]
+    # the answers of one-valued intervals need no rows at all
+    same = O.select_ranks(df.filter("v = 1"), "v", [(350,)])
+    assert "Window" not in same._jdf.queryExecution().toString() and same.first()["v"] == 1.0
+
+
+def test_confusion_keeps_zero_cells_and_groups(spark):
+    from quarry.operators import metrics as M
+    counts = spark.createDataFrame([("a", 0, 0, 5_000_000_000), ("a", 0, 1, 2), ("b", 2, 0, 1)], "g string, actual int, predicted int, n long")
+    grid = {(r["g"], r["actual"], r["predicted"]): r["n"] for r in M.confusion_grid(counts, ["g"]).collect()}
+    assert grid == {("a", 0, 0): 5_000_000_000, ("a", 0, 1): 2, ("a", 1, 0): 0, ("a", 1, 1): 0,
+                    ("b", 0, 0): 0, ("b", 0, 2): 0, ("b", 2, 0): 1, ("b", 2, 2): 0}
+    f1 = {r["g"]: r["accuracy"] for r in M.f1_weighted(M.confusion_grid(counts, ["g"]), ["g"]).collect()}
+    assert math.isclose(f1["a"], 5_000_000_000 / 5_000_000_002) and f1["b"] == 0
+
+
+def test_pooled_lookup_keeps_rows_without_a_hit(spark):
+    from quarry.operators.lookup import pooled_lookup
+    df = spark.createDataFrame([(1, [0, 0, 2]), (1, [9]), (2, []), (3, [0, 0, 2])], "id int, ids array<int>")
+    table = spark.createDataFrame([(0, [1.0, 2.0]), (2, [4.0, 8.0])], "idx int, x array<double>")
+    got = sorted((r["id"], r["n"], r["pooled"]) for r in pooled_lookup(df, "ids", table, 2).collect())
+    assert got == [(1, 0, None), (1, 3, [2.0, 4.0]), (2, 0, None), (3, 3, [2.0, 4.0])]
+
+
+def test_image_operators_match_loops(spark):
+    from quarry.operators import image as I
+    rng = np.random.default_rng(6)
+    X = rng.normal(size=(3, 5, 7))
+    df = spark.createDataFrame([(i, X[i].ravel().tolist()) for i in range(3)], "id int, x array<double>")
+    K = [[1.0, 2.0, 0.0], [0.5, -1.0, 0.0], [0.0, 3.0, 1.0]]
+    for stride in (1, 2):
+        got = {(r["img"], r["r"], r["c"]): r["v"] for r in I.conv3x3(df, "id", "x", K, 5, 7, stride).collect()}
+        pad = np.pad(X, ((0, 0), (1, 1), (1, 1)))
+        want = {(i, r, c): (pad[i, r * stride:r * stride + 3, c * stride:c * stride + 3] * K).sum()
+                for i in range(3) for r in range(-(-5 // stride)) for c in range(-(-7 // stride))}
+        assert got.keys() == want.keys() and all(math.isclose(got[k], want[k], abs_tol=1e-12) for k in want)
+    for how, f in (("avg", np.mean), ("max", np.max)):
+        got = {(r["img"], r["r"], r["c"]): r["v"] for r in I.pool(df, "id", "x", 5, 7, 2, how).collect()}
+        assert all(math.isclose(v, f(X[i, 2 * r:2 * r + 2, 2 * c:2 * c + 2])) for (i, r, c), v in got.items()) and len(got) == 3 * 3 * 4
+
+
+def test_collects_are_bounded_in_bytes(spark):
+    import pytest
+    from quarry.operators.small import TooLargeError, collect_small
+    df = spark.range(1000)
+    assert len(collect_small(df)) == 1000
+    with pytest.raises(TooLargeError):
+        collect_small(df, "ids", max_bytes=4000)

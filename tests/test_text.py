@@ -41,12 +41,13 @@ def test_padding_length_one_and_all_padding(spark):
 
 def test_bigram_model_counts_one_token_rows_in_vocabulary(spark):
     df = spark.createDataFrame([(1, "abab"), (2, "z")], "id int, t string")
-    m = {(r["a"], r["b"]): r["p"] for r in T.bigram_model(df, TX.chars("t")).collect()}
+    pairs = T.pair_counts(df, "id", TX.chars("t"))
+    m = {(r["a"], r["b"]): r["p"] for r in T.bigram_model(pairs).collect()}
     # V = {a, b, z} = 3; n(a)=2 bigrams (ab, ab), n(b)=1 (ba)
     assert math.isclose(m[("a", "b")], (2 + 1) / (2 + 3))
     assert math.isclose(m[("b", "a")], (1 + 1) / (1 + 3))
-    ll = {r["id"]: r for r in T.bigram_loglik(df, "id", TX.chars("t"), T.bigram_model(df, TX.chars("t"))).collect()}
-    assert ll[1]["n_bigrams"] == 3 and 2 not in ll
+    ll = {r["id"]: r for r in T.bigram_loglik(pairs, "id", T.bigram_model(pairs)).collect()}
+    assert ll[1]["n_bigrams"] == 3 and ll[2]["n_bigrams"] == 0 and ll[2]["loglik"] is None
 
 
 def test_mlm_mask_is_seeded_and_consistent(spark):
