@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarry.session import scratch_path, ship_package
+from quarry.session import forget_at_exit, scratch_path, ship_package
 
 #: The white space of the word rule ``[^\\x20\\x09-\\x0D]+``.
 BLANKS = " \t\n\x0b\x0c\r"
@@ -36,7 +36,9 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the cluster's shared folder and read it back: cuts the
     lineage, survives lost executors, and lets several consumers share it."""
     path = scratch_path(df.sparkSession, name)
+    path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
+    forget_at_exit(df.sparkSession, path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
