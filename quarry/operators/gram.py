@@ -22,9 +22,47 @@ from pyspark.sql import types as T
 from quarry.operators.small import collect_small
 
 
-def gram(df: DataFrame, features: str, target: str | None = None, by: Sequence[str] = ()) -> DataFrame:
-    """Long Gram cells ``(by..., i, j, value)`` of Z = [1, x, (y)]; index 0 is
-    the constant, 1..d the features, d+1 the target (when given)."""
+class Gram(np.ndarray):
+    """A Gram matrix of Z - shift. ``shift`` (0 for the constant) is near the
+    means, so sums of squares lose no digits when means are large beside the
+    deviations; covariances don't depend on it, means add it back."""
+
+    shift: np.ndarray | None = None
+
+    def __array_finalize__(self, obj):
+        self.shift = getattr(obj, "shift", None)
+
+
+def centred_gram(df: DataFrame, features: str, target: str | None = None) -> "Gram":
+    """The Gram of [1, x, (y)] about the means of a few rows."""
+    shift = _near_means(df, features, target)
+    return _shifted(gram_matrix(gram(df, features, target, shift=shift)), shift)
+
+
+def centred_grams(df: DataFrame, features: str, target: str | None, by: str) -> dict:
+    """One Gram for each value of ``by``, all about the same shift."""
+    shift = _near_means(df, features, target)
+    return {k: _shifted(m, shift) for k, m in gram_matrices(gram(df, features, target, by=[by], shift=shift), by).items()}
+
+
+def _shifted(m: np.ndarray, shift: np.ndarray) -> "Gram":
+    out = m.view(Gram)
+    out.shift = shift
+    return out
+
+
+def _near_means(df: DataFrame, features: str, target: str | None, rows: int = 200) -> np.ndarray:
+    """[0, x, (y)] averaged over some rows: any point near the means will do."""
+    some = df.select(F.col(features).cast("array<double>"), *([F.col(target).cast("double")] if target else [])).limit(rows).collect()
+    z = np.array([[0.0, *r[0], *r[1:]] for r in some], float)
+    return z.mean(axis=0) if len(z) else np.zeros(1)
+
+
+def gram(df: DataFrame, features: str, target: str | None = None, by: Sequence[str] = (),
+         shift: np.ndarray | None = None) -> DataFrame:
+    """Long Gram cells ``(by..., i, j, value)`` of Z = [1, x, (y)], or of Z -
+    shift; index 0 is the constant, 1..d the features, d+1 the target (when
+    given)."""
     by = list(by)
     cols = by + [features] + ([target] if target else [])
     multi = bool(target) and df.schema[target].dataType.typeName() == "array"
@@ -48,6 +86,8 @@ def gram(df: DataFrame, features: str, target: str | None = None, by: Sequence[s
                 elif target:
                     parts.append(g["_y"].to_numpy(dtype=float).reshape(-1, 1))
                 z = np.hstack(parts)
+                if shift is not None:
+                    z = z - shift
                 m = z.T @ z
                 acc[key] = acc[key] + m if key in acc else m
         for key, m in acc.items():

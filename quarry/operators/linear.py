@@ -30,7 +30,9 @@ class Moments:
 
 
 def moments(G: np.ndarray) -> Moments:
-    """Centred moments from Z = [1, x_1..x_d, y] Gram."""
+    """Centred moments from the Gram of Z = [1, x_1..x_d, y], or of Z - shift."""
+    shift = getattr(G, "shift", None)
+    G = np.asarray(G)
     n = G[0, 0]
     d = G.shape[0] - 2
     sx, sy = G[0, 1:d + 1], G[0, d + 1]
@@ -38,6 +40,8 @@ def moments(G: np.ndarray) -> Moments:
     sxx = G[1:d + 1, 1:d + 1] - n * np.outer(mx, mx)
     sxy = G[1:d + 1, d + 1] - n * mx * my
     syy = G[d + 1, d + 1] - n * my * my
+    if shift is not None:
+        mx, my = mx + shift[1:d + 1], my + shift[d + 1]
     return Moments(n, mx, my, sxx, sxy, syy)
 
 
@@ -55,6 +59,7 @@ def ols(G: np.ndarray, fit_intercept: bool = True) -> tuple[float, np.ndarray]:
 def ols_multi(G: np.ndarray, d: int) -> np.ndarray:
     """No-intercept multi-output least squares: pinv(XᵀX) XᵀY, (d x m).
     ``G`` is the Gram of [1, x (d), Y (m)]."""
+    G = np.asarray(G)
     xtx = G[1:d + 1, 1:d + 1]
     xty = G[1:d + 1, d + 1:]
     return np.linalg.pinv(xtx) @ xty
@@ -93,6 +98,10 @@ def elastic_net(G: np.ndarray, alpha: float, l1_ratio: float = 1.0, max_iter: in
 def heldout_mse(G_fold: np.ndarray, b: float, w: np.ndarray) -> float:
     """Mean squared error of (b, w) on the rows summarised by a Gram."""
     d = G_fold.shape[0] - 2
+    shift = getattr(G_fold, "shift", None)
+    G_fold = np.asarray(G_fold)
+    if shift is not None:  # the same residuals, seen from the shifted origin
+        b = b + w @ shift[1:d + 1] - shift[d + 1]
     beta = np.concatenate([[b], w])
     zz = G_fold[:d + 1, :d + 1]
     zy = G_fold[:d + 1, d + 1]

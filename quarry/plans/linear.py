@@ -33,7 +33,7 @@ UNION ALL SELECT 'l_quantity', round(regr_slope(l_extendedprice, l_quantity), {R
 def q_mdl_ols(spark, sf):
     """Least squares with intercept from the Gram (one Spark pass, 3x3 solve)."""
     li = tbl(spark, sf, "lineitem").select(F.array("l_quantity").alias("x"), "l_extendedprice")
-    b, w = L.ols(G.gram_matrix(G.gram(li, "x", "l_extendedprice")))
+    b, w = L.ols(G.centred_gram(li, "x", "l_extendedprice"))
     return _coef_frame(spark, ["l_quantity"], b, w)
 
 
@@ -52,7 +52,7 @@ def q_mdl_ols_multi(spark, sf):
 
 def _li_fit(spark, sf, fit):
     li = tbl(spark, sf, "lineitem").select(F.array(*LI_X).alias("x"), "l_extendedprice")
-    b, w = fit(G.gram_matrix(G.gram(li, "x", "l_extendedprice")))
+    b, w = fit(G.centred_gram(li, "x", "l_extendedprice"))
     return _coef_frame(spark, LI_X, b, w, 4)
 
 
@@ -136,7 +136,7 @@ def _fold_grams(spark, sf):
     li = P.kfold(tbl(spark, sf, "lineitem").select(
         F.array(*LI_X).alias("x"), "l_extendedprice", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"),
         "l_orderkey", 5, SEED)
-    return G.gram_matrices(G.gram(li, "x", "l_extendedprice", by=["fold"]), "fold")
+    return G.centred_grams(li, "x", "l_extendedprice", "fold")
 
 
 def _path_frame(spark, path):
@@ -180,7 +180,7 @@ def q_top_best_alpha(spark, sf):
     """Best ridge alpha for price ~ size by 5-fold CV (one-pass fold sums)."""
     p = P.kfold(tbl(spark, sf, "part").select(F.array(F.col("p_size").cast("double")).alias("x"), "p_retailprice", "p_partkey"),
                 "p_partkey", 5, SEED)
-    grams = G.gram_matrices(G.gram(p, "x", "p_retailprice", by=["fold"]), "fold")
+    grams = G.centred_grams(p, "x", "p_retailprice", "fold")
     a, mse = L.best_alpha(L.cv_path(grams, RIDGE_ALPHAS, L.ridge))
     return local_frame(spark, [(a, mse)], "alpha double, cv_mse double").select(
         F.round("alpha", R).alias("alpha"), F.round("cv_mse", 2).alias("cv_mse"))
@@ -209,7 +209,7 @@ def q_mdl_poly_regression(spark, sf):
     out = []
     for name, feats in (("linear", F.array("x")), ("poly2", P.poly2(F.array("x")))):
         df = d.select(feats.alias("f"), "y")
-        b, w = L.ols(G.gram_matrix(G.gram(df, "f", "y")))
+        b, w = L.ols(G.centred_gram(df, "f", "y"))
         pred = F.lit(float(b)) + V.dot("f", V.lit_vector(w))
         out.append(df.agg(F.avg(F.pow(F.col("y") - pred, 2)).alias("mse")).select(F.lit(name).alias("model"), "mse"))
     return out[0].unionByName(out[1]).select("model", F.round("mse", R).alias("mse"))
@@ -217,10 +217,12 @@ def q_mdl_poly_regression(spark, sf):
 
 def _pca(spark, sf, k=2):
     e = emb(spark, sf)
-    Gm = G.gram_matrix(G.gram(e, "x"))
-    n, d = Gm[0, 0], Gm.shape[0] - 1
+    Gm = G.centred_gram(e, "x")
+    shift, Gm = Gm.shift[1:], np.asarray(Gm)
+    n = Gm[0, 0]
     mu = Gm[0, 1:] / n
     cov = (Gm[1:, 1:] - n * np.outer(mu, mu)) / (n - 1)
+    mu = mu + shift
     vals, vecs = L.pca_from_cov(cov, k)
     return e, mu, cov, vals, vecs
 
@@ -268,7 +270,7 @@ def q_mdl_regularisation_study(spark, sf):
     mu, sd = P.standardize_vectors_fit(tr)
     z = P.standardize_vectors_apply(e, mu, sd).withColumn("y", F.col("label").cast("double"))
     z = P.kfold(z, "vec_id", 5, S)
-    grams = G.gram_matrices(G.gram(z.filter("split = 'train'"), "xz", "y", by=["fold"]), "fold")
+    grams = G.centred_grams(z.filter("split = 'train'"), "xz", "y", "fold")
     total = sum(grams.values())
     ra, _ = L.best_alpha(L.cv_path(grams, RIDGE_ALPHAS, L.ridge))
     la, _ = L.best_alpha(L.cv_path_enet(grams, LASSO_ALPHAS, 1.0))
@@ -299,7 +301,7 @@ def q_agg_mse_rmse(spark, sf):
     clipped to a range ([0, 50000] here)."""
     from quarry.operators import metrics as M
     li = tbl(spark, sf, "lineitem").select(F.array("l_quantity").alias("x"), "l_quantity", F.col("l_extendedprice").alias("y"))
-    b, w = L.ols(G.gram_matrix(G.gram(li, "x", "y")))
+    b, w = L.ols(G.centred_gram(li, "x", "y"))
     p = li.select("y", (F.lit(float(b)) + F.lit(float(w[0])) * F.col("l_quantity")).alias("pred"))
     p = p.withColumn("pc", F.greatest(F.lit(0.0), F.least(F.lit(50000.0), F.col("pred"))))
     m = M.mse_rmse(p, "y", "pred")

@@ -200,3 +200,21 @@ def test_warm_started_lasso_path_equals_cold_fits(spark):
     cold = dict(L.cv_path(grams, alphas, lambda g, a: L.elastic_net(g, a, 1.0)))
     for a in alphas:
         assert abs(warm[a] - cold[a]) < 1e-8
+
+
+def test_large_means_lose_no_digits(spark):
+    rng = np.random.default_rng(21)
+    x = 1e7 + rng.normal(size=400)
+    y = 3.0 * (x - 1e7) + 1e8 + 0.01 * rng.normal(size=400)
+    folds = rng.integers(0, 4, 400)
+    df = spark.createDataFrame([([float(a)], float(b), int(f)) for a, b, f in zip(x, y, folds)], "x array<double>, y double, fold int")
+    _, w = L.ols(G.centred_gram(df, "x", "y"))
+    want = np.polyfit(x - 1e7, y - 1e8, 1)[0]
+    assert abs(w[0] - want) < 1e-8
+    grams = G.centred_grams(df, "x", "y", "fold")
+    path = dict(L.cv_path(grams, [1e-9], L.ridge))
+    errs = []
+    for f in range(4):
+        a, b = np.polyfit(x[folds != f] - 1e7, y[folds != f] - 1e8, 1)
+        errs.append(np.mean((y[folds == f] - 1e8 - a * (x[folds == f] - 1e7) - b) ** 2))
+    assert abs(path[1e-9] - np.mean(errs)) < 1e-9
