@@ -186,9 +186,13 @@ def q_smp_bootstrap(spark, sf):
 SQL_DOC_SPLIT = f"""CASE WHEN {sql_hash_unit(SEED, 'doc_id')} < 0.9 THEN 'train' WHEN {sql_hash_unit(SEED, 'doc_id')} < 0.95 THEN 'valid' ELSE 'test' END"""
 
 
+def _split_docs(spark, sf):
+    return P.hash_split(tbl(spark, sf, "documents").select("doc_id", "text"), "doc_id",
+                        {"train": 0.9, "valid": 0.05, "test": 0.05}, SEED)
+
+
 def _doc_splits(spark, sf):
-    d = P.hash_split(tbl(spark, sf, "documents").select("doc_id", "text"), "doc_id",
-                     {"train": 0.9, "valid": 0.05, "test": 0.05}, SEED)
+    d = _split_docs(spark, sf)
     return [d.filter(F.col("split") == s) for s in ("train", "valid", "test")]
 
 
@@ -202,8 +206,7 @@ def q_set_union_splits(spark, sf):
 @register("set_distinct_seqs", "SELECT DISTINCT text FROM documents")
 def q_set_distinct_seqs(spark, sf):
     """Distinct sequences across all splits (exact copies collapse)."""
-    a, b, c = _doc_splits(spark, sf)
-    return a.unionByName(b).unionByName(c).select("text").distinct()
+    return _split_docs(spark, sf).select("text").distinct()
 
 
 # -- sorts ----------------------------------------------------------------------
@@ -241,9 +244,7 @@ def q_src_csv(spark, sf):
 @register("src_split_dataset", f"""SELECT {SQL_DOC_SPLIT} AS split, count(*) AS n_docs, sum(length(text))::BIGINT AS n_chars FROM documents GROUP BY 1""")
 def q_src_split_dataset(spark, sf):
     """Named splits of a dataset (train/valid/test) and their sizes."""
-    a, b, c = _doc_splits(spark, sf)
-    allp = a.unionByName(b).unionByName(c)
-    return allp.groupBy("split").agg(F.count("*").alias("n_docs"), F.sum(F.length("text")).alias("n_chars"))
+    return _split_docs(spark, sf).groupBy("split").agg(F.count("*").alias("n_docs"), F.sum(F.length("text")).alias("n_chars"))
 
 
 def _synth_cols(key):
@@ -278,6 +279,16 @@ def q_src_synth_regression(spark, sf):
     return o.select("o_orderkey", F.round(x - 1.0, R).alias("x"), F.round(60.0 * (x - 1.0) + 10.0 * noise, R).alias("y"))
 
 
+@register("src_synth_quadratic", f"""SELECT o_orderkey, round(2.0 * {_SX} - 2.0, {R}) AS x,
+  round(0.5 * (2.0 * {_SX} - 2.0) * (2.0 * {_SX} - 2.0) + 0.3 * (2.0 * {_SX} - 2.0) + 0.1 * ({_SN}), {R}) AS y FROM orders""")
+def q_src_synth_quadratic(spark, sf):
+    """y = 0.5 x² + 0.3 x + N(0, 0.1²), x uniform in [-2, 2), one row per order."""
+    x01, noise = _synth_cols("o_orderkey")
+    x = 2.0 * x01 - 2.0
+    o = tbl(spark, sf, "orders").select("o_orderkey")
+    return o.select("o_orderkey", F.round(x, R).alias("x"), F.round(0.5 * x * x + 0.3 * x + 0.1 * noise, R).alias("y"))
+
+
 @register("src_synth_normal", f"""SELECT o_orderkey, round({_SN}, {R}) AS v FROM orders""")
 def q_src_synth_normal(spark, sf):
     """A standard normal draw per order, from seeded hashes (Box-Muller)."""
