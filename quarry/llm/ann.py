@@ -145,20 +145,19 @@ class CurveIndex:
         spark = rows.sparkSession
         self.k, self.curves = neighbours + 1, curves  # one more, as a query finds itself
         self.rows = _usable(rows, id_col, vec_col)
+        widths = self.rows.groupBy(F.size("x").alias("n")).count().orderBy(F.col("count").desc(), F.col("n").desc()).limit(1).collect()
+        self.width = widths[0]["n"] if widths else 0
+        self.rows = self.rows.where(F.size("x") == self.width)
         # of equal vectors the smallest ids: more can't be among the nearest
         few = F.row_number().over(Window.partitionBy("x").orderBy("id"))
         groups = (self.rows.distinct().withColumn("nth", few).where(F.col("nth") <= self.k)
                   .groupBy("x").agg(F.array_sort(F.collect_list("id")).alias("ids")))
         self.vectors = written(groups.select(F.col("ids")[0].alias("id"), "ids", "x"), "vectors")
         self.size = self.vectors.count()
-        self.width = self.window = 0
+        self.window = 0
         self.sample_recall = 1.0
         if not self.size:
             return
-        widths = [r[0] for r in self.vectors.select(F.size("x")).distinct().limit(2).collect()]
-        if len(widths) > 1:
-            raise ValueError("vectors of several lengths can't be compared")
-        self.width = widths[0]
         scale = self._scale()
 
         def keyed(batches):
@@ -253,7 +252,8 @@ def curve_neighbours(rows: DataFrame, query_ids, id_col: str = "vec_id", vec_col
     (query_id, rank, vec_id, score): candidates are all rows but the query's own,
     nearest first, ties to the smaller id; all of them if there are fewer than
     asked. Null ids, and vectors that are null, empty, all zero or hold a null,
-    NaN or infinite component, take no part. Rows repeated exactly count once; an
+    NaN or infinite component, take no part, nor do those of another length than
+    most (the greater one, if two are as common). Rows repeated exactly count once; an
     id with several vectors has each of them, and its queries are merged under
     the one id. No usable rows: no rows.
     """

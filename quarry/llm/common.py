@@ -26,6 +26,12 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def free_names(df: DataFrame, *stems: str) -> list[str]:
+    """Names made from ``stems`` that no column of ``df`` has: longer than any."""
+    fill = "_" * (max(map(len, df.columns), default=0) + 1)
+    return [fill + s for s in stems]
+
+
 def utf8(col: str | Column) -> Column:
     """Text as UTF-8 bytes; null counts as empty."""
     c = F.col(f"`{col}`") if isinstance(col, str) else col

@@ -22,7 +22,7 @@ SCHEMA = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("tex
                        T.StructField("lang", T.StringType()), T.StructField("source", T.StringType()),
                        T.StructField("n_chars", T.LongType())])
 #: Names that operators use inside.
-CLASHING = ("id", "mark", "fp", "key", "list", "gone", "line", "pos", "h", "size", "shard", "u", "v", "node", "features", "secrets")
+CLASHING = ("id", "mark", "fp", "key", "list", "gone", "line", "pos", "h", "size", "shard", "u", "v", "node", "features", "secrets", "ga", "gb", "_row", "_mark", "_id", "a", "b")
 
 
 def documents(spark, rows=DOCS, clashing=False):
