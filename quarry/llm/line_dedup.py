@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import BLANKS, LOWER, UPPER, written
+from quarry.llm.common import BLANKS, LOWER, UPPER, free_names, written
 
 MOST_DOCUMENTS, LEAST_CHARS = 10, 1
 
@@ -50,19 +50,18 @@ def drop_shared_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     key = line_key(F.col("line"))
     hashed = written(rows.select("id", "a", "b", "pos", key.alias("key")).where(F.char_length("key") >= least_chars)
                      .select("id", "a", "b", "pos", F.xxhash64("key").alias("h"), F.xxhash64(F.lit(1), "key").alias("g")), "lines")
-    often = (hashed.select("h", "g", "id").distinct().groupBy("h", "g").count()
-             .where(F.col("count") >= threshold).select(F.col("h").alias("oh"), F.col("g").alias("og")))
-    gone = (hashed.join(often, (F.col("h") == F.col("oh")) & (F.col("g") == F.col("og")), "left_semi")
-            .groupBy(F.col("a").alias("ga"), F.col("b").alias("gb")).agg(F.collect_set("pos").alias("gone")))
+    often = hashed.select("h", "g", "id").distinct().groupBy("h", "g").count().where(F.col("count") >= threshold)
+    # a table of its own, so that the join below deals out both its sides anew and Spark can split a very common line
+    often = written(often.select(F.col("h").alias("oh"), F.col("g").alias("og")), "often")
     names = docs.columns
-    tail = f"_{len(''.join(names))}"  # makes names that docs can't have
-    here = docs.withColumns({f"_a{tail}": a, f"_b{tail}": b}).join(
-        gone, (F.col(f"_a{tail}") == F.col("ga")) & (F.col(f"_b{tail}") == F.col("gb")), "left")
-    here = here.withColumnRenamed("gone", f"_gone{tail}") if "gone" not in names else here.select(
-        *[docs[c] for c in names], gone["gone"].alias(f"_gone{tail}"))
-    gone_at, lines = F.col(f"_gone{tail}"), F.col(f"_lines{tail}")
+    row = dict(zip(("a", "b", "ga", "gb", "gone", "lines"), free_names(docs, "a", "b", "ga", "gb", "gone", "lines")))
+    gone = (hashed.join(often, (F.col("h") == F.col("oh")) & (F.col("g") == F.col("og")), "left_semi")
+            .groupBy(F.col("a").alias(row["ga"]), F.col("b").alias(row["gb"])).agg(F.collect_set("pos").alias(row["gone"])))
+    here = docs.withColumns({row["a"]: a, row["b"]: b}).join(
+        gone, (F.col(row["a"]) == F.col(row["ga"])) & (F.col(row["b"]) == F.col(row["gb"])), "left")
     # split once a row: inside the lambda below only the column is looked up
-    here = here.withColumn(f"_lines{tail}", _lines(F.col(f"`{text_col}`")))
+    here = here.withColumn(row["lines"], _lines(F.col(f"`{text_col}`")))
+    gone_at, lines = F.col(row["gone"]), F.col(row["lines"])
     stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), gone_at)
     left = F.when(gone_at.isNull(), F.col(f"`{text_col}`")).otherwise(
         F.array_join(F.transform(stay, lambda i: F.get(lines, i)), "\n"))
