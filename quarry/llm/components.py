@@ -23,14 +23,16 @@ def _mark(edges: DataFrame):
 
 def _large(edges: DataFrame) -> DataFrame:
     both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("at"), F.least("m", "u").alias("m"))
+    # a table of its own: then both sides of the join are dealt out anew, and Spark can split a node with very many edges
+    least = written(both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("at"), F.least("m", "u").alias("m")), "least")
     return (both.join(least, F.col("u") == F.col("at")).where("v > u")
             .select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
 
 
 def _small(edges: DataFrame) -> DataFrame:
     # every edge goes from the greater node u to the lesser v
-    least = edges.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("at"), "m")
+    edges = written(edges, "large")
+    least = written(edges.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("at"), "m"), "least")
     moved = edges.join(least, F.col("u") == F.col("at")).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.union(least.select(F.col("at").alias("u"), F.col("m").alias("v"))).distinct()
 

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import id_schema, same_bytes, utf8, written
+from quarry.llm.common import free_names, id_schema, same_bytes, utf8, written
 from quarry.llm.components import components
 
 SHINGLE_WORDS, MOST_BITS, SEED = 3, 3, 42
@@ -166,7 +166,9 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str, size: int, most_bits:
     least = written(rows.groupBy("fp").agg(F.min("id").alias("least")), "distinct")
     roots = components(links(least.select("fp"), most_bits))
     classes = least.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    classes = written(classes, "classes")
     ids = classes.groupBy("root").agg(F.min("least").alias("component_id")).withColumnRenamed("root", "r")
+    ids = written(ids, "ids")  # so that Spark can split a component with very many fingerprints in the join
     named = classes.join(ids, F.col("root") == F.col("r")).select(F.col("fp").alias("f"), "root", "component_id")
     return rows.join(named, F.col("fp") == F.col("f")).drop("f")
 
@@ -191,9 +193,8 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", si
     that id, and any one of rows that agree in both)."""
     groups = _grouped(docs, id_col, text_col, size, most_bits)
     first = groups.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "mark")).alias("r"))
-    keep = first.select(F.xxhash64("r.id", "r.mark").alias("_row"), F.col("r.mark").alias("_mark"))
-    names = docs.columns
-    row, mark = (f"_{x}_{len(''.join(names))}" for x in ("row", "mark"))  # names that docs can't have
+    row, mark, kept_row, kept_mark = free_names(docs, "row", "mark", "kept_row", "kept_mark")
+    keep = first.select(F.xxhash64("r.id", "r.mark").alias(kept_row), F.col("r.mark").alias(kept_mark))
     marked = docs.withColumn(mark, _mark(text_col)).withColumn(row, F.xxhash64(F.col(f"`{id_col}`"), F.col(mark)))
-    kept = marked.join(keep, (F.col(row) == F.col("_row")) & (F.col(mark) == F.col("_mark")), "left_semi")
-    return kept.dropDuplicates([row, mark]).select(*[f"`{c}`" for c in names])
+    kept = marked.join(keep, (F.col(row) == F.col(kept_row)) & (F.col(mark) == F.col(kept_mark)), "left_semi")
+    return kept.dropDuplicates([row, mark]).select(*[f"`{c}`" for c in docs.columns])
