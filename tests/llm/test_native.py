@@ -5,6 +5,7 @@ import random
 from collections import defaultdict
 
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from quarry.llm import chat, line_dedup
@@ -82,16 +83,21 @@ TURNS = (
     [(1, i, "user" if i % 2 else "assistant", f"t{i}") for i in range(3)] + [(2, i, "user" if i % 2 else "assistant", f"t{i}") for i in range(5)]
     + [(3, i + 7, "user" if i % 2 else "assistant", f"t{i}") for i in range(5)]          # as 2, numbered otherwise
     + [(4, 0, "assistant", "t0"), (4, 1, "user", "other")] + [(5, 0, None, None)] + [(6, 0, None, "")] + [(7, 0, None, None), (7, 1, "user", "<|im_end|>x")]
-    + [(8, 0, "user", "again"), (8, 0, "user", "again")] + [(9, None, "user", "again"), (9, 0, "user", "more")] + [(None, 0, "user", "lost"), (None, 1, "user", "id")]
+    + [(8, 0, "user", "again"), (8, 0, "user", "again")] + [(9, None, "user", "again"), (9, 0, "user", "more")] + [(12, 4, "user", x) for x in "zyxwv"] + [(None, 0, "user", "lost"), (None, 1, "user", "id")]
     + [(10, i, "user", f"n{i}") for i in range(700)] + [(11, i, "user", f"n{i}") for i in range(300)]
 )
 
 
+def text_hash(t):
+    h = 42 if t is None else xxhash.xxh64_intdigest(t.encode(), 42)
+    return h - (1 << 64) if h >> 63 else h
+
+
 def plain_chats(turns):
     seqs = defaultdict(list)
     for c, i, r, t in set(turns):
-        seqs[c].append(((i is not None, i or 0), (r is not None, r or ""), (t is not None, t or "")))
-    seqs = {c: tuple(x[1:] for x in sorted(s)) for c, s in seqs.items()}
+        seqs[c].append(((i is not None, i or 0), (r is not None, r or ""), text_hash(t), (t is not None, t or "")))
+    seqs = {c: tuple((x[1], x[3]) for x in sorted(s)) for c, s in seqs.items()}
     out = []
     for seq in set(seqs.values()):
         if any(len(s) > len(seq) and s[:len(seq)] == seq for s in seqs.values()):
