@@ -9,7 +9,8 @@ Each task writes the shards it holds one after another, record by record,
 rolling to a new file once the compressed size is reached, under names that no
 other attempt uses. The names come back as rows of a manifest; only those of
 successful attempts are renamed to their final names, and the final manifest is
-written after that. A reader goes by the manifest alone.
+written after that. A reader goes by the manifest alone. The folder must be one that
+pyarrow can open on all executors (a shared path, hdfs:, s3:, gs:).
 """
 
 from __future__ import annotations
@@ -130,6 +131,7 @@ def _decided(keys: DataFrame, least: int) -> DataFrame:
              .groupBy("digest", "n_bytes").agg(F.max(F.struct("page", "url")).alias("top"), F.sum("n").alias("copies"))
              .where("copies > 1 AND top.page IS NOT NULL").select(F.col("digest").alias("d"), F.col("n_bytes").alias("b"),
                                       F.col("top.page").alias("refers"), F.col("top.url").alias("u")))
+    first = written(first, "warc-first")  # so that Spark can split a payload that very many pages have
     return (one.join(first, (F.col("digest") == F.col("d")) & (F.col("n_bytes") == F.col("b")))
             .select("page", "url", "digest", "refers",
                     (F.col("page").eqNullSafe(F.col("refers")) & (F.col("url").eqNullSafe(F.col("u")))).alias("holds")))
