@@ -37,20 +37,33 @@ def vocabulary(df: DataFrame, tokens: Column, pad: str | None = TX.PAD) -> DataF
 
 def encode_frame(df: DataFrame, tokens: Column, vocab: DataFrame, out: str = "ids") -> DataFrame:
     """Add ``out`` = vocabulary indices of ``tokens`` (unknown -> null; no
-    tokens -> empty array).
-
-    The index array depends on the tokens alone, so each distinct token array
-    is encoded once: exploded with positions, joined to the vocabulary, put
-    together again by position, and joined back. Array identity is a 128-bit
-    hash, so rows with equal keys but other tokens stay apart."""
-    names = df.columns
-    h = df.withColumns({"_h": F.xxhash64(tokens), "_g": F.xxhash64(F.lit(1), tokens), "_t": tokens})
-    each = h.select("_h", "_g", "_t").dropDuplicates(["_h", "_g"]).select("_h", "_g", F.posexplode("_t").alias("_p", "_t"))
-    v = vocab.select(F.col("token").alias("_t"), F.col("idx").cast("int").alias("_i"))
-    arrays = (each.join(v, "_t", "left").groupBy("_h", "_g")
-              .agg(F.transform(F.array_sort(F.collect_list(F.struct("_p", "_i"))), lambda t: t["_i"]).alias(out)))
-    joined = h.drop("_t").join(arrays, ["_h", "_g"], "left")
-    return joined.select(*names, F.coalesce(out, F.array().cast("array<int>")).alias(out))
+    tokens -> empty array)."""
+    return encode_frames(df, {out: (tokens, vocab)})
+
+
+def encode_frames(df: DataFrame, columns: dict[str, tuple[Column, DataFrame]]) -> DataFrame:
+    """Add several index arrays, {name: (tokens, vocabulary)}, side by side.
+
+    The indices depend on the tokens alone, so each distinct set of token
+    arrays is encoded once: exploded with positions, joined to the
+    vocabularies, put together again by position, and joined back. Arrays are
+    told apart by a 128-bit hash, so rows with equal keys but other tokens stay
+    apart."""
+    names, arrays = df.columns, [tokens for tokens, _ in columns.values()]
+    size = {out: F.size(f"_t.{out}").alias(f"_n_{out}") for out in columns}
+    h = df.withColumns({"_h": F.xxhash64(*arrays), "_g": F.xxhash64(F.lit(1), *arrays),
+                        "_t": F.struct(*[t.alias(out) for out, (t, _) in columns.items()])})
+    each = h.select("_h", "_g", "_t").dropDuplicates(["_h", "_g"]).select(
+        "_h", "_g", *size.values(), F.posexplode(F.arrays_zip(*[f"_t.{out}" for out in columns])).alias("_p", "_z"))
+    for out, (_, vocab) in columns.items():
+        v = vocab.select(F.col("token").alias(f"_w_{out}"), F.col("idx").cast("int").alias(f"_i_{out}"))
+        each = each.withColumn(f"_w_{out}", F.col(f"_z.{out}")).join(v, f"_w_{out}", "left")
+    sizes = [f"_n_{out}" for out in columns]
+    cells = F.array_sort(F.collect_list(F.struct("_p", *[f"_i_{out}" for out in columns])))
+    whole = each.groupBy("_h", "_g", *sizes).agg(cells.alias("_s")).select("_h", "_g", *[
+        F.slice(F.col(f"_s._i_{out}"), F.lit(1), F.col(f"_n_{out}")).alias(f"_o_{out}") for out in columns])
+    joined = h.drop("_t").join(whole, ["_h", "_g"], "left")
+    return joined.select(*names, *[F.coalesce(f"_o_{out}", F.array().cast("array<int>")).alias(out) for out in columns])
 
 
 def pad_batch(df: DataFrame, ids: str, labels: str, batch: str, pad_idx: int = 0,

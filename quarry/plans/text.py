@@ -70,14 +70,11 @@ def q_str_vocab(spark, sf):
 
 def _encoded(spark, sf, with_labels: bool = True):
     c = tbl(spark, sf, "conversations").select("conv_id", "turn", "text")
-    vocab = T.vocabulary(c, TX.chars("text"))
-    e = T.encode_frame(c, TX.chars("text"), vocab, "ids")
-    if not with_labels:
-        return e.select("conv_id", "turn", "ids")
-    labels = TX.chars(TX.char_classes("text"))
-    lv = T.vocabulary(c.select(labels.alias("l")), F.col("l"), pad=None)
-    e = T.encode_frame(e, labels, lv, "labs")
-    return e.select("conv_id", "turn", "ids", "labs")
+    columns = {"ids": (TX.chars("text"), T.vocabulary(c, TX.chars("text")))}
+    if with_labels:
+        labels = TX.chars(TX.char_classes("text"))
+        columns["labs"] = (labels, T.vocabulary(c, labels, pad=None))
+    return T.encode_frames(c, columns).select("conv_id", "turn", *columns)
 
 
 SQL_ENC = f"""WITH {SQL_VOCAB},
@@ -112,7 +109,7 @@ def _padded(spark, sf):
     """Batches of 4 consecutive sequences in key order: the distributed index
     is built on the keys alone (a narrow table) and joined back."""
     e = _encoded(spark, sf)
-    keys = with_global_index(e.select("conv_id", "turn"), ["conv_id", "turn"], "_i")
+    keys = with_global_index(tbl(spark, sf, "conversations").select("conv_id", "turn"), ["conv_id", "turn"], "_i")
     e = e.join(keys.select("conv_id", "turn", F.expr("_i div 4").alias("batch")), ["conv_id", "turn"])
     return T.pad_batch(e, "ids", "labs", "batch")
 

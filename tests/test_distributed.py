@@ -155,6 +155,16 @@ def test_encoding_depends_on_the_tokens_alone(spark):
     assert got == sorted((i, t, [index.get(c) for c in t]) for i, t in rows)
 
 
+def test_several_arrays_are_encoded_side_by_side(spark):
+    from quarry.operators import text as T
+    df = spark.createDataFrame([(1, ["a", "b"], ["x"]), (2, [], ["y", "x", "q"]), (1, ["a", "b"], ["x"]), (3, [], [])],
+                               "id int, t array<string>, u array<string>")
+    v = spark.createDataFrame([("a", 0), ("b", 1)], "token string, idx long")
+    w = spark.createDataFrame([("x", 5), ("y", 6)], "token string, idx long")
+    got = sorted((r["id"], r["i"], r["j"]) for r in T.encode_frames(df, {"i": (F.col("t"), v), "j": (F.col("u"), w)}).collect())
+    assert got == [(1, [0, 1], [5]), (1, [0, 1], [5]), (2, [], [6, 5, None]), (3, [], [])]
+
+
 def test_two_valued_column_sorts_no_ties(spark, monkeypatch):
     monkeypatch.setattr(O, "_FINAL_ROWS", 10)
     vals = [1.0] * 700 + [2.0] * 301
