@@ -24,7 +24,7 @@ from quarry.llm.common import id_schema, same_bytes, utf8
 
 _WORD = 8                    # a bitmap word has 2 ** 8 bits
 _MASK = (1 << _WORD) - 1
-REMEMBERED = 250_000         # pre-tokens, in each of two generations
+REMEMBERED = 600_000         # pre-tokens, in each of two generations
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -35,55 +35,62 @@ def load_ranks(path: str) -> dict[bytes, int]:
 
 def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     """The ids of one pre-token."""
-    if (whole := ranks.get(piece)) is not None:
+    rank = ranks.get
+    if (whole := rank(piece)) is not None:
         return [whole]
     n = len(piece)
-    start = list(range(n))             # of the token, by place
-    end = list(range(1, n + 1))        # also the place of the next token
+    end = list(range(1, n + 1))        # of the token at a place: the place of the next one
     before = list(range(-1, n - 1))
-    pair = [-1] * n                    # rank of the pair that begins here; -1: none
+    pair: list[int | None] = [rank(piece[i:i + 2]) for i in range(n - 1)]  # of the token and the next
+    pair.append(None)
     buckets: dict[int, list[int]] = {}
-    words = [0] * ((len(ranks) >> _WORD) + 1)
+    words: dict[int, int] = {}         # the bitmap, but for words that have been 0 all along
     summary = 0
-    for i in range(n - 1):
-        r = ranks.get(piece[i:i + 2])
+    for i, r in enumerate(pair):
         if r is not None:
-            pair[i] = r
             if r in buckets:
                 buckets[r].append(i)   # places rise, so the list is a heap
             else:
                 buckets[r] = [i]
-                words[r >> _WORD] |= 1 << (r & _MASK)
-                summary |= 1 << (r >> _WORD)
+                w = r >> _WORD
+                words[w] = words.get(w, 0) | 1 << (r & _MASK)
+                summary |= 1 << w
     while summary:
         w = (summary & -summary).bit_length() - 1
-        r = (w << _WORD) | ((words[w] & -words[w]).bit_length() - 1)
+        bits = words[w]
+        r = (w << _WORD) | ((bits & -bits).bit_length() - 1)
         bucket = buckets[r]
-        i = heappop(bucket)
-        if not bucket:
+        if len(bucket) > 1:
+            i = heappop(bucket)
+        else:
+            i = bucket[0]
             del buckets[r]
-            words[w] &= words[w] - 1
-            if not words[w]:
+            words[w] = bits = bits & (bits - 1)
+            if not bits:
                 summary &= summary - 1
         if pair[i] != r:
             continue                   # stale: merged away, or another pair by now
         j = end[i]
-        end[i], start[j], pair[j] = end[j], -1, -1
-        if end[i] < n:
-            before[end[i]] = i
-        for a in (before[i], i):
-            if a < 0:
-                continue
-            b = end[a]
-            new = ranks.get(piece[a:end[b]]) if b < n else None
-            pair[a] = -1 if new is None else new
-            if new is not None:
-                if new in buckets:
-                    heappush(buckets[new], a)
+        end[i] = z = end[j]
+        pair[j] = None
+        if z < n:
+            before[z] = i
+            pair[i] = new = rank(piece[i:end[z]])
+        else:
+            pair[i] = new = None
+        a = before[i]
+        left = None
+        if a >= 0:
+            pair[a] = left = rank(piece[a:z])
+        for at, r in ((i, new), (a, left)):
+            if r is not None:
+                if r in buckets:
+                    heappush(buckets[r], at)
                 else:
-                    buckets[new] = [a]
-                    words[new >> _WORD] |= 1 << (new & _MASK)
-                    summary |= 1 << (new >> _WORD)
+                    buckets[r] = [at]
+                    w = r >> _WORD
+                    words[w] = words.get(w, 0) | 1 << (r & _MASK)
+                    summary |= 1 << w
     out, i = [], 0
     while i < n:
         out.append(ranks[piece[i:end[i]]])
@@ -92,34 +99,53 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
 
 
 class Encoder:
-    """Texts to ids and back. Pre-tokens met lately are remembered, in two
-    generations so that the memory is bounded."""
+    """Texts to ids and back. The ids of pre-tokens met lately are remembered,
+    packed, in two generations, so that the memory is bounded."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str) -> None:
         self.ranks, self.find = ranks, regex.compile(pattern).findall
         self.tokens = {i: t for t, i in ranks.items()}
-        self.young: dict[str, list[int]] = {}
-        self.old: dict[str, list[int]] = {}
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def _look(self, word: str) -> bytes:
+        ids = self.young.get(word) or self.old.get(word)
+        if ids is None:
+            ids = np.array(merge(word.encode("utf-8", "replace"), self.ranks), "<u4").tobytes()
+        if len(word) <= 64:
+            if len(self.young) >= REMEMBERED:
+                self.old, self.young = self.young, {}
+            self.young[word] = ids
+        return ids
+
+    def packed(self, text: str) -> bytes:
+        """The ids as little-endian 32-bit integers."""
+        words = self.find(text)
+        found = list(map(self.young.get, words))
+        if None in found:
+            for i, ids in enumerate(found):
+                if ids is None:
+                    found[i] = self._look(words[i])
+        return b"".join(found)
 
     def encode(self, text: str) -> list[int]:
-        out: list[int] = []
-        get, extend = self.young.get, out.extend
-        for word in self.find(text):
-            ids = get(word)
-            if ids is None:
-                ids = self.old.get(word)
-                if ids is None:
-                    ids = merge(word.encode("utf-8", "replace"), self.ranks)
-                if len(word) <= 64:
-                    if len(self.young) >= REMEMBERED:
-                        self.old, self.young = self.young, {}
-                        get = self.young.get
-                    self.young[word] = ids
-            extend(ids)
-        return out
+        return np.frombuffer(self.packed(text), "<u4").tolist()
 
     def decode(self, ids: list[int]) -> bytes:
-        return b"".join([self.tokens[i] for i in ids])
+        return b"".join(map(self.tokens.__getitem__, ids))
+
+
+_encoders: dict[tuple, Encoder] = {}
+
+
+def encoder_of(ranks: dict[bytes, int], pattern: str) -> Encoder:
+    """The encoder of this worker process for a vocabulary: what one task
+    remembers helps the next. Only the last one asked for is held."""
+    key = (id(ranks), pattern)  # the encoder holds the ranks, so the id stays theirs
+    if key not in _encoders:
+        _encoders.clear()
+        _encoders[key] = Encoder(ranks, pattern)
+    return _encoders[key]
 
 
 def encode_texts(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str = "doc_id",
@@ -136,17 +162,17 @@ def encode_texts(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col:
     schema = id_schema(rows, "n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids)
 
     def run(batches):
-        encoder = Encoder(shared.value, pattern)
+        encoder = encoder_of(shared.value, pattern)
         for batch in batches:
             n, digests, decoded, lists = [], [], [], []
             for data in same_bytes(batch.column(1)):
-                ids = encoder.encode(data.decode("utf-8", "replace"))
-                array = np.array(ids, "<u4")
+                packed = encoder.packed(data.decode("utf-8", "replace"))
+                ids = np.frombuffer(packed, "<u4")
                 n.append(len(ids))
-                digests.append(hashlib.sha256(array.tobytes()).hexdigest())
-                decoded.append(hashlib.sha256(encoder.decode(ids)).hexdigest())
+                digests.append(hashlib.sha256(packed).hexdigest())
+                decoded.append(hashlib.sha256(encoder.decode(ids.tolist())).hexdigest())
                 if with_ids:
-                    lists.append(array.astype(np.int32))
+                    lists.append(ids.astype(np.int32))
             columns = [batch.column(0), pa.array(n, pa.int64()), pa.array(digests, pa.string()), pa.array(decoded, pa.string())]
             if with_ids:
                 columns.append(pa.array(lists, pa.list_(pa.int32())))
