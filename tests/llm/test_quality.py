@@ -85,12 +85,25 @@ def test_model_equals_plain_version(spark):
     assert abs(np.exp(everything).sum() - 1) < 1e-5
 
 
-def test_long_texts_are_cut_without_a_seam(monkeypatch):
+def test_long_texts_are_cut_without_a_seam(spark, monkeypatch):
     texts = ["abc def " * 50, "", "x", "yz" * 40]
-    whole = [g for _, g in ngram._chunks(texts)]
+    model = ngram.fit(documents(spark, [(i, t, "en", "a") for i, t in enumerate(texts)]))
+    join = lambda: [np.concatenate(x) for x in zip(*ngram._chunks(texts))]
+    whole, scores = join(), model.score(texts)
+    monkeypatch.setattr(ngram, "_STEP", 256)
+    monkeypatch.setattr(ngram, "_CHUNK", 300)
+    assert np.allclose(scores, model.score(texts))
     monkeypatch.setattr(ngram, "_STEP", 7)
-    monkeypatch.setattr(ngram, "_CHUNK", 30)
-    assert np.array_equal(np.concatenate(whole), np.concatenate([g for _, g in ngram._chunks(texts)]))
+    assert all(np.array_equal(a, b) for a, b in zip(whole, join()))
+
+
+def test_each_window_is_read_in_its_language(spark):
+    en, de = "the old mill by the river and the bridge " * 30, "der alte bach an der brücke und das haus " * 30
+    docs = documents(spark, [(1, en, "en", "a"), (2, de, "de", "a")])
+    model = ngram.fit(docs)
+    half = en[:1024] + de[:1024]
+    own, other = (np.array([model.log_p(np.full(len(g), x), g).reshape(-1, 256).sum(1) for _, _, g in ngram._chunks([half])])[0] for x in (1, 0))
+    assert abs(model.score([half])[0][0] + np.maximum(own, other).sum() / 2048) < 1e-4
 
 
 def test_bands_reject_both_sides(spark):
