@@ -230,20 +230,44 @@ def q_mdl_ngram_lm_topk(spark, sf):
             .select("a", "b", F.round("p", R).alias("p"), F.col("rank").cast("long").alias("rank")))
 
 
-@register("str_bpe")
+N_MERGES = 30
+
+
+def _sql_merges() -> str:
+    """Words as chains of symbols, each between chr(30) and chr(31); a merge
+    replaces two links by one, from the left."""
+    link = lambda x: f"chr(30) || {x} || chr(31)"
+    out = [r"""tok AS (SELECT t AS word, count(*) AS n FROM (
+  SELECT unnest(regexp_extract_all(text, '[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]')) AS t FROM documents) GROUP BY t),
+w0 AS MATERIALIZED (SELECT word, n, array_to_string(list_transform(string_split(word, ''), lambda c: """ + link("c") + """), '') AS s FROM tok)"""]
+    for i in range(N_MERGES):
+        out.append(f"""b{i} AS MATERIALIZED (SELECT a, b, sum(n)::BIGINT AS c FROM (
+  SELECT unnest(l[1:len(l) - 1]) AS a, unnest(l[2:len(l)]) AS b, n FROM (
+    SELECT string_split(substr(s, 2, length(s) - 2), chr(31) || chr(30)) AS l, n FROM w{i}) WHERE len(l) > 1)
+  GROUP BY a, b ORDER BY c DESC, a, b LIMIT 1),
+w{i + 1} AS MATERIALIZED (SELECT word, n, replace(s, {link("a")} || {link("b")}, {link("a || b")}) AS s FROM w{i}, b{i})""")
+    return "WITH " + ",\n".join(out)
+
+
+SQL_MERGES = _sql_merges()
+
+
+@register("str_bpe", SQL_MERGES + "\n" + "\nUNION ALL ".join(
+    f"""SELECT {i}::INTEGER AS rank, a AS "left", b AS "right", c AS count FROM b{i}""" for i in range(N_MERGES)))
 def q_str_bpe(spark, sf):
     """30 byte-pair merges learned from the word counts of every document
     (rank, left, right, pair count)."""
     words = T.token_counts(tbl(spark, sf, "documents"), TX.words("text"))
-    merges = T.bpe_learn(words.withColumnRenamed("token", "word"), 30)
+    merges = T.bpe_learn(words.withColumnRenamed("token", "word"), N_MERGES)
     return local_frame(spark, [(i, a, b, c) for i, (a, b, c) in enumerate(merges)],
                                  "rank int, left string, right string, count long")
 
 
-@register("str_bpe_apply")
+@register("str_bpe_apply", SQL_MERGES + f"""
+SELECT word, n, string_split(substr(s, 2, length(s) - 2), chr(31) || chr(30)) AS pieces FROM w{N_MERGES}""")
 def q_str_bpe_apply(spark, sf):
     """Every distinct word of the documents, cut by the 30 learned merges in
     the order of learning: (word, n, pieces)."""
     words = cut_lineage(T.token_counts(tbl(spark, sf, "documents"), TX.words("text")).withColumnRenamed("token", "word"))
-    merges = T.bpe_learn(words, 30)
+    merges = T.bpe_learn(words, N_MERGES)
     return words.select("word", "n", T.bpe_apply(F.col("word"), merges).alias("pieces"))
