@@ -8,7 +8,6 @@ from typing import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from quarry.functions.hashing import hash_u60, hash_unit
 from quarry.operators.ordering import select_ranks, with_global_index

@@ -4,7 +4,6 @@ live in tests/."""
 
 from __future__ import annotations
 
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
 from quarry.functions import text as TX

@@ -1,6 +1,5 @@
 import tempfile
 
-from pyspark.sql import functions as F
 
 from quarry.operators import centroid as C
 from quarry.plans.common import emb
