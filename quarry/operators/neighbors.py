@@ -26,6 +26,7 @@ from quarry.session import cut_lineage
 
 TILE_ROWS = 4096
 BLOCK_BYTES = 8 << 20   # of query vectors that are held at once
+MOST_CANDIDATES = 1 << 17   # pairs whose distances are worked out at once
 
 
 def _tiles(n: int, tile_rows: int) -> int:
@@ -59,22 +60,35 @@ def _exact_rows(q: np.ndarray, t: np.ndarray, metric: str) -> np.ndarray:
 
 def _nearest_of(qid: np.ndarray, Q: np.ndarray, rid: np.ndarray, R: np.ndarray, k: int, metric: str,
                 exclude_self: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query position, reference position, distance) of the k nearest."""
-    D = _pair_block(Q, R, metric)
+    """(query position, reference position, distance) of the k nearest; ties go
+    to the smaller reference id. A fast product finds all that may be among them
+    (however many are equally near), whose distances are then worked out alike."""
+    D = _pair_block(Q, R, "sqeuclid" if metric == "euclid" else metric)
     if exclude_self:
         D = np.where(qid[:, None] == rid[None, :], np.inf, D)
-    # a few more candidates guard the exact tie order among near-equal products
-    m = min(D.shape[1], k + 8)
-    part = np.argpartition(D, m - 1, axis=1)[:, :m] if m < D.shape[1] else np.tile(np.arange(D.shape[1]), (len(qid), 1))
-    qi, ri = np.repeat(np.arange(len(qid)), part.shape[1]), part.ravel()
-    d = _exact_rows(Q[qi], R[ri], metric)
-    keep = np.isfinite(D[qi, ri])
-    qi, ri, d = qi[keep], ri[keep], d[keep]
-    order = np.lexsort((rid[ri], d, qi))
-    qi, ri, d = qi[order], ri[order], d[order]
-    first = np.searchsorted(qi, qi)  # where each query's candidates begin
-    top = np.arange(len(qi)) - first < k
-    return qi[top], ri[top], d[top]
+    limit = np.full(len(qid), np.inf)
+    if k < D.shape[1]:
+        # what the products may be off by, on either side of the k-th
+        size = np.full(len(qid), 2.0) if metric == "cosine" else (Q * Q).sum(1) + np.nanmax((R * R).sum(1))
+        limit = np.partition(D, k - 1, axis=1)[:, k - 1] + (8 * Q.shape[1] + 64) * np.finfo(float).eps * size
+        limit[np.isnan(limit)] = np.inf
+    near = (D <= limit[:, None]) & np.isfinite(D)
+    ends = np.cumsum(near.sum(1))
+    out, a = [], 0
+    while a < len(qid):  # some queries at a time: each may have many candidates
+        b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + MOST_CANDIDATES, "right")))
+        qi, ri = np.nonzero(near[a:b])
+        qi += a
+        d = _exact_rows(Q[qi], R[ri], metric)
+        order = np.lexsort((rid[ri], d, qi))
+        qi, ri, d = qi[order], ri[order], d[order]
+        first = np.searchsorted(qi, qi)  # where each query's candidates begin
+        top = np.arange(len(qi)) - first < k
+        out.append((qi[top], ri[top], d[top]))
+        a = b
+    if not out:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+    return tuple(np.concatenate(x) for x in zip(*out))
 
 
 def knn(queries: DataFrame, ref: DataFrame, k: int, q_id: str = "qid", r_id: str = "rid",

@@ -135,6 +135,25 @@ def _clustered(spark):
     return q, r
 
 
+def test_knn_ties_among_many_equal_vectors(spark, monkeypatch):
+    from quarry.operators import neighbors
+    rng = np.random.default_rng(6)
+    X = rng.normal(size=(1500, 8))
+    X[rng.permutation(1500)[:500]] = X[0]  # a third are equal: hundreds in each block
+    rows = [(i, X[i].tolist(), i % 7) for i in range(len(X))]
+    q = spark.createDataFrame([(i, v) for i, v, _ in rows[:30]], "qid long, x array<double>")
+    shuffled = [rows[i] for i in rng.permutation(len(rows))]
+    r = spark.createDataFrame(shuffled, "rid long, x array<double>, label int").coalesce(1)
+    want = {i: sorted((float(np.sqrt(((X[i] - X[j]) ** 2).sum())), j) for j in range(len(X)))[:5] for i in range(30)}
+    for most in (neighbors.MOST_CANDIDATES, 700):
+        monkeypatch.setattr(neighbors, "MOST_CANDIDATES", most)
+        got = {}
+        for g in sorted(neighbors.knn(q, r, 5).collect(), key=lambda g: g["rank"]):
+            assert g["label"] == g["rid"] % 7
+            got.setdefault(g["qid"], []).append(g["rid"])
+        assert got == {i: [j for _, j in x] for i, x in want.items()}
+
+
 def test_clustered_knn_recall_and_tiles(spark):
     from quarry.operators.neighbors import knn, knn_clustered, recall
     q, r = _clustered(spark)
