@@ -1,0 +1,104 @@
+"""How usual a text's words are: the continuation counts of a word-bigram model.
+
+The model is the table of the distinct word pairs of each language, counted in
+Spark and kept there: it grows with the corpus and never reaches the driver or a
+single task. A word counts as often as there are different words before it
+(Kneser-Ney's lower order), so that a passage copied many times counts once. A
+text is scored by a join on the hashes of its words, with its own pairs left
+out: otherwise every text would vouch for its own rare words.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from quarry.llm.common import utf8, written
+
+DISCOUNT = 0.75
+_CHUNK = 1 << 18                   # words worked on at once
+
+
+def mark(text_col: str = "text", lang_col: str = "lang") -> Column:
+    """Key of a text in its language; equal rows have equal scores."""
+    return F.xxhash64(F.col(f"`{lang_col}`").cast("string"), F.col(f"`{text_col}`").cast("string"))
+
+
+def _hashes(data: bytes, lang: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of a text, their language in the last 16 bits, and 32
+    bits of the word before each (enough to tell apart what precedes one word)."""
+    words = data.split()  # at exactly the white space of the rule
+    h = pd.util.hash_array(np.array(words, object), categorize=False) if words else np.zeros(0, np.uint64)
+    before = np.concatenate([np.zeros(1, np.uint64), h[:-1] >> np.uint64(32) | np.uint64(1)])[:len(h)]
+    return (h & ~np.uint64(0xFFFF) | np.uint64(lang)).view(np.int64), before.astype(np.uint32).view(np.int32)
+
+
+def _distinct(word: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    order = np.lexsort((before, word))
+    word, before = word[order], before[order]
+    new = np.ones(len(word), bool)
+    new[1:] = (word[1:] != word[:-1]) | (before[1:] != before[:-1])
+    return word[new], before[new]
+
+
+def _some(parts):
+    """The arrays of several texts, end to end, some at a time."""
+    held, size = [], 0
+    for part in parts:
+        held.append(part)
+        size += len(part[0])
+        if size >= _CHUNK:
+            yield [np.concatenate(x) for x in zip(*held)]
+            held, size = [], 0
+    if size:
+        yield [np.concatenate(x) for x in zip(*held)]
+
+
+def _texts(batch: pa.RecordBatch):
+    for m, lang, text in zip(*batch.columns):
+        yield m.as_py(), lang.as_py(), text.as_py()
+
+
+def _pairs(rows: DataFrame) -> DataFrame:
+    """(word, before): the distinct pairs."""
+    def run(batches):
+        for batch in batches:
+            for word, before in _some(_hashes(data, lang) for _, lang, data in _texts(batch)):
+                word, before = _distinct(word, before)
+                yield pa.RecordBatch.from_arrays([pa.array(word), pa.array(before)], names=["word", "before"])
+
+    return rows.mapInArrow(run, "word long, before int").distinct()
+
+
+def _words(rows: DataFrame) -> DataFrame:
+    """(mark, word, n, own) for the distinct words of each text: how often it
+    has the word, and after how many different words."""
+    def counted(m, lang, data):
+        h, before = _hashes(data, lang)
+        word, n = np.unique(h, return_counts=True)
+        own = np.unique(_distinct(h, before)[0], return_counts=True)[1]
+        return np.full(len(word), m, np.int64), word, n.astype(np.int32), own.astype(np.int32)
+
+    def run(batches):
+        for batch in batches:
+            for arrays in _some(counted(*x) for x in _texts(batch)):
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in arrays], names=["mark", "word", "n", "own"])
+
+    return rows.mapInArrow(run, "mark long, word long, n int, own int")
+
+
+def word_scores(docs: DataFrame, lang_number: Column, text_col: str = "text", lang_col: str = "lang") -> tuple[DataFrame, dict[int, int]]:
+    """(mark, log_count, n, own) for each different text with words, and the
+    number of distinct pairs of each language. ``log_count`` is the sum over the
+    words of the log of what the other texts' pairs give them, ``n`` and ``own``
+    those of words and distinct pairs (all three as often as the text occurs)."""
+    rows = docs.select(mark(text_col, lang_col).alias("mark"), lang_number.cast("int").alias("lang_number"), utf8(text_col).alias("text"))
+    counts = _pairs(rows).groupBy("word").agg(F.count("*").alias("c"))
+    counts = written(counts, "words")  # so that the join may split what is very common
+    totals = {r["lang_number"]: r["t"] for r in counts.groupBy(F.col("word").bitwiseAND(0xFFFF).cast("int").alias("lang_number")).agg(F.sum("c").alias("t")).collect()}
+    others = F.greatest(F.col("c") - F.col("own") - F.lit(DISCOUNT), F.lit(0.0)) + F.lit(DISCOUNT)
+    found = _words(rows).join(counts, "word")
+    return found.groupBy("mark").agg(F.sum(F.col("n") * F.log(others)).alias("log_count"), F.sum("n").alias("n"), F.sum("own").alias("own")), totals

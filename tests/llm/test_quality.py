@@ -1,11 +1,12 @@
 import itertools
+import math
 import re
 import zlib
 
 import numpy as np
 from pyspark.sql import functions as F
 
-from quarry.llm import boosting, ngram, quality_classifier, quality_rules
+from quarry.llm import boosting, ngram, quality_classifier, quality_rules, words
 from quarry.llm.queries import QUERIES
 from tests.conftest import SF_MID, SF_SMALL
 from tests.llm.helpers import DOCS, WORD, documents
@@ -135,6 +136,28 @@ def test_clean_documents_stay(spark):
     assert share[1] > 0.98 and share[0] < share[1]
 
 
+def test_most_junk_goes(spark):
+    got = QUERIES["op3_perplexity_rules"](spark, SF_MID).where("NOT base_failed")
+    labels = spark.read.parquet(f"{SF_MID}/labels.parquet").where("quality = 0")
+    assert got.join(labels, "doc_id").agg(F.avg(F.col("kept").cast("int"))).first()[0] < 0.25
+
+
+def test_word_scores_equal_plain_version(spark):
+    texts = ["the old mill the old bridge", "the mill by the river", "the mill by the river", "alone", "  the\nThe old  "]
+    docs = documents(spark, [(i, t, "en", "a") for i, t in enumerate(texts)] + [(9, "the old", "de", "a"), (10, None, "en", "a"), (11, "", None, "a")])
+    got, totals = words.word_scores(docs, ngram.language_column())
+    got = {r["mark"]: r for r in got.collect()}
+    marks = {r["doc_id"]: r["m"] for r in docs.select("doc_id", words.mark().alias("m")).collect()}
+    pairs = [set(zip([None, *t.split()], t.split())) for t in texts]
+    assert totals == {0: 2, 1: len(set().union(*pairs))} and len(got) == 5
+    for i, t in enumerate(texts):
+        copies = texts.count(t)
+        rest = set().union(*pairs)
+        want = sum(math.log(max(sum(b == w for _, b in rest) - sum(b == w for _, b in pairs[i]) - 0.75, 0) + 0.75) for w in t.split())
+        r = got[marks[i]]
+        assert abs(r["log_count"] - copies * want) < 1e-9 and (r["n"], r["own"]) == (copies * len(t.split()), copies * len(pairs[i]))
+
+
 def test_trees_learn_and_flatten():
     rng = np.random.default_rng(2)
     x = rng.normal(size=(3000, 4))
