@@ -136,6 +136,20 @@ def test_clean_documents_stay(spark):
     assert share[1] > 0.98 and share[0] < share[1]
 
 
+def test_languages_come_from_the_table(spark, monkeypatch):
+    monkeypatch.setattr(ngram, "LEAST_TEXT", 5000)
+    monkeypatch.setattr(ngram, "_MOST_COUNTS", 2)
+    rng = np.random.default_rng(9)
+    few, many = ([x + y for x in "so ma ven ca pon stra lu".split() for y in "le re to sa te da".split()], ["".join(rng.choice(list("bcdfghjklmnpqrstvwxz"), 7)) for _ in range(400)])
+    rows = [(i, " ".join(rng.choice(few, 150)), "it", "a") for i in range(80)]
+    rows += [(100 + i, " ".join(rng.choice(many, 150)), "pl", "a") for i in range(30)] + [(200, " ".join(few * 2), "xx", "a"), (201, " ".join(few * 2), None, "a")]
+    docs = documents(spark, rows)
+    assert ngram.languages(docs) == {"de": 0, "en": 1, "es": 2, "fr": 3, "it": 5, "pl": 6}
+    got = {r["doc_id"]: r for r in quality_rules.quality_rules(docs).collect()}
+    assert sum(got[100 + i]["kept"] for i in range(30)) >= 28 and sum(got[i]["kept"] for i in range(80)) >= 76
+    assert got[0]["upper_bound"] < got[100]["perplexity"]
+
+
 def test_most_junk_goes(spark):
     got = QUERIES["op3_perplexity_rules"](spark, SF_MID).where("NOT base_failed")
     labels = spark.read.parquet(f"{SF_MID}/labels.parquet").where("quality = 0")
