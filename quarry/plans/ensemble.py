@@ -91,7 +91,7 @@ def q_mdl_voting(spark, sf):
     tr, te = _xy(spark, sf)
     tr = MD.fit_rows(tr)
     try:
-        models = [MD.logistic(tr), MD.tree(tr), MD.one_vs_rest(MD.svm_estimator(tr, max_iter=20), tr)]
+        models = [MD.logistic(tr), MD.tree(tr), MD.one_vs_rest(MD.svm_estimator(tr), tr)]
     finally:
         tr.unpersist()
     u = None
@@ -124,7 +124,7 @@ def q_mdl_boosting(spark, sf):
     tr, te = _xy(spark, sf)
     tr = MD.fit_rows(tr)
     try:
-        model = MD.one_vs_rest(MD.boosting_estimator(max_iter=8, max_depth=3), tr)
+        model = MD.one_vs_rest(MD.boosting_estimator(), tr)
     finally:
         tr.unpersist()
     return _with_accuracy(MD.predict(model, te, "vec_id"))

@@ -218,3 +218,22 @@ def test_large_means_lose_no_digits(spark):
         a, b = np.polyfit(x[folds != f] - 1e7, y[folds != f] - 1e8, 1)
         errs.append(np.mean((y[folds == f] - 1e8 - a * (x[folds == f] - 1e7) - b) ** 2))
     assert abs(path[1e-9] - np.mean(errs)) < 1e-9
+
+
+def test_ensembles_fit_in_full(spark, monkeypatch):
+    import __spark_entry__ as E
+    from quarry.plans import ensemble
+    from tests.conftest import SF_SMALL
+    seen = []
+
+    def fit(estimator, train, parallelism=8):
+        seen.append(estimator)
+        raise InterruptedError
+
+    monkeypatch.setattr(ensemble.MD, "one_vs_rest", fit)
+    for name in ("mdl_boosting", "mdl_voting"):
+        try:
+            E.queries()[name](spark, SF_SMALL)
+        except InterruptedError:
+            pass
+    assert (seen[0].getMaxIter(), seen[0].getMaxDepth(), seen[1].getMaxIter()) == (20, 5, 100)
