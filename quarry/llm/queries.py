@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import ann, bpe, chat, line_dedup, packing, quality_classifier, quality_rules, secrets, simhash, warc
+from quarry.llm import ann, bpe, chat, cuckoo, fim, line_dedup, packing, quality_classifier, quality_rules, secrets, simhash, warc, whitening
 from quarry.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -141,3 +141,33 @@ def op9(spark, sf_dir):
 @_query("op10_best_fit_packing")
 def op10(spark, sf_dir):
     return packing.best_fit_pack(read(spark, sf_dir, "documents"))
+
+
+@_query("op11_cholesky_whitening")
+def op11(spark, sf_dir):
+    return whitening.whiten(read(spark, sf_dir, "embeddings"))
+
+
+@_query("op12_piece_table_fim", f"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS t, sha256('{fim.SEED}:' || doc_id) AS d FROM documents),
+h AS (SELECT doc_id, t, regexp_extract_all(t, '[\\x20\\x09-\\x0D]*[^\\x20\\x09-\\x0D]+|[\\x20\\x09-\\x0D]+') AS tokens,
+             [('0x' || d[8 * i + 1:8 * i + 8])::BIGINT for i in range(4)] AS h FROM t),
+c AS (SELECT *, len(tokens)::BIGINT AS n,
+             CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h[3] % 100 >= {fim.RATE} THEN 'plain'
+                  WHEN h[4] % 100 < {fim.SPM_RATE} THEN 'spm' ELSE 'psm' END AS form,
+             least(h[1] % (len(tokens) + 1), h[2] % (len(tokens) + 1)) AS a, greatest(h[1] % (len(tokens) + 1), h[2] % (len(tokens) + 1)) AS b FROM h),
+p AS (SELECT *, array_to_string(tokens[1:a], '') AS pre, array_to_string(tokens[a + 1:b], '') AS mid, array_to_string(tokens[b + 1:], '') AS suf FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(pre) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(mid) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid
+                        ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256, sha256(t) AS restored_sha256
+FROM p""")
+def op12(spark, sf_dir):
+    return fim.fim_documents(read(spark, sf_dir, "documents"), with_output=False)
+
+
+@_query("op13_cuckoo_dedup", """
+SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = max(doc_id) OVER w AS kept,
+       sha256(coalesce(text, '')) AS text_sha256
+FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))""")
+def op13(spark, sf_dir):
+    return cuckoo.exact_dedup(read(spark, sf_dir, "documents"))
