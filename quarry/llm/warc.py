@@ -21,19 +21,19 @@ import zlib
 from urllib.parse import quote, unquote
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyarrow import fs
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.llm.common import utf8, written
 from quarry.session import scratch_path
 
 # Parameters of the layout. A shard holds about SHARD_BYTES of payload; small
-# inputs are dealt over LEAST_SHARDS all the same, so that many tasks write.
-SHARD_BYTES, LEAST_SHARDS, MOST_SHARDS = 256 << 20, 64, 4096
+# inputs are dealt over LEAST_SHARDS all the same, so that many tasks write. The
+# driver reads SAMPLED keys of 25 bytes for each shard (160 MB for 100 TB).
+SHARD_BYTES, LEAST_SHARDS, SAMPLED = 256 << 20, 64, 16
 ROLL_BYTES = 128 << 20
 REVISIT_FROM = 1000
 DATE = "2024-01-01T00:00:00Z"
@@ -58,11 +58,11 @@ def _headers(first: str, pairs) -> bytes:
     return "\r\n".join([first, *(f"{k}: {v}" for k, v in pairs), "", ""]).encode()
 
 
-def _record_id(page, copy: int) -> str:
+def _record_id(page, copy: str) -> str:
     return f"<urn:page:{page}:{copy}>"
 
 
-def make_record(page, url, payload: bytes, digest: str, n_bytes: int, refers_to, copy: int) -> bytes:
+def make_record(page, url, payload: bytes, digest: str, n_bytes: int, refers_to, copy: str) -> bytes:
     """One record, uncompressed. ``refers_to`` (a page id or None) makes it a
     revisit: the same response headers, but no payload."""
     url = _one_line(url)
@@ -74,7 +74,7 @@ def make_record(page, url, payload: bytes, digest: str, n_bytes: int, refers_to,
               ("WARC-Date", DATE), ("WARC-Target-URI", url), ("WARC-Payload-Digest", f"sha1:{digest}"),
               ("WARC-Block-Digest", f"sha1:{hashlib.sha1(block).hexdigest()}")]
     if revisit:
-        fields += [("WARC-Profile", PROFILE), ("WARC-Refers-To", _record_id(refers_to, 0))]
+        fields += [("WARC-Profile", PROFILE), ("WARC-Refers-To", _record_id(refers_to, digest))]
     fields += [("Content-Type", "application/http; msgtype=response"), ("Content-Length", len(block))]
     return _headers("WARC/1.1", fields) + block + b"\r\n\r\n"
 
@@ -137,21 +137,33 @@ def _decided(keys: DataFrame, least: int) -> DataFrame:
                     (F.col("page").eqNullSafe(F.col("refers")) & (F.col("url").eqNullSafe(F.col("u")))).alias("holds")))
 
 
+def _place(page: str, url: str, digest: str) -> Column:
+    """17 bytes that sort as the page id does, null first, and then by a hash of
+    the url and digest, so that the rows of one id can be cut too."""
+    number = F.unhex(F.lpad(F.hex(F.coalesce(F.col(page), F.lit(0)).bitwiseXOR(F.lit(-(1 << 63)).cast("long"))), 16, "0"))
+    return F.concat(F.when(F.col(page).isNull(), F.unhex(F.lit("00"))).otherwise(F.unhex(F.lit("01"))), number,
+                    F.unhex(F.lpad(F.hex(F.xxhash64(url, digest)), 16, "0")))
+
+
+def _places(col) -> np.ndarray:
+    return np.frombuffer(b"".join(col.to_pylist()), "V17")
+
+
 def _shard_of(keys: DataFrame, shards: int):
-    """A function from a page id column to its shard number: cuts at equal
-    shares of the payload bytes, read off a sample that a hash of the id picks
-    (about 32 ids a shard), so that they follow from the data alone."""
-    step = max(1, keys.count() // (32 * shards))
-    sample = (keys.where(F.col("page").isNotNull() & (F.pmod(F.xxhash64("page"), F.lit(step)) == 0))
-              .groupBy("page").agg(F.sum(F.col("n_bytes") + 512).alias("n")).orderBy("page").toPandas())
-    run = np.cumsum(sample["n"].to_numpy(np.int64))
-    at = np.searchsorted(run, run[-1] * np.arange(1, shards) / shards) if len(run) else np.zeros(0, np.int64)
-    cuts = np.unique(sample["page"].to_numpy(np.int64)[at])
+    """A function from a column of places to their shard numbers: cuts at equal
+    shares of the payload bytes, read off a sample that a hash of the place picks
+    (SAMPLED a shard), so that they follow from the data alone."""
+    step = max(1, keys.count() // (SAMPLED * shards))
+    sample = (keys.where(F.pmod(F.xxhash64("place"), F.lit(step)) == 0)
+              .groupBy("place").agg(F.sum(F.col("n_bytes") + 512).alias("n")).orderBy("place").toArrow())
+    run = np.cumsum(sample.column("n").to_numpy())
+    at = np.searchsorted(run, run[-1] * (np.arange(1, shards) / shards)) if len(run) else np.zeros(0, np.int64)
+    cuts = np.unique(_places(sample.column("place"))[at])
 
-    def shard(page: pd.Series) -> pd.Series:
-        return pd.Series(np.where(page.isna(), 0, np.searchsorted(cuts, page.fillna(0).to_numpy(np.int64), side="right")))
+    def shard(place: pa.Array) -> pa.Array:
+        return pa.array(np.searchsorted(cuts, _places(place), side="right").astype(np.int32))
 
-    return F.pandas_udf(shard, "int")
+    return F.arrow_udf(shard, "int")
 
 
 def write_warc(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html",
@@ -163,40 +175,42 @@ def write_warc(pages: DataFrame, folder: str, id_col: str = "page_id", url_col:
     of ``revisit_from`` bytes or more, the one with the largest id is stored as
     a response (of several such rows: the greatest url; of repeated rows: one)
     and the rest as revisits. A null id is never referred to; where all of
-    equal payloads have none, all are responses, as smaller payloads are. Records go by (id, url, digest); null ids
-    come first. An empty table gives an empty manifest and no file.
+    equal payloads have none, all are responses, as smaller payloads are. Records go by id, and those of one id by a
+    hash of url and digest, then by these; null ids come first. The rows of an id
+    or of none may lie in several shards, but repeated rows lie together. A very
+    long payload is one record of one task. An empty table gives an empty
+    manifest and no file.
     """
     spark = pages.sparkSession
     rows = pages.select(F.col(f"`{id_col}`").cast("long").alias("page"), F.col(f"`{url_col}`").cast("string").alias("url"),
                         utf8(html_col).alias("html"))
-    keyed = rows.withColumn("digest", F.sha1("html")).withColumn("n_bytes", F.octet_length("html").cast("long"))
+    keyed = (rows.withColumn("digest", F.sha1("html")).withColumn("n_bytes", F.octet_length("html").cast("long"))
+             .withColumn("place", _place("page", "url", "digest")))
     keys = written(keyed.drop("html"), "warc-keys")
     shards = keys.agg(F.sum("n_bytes")).first()[0] or 0
-    shards = int(min(MOST_SHARDS, max(LEAST_SHARDS, -(-shards // shard_bytes))))
+    shards = int(max(LEAST_SHARDS, -(-shards // shard_bytes)))
     shard = _shard_of(keys, shards)
     pages_in = keyed.withColumns({"tag": F.lit(1), "refers": F.lit(None).cast("long"), "holds": F.lit(None).cast("boolean")})
     decided = _decided(keys, revisit_from).withColumns({"tag": F.lit(0), "html": F.lit(None).cast("binary"),
-                                                        "n_bytes": F.lit(0).cast("long")})
-    parts = max(1, min(shards, max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)))
+                                                        "n_bytes": F.lit(0).cast("long"), "place": _place("page", "url", "digest")})
+    parts = min(shards, max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism, shards // 4))
     # a decision sorts just before the pages that it is about
-    ordered = (pages_in.unionByName(decided).withColumn("shard", shard("page"))
-               .repartitionByRange(parts, "shard").sortWithinPartitions("shard", "page", "url", "digest", "tag")
-               .select("shard", "page", "url", "digest", "tag", "n_bytes", "refers", "holds", "html"))
+    ordered = (pages_in.unionByName(decided).withColumn("shard", shard("place"))
+               .repartitionByRange(parts, "shard").sortWithinPartitions("shard", "place", "url", "digest", "tag")
+               .select("shard", F.substring("place", 10, 8).alias("tie"), "page", "url", "digest", "tag", "n_bytes", "refers", "holds", "html"))
 
     def run(batches):
         files, key, refers, holds, copy = _Files(folder, roll_bytes), None, None, False, 0
         for batch in batches:
-            for shard, page, url, digest, tag, n_bytes, to, stores, html in zip(*(c.to_pylist() for c in batch.columns)):
+            for shard, tie, page, url, digest, tag, n_bytes, to, stores, html in zip(*(c.to_pylist() for c in batch.columns)):
                 if key != (page, url, digest):
-                    if key is None or key[0] != page:
-                        copy = 0
-                    key, refers, holds = (page, url, digest), None, False
+                    key, refers, holds, copy = (page, url, digest), None, False, 0
                 if tag == 0:
                     refers, holds = to, stores
                     continue
                 stored = refers is None or holds
-                # the record that others refer to is number 0 of its page
-                number = 0 if refers is not None and holds else (copy := copy + 1)
+                # the record that others refer to has the digest for a number
+                number = digest if refers is not None and holds else f"{tie.hex()}-{(copy := copy + 1)}"
                 files.put(shard, make_record("" if page is None else page, url, html, digest, n_bytes,
                                              None if stored else refers, number))
                 holds = False

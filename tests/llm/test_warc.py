@@ -26,18 +26,46 @@ def pages(spark):
     return spark.createDataFrame(PAGES, SCHEMA)
 
 
-def test_round_trip(spark, pages):
-    got = sorted(warc.archive(pages).drop("url").collect(), key=repr)
+def plain(rows):
+    """What is read back, but for the urls."""
+    by = {}
+    for p, _, h, _ in rows:
+        by.setdefault(h or "", []).append(p)
     want, held = [], set()
-    for page, _, html, _ in PAGES:
+    for page, _, html, _ in rows:
         data = (html or "").encode()
-        digest = hashlib.sha1(data).hexdigest()
-        top = max((p for p, _, h, _ in PAGES if (h or "").encode() == data and p is not None), default=None)
-        many = sum((h or "").encode() == data for _, _, h, _ in PAGES) > 1
-        revisit = len(data) >= 1000 and many and top is not None and (page != top or page in held)
-        held.add(page)
-        want.append((page, len(data), digest, "revisit" if revisit else "response", top if revisit else None))
-    assert sorted(map(tuple, got), key=repr) == sorted(want, key=repr)
+        top = max((p for p in by[html or ""] if p is not None), default=None)
+        revisit = len(data) >= 1000 and len(by[html or ""]) > 1 and top is not None and (page != top or (page, data) in held)
+        held.add((page, data))
+        want.append((page, len(data), hashlib.sha1(data).hexdigest(), "revisit" if revisit else "response", top if revisit else None))
+    return sorted(want, key=repr)
+
+
+def test_round_trip(spark, pages):
+    assert sorted(map(tuple, warc.archive(pages).drop("url").collect()), key=repr) == plain(PAGES)
+
+
+def test_large_ids_beside_a_null(spark):
+    rows = [(2**60 + 7 * i, f"u{i}", f"payload {i % 50} " * 200, None) for i in range(400)] + [(None, "n", "payload 3 " * 200, None), (-2**63, "l", None, None)]
+    df = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    assert sorted(map(tuple, warc.archive(df, shard_bytes=5000).drop("url").collect()), key=repr) == plain(rows)
+
+
+@pytest.mark.parametrize("common", [None, 77])
+def test_an_id_that_a_third_of_the_rows_have(spark, common):
+    rows = [(common if i % 3 == 0 else i, f"u{i}", f"payload {i % 90} " * 100, None) for i in range(600)]
+    folder = scratch_path(spark, "warc-hot")
+    manifest = warc.write_warc(spark.createDataFrame(rows, SCHEMA), folder, shard_bytes=20_000).collect()
+    got = warc.read_warc(spark, folder).collect()
+    assert sorted((r["page_id"] or 0, r["payload_digest"]) for r in got) == sorted((p or 0, hashlib.sha1(h.encode()).hexdigest()) for p, _, h, _ in rows)
+    if common is None:
+        assert sorted(map(tuple, (r[:1] + r[2:] for r in got)), key=repr) == plain(rows)
+    by_shard = {}
+    for r in manifest:
+        by_shard[r["shard"]] = by_shard.get(r["shard"], 0) + r["records"]
+    assert max(by_shard.values()) < 60  # of 600, though 200 rows have one id
+    ids = [h for n, d in files(local(folder)).items() for h in gzip.decompress(d).split(b"\r\n") if h.startswith(b"WARC-Record-ID")]
+    assert len(ids) == len(set(ids)) == 600
 
 
 def test_urls_survive(spark, pages):
