@@ -15,17 +15,18 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.llm.common import written
 from quarry.operators.ordering import with_global_index
+from quarry.operators.small import collect_small, local_frame
 
 # Parameters. SAMPLE vectors (at most) tell the width of the windows; RECALL is
 # aimed at above the 0.9 that is asked for, as a sample has an error.
 CURVES, DIRECTIONS, GRID_BITS, SEED = 32, 8, 10, 9
 NEIGHBOURS, SAMPLE, RECALL = 5, 256, 0.95
-BLOCK = 1024
+BLOCK, MOST_VISITS = 1024, 4096
 
 
 def hilbert_keys(cells: np.ndarray, bits: int) -> np.ndarray:
@@ -77,13 +78,14 @@ def _cosine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return dot(a, b) / np.sqrt(dot(a, a) * dot(b, b))
 
 
-def _best(query_ids, queries, ids, vectors, allowed, k: int):
-    """(query, id, cosine) of the ``k`` nearest allowed candidates of each query.
-    A fast product finds somewhat more, whose cosines are then worked out alike."""
+def _best(query_vids, queries, vids, ids, vectors, allowed, k: int):
+    """(query, vector, its smallest id, cosine) of the ``k`` nearest allowed
+    candidates of each query. A fast product finds somewhat more, whose cosines
+    are then worked out alike."""
     unit = lambda x: x / np.sqrt(np.add.reduce(x * x, axis=1))[:, None]
     near = unit(queries) @ unit(vectors).T
     near[~allowed] = -np.inf
-    out_q, out_id, out_s = [], [], []
+    out = []
     for i in range(len(queries)):
         row = near[i]
         if len(row) > k:
@@ -93,41 +95,50 @@ def _best(query_ids, queries, ids, vectors, allowed, k: int):
             some = np.arange(len(row))
         some = some[np.isfinite(row[some])]
         exact = _cosine(np.repeat(queries[i:i + 1], len(some), axis=0), vectors[some])
-        order = np.lexsort((ids[some], -exact))[:k]
-        out_q.append(np.full(len(order), query_ids[i]))
-        out_id.append(ids[some][order])
-        out_s.append(exact[order])
-    join = lambda x, kind: np.concatenate(x).astype(kind) if x else np.zeros(0, kind)
-    return join(out_q, np.int64), join(out_id, np.int64), join(out_s, np.float64)
+        order = np.lexsort((vids[some], ids[some], -exact))[:k]
+        out.append((np.full(len(order), query_vids[i]), vids[some][order], ids[some][order], exact[order]))
+    kinds = (np.int64, np.int64, np.int64, np.float64)
+    return [np.concatenate(x).astype(t) for x, t in zip(zip(*out), kinds)] if out else [np.zeros(0, t) for t in kinds]
 
 
-_FOUND = "q long, id long, score double"
+_FOUND = "q long, vid long, id long, score double"
 
 
-def _found(q, i, s) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(q), pa.array(i), pa.array(s)], names=["q", "id", "score"])
+def _found(columns) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["q", "vid", "id", "score"])
 
 
 def _merged(found: DataFrame, k: int) -> DataFrame:
     """The k nearest of each query over all windows."""
-    one = found.groupBy("q", "id").agg(F.max("score").alias("score"))
-    rank = F.row_number().over(Window.partitionBy("q").orderBy(F.col("score").desc(), "id"))
+    one = found.groupBy("q", "vid", "id").agg(F.max("score").alias("score"))
+    rank = F.row_number().over(Window.partitionBy("q").orderBy(F.col("score").desc(), "id", "vid"))
     return one.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
-def _full_search(vectors: DataFrame, sample: list, k: int) -> DataFrame:
-    """Nearest neighbours of a bounded list of (id, vector) among all rows."""
-    qid = np.array([r["id"] for r in sample], np.int64)
-    qx = np.array([r["x"] for r in sample], np.float64)
+def _by_width(batch: pa.RecordBatch, col: int):
+    """(width, row numbers, matrix) for each length of the vectors of a batch."""
+    column = batch.column(col)
+    widths = np.diff(column.offsets.to_numpy())
+    flat, starts = column.flatten().to_numpy(zero_copy_only=False), np.concatenate([[0], np.cumsum(widths)])
+    for w in np.unique(widths).tolist():
+        rows = np.flatnonzero(widths == w)
+        for a in range(0, len(rows), 4096):
+            some = rows[a:a + 4096]
+            yield w, some, flat[starts[some][:, None] + np.arange(w)].astype(np.float64)
 
+
+def _full_search(vectors: DataFrame, sample: dict[int, tuple[np.ndarray, np.ndarray]], k: int) -> DataFrame:
+    """Nearest neighbours of a bounded sample (vids and vectors, by length)
+    among all rows of the same length."""
     def run(batches):
         for batch in batches:
-            ids, x = batch.column(0).to_numpy(), _matrix(batch.column(1))
-            for a in range(0, len(ids), 4096):
-                part = ids[a:a + 4096]
-                yield _found(*_best(qid, qx, part, x[a:a + 4096], part[None] != qid[:, None], k))
+            vids, ids = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            for w, some, x in _by_width(batch, 2):
+                if w in sample:
+                    q, qx = sample[w]
+                    yield _found(_best(q, qx, vids[some], ids[some], x, vids[some][None] != q[:, None], k))
 
-    return _merged(vectors.select("id", "x").mapInArrow(run, _FOUND), k)
+    return _merged(vectors.select("vid", "id", "x").mapInArrow(run, _FOUND), k)
 
 
 def _usable(rows: DataFrame, id_col: str, vec_col: str) -> DataFrame:
@@ -137,108 +148,129 @@ def _usable(rows: DataFrame, id_col: str, vec_col: str) -> DataFrame:
             .where(F.col("id").isNotNull() & F.col("x").isNotNull() & (F.size("x") > 0) & F.coalesce(good, F.lit(False))))
 
 
+def _of_width(values: dict[int, int]) -> Column:
+    return F.element_at(F.create_map(*[F.lit(v) for pair in values.items() for v in pair]), F.col("width"))
+
+
 class CurveIndex:
-    """The distinct vectors, sorted along every curve."""
+    """The distinct vectors, sorted along every curve. Each length of vectors has
+    curves, a scale and a window of its own."""
 
     def __init__(self, rows: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", neighbours: int = NEIGHBOURS,
                  curves: int = CURVES, recall: float = RECALL, sample: int = SAMPLE) -> None:
-        spark = rows.sparkSession
         self.k, self.curves = neighbours + 1, curves  # one more, as a query finds itself
         self.rows = _usable(rows, id_col, vec_col)
-        widths = self.rows.groupBy(F.size("x").alias("n")).count().orderBy(F.col("count").desc(), F.col("n").desc()).limit(1).collect()
-        self.width = widths[0]["n"] if widths else 0
-        self.rows = self.rows.where(F.size("x") == self.width)
         # of equal vectors the smallest ids: more can't be among the nearest
         few = F.row_number().over(Window.partitionBy("x").orderBy("id"))
         groups = (self.rows.distinct().withColumn("nth", few).where(F.col("nth") <= self.k)
                   .groupBy("x").agg(F.array_sort(F.collect_list("id")).alias("ids")))
-        self.vectors = written(groups.select(F.col("ids")[0].alias("id"), "ids", "x"), "vectors")
-        self.size = self.vectors.count()
-        self.window = 0
-        self.sample_recall = 1.0
-        if not self.size:
+        # an id may have several vectors, so vectors have numbers: as written, not as run
+        self.vectors = written(groups.select(F.monotonically_increasing_id().alias("vid"), F.size("x").alias("width"), F.col("ids")[0].alias("id"),
+                                             "ids", "x"), "vectors")
+        self.sizes = dict(sorted(map(tuple, collect_small(self.vectors.groupBy("width").count(), "lengths of vectors"))))
+        self.windows: dict[int, int] = {}
+        if not self.sizes:
             return
-        scale = self._scale()
+        scales = self._scales()
 
         def keyed(batches):
             for batch in batches:
-                ids, x = batch.column(0).to_numpy(), _matrix(batch.column(1))
-                unit = x / np.sqrt(np.add.reduce(x * x, axis=1))[:, None]
-                for c in range(curves):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), c, np.int32)), pa.array(curve_keys(unit, c, scale), pa.binary()),
-                                                      batch.column(0)], names=["curve", "key", "id"])
-
-        keys = self.vectors.select("id", "x").mapInArrow(keyed, "curve int, key binary, id long")
-        # every curve has all the vectors, so places on it follow from the overall ones
-        indexed = with_global_index(keys, ["curve", "key", "id"], "at")
-        self.places = indexed.select("curve", "id", (F.col("at") - F.col("curve") * self.size).alias("at"))
-        self._set_window(spark, recall, sample)
-
-    def _scale(self) -> float:
-        """Four standard deviations of a projection, over all vectors."""
-        width = self.width
-
+                vids = batch.column(0).to_numpy()
+                for w, some, x in _by_width(batch, 1):
+                    unit = x / np.sqrt(np.add.reduce(x * x, axis=1))[:, None]
+                    for c in range(curves):
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array(np.full(len(some), w, np.int32)), pa.array(np.full(len(some), c, np.int32)),
+                             pa.array(curve_keys(unit, c, scales[w]), pa.binary()), pa.array(vids[some])], names=["width", "curve", "key", "vid"])
+
+        keys = self.vectors.select("vid", "x").mapInArrow(keyed, "width int, curve int, key binary, vid long")
+        indexed = with_global_index(keys, ["width", "curve", "key", "vid"], "at")
+        # every curve has all the vectors of its length, so places on it follow from the overall ones
+        before = dict(zip(self.sizes, np.cumsum([0, *(n * curves for n in self.sizes.values())]).tolist()))
+        self.places = indexed.select("width", "curve", "vid", (F.col("at") - _of_width(before) - F.col("curve") * _of_width(self.sizes)).alias("at"))
+        self._set_windows(recall, sample)
+
+    def _scales(self) -> dict[int, float]:
+        """Four standard deviations of a projection, over all vectors of a length."""
         def squares(batches):
             for batch in batches:
-                x = _matrix(batch.column(0))
-                unit = x / np.sqrt(np.add.reduce(x * x, axis=1))[:, None]
-                p = unit @ _curve(0, width)[0]
-                yield pa.RecordBatch.from_arrays([pa.array([float((p * p).sum())]), pa.array([p.size])], names=["s", "n"])
-
-        s, n = self.vectors.select("x").mapInArrow(squares, "s double, n long").agg(F.sum("s"), F.sum("n")).first()
-        return max(1e-9, 4 * float(np.sqrt(s / n)))
-
-    def _set_window(self, spark, recall: float, sample: int) -> None:
-        picked = self.vectors.select("id", "x").orderBy(F.xxhash64("id"), "id").limit(sample).collect()
-        true = _full_search(self.vectors, picked, self.k - 1).select("q", "id").collect()
-        if not true:
-            self.window = 1
-            return
-        wanted = spark.createDataFrame(sorted({(i,) for r in true for i in (r["q"], r["id"])}), "id long")
+                for w, _, x in _by_width(batch, 0):
+                    unit = x / np.sqrt(np.add.reduce(x * x, axis=1))[:, None]
+                    p = unit @ _curve(0, w)[0]
+                    yield pa.RecordBatch.from_arrays([pa.array([w], pa.int32()), pa.array([float((p * p).sum())]), pa.array([p.size])],
+                                                     names=["width", "s", "n"])
+
+        parts = self.vectors.select("x").mapInArrow(squares, "width int, s double, n long")
+        total = collect_small(parts.groupBy("width").agg(F.sum("s").alias("s"), F.sum("n").alias("n")), "scales")
+        return {w: max(1e-9, 4 * float(np.sqrt(s / n))) for w, s, n in total}
+
+    def _set_windows(self, recall: float, sample: int) -> None:
+        """Of each length, the window that holds the wanted share of the true
+        neighbours of some vectors on one curve at least."""
+        step = {w: max(1, n // sample) for w, n in self.sizes.items()}
+        by_hash = F.xxhash64("vid")
+        picked: dict[int, list] = {}
+        for r in self.vectors.where(F.pmod(by_hash, _of_width(step)) == 0).select("width", by_hash.alias("h"), "vid", "x").orderBy("h", "vid").collect():
+            if len(own := picked.setdefault(r["width"], [])) < sample:  # about as many as asked for come
+                own.append((r["vid"], r["x"]))
+        queries = {w: (np.array([v for v, _ in own], np.int64), np.array([x for _, x in own], np.float64)) for w, own in picked.items()}
+        true = _full_search(self.vectors, queries, self.k - 1).select("q", "vid").collect()
+        wanted = local_frame(self.vectors.sparkSession, sorted({(i,) for r in true for i in (r["q"], r["vid"])}), "vid long")
         places: dict[int, dict[int, int]] = {}
-        for r in self.places.join(F.broadcast(wanted), "id").collect():  # a few thousand ids at most, on each curve
-            places.setdefault(r["id"], {})[r["curve"]] = r["at"]
-        apart = np.array([min(abs(places[r["q"]][c] - places[r["id"]][c]) for c in range(self.curves)) for r in true])
-        self.window = int(np.quantile(apart, recall, method="higher")) + 1
-        self.sample_recall = float((apart <= self.window).mean())
+        for r in self.places.join(F.broadcast(wanted), "vid").collect():  # a few thousand at most, on each curve
+            places.setdefault(r["vid"], {})[r["curve"]] = r["at"]
+        width = {v: w for w, (vids, _) in queries.items() for v in vids.tolist()}
+        apart: dict[int, list[int]] = {w: [0] for w in self.sizes}
+        for r in true:
+            apart[width[r["q"]]].append(min(abs(places[r["q"]][c] - places[r["vid"]][c]) for c in range(self.curves)))
+        self.windows = {w: int(np.quantile(x, recall, method="higher")) + 1 for w, x in apart.items()}
 
     def search(self, queries: DataFrame) -> DataFrame:
-        """(q, id, score, rank): for each id in ``queries`` (column id, ids of the
-        index) its nearest distinct vectors, itself among them."""
-        window, k, size = self.window, self.k, self.size
-        block = max(BLOCK, window)
-        asked = queries.select("id").distinct().withColumn("asks", F.lit(True))
-        here = (self.places.join(self.vectors.select("id", "x"), "id").join(asked, "id", "left"))
-        rows = here.select("curve", F.floor(F.col("at") / block).alias("block"), "at", "id", "x", F.lit(False).alias("asks"))
-        reach = F.sequence(F.floor(F.greatest(F.col("at") - window, F.lit(0)) / block),
-                           F.floor(F.least(F.col("at") + window, F.lit(size - 1)) / block))
-        visits = here.where("asks").select("curve", F.explode(reach).alias("block"), "at", "id", "x", "asks")
+        """(q, vid, id, score, rank): for each number in ``queries`` (column vid)
+        its nearest distinct vectors, itself among them. A task's group is a block
+        of BLOCK places and MOST_VISITS queries, about, that look into it; wider
+        windows make a query look into more blocks."""
+        k = self.k
+        asked = queries.select("vid").distinct().withColumn("asks", F.lit(True))
+        n_asked = asked.count()
+        here = self.places.join(self.vectors.select("vid", "id", "x"), "vid").join(asked, "vid", "left")
+        # the queries that look into one block are dealt over parts, each with the rows of the block
+        share = {w: min(n, n_asked) / n for w, n in self.sizes.items()}
+        parts = {w: max(1, round((2 * self.windows[w] + BLOCK) * share[w] / MOST_VISITS)) for w in self.sizes}
+        here = here.withColumns({"window": _of_width(self.windows), "parts": _of_width(parts), "most": _of_width(self.sizes) - 1})
+        rows = here.select("width", "curve", F.floor(F.col("at") / BLOCK).alias("block"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"),
+                           "at", "vid", "id", "x", F.lit(False).alias("asks"))
+        reach = F.sequence(F.floor(F.greatest(F.col("at") - F.col("window"), F.lit(0)) / BLOCK),
+                           F.floor(F.least(F.col("at") + F.col("window"), F.col("most")) / BLOCK))
+        visits = here.where("asks").select("width", "curve", F.explode(reach).alias("block"), F.pmod(F.xxhash64("vid"), F.col("parts")).cast("int").alias("part"),
+                                           "at", "vid", "id", "x", "asks")
+        windows = self.windows
 
         def run(group: pa.Table) -> pa.Table:
-            asks = group["asks"].to_numpy()
-            at, ids = group["at"].to_numpy(), group["id"].to_numpy()
+            asks, window = group["asks"].to_numpy(), windows[group["width"][0].as_py()]
+            at, vids, ids = (group[c].to_numpy() for c in ("at", "vid", "id"))
             x = _matrix(group["x"].combine_chunks())
             found = []
             for a in range(0, int(asks.sum()), 256):
                 q = np.flatnonzero(asks)[a:a + 256]
                 allowed = np.abs(at[~asks][None] - at[q][:, None]) <= window
-                found.append(_found(*_best(ids[q], x[q], ids[~asks], x[~asks], allowed, k)))
-            return pa.Table.from_batches(found or [_found(*(np.zeros(0, t) for t in (np.int64, np.int64, np.float64)))])
+                found.append(_found(_best(vids[q], x[q], vids[~asks], ids[~asks], x[~asks], allowed, k)))
+            return pa.Table.from_batches(found or [_found(_best([], x[:0], vids, ids, x, np.zeros((0, len(x)), bool), k))])
 
-        found = rows.unionByName(visits).groupBy("curve", "block").applyInArrow(run, _FOUND)
+        found = rows.unionByName(visits).groupBy("width", "curve", "block", "part").applyInArrow(run, _FOUND)
         return _merged(found, k)
 
     def nearest(self, query_ids) -> DataFrame:
         """(query_id, rank, vec_id, score) for the rows whose id meets the
         condition ``query_ids`` (a Column over ``id``)."""
         none = "query_id long, rank int, vec_id long, score double"
-        if not self.size:
-            return self.vectors.sparkSession.createDataFrame([], none)
-        groups = self.vectors.select(F.col("id").alias("rep"), "ids", F.col("x").alias("y"))
+        if not self.sizes:
+            return local_frame(self.vectors.sparkSession, [], none)
+        groups = self.vectors.select(F.col("vid").alias("rep"), "ids", F.col("x").alias("y"))
         asked = self.rows.where(query_ids).distinct().join(groups.select("rep", "y"), F.col("x") == F.col("y")).select("id", "rep")
         asked = written(asked, "queries")
-        found = self.search(asked.select(F.col("rep").alias("id")))
-        hits = (found.select("q", F.col("id").alias("hit"), "score").join(groups.select("rep", "ids"), F.col("hit") == F.col("rep"))
+        found = self.search(asked.select(F.col("rep").alias("vid")))
+        hits = (found.select("q", F.col("vid").alias("hit"), "score").join(groups.select("rep", "ids"), F.col("hit") == F.col("rep"))
                 .select("q", "score", F.explode("ids").alias("vec_id")))
         pairs = asked.join(hits, F.col("rep") == F.col("q")).where(F.col("vec_id") != F.col("id"))
         order = F.row_number().over(Window.partitionBy("id").orderBy(F.col("score").desc(), "vec_id"))
@@ -249,12 +281,12 @@ class CurveIndex:
 def curve_neighbours(rows: DataFrame, query_ids, id_col: str = "vec_id", vec_col: str = "embedding", **options) -> DataFrame:
     """The nearest vectors by cosine of every row whose id meets ``query_ids``.
 
-    (query_id, rank, vec_id, score): candidates are all rows but the query's own,
-    nearest first, ties to the smaller id; all of them if there are fewer than
-    asked. Null ids, and vectors that are null, empty, all zero or hold a null,
-    NaN or infinite component, take no part, nor do those of another length than
-    most (the greater one, if two are as common). Rows repeated exactly count once; an
-    id with several vectors has each of them, and its queries are merged under
-    the one id. No usable rows: no rows.
+    (query_id, rank, vec_id, score): candidates are all rows but the query's own
+    whose vector is as long as the query's, nearest first, ties to the smaller
+    id; all of them if there are fewer than asked. Null ids, and vectors that are
+    null, empty, all zero or hold a null, NaN or infinite component, take no
+    part. Rows repeated exactly count once; an id with several vectors has each
+    of them, and its queries are merged under the one id. Very long vectors are
+    held whole, 1,024 at a time. No usable rows: no rows.
     """
     return CurveIndex(rows, id_col, vec_col, **options).nearest(query_ids)

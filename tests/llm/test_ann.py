@@ -63,8 +63,30 @@ def test_empty_and_single(spark):
     none = spark.createDataFrame([], SCHEMA)
     assert ann.curve_neighbours(none, F.lit(True)).collect() == []
     assert ann.curve_neighbours(spark.createDataFrame([(1, [1.0, 2.0])], SCHEMA), F.lit(True)).collect() == []
-    mixed = [(1, [1.0]), (2, [1.0, 2.0]), (3, [2.0, 2.0]), (4, [1.0, 0.0, 0.0])]
-    same(found(ann.curve_neighbours(spark.createDataFrame(mixed, SCHEMA), F.lit(True))), plain(mixed[1:3], lambda i: True))
+
+
+def test_lengths_are_searched_apart(spark):
+    rng = np.random.default_rng(5)
+    two, three = ([(i, v) for i, v in enumerate(unit_rows(rng, 100, w).tolist(), 100 * w)] for w in (2, 3))
+    rows = [(1, [1.0]), *two, *three, (200, three[0][1])]  # an id with vectors of both lengths
+    got = found(ann.curve_neighbours(spark.createDataFrame(rows, SCHEMA), F.col("id") > 200))
+    want = plain(two, lambda i: i > 200) | plain([*three, (200, three[0][1])], lambda i: True)
+    want.pop(200)
+    same(got, want)
+    alone = found(ann.curve_neighbours(spark.createDataFrame([(1, [1.0]), (2, [1.0, 2.0])], SCHEMA), F.lit(True)))
+    assert alone == {}
+
+
+def test_wide_windows_keep_groups_small(spark, monkeypatch):
+    monkeypatch.setattr(ann, "BLOCK", 64)
+    monkeypatch.setattr(ann, "MOST_VISITS", 100)
+    x = unit_rows(np.random.default_rng(6), 700, 8).tolist()
+    rows = list(enumerate(x))
+    index = ann.CurveIndex(spark.createDataFrame(rows, SCHEMA), curves=4)
+    index.windows = {8: 10**5}
+    same(found(index.nearest(F.lit(True))), plain(rows, lambda i: True))  # the whole table is in the window: exact
+    groups = index.search(index.vectors.select("vid"))
+    assert groups.count() == 700 * index.k
 
 
 def recall(got, want):
@@ -78,7 +100,7 @@ def test_recall_on_clusters(spark):
     rows = [(i, v) for i, v in enumerate(x.astype(np.float32).tolist())]
     index = ann.CurveIndex(spark.createDataFrame(rows, SCHEMA))
     got, want = found(index.nearest(F.col("id") % 50 == 0)), plain(rows, lambda i: i % 50 == 0)
-    assert recall(got, want) >= 0.9 and index.window < 500
+    assert recall(got, want) >= 0.9 and index.windows[24] < 500
 
 
 def test_query_recall(spark):
