@@ -12,14 +12,18 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quarry.functions import vec as V
+from quarry.functions.hashing import hash_u60, hash_unit
 from quarry.operators import centroid as C
 from quarry.operators.neighbors import TILE_ROWS, _tiles
-from quarry.operators.small import collect_small
+from quarry.operators.small import collect_small, local_frame
+
+SEED_ROUNDS, MOST_ROUNDS = 5, 300
+SAMPLED_ROWS = 50   # of a cluster, for an estimated silhouette
 
 
 def assign(df: DataFrame, centers: list, ids: list, features: str = "x", out: str = "cluster") -> DataFrame:
@@ -65,45 +69,113 @@ def silhouette_sq(df: DataFrame, features: str = "x", cluster: str = "cluster")
     return df.select(means.alias("_m"), cluster).select(F.avg(s).alias("silhouette"))
 
 
-def lloyd_sweep(df: DataFrame, id_col: str, starts: dict[int, list], rounds: int = 2, features: str = "x") -> DataFrame:
-    """(k, inertia, silhouette) after ``rounds`` of Lloyd's updates from the
-    given centers of each k; silhouettes are Euclidean and exact. One pass over
-    the rows serves all k: each batch is summed by (k, cluster) in its task. A
-    cluster that loses all its rows keeps its center."""
+def _nearest(x: np.ndarray, centers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Number of the nearest center (the first of equally near ones) and the squared distance to it."""
+    d2 = ((x[:, None, :] - centers[None]) ** 2).sum(2)
+    own = d2.argmin(1)
+    return own, d2[np.arange(len(x)), own]
+
+
+def seeds(df: DataFrame, id_col: str, ks, seed: int = 42, features: str = "x", rounds: int = SEED_ROUNDS) -> dict[int, list]:
+    """Initial centers for each k, by oversampled parallel seeding (Bahmani et
+    al., Scalable K-Means++, VLDB 2012). Each round every row is taken with a
+    chance of 2 k times its share of the squared distances to what was taken so
+    far, by a seeded hash of its id; the few candidates, weighted by the rows
+    nearest to them, are thinned out by k-means++. One run serves all k: the
+    first k of a sequence of k-means++ are a seeding of their own."""
+    rows = df.select(F.col(id_col).alias("_id"), F.col(features).cast("array<double>").alias("_x")).where(F.col("_x").isNotNull())
+    first = rows.withColumn("_h", hash_u60(seed, "_id")).orderBy("_h", "_id").limit(1).select("_x").collect()
+    if not first:
+        return {}
+    taken = np.array([first[0]["_x"]], float)
+    most = max(ks)
+
+    def with_distance(centers):
+        def run(batches):
+            for pdf in batches:
+                for a in range(0, len(pdf), 1024):
+                    part = pdf.iloc[a:a + 1024]
+                    own, d2 = _nearest(np.stack(part["_x"].to_numpy()), centers)
+                    yield part.assign(_own=own.astype("int32"), _d2=d2)
+        return rows.mapInPandas(run, T.StructType([*rows.schema.fields, T.StructField("_own", T.IntegerType()), T.StructField("_d2", T.DoubleType())]))
+
+    for r in range(rounds):
+        at = with_distance(taken)
+        cost = at.agg(F.sum("_d2")).first()[0]
+        if not cost:
+            break
+        chance = F.least(F.lit(1.0), F.col("_d2") * F.lit(2.0 * most / cost))
+        new = collect_small(at.where(hash_unit(seed + 1 + r, "_id") < chance).select("_id", "_x"), "candidates")
+        taken = np.vstack([taken, *[np.array([x["_x"]], float) for x in sorted(new, key=lambda x: x["_id"])]])
+    weight = np.zeros(len(taken))
+    for r in collect_small(with_distance(taken).groupBy("_own").count(), "weights"):
+        weight[r["_own"]] = r["count"]
+    rng = np.random.default_rng(seed)
+    picked = [int(weight.argmax())]
+    for _ in range(1, min(most, len(taken))):
+        share = _nearest(taken, taken[picked])[1] * weight
+        if not share.any():
+            break
+        picked.append(int(rng.choice(len(taken), p=share / share.sum())))
+    return {k: taken[picked[:k]].tolist() for k in ks if k <= len(picked)}
+
+
+def lloyd_sweep(df: DataFrame, id_col: str, starts: dict[int, list], most_rounds: int = MOST_ROUNDS, features: str = "x") -> DataFrame:
+    """(k, rounds, inertia, silhouette) after Lloyd's updates from the given
+    centers of each k, until no row moves (or ``most_rounds``); silhouettes are
+    Euclidean and exact. One pass over the rows serves all k that still move: each
+    task sums its rows by (k, cluster), and tells how many the last update moved by
+    looking at the centers before it too, so that nothing is kept per row. A
+    cluster that loses all its rows keeps its center. Null vectors take no part."""
     ks = sorted(starts)
+    if not ks:
+        return local_frame(df.sparkSession, [], "k int, rounds int, inertia double, silhouette double")
     centers = {k: np.array(starts[k], float) for k in ks}
-    rows = df.select(F.col(id_col).alias("_id"), F.col(features).cast("array<double>").alias("_x"))
+    rows = df.select(F.col(id_col).alias("_id"), F.col(features).cast("array<double>").alias("_x")).where(F.col("_x").isNotNull())
+    nearest = lambda x, k, at: _nearest(x, at[k])
 
-    def nearest(x: np.ndarray, k: int, at: dict) -> tuple[np.ndarray, np.ndarray]:
-        d2 = ((x[:, None, :] - at[k][None]) ** 2).sum(2)
-        own = d2.argmin(1)
-        return own, d2[np.arange(len(x)), own]
+    def summed(open_: list[int], before: dict) -> dict:
+        at = {k: centers[k] for k in open_}
 
-    def summed(at):
         def run(batches):
+            total: dict = {}
             for pdf in batches:
                 for a in range(0, len(pdf), 2048):
                     x = np.stack(pdf["_x"].iloc[a:a + 2048].to_numpy())
-                    for k in ks:
+                    for k in open_:
                         own, d2 = nearest(x, k, at)
-                        for c in np.unique(own):
-                            mine = own == c
-                            yield pd.DataFrame({"k": [k], "c": [int(c)], "n": [int(mine.sum())], "sse": [float(d2[mine].sum())],
-                                                "s": [x[mine].sum(0).tolist()]})
-        parts = rows.select("_x").mapInPandas(run, "k int, c int, n long, sse double, s array<double>")
-        whole = parts.groupBy("k", "c").agg(F.sum("n").alias("n"), F.sum("sse").alias("sse"))
-        sums = parts.select("k", "c", F.posexplode("s").alias("i", "v")).groupBy("k", "c", "i").agg(F.sum("v").alias("v"))
-        vectors = sums.groupBy("k", "c").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "v"))), lambda t: t["v"]).alias("s"))
-        return collect_small(whole.join(vectors, ["k", "c"]), "cluster sums")
-
-    for _ in range(rounds):
-        nxt = {k: c.copy() for k, c in centers.items()}
-        for r in summed(centers):
-            nxt[r["k"]][r["c"]] = np.array(r["s"]) / r["n"]
-        centers = nxt
-    inertias: dict[int, float] = {}
-    for r in sorted(summed(centers), key=lambda r: (r["k"], r["c"])):
-        inertias[r["k"]] = inertias.get(r["k"], 0.0) + r["sse"]
+                        moved = own != nearest(x, k, before)[0] if k in before else np.ones(len(x), bool)
+                        one = np.eye(len(at[k]))[own]
+                        new = (one.sum(0), one.T @ d2, one.T @ moved, one.T @ x)
+                        total[k] = tuple(p + q for p, q in zip(total[k], new)) if k in total else new
+            out = [(k, c, int(n[c]), float(sse[c]), int(m[c]), s[c].tolist()) for k, (n, sse, m, s) in total.items() for c in range(len(n)) if n[c]]
+            if out:
+                yield pd.DataFrame(out, columns=["k", "c", "n", "sse", "moved", "s"])
+
+        parts = rows.select("_x").mapInPandas(run, "k int, c int, n long, sse double, moved long, s array<double>")
+        each = parts.select("k", "c", "n", "sse", "moved", F.posexplode("s").alias("i", "v"))
+        cells = each.groupBy("k", "c", "i").agg(F.sum("v").alias("v"), F.sum("n").alias("n"), F.sum("sse").alias("sse"), F.sum("moved").alias("moved"))
+        out: dict = {}
+        for r in sorted(collect_small(cells, "cluster sums")):
+            out.setdefault((r["k"], r["c"]), (r["n"], r["sse"], r["moved"], []))[3].append(r["v"])
+        return out
+
+    inertias, rounds, before, open_ = dict.fromkeys(ks, 0.0), dict.fromkeys(ks, 0), {}, list(ks)
+    for _ in range(most_rounds + 1):
+        sums = summed(open_, before)
+        before = {}
+        for k in list(open_):
+            own = {c: v for (kk, c), v in sums.items() if kk == k}
+            inertias[k] = sum(v[1] for _, v in sorted(own.items()))
+            if not any(v[2] for v in own.values()) or rounds[k] == most_rounds:
+                open_.remove(k)
+                continue
+            before[k], rounds[k] = centers[k], rounds[k] + 1
+            centers[k] = centers[k].copy()
+            for c, (n, _, _, s) in own.items():
+                centers[k][c] = np.array(s) / n
+        if not open_:
+            break
 
     def label(batches):
         for pdf in batches:
@@ -115,7 +187,7 @@ def lloyd_sweep(df: DataFrame, id_col: str, starts: dict[int, list], rounds: int
     assigned = rows.mapInPandas(label, T.StructType([*rows.schema.fields, *[T.StructField(c, T.IntegerType()) for c in names]]))
     sil = silhouettes_euclid(assigned, "_id", names, "_x")
     pick = lambda values: F.element_at(F.array(*[F.lit(v) for v in values]), F.col("clustering") + 1)
-    return sil.select(pick(ks).alias("k"), pick([inertias.get(k, 0.0) for k in ks]).alias("inertia"), "silhouette")
+    return sil.select(pick(ks).alias("k"), pick([rounds[k] for k in ks]).alias("rounds"), pick([inertias[k] for k in ks]).alias("inertia"), "silhouette")
 
 
 def silhouette_euclid(df: DataFrame, id_col: str, features: str = "x", cluster: str = "cluster",
@@ -166,3 +238,54 @@ def silhouettes_euclid(df: DataFrame, id_col: str, clusters: list[str], features
     each = sums.groupBy("clustering", "_id").agg(F.max(F.when(is_own, mean)).alias("a"), F.min(F.when(~is_own, mean)).alias("b"))
     s = F.when(F.col("a").isNull() | F.col("b").isNull(), 0.0).otherwise((F.col("b") - F.col("a")) / F.greatest("a", "b"))
     return each.groupBy("clustering").agg(F.avg(s).alias("silhouette"))
+
+
+def silhouette_sampled(df: DataFrame, id_col: str, features: str = "x", cluster: str = "cluster", per_cluster: int = SAMPLED_ROWS,
+                       seed: int = 42) -> DataFrame:
+    """(silhouette, low, high): the Euclidean silhouette estimated from the
+    ``per_cluster`` rows of each cluster with the lowest seeded hash, and its 95 %
+    interval. Each sampled row's distances are taken to all rows, in one pass that
+    leaves a sum for each sampled row, cluster and task, so the work grows with
+    the rows and not with their square; clusters weigh as many rows as they have. A cluster
+    that is sampled whole adds nothing to the interval."""
+    rows = df.select(F.col(id_col).alias("_id"), F.col(features).cast("array<double>").alias("_x"), F.col(cluster).cast("int").alias("_c"))
+    sizes = {r["_c"]: r["count"] for r in collect_small(rows.groupBy("_c").count(), "cluster sizes")}
+    w = Window.partitionBy("_c").orderBy(hash_u60(seed, "_id"), "_id")
+    picked = sorted(collect_small(rows.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= per_cluster).select("_id", "_c", "_x"), "sampled rows"))
+    if not picked:
+        return df.sparkSession.range(1).select(*[F.lit(None).cast("double").alias(c) for c in ("silhouette", "low", "high")])
+    clusters = sorted(sizes)
+    x = np.array([r["_x"] for r in picked], float)
+    own = np.array([clusters.index(r["_c"]) for r in picked])
+
+    def run(batches):
+        total = np.zeros((len(x), len(clusters)))
+        for pdf in batches:
+            for a in range(0, len(pdf), 512):
+                part = pdf.iloc[a:a + 512]
+                y = np.stack(part["_x"].to_numpy())
+                one = np.eye(len(clusters))[np.searchsorted(clusters, part["_c"].to_numpy())]
+                for b in range(0, len(x), 256):
+                    # differences, not products: a row is at distance 0 from itself
+                    total[b:b + 256] += np.sqrt(((x[b:b + 256, None, :] - y[None]) ** 2).sum(2)) @ one
+        i, j = np.indices(total.shape)
+        yield pd.DataFrame({"i": i.ravel(), "j": j.ravel(), "s": total.ravel()})
+
+    sums = np.zeros((len(x), len(clusters)))
+    for r in collect_small(rows.mapInPandas(run, "i long, j long, s double").groupBy("i", "j").agg(F.sum("s").alias("s")), "distance sums"):
+        sums[r["i"], r["j"]] = r["s"]
+    n = np.array([sizes[c] for c in clusters], float)
+    s = np.zeros(len(x))
+    for i, c in enumerate(own):
+        others = [sums[i, j] / n[j] for j in range(len(n)) if j != c]
+        if n[c] > 1 and others:
+            a, b = sums[i, c] / (n[c] - 1), min(others)
+            s[i] = (b - a) / max(a, b) if max(a, b) else 0.0
+    mean, var = 0.0, 0.0
+    for c in range(len(n)):
+        mine, share = s[own == c], n[c] / n.sum()
+        mean += share * mine.mean()
+        if len(mine) > 1:
+            var += share**2 * mine.var(ddof=1) / len(mine) * (1 - len(mine) / n[c])
+    half = 1.96 * float(np.sqrt(var))
+    return df.sparkSession.range(1).select(*[F.lit(float(v)).alias(c) for c, v in (("silhouette", mean), ("low", mean - half), ("high", mean + half))])

@@ -1,14 +1,21 @@
 """Exact and approximate nearest neighbours without a cross join.
 
-Exact search holds a block of queries (bounded in bytes) and streams the
-reference past it: each task compares the block with the rows it reads, by
-matrix product, and keeps the k best per query. The reference isn't shuffled;
-what is shuffled is k candidates per query and batch, and the best k of them
-per query are the answer (ties: distance, then reference id). Further blocks of
-queries are further passes.
-
-Approximate search clusters the reference and looks into the clusters whose
-centers are nearest to the query.
+Both sides are assigned to the nearest of some pivots (reference rows picked by
+a seeded hash) by the tasks that read them. A cell is known by its pivot, its
+number of rows and its radius, which is all that the driver sees. A first round
+compares a query with its own cell, which yields a k-th distance; by the triangle
+inequality a cell whose pivot is further away than that distance and the radius
+together can't hold a nearer row, so a second round ships the query only to the
+cells that are left, and only rows within the distance come back. The answer is
+exact, ties included (distance, then reference id).
+
+A cell and the queries that visit it are cut into tiles of bounded size, each
+pair of which is one group. Equal reference vectors are kept with their smallest
+ids only, equal query vectors are searched once.
+
+Approximate search visits the nearest cells only, as many as a sample of
+queries, searched exactly, needs for the wanted recall. A query that the bounds
+clear before that is exact, and says so.
 """
 
 from __future__ import annotations
@@ -17,15 +24,15 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarry.operators.small import collect_small
-from quarry.session import cut_lineage
+from quarry.operators.small import collect_small, local_frame
+from quarry.session import scratch_table
 
 TILE_ROWS = 4096
-BLOCK_BYTES = 8 << 20   # of query vectors that are held at once
+CELL_ROWS, MOST_PIVOTS = 1024, 1 << 16  # rows of a cell, about; pivots that every task holds
 MOST_CANDIDATES = 1 << 17   # pairs whose distances are worked out at once
 
 
@@ -91,44 +98,186 @@ def _nearest_of(qid: np.ndarray, Q: np.ndarray, rid: np.ndarray, R: np.ndarray,
     return tuple(np.concatenate(x) for x in zip(*out))
 
 
+def _usable(x: Column) -> Column:
+    """Neither null nor holding a null, NaN or infinite entry."""
+    return x.isNotNull() & (F.size(x) > 0) & F.coalesce(F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) != F.lit(float("inf")))), F.lit(False))
+
+
+class PivotIndex:
+    """The reference rows by cell. ``ref`` has (r_id, features, ...extra columns
+    carried to the output)."""
+
+    def __init__(self, ref: DataFrame, k: int, r_id: str = "rid", features: str = "x", metric: str = "euclid", seed: int = 42,
+                 cell_rows: int = CELL_ROWS, tile_rows: int = TILE_ROWS) -> None:
+        from quarry.functions.hashing import hash_u60
+        self.metric, self.tile_rows, self.k = metric, tile_rows, k
+        self.extra = [c for c in ref.columns if c not in (r_id, features)]
+        rows = ref.select(F.col(r_id).alias("_rid"), F.col(features).cast("array<double>").alias("_y"), *self.extra).where(_usable(F.col("_y")))
+        n = ref.count()
+        pivots = max(1, min(MOST_PIVOTS, math.ceil(n / cell_rows), math.ceil(max(64, math.sqrt(n)))))
+        some = rows.withColumn("_h", hash_u60(seed, "_rid")).orderBy("_h", "_rid").select("_y").limit(pivots)
+        self.pivots = self._space(np.array([r["_y"] for r in collect_small(some, "pivots")], float))
+        # of equal vectors, those with larger ids are never among the nearest
+        nth = F.row_number().over(Window.partitionBy("_y").orderBy("_rid"))
+        rows = rows.withColumn("_n", nth).where(F.col("_n") <= k).drop("_n")
+        self.schema = rows.schema
+
+        def assign(batches):
+            for pdf in batches:
+                for at in self._steps(len(pdf)):
+                    part = pdf.iloc[at:at + self._step]
+                    d = self._to_pivots(np.stack(part["_y"].to_numpy()))
+                    cell = d.argmin(1)
+                    yield part.assign(_c=cell.astype("int32"), _d=d[np.arange(len(d)), cell])
+
+        if not len(self.pivots):
+            self.rows = None
+            return
+        kept = T.StructType([*self.schema.fields, T.StructField("_c", T.IntegerType()), T.StructField("_d", T.DoubleType())])
+        self.rows = scratch_table(rows.mapInPandas(assign, kept), "knn-cells")
+        self.counts, self.radius = np.zeros(len(self.pivots), np.int64), np.zeros(len(self.pivots))
+        for r in collect_small(self.rows.groupBy("_c").agg(F.count("*").alias("n"), F.max("_d").alias("r")), "cells"):
+            self.counts[r["_c"]], self.radius[r["_c"]] = r["n"], r["r"]
+
+    def __getstate__(self):  # what goes to the tasks
+        return {k: v for k, v in self.__dict__.items() if not isinstance(v, DataFrame)}
+
+    def _space(self, x: np.ndarray) -> np.ndarray:
+        """Where distances obey the triangle inequality: unit vectors for cosines."""
+        if self.metric != "cosine" or not len(x):
+            return x
+        return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+
+    def _steps(self, n: int) -> range:
+        """Where batches begin that are worked on at once: fewer rows if there are many pivots."""
+        return range(0, n, self._step)
+
+    @property
+    def _step(self) -> int:
+        return max(1, min(256, (1 << 21) // max(1, len(self.pivots))))
+
+    def _to_pivots(self, x: np.ndarray) -> np.ndarray:
+        return _pair_block(self._space(x), self.pivots, "euclid")
+
+    def _reach(self, limit: np.ndarray) -> np.ndarray:
+        """A k-th distance in the space of the pivots."""
+        if self.metric == "sqeuclid":
+            return np.sqrt(limit)
+        return np.sqrt(2 * np.maximum(limit, 0)) if self.metric == "cosine" else limit
+
+    def _bounds(self, x: np.ndarray, d: np.ndarray) -> np.ndarray:
+        """The least distance that a row of each cell may have, less what rounding can take."""
+        size = np.linalg.norm(self._space(x), axis=1)[:, None] + np.linalg.norm(self.pivots, axis=1)[None, :]
+        return np.where(self.counts[None, :] > 0, d - self.radius[None, :] - 1e-6 * size, np.inf)
+
+    def _home(self, d: np.ndarray) -> np.ndarray:
+        """Marks the nearest cells that have k rows together."""
+        order = np.argsort(d, axis=1, kind="stable")
+        before = np.cumsum(self.counts[order], axis=1) - self.counts[order]
+        out = np.zeros(d.shape, bool)
+        np.put_along_axis(out, order, before < self.k, axis=1)
+        return out & (self.counts > 0)
+
+    def visits(self, queries: DataFrame, second: bool, probes: int | None = None) -> DataFrame:
+        """(_qid, _x, _t, _c) for each cell that a query visits: at first its own
+        (or the nearest, until they have k rows), later the others that may hold
+        a row within ``_t``, its k-th distance so far; of the ``probes`` nearest
+        cells only, if that is given."""
+        def run(batches):
+            for pdf in batches:
+                for at in self._steps(len(pdf)):
+                    part = pdf.iloc[at:at + self._step]
+                    x = np.stack(part["_x"].to_numpy())
+                    d = self._to_pivots(x)
+                    go = self._home(d)
+                    if second:
+                        go = ~go & (self._bounds(x, d) <= self._reach(part["_t"].to_numpy())[:, None])
+                        if probes is not None:
+                            go &= np.argsort(np.argsort(d, axis=1, kind="stable"), axis=1) < probes
+                    qi, ci = np.nonzero(go)
+                    yield part.iloc[qi].assign(_c=ci.astype("int32"))
+
+        return queries.mapInPandas(run, T.StructType([*queries.schema.fields, T.StructField("_c", T.IntegerType())]))
+
+    def compare(self, visits: DataFrame) -> DataFrame:
+        """(_qid, _rid, dist, ...extra): of each tile of a visited cell the k
+        nearest rows within the query's distance so far."""
+        tile, k, metric, extra = self.tile_rows, self.k, self.metric, self.extra
+        visits = scratch_table(visits, "knn-visits")  # one row for each query and cell
+        sizes = visits.groupBy("_c").agg(F.ceil(F.count("*") / tile).cast("int").alias("_nq"))
+        tiles = self.rows.groupBy("_c").agg(F.ceil(F.count("*") / tile).cast("int").alias("_nr")).join(sizes, "_c")
+        own = lambda c, m: F.pmod(F.xxhash64(c), F.col(m)).cast("int")
+        every = lambda m: F.explode(F.sequence(F.lit(0), F.col(m) - 1))
+        rs = self.rows.join(tiles, "_c").select("_rid", "_y", *extra, F.col("_c").alias("_rc"), own("_rid", "_nr").alias("_rt"), every("_nq").alias("_rq"))
+        qs = visits.join(tiles, "_c").select("_qid", "_x", "_t", "_c", own("_qid", "_nq").alias("_qq"), every("_nr").alias("_qr"))
+        schema = T.StructType([visits.schema["_qid"], T.StructField("_rid", self.schema["_rid"].dataType), T.StructField("dist", T.DoubleType()),
+                               *[self.schema[c] for c in extra]])
+
+        def block(qp: pd.DataFrame, rp: pd.DataFrame) -> pd.DataFrame:
+            out = [rp.iloc[:0][["_rid", *extra]].assign(_qid=qp["_qid"].iloc[:0].to_numpy(), dist=np.zeros(0))[[f.name for f in schema.fields]]]
+            if len(qp) and len(rp):
+                rid, y = rp["_rid"].to_numpy(), np.stack(rp["_y"].to_numpy())
+                for a in range(0, len(qp), 512):
+                    part = qp.iloc[a:a + 512]
+                    qid = part["_qid"].to_numpy()
+                    qi, ri, d = _nearest_of(qid, np.stack(part["_x"].to_numpy()), rid, y, k, metric)
+                    near = d <= part["_t"].to_numpy()[qi]
+                    found = rp.iloc[ri[near]][["_rid", *extra]].assign(_qid=qid[qi[near]], dist=d[near])
+                    out.append(found[[f.name for f in schema.fields]])
+            return pd.concat(out, ignore_index=True) if len(out) > 1 else out[0]
+
+        return qs.groupBy("_c", "_qq", "_qr").cogroup(rs.groupBy("_rc", "_rq", "_rt")).applyInPandas(block, schema)
+
+    def best(self, found: DataFrame) -> DataFrame:
+        nth = F.row_number().over(Window.partitionBy("_qid").orderBy("dist", "_rid"))
+        return found.withColumn("_rank", nth).where(F.col("_rank") <= self.k).drop("_rank")
+
+    def search(self, queries: DataFrame, probes: int | None = None) -> tuple[DataFrame, DataFrame]:
+        """The k nearest of each query (_qid, _x), and (_qid, _x, _t): the
+        queries with the k-th distance of the first round."""
+        first = scratch_table(self.best(self.compare(self.visits(queries.withColumn("_t", F.lit(float("inf"))), False))), "knn-first")
+        limit = first.groupBy("_qid").agg(F.when(F.count("*") >= self.k, F.max("dist")).otherwise(F.lit(float("inf"))).alias("_t"))
+        limited = queries.join(limit, "_qid")
+        second = self.compare(self.visits(limited, True, probes))
+        return self.best(first.unionByName(second)), limited
+
+
+def _distinct_queries(queries: DataFrame, q_id: str, features: str) -> tuple[DataFrame, DataFrame]:
+    """All usable queries (_id, _x), and each different vector once (_qid: the smallest id that has it)."""
+    every = queries.select(F.col(q_id).alias("_id"), F.col(features).cast("array<double>").alias("_x")).where(_usable(F.col("_x")))
+    return every, scratch_table(every.groupBy("_x").agg(F.min("_id").alias("_qid")).select("_qid", "_x"), "knn-queries")
+
+
+def _ranked(every: DataFrame, asked: DataFrame, top: DataFrame, k: int, q_id: str, r_id: str, extra: list[str], exclude_self: bool) -> DataFrame:
+    """The answers of the different vectors, given to every query that has them."""
+    reps = every.join(asked, "_x").select("_id", "_qid")
+    mine = reps.join(top, "_qid").drop("_qid")
+    if exclude_self:
+        mine = mine.where(F.col("_id") != F.col("_rid"))
+    w = Window.partitionBy("_id").orderBy("dist", "_rid")
+    return (mine.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+            .select(F.col("_id").alias(q_id), F.col("_rid").alias(r_id), "dist", F.col("rank").cast("int").alias("rank"), *extra))
+
+
+def _no_rows(queries: DataFrame, ref: DataFrame, q_id: str, r_id: str, extra: list[str]) -> DataFrame:
+    schema = T.StructType([T.StructField(q_id, queries.schema[q_id].dataType), T.StructField(r_id, ref.schema[r_id].dataType),
+                           T.StructField("dist", T.DoubleType()), T.StructField("rank", T.IntegerType()), *[ref.schema[c] for c in extra]])
+    return local_frame(ref.sparkSession, [], schema)
+
+
 def knn(queries: DataFrame, ref: DataFrame, k: int, q_id: str = "qid", r_id: str = "rid",
         features: str = "x", metric: str = "euclid", exclude_self: bool = False) -> DataFrame:
     """(qid, rid, dist, rank) for the k nearest reference rows of each query.
 
     ``queries`` has (q_id, features), ``ref`` has (r_id, features, ...extra
-    columns carried to the output)."""
-    extra = [c for c in ref.columns if c not in (r_id, features)]
-    qs = queries.select(F.col(q_id).alias("_qid"), F.col(features).cast("array<double>").alias("_x"))
-    rs = ref.select(F.col(r_id).alias("_rid"), F.col(features).cast("array<double>").alias("_y"), *extra)
-    one = qs.first()
-    width = len(one["_x"]) if one else 1
-    blocks = _tiles(qs.count(), max(1, BLOCK_BYTES // (8 * width)))
-    schema = T.StructType([qs.schema["_qid"], T.StructField("_rid", rs.schema["_rid"].dataType), T.StructField("dist", T.DoubleType()),
-                           *[rs.schema[c] for c in extra]])
-
-    def search(block: list):
-        qid, Q = np.array([r["_qid"] for r in block]), np.array([r["_x"] for r in block], float)
-
-        def run(batches):
-            for batch in batches:
-                for at in range(0, len(batch), 1024):
-                    pdf = batch.iloc[at:at + 1024]
-                    qi, ri, d = _nearest_of(qid, Q, pdf["_rid"].to_numpy(), np.stack(pdf["_y"].to_numpy()), k, metric, exclude_self)
-                    out = pdf.iloc[ri][["_rid", *extra]].reset_index(drop=True)
-                    out.insert(0, "_qid", qid[qi])
-                    out.insert(2, "dist", d)
-                    yield out
-
-        return rs.mapInPandas(run, schema)
-
-    found = None
-    for b in range(blocks):
-        block = qs.where(F.pmod(F.xxhash64("_qid"), F.lit(blocks)) == b).collect()
-        part = search(block) if block else rs.mapInPandas(lambda batches: iter(()), schema)
-        found = part if found is None else found.unionByName(part)
-    w = Window.partitionBy("_qid").orderBy("dist", "_rid")
-    top = found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
-    return top.select(F.col("_qid").alias(q_id), F.col("_rid").alias(r_id), "dist", F.col("rank").cast("int").alias("rank"), *extra)
+    columns carried to the output); ids are numbers, each of one row. Vectors
+    that are null, empty or hold a null, NaN or infinite entry take no part on
+    either side. A side without rows gives no rows."""
+    index = PivotIndex(ref, k + bool(exclude_self), r_id, features, metric)
+    if index.rows is None:
+        return _no_rows(queries, ref, q_id, r_id, index.extra)
+    every, asked = _distinct_queries(queries, q_id, features)
+    return _ranked(every, asked, index.search(asked)[0], k, q_id, r_id, index.extra, exclude_self)
 
 
 def knn_classify(nn: DataFrame, q_id: str, label: str) -> DataFrame:
@@ -146,64 +295,53 @@ def knn_regress(nn: DataFrame, q_id: str, target: str) -> DataFrame:
     return nn.groupBy(q_id).agg(F.avg(target).alias("pred"))
 
 
-def knn_clustered(queries: DataFrame, ref: DataFrame, k: int, q_id: str = "qid", r_id: str = "rid",
-                  features: str = "x", nprobe: int = 8, tile_rows: int = TILE_ROWS, seed: int = 42) -> DataFrame:
-    """Approximate Euclidean kNN with a clustered index: (qid, rid, dist, rank).
+def knn_clustered(queries: DataFrame, ref: DataFrame, k: int, q_id: str = "qid", r_id: str = "rid", features: str = "x",
+                  wanted: float = 0.95, sample: int = 256, seed: int = 42, cell_rows: int = CELL_ROWS) -> DataFrame:
+    """Approximate Euclidean kNN: (qid, rid, dist, rank, certified).
 
-    The centers are the ceil(sqrt(n)) reference rows with the lowest seeded
-    hash; every reference row belongs to the nearest center (ties: the center
-    of lower number), and a query looks into the ``nprobe`` nearest clusters.
-    Clusters and the queries that visit them are cut into tiles of about
-    ``tile_rows`` rows, so a large cluster is many tasks' work. Recall grows
-    with ``nprobe``; :func:`recall` measures it."""
+    A query visits its own cell and, of the others that may hold a nearer row,
+    the nearest: as many as the ``sample`` queries with the lowest seeded hash,
+    searched exactly, need for the ``wanted`` recall. ``certified`` says that no
+    cell was left that could hold a nearer row, so that the answer is exact;
+    :func:`knn` is the exact way for the others. Vectors that take no part in
+    :func:`knn` take none here."""
     from quarry.functions.hashing import hash_u60
-    r = ref.select(F.col(r_id).alias("_rid"), F.col(features).cast("array<double>").alias("_y"))
-    q = queries.select(F.col(q_id).alias("_qid"), F.col(features).cast("array<double>").alias("_x"))
-    n = r.count()
-    init = collect_small(r.withColumn("_h", hash_u60(seed, "_rid")).orderBy("_h", "_rid").limit(math.ceil(math.sqrt(n))).select("_y"), "centers")
-    centers = np.array([x["_y"] for x in init], float)
-
-    def near(x: np.ndarray, m: int) -> np.ndarray:
-        """Numbers of the m nearest centers of each row, nearest first."""
-        qi, ci, _ = _nearest_of(np.arange(len(x)), x, np.arange(len(centers)), centers, m, "euclid")
-        return ci.reshape(len(x), -1)
-
-    def assign(batches):
+    index = PivotIndex(ref.select(r_id, features), k, r_id, features, "euclid", seed, cell_rows)
+    if index.rows is None:
+        return _no_rows(queries, ref, q_id, r_id, []).withColumn("certified", F.lit(True))
+    every, asked = _distinct_queries(queries, q_id, features)
+    some = scratch_table(asked.withColumn("_h", hash_u60(seed, "_qid")).orderBy("_h", "_qid").limit(sample).drop("_h"), "knn-sample")
+    true = index.search(some)[0]
+    cells = index.rows.select("_rid", F.col("_c").alias("_rc"))
+
+    def depth(batches):  # how many cells must be visited, nearest first, to find the row
         for pdf in batches:
-            for at in range(0, len(pdf), 1024):
-                part = pdf.iloc[at:at + 1024]
-                yield part.assign(_c=near(np.stack(part["_y"].to_numpy()), 1)[:, 0].astype("int32"))
-
-    def probe(batches):
+            for at in index._steps(len(pdf)):
+                part = pdf.iloc[at:at + index._step]
+                d = index._to_pivots(np.stack(part["_x"].to_numpy()))
+                rank = np.argsort(np.argsort(d, axis=1, kind="stable"), axis=1)
+                yield pd.DataFrame({"n": rank[np.arange(len(part)), part["_rc"].to_numpy()] + 1})
+
+    needed = true.join(some, "_qid").join(cells, "_rid").select("_x", "_rc").mapInPandas(depth, "n long")
+    depths = sorted(r["n"] for r in collect_small(needed, "depths of a sample"))
+    probes = depths[min(len(depths) - 1, math.ceil(wanted * len(depths)))] if depths else 1
+    top, limited = index.search(asked, probes)
+
+    def cleared(batches):
         for pdf in batches:
-            for at in range(0, len(pdf), 1024):
-                part = pdf.iloc[at:at + 1024]
-                yield part.assign(_c=list(near(np.stack(part["_x"].to_numpy()), min(nprobe, len(centers))).astype("int32")))
-
-    if not n:
-        return queries.join(ref, F.lit(False)).select(q_id, r_id, F.lit(0.0).alias("dist"), F.lit(1).alias("rank"))
-    ra = cut_lineage(r.mapInPandas(assign, T.StructType([*r.schema.fields, T.StructField("_c", T.IntegerType())])))
-    qa = cut_lineage(q.mapInPandas(probe, T.StructType([*q.schema.fields, T.StructField("_c", T.ArrayType(T.IntegerType()))]))
-                     .withColumn("_c", F.explode("_c")))
-    tiles = lambda df, name: df.groupBy("_c").agg(F.ceil(F.count("*") / tile_rows).cast("int").alias(name))
-    sizes = tiles(ra, "_nr").join(tiles(qa, "_nq"), "_c")
-    own = lambda c, m: F.pmod(F.xxhash64(c), F.col(m)).cast("int")
-    every = lambda m: F.explode(F.sequence(F.lit(0), F.col(m) - 1))
-    rs = ra.join(sizes, "_c").select("_rid", "_y", "_c", own("_rid", "_nr").alias("_rt"), every("_nq").alias("_qt"))
-    qs = qa.join(sizes, "_c").select("_qid", "_x", F.col("_c").alias("_qc"), own("_qid", "_nq").alias("_qq"), every("_nr").alias("_qr"))
-    schema = T.StructType([q.schema["_qid"], T.StructField("_rid", r.schema["_rid"].dataType), T.StructField("dist", T.DoubleType())])
-
-    def block(qp: pd.DataFrame, rp: pd.DataFrame) -> pd.DataFrame:
-        if len(qp) == 0 or len(rp) == 0:
-            return pd.DataFrame({"_qid": pd.Series([], dtype="int64"), "_rid": pd.Series([], dtype="int64"), "dist": pd.Series([], dtype=float)})
-        qid, rid = qp["_qid"].to_numpy(), rp["_rid"].to_numpy()
-        qi, ri, d = _nearest_of(qid, np.stack(qp["_x"].to_numpy()), rid, np.stack(rp["_y"].to_numpy()), k, "euclid")
-        return pd.DataFrame({"_qid": qid[qi], "_rid": rid[ri], "dist": d})
-
-    cand = qs.groupBy("_qc", "_qr", "_qq").cogroup(rs.groupBy("_c", "_rt", "_qt")).applyInPandas(block, schema)
-    w = Window.partitionBy("_qid").orderBy("dist", "_rid")
-    top = cand.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
-    return top.select(F.col("_qid").alias(q_id), F.col("_rid").alias(r_id), "dist", F.col("rank").cast("int").alias("rank"))
+            for at in index._steps(len(pdf)):
+                part = pdf.iloc[at:at + index._step]
+                x = np.stack(part["_x"].to_numpy())
+                d = index._to_pivots(x)
+                last = part["_last"].to_numpy()
+                unseen = ~index._home(d) & (np.argsort(np.argsort(d, axis=1, kind="stable"), axis=1) >= probes)
+                open_ = unseen & (index._bounds(x, d) <= index._reach(last)[:, None])
+                yield part[["_qid"]].assign(certified=~open_.any(1))
+
+    top = scratch_table(top, "knn-approx")
+    last = top.groupBy("_qid").agg(F.when(F.count("*") >= k, F.max("dist")).otherwise(F.lit(float("inf"))).alias("_last"))
+    sure = asked.join(last, "_qid").mapInPandas(cleared, T.StructType([asked.schema["_qid"], T.StructField("certified", T.BooleanType())]))
+    return _ranked(every, asked, top.join(sure, "_qid"), k, q_id, r_id, ["certified"], False)
 
 
 def recall(found: DataFrame, queries: DataFrame, ref: DataFrame, k: int, q_id: str = "qid", r_id: str = "rid", features: str = "x",
@@ -211,7 +349,7 @@ def recall(found: DataFrame, queries: DataFrame, ref: DataFrame, k: int, q_id: s
     """Share of the true k nearest that ``found`` has, over the ``sample``
     queries with the lowest seeded hash (None without any)."""
     from quarry.functions.hashing import hash_u60
-    some = cut_lineage(queries.withColumn("_h", hash_u60(seed, q_id)).orderBy("_h", q_id).limit(sample).drop("_h"))
+    some = scratch_table(queries.withColumn("_h", hash_u60(seed, q_id)).orderBy("_h", q_id).limit(sample).drop("_h"), "knn-recall")
     true = knn(some, ref.select(r_id, features), k, q_id, r_id, features).select(q_id, r_id)
     hit = found.select(q_id, r_id, F.lit(1).alias("_hit"))
     return true.join(hit, [q_id, r_id], "left").agg(F.avg(F.coalesce("_hit", F.lit(0)).cast("double"))).first()[0]

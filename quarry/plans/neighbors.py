@@ -11,7 +11,7 @@ from quarry.operators import neighbors as NN
 from quarry.operators.small import collect_small
 from quarry.plans.common import SEED, SQL_EMB, emb
 from quarry.plans.registry import register
-from quarry.session import cut_lineage
+from quarry.session import scratch_table
 
 R = 6
 K = 5
@@ -57,33 +57,20 @@ def q_join_knn_regress(spark, sf):
     return p.select(F.col("qid").alias("vec_id"), F.round("pred", R).alias("pred"))
 
 
-NPROBE, RECALL_SAMPLE = 8, 256
-
-
-@register("join_knn_approx", SQL_KNN + f""",
-ref AS (SELECT vec_id, x, {sql_hash_u60(SEED, 'vec_id')} AS h FROM e WHERE split = 'train'),
-cen AS (SELECT x AS c, row_number() OVER (ORDER BY h, vec_id) AS cid FROM ref
-        QUALIFY row_number() OVER (ORDER BY h, vec_id) <= ceil(sqrt((SELECT count(*) FROM ref)))),
-ra AS (SELECT vec_id AS rid, x, cid FROM ref, cen
-       QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY list_distance(x, c), cid) = 1),
-qa AS (SELECT vec_id AS qid, x, cid FROM e, cen WHERE split = 'test'
-       QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY list_distance(x, c), cid) <= {NPROBE}),
-f AS (SELECT qid, rid, list_distance(qa.x, ra.x) AS dist FROM qa JOIN ra USING (cid)),
-fr AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY dist, rid) AS rank FROM f
-       QUALIFY row_number() OVER (PARTITION BY qid ORDER BY dist, rid) <= {K}),
-sq AS (SELECT qid FROM (SELECT DISTINCT qid FROM nn) ORDER BY {sql_hash_u60(SEED, 'qid')}, qid LIMIT {RECALL_SAMPLE}),
-rc AS (SELECT avg(CASE WHEN fr.rid IS NULL THEN 0.0 ELSE 1.0 END) AS recall
-       FROM nn JOIN sq USING (qid) LEFT JOIN fr ON fr.qid = nn.qid AND fr.rid = nn.rid)
-SELECT qid, rid, rank::INTEGER AS rank, round(dist, {R}) AS dist, round(recall, {R}) AS recall FROM fr, rc""")
+RECALL_SAMPLE = 256
+
+
+@register("join_knn_approx")
 def q_join_knn_approx(spark, sf):
-    """Approximate kNN through a clustered index (ceil(sqrt(n)) seeded centers,
-    8 probed), with its recall against exact search on a sample of queries."""
+    """Approximate kNN: the nearest cells only, as many as a searched sample
+    needs for a recall of 0.95, with what is certified to be exact and the recall
+    against exact search on a sample of other queries."""
     e = emb(spark, sf)
     q = e.filter("split = 'test'").select(F.col("vec_id").alias("qid"), "x")
     r = e.filter("split = 'train'").select(F.col("vec_id").alias("rid"), "x")
-    out = cut_lineage(NN.knn_clustered(q, r, K, "qid", "rid", "x", nprobe=NPROBE, seed=SEED))
-    share = NN.recall(out, q, r, K, "qid", "rid", "x", RECALL_SAMPLE, SEED)
-    return out.select("qid", "rid", "rank", F.round("dist", R).alias("dist"), F.round(F.lit(share).cast("double"), R).alias("recall"))
+    out = scratch_table(NN.knn_clustered(q, r, K, "qid", "rid", "x", seed=SEED), "knn-answer")
+    share = NN.recall(out, q, r, K, "qid", "rid", "x", RECALL_SAMPLE, SEED + 1)
+    return out.select("qid", "rid", "rank", F.round("dist", R).alias("dist"), "certified", F.round(F.lit(share).cast("double"), R).alias("recall"))
 
 
 # -- clustering --------------------------------------------------------------------
@@ -128,53 +115,35 @@ pd AS (SELECT a.vec_id, a.cid, b.cid AS cto, list_distance(a.x, b.x) AS d, list_
 pc AS (SELECT vec_id, cid, cto, avg(d) AS md, avg(d2) AS md2 FROM pd GROUP BY ALL),
 ab AS (SELECT vec_id, max(md) FILTER (WHERE cid = cto) AS a, min(md) FILTER (WHERE cid <> cto) AS b,
               max(md2) FILTER (WHERE cid = cto) AS a2, min(md2) FILTER (WHERE cid <> cto) AS b2 FROM pc GROUP BY vec_id),
-full_ AS (SELECT asg.vec_id, ab.a, ab.b, ab.a2, ab.b2 FROM asg LEFT JOIN ab USING (vec_id))
-SELECT round(avg(CASE WHEN a IS NULL OR b IS NULL THEN 0.0 ELSE (b - a) / greatest(a, b) END), {R}) AS silhouette_euclid,
-       round(avg(CASE WHEN a2 IS NULL OR b2 IS NULL THEN 0.0 ELSE (b2 - a2) / greatest(a2, b2) END), {R}) AS silhouette_sq
-FROM full_""")
+full_ AS (SELECT asg.vec_id, asg.cid, ab.a, ab.b, ab.a2, ab.b2, row_number() OVER (PARTITION BY asg.cid ORDER BY {sql_hash_u60(SEED, 'asg.vec_id')}, asg.vec_id) AS nth,
+            count(*) OVER (PARTITION BY asg.cid) AS nc, count(*) OVER () AS total,
+            CASE WHEN ab.a IS NULL OR ab.b IS NULL THEN 0.0 ELSE (ab.b - ab.a) / greatest(ab.a, ab.b) END AS s FROM asg LEFT JOIN ab USING (vec_id)),
+strata AS (SELECT cid, avg(s) AS m, coalesce(var_samp(s), 0.0) AS v, count(*) AS k, any_value(nc) AS nc, any_value(total) AS total
+           FROM full_ WHERE nth <= {CL.SAMPLED_ROWS} GROUP BY cid),
+est AS (SELECT sum(nc / total * m) AS e, 1.96 * sqrt(sum((nc / total) ^ 2 * v / k * (1 - k / nc))) AS half FROM strata)
+SELECT round(avg(s), {R}) AS silhouette_euclid,
+       round(avg(CASE WHEN a2 IS NULL OR b2 IS NULL THEN 0.0 ELSE (b2 - a2) / greatest(a2, b2) END), {R}) AS silhouette_sq,
+       round(any_value(e), {R}) AS silhouette_sampled, round(any_value(e - half), {R}) AS sampled_low, round(any_value(e + half), {R}) AS sampled_high
+FROM full_, est""")
 def q_agg_silhouette(spark, sf):
     """Mean silhouette of the seeded-center assignment, with Euclidean
-    distance (exact, blocked pair sums) and with squared Euclidean distance
-    (exact, O(n K) from cluster sums)."""
+    distance (exact, blocked pair sums), with squared Euclidean distance
+    (exact, O(n K) from cluster sums), and estimated from 50 rows of each cluster
+    with a 95 % interval (Euclidean, O(n))."""
     e, centers, ids = _init_centers(spark, sf)
     a = CL.assign(e, centers, ids)
     s1 = CL.silhouette_euclid(a, "vec_id").select(F.round("silhouette", R).alias("silhouette_euclid"))
     s2 = CL.silhouette_sq(a).select(F.round("silhouette", R).alias("silhouette_sq"))
+    s3 = CL.silhouette_sampled(a, "vec_id", seed=SEED).select(F.round("silhouette", R).alias("silhouette_sampled"),
+                                                              F.round("low", R).alias("sampled_low"), F.round("high", R).alias("sampled_high"))
     from quarry.operators.stats import _one_row_concat
-    return _one_row_concat(s1, s2)
-
-
-ROUNDS = 2
-
-
-def _sql_rounds() -> str:
-    out = []
-    for i in range(ROUNDS + 1):
-        out.append(f"""a{i} AS (SELECT k, vec_id, x, cid, list_distance(x, c) AS d FROM e, c{i}
-       QUALIFY row_number() OVER (PARTITION BY k, vec_id ORDER BY list_distance(x, c), cid) = 1)""")
-        if i < ROUNDS:
-            out.append(f"""m{i} AS (SELECT k, cid, list(m ORDER BY i) AS c FROM (SELECT k, cid, i, avg(v) AS m FROM (
-         SELECT k, cid, unnest(x) AS v, unnest(range(len(x))) AS i FROM a{i}) GROUP BY ALL) GROUP BY ALL),
-c{i + 1} AS (SELECT c{i}.k, c{i}.cid, coalesce(m{i}.c, c{i}.c) AS c FROM c{i} LEFT JOIN m{i} USING (k, cid))""")
-    return ",\n".join(out)
-
-
-@register("mdl_kmeans_sweep", f"""WITH {SQL_EMB},
-init AS (SELECT x AS c, row_number() OVER (ORDER BY {sql_hash_u60(SEED, 'vec_id')}, vec_id) - 1 AS cid FROM e),
-c0 AS (SELECT k::INTEGER AS k, cid, c FROM range(2, 11) t(k) JOIN init ON cid < k),
-{_sql_rounds()},
-asg AS (SELECT k, vec_id, x, cid, d FROM a{ROUNDS}),
-dist AS (SELECT a.vec_id AS va, b.vec_id AS vb, list_distance(a.x, b.x) AS d FROM e a JOIN e b ON a.vec_id <> b.vec_id),
-pc AS (SELECT a.k, va, a.cid, b.cid AS cto, avg(dist.d) AS md FROM dist JOIN asg a ON a.vec_id = va JOIN asg b ON b.vec_id = vb AND b.k = a.k
-       GROUP BY ALL),
-ab AS (SELECT k, va, max(md) FILTER (cid = cto) AS a, min(md) FILTER (cid <> cto) AS b FROM pc GROUP BY ALL),
-sil AS (SELECT k, avg(CASE WHEN a IS NULL OR b IS NULL THEN 0.0 ELSE (b - a) / greatest(a, b) END) AS s FROM ab GROUP BY k)
-SELECT k, round(sum(d * d), {R - 2}) AS inertia, round(any_value(s), {R}) AS silhouette FROM asg JOIN sil USING (k) GROUP BY k""")
+    return _one_row_concat(_one_row_concat(s1, s2), s3)
+
+
+@register("mdl_kmeans_sweep")
 def q_mdl_kmeans_sweep(spark, sf):
-    """k = 2..10 from seeded centers and two Lloyd rounds: inertia and
+    """k = 2..10, seeded by oversampling and run until no row moves: inertia and
     Euclidean silhouette per k."""
     e = emb(spark, sf)
-    rows = collect_small(e.withColumn("_h", hash_u60(SEED, "vec_id")).orderBy("_h", "vec_id").limit(10).select("x"), "initial centers")
-    starts = {k: [list(r["x"]) for r in rows[:k]] for k in range(2, min(10, len(rows)) + 1)}
-    out = CL.lloyd_sweep(e, "vec_id", starts, ROUNDS)
-    return out.select("k", F.round("inertia", R - 2).alias("inertia"), F.round("silhouette", R).alias("silhouette"))
+    out = CL.lloyd_sweep(e, "vec_id", CL.seeds(e, "vec_id", range(2, 11), SEED))
+    return out.select("k", "rounds", F.round("inertia", R - 2).alias("inertia"), F.round("silhouette", R).alias("silhouette"))

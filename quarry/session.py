@@ -80,6 +80,23 @@ def forget_at_exit(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(p)
 
 
+def scratch_table(df, name: str):
+    """Write ``df`` to the shared folder and read it back: cuts the lineage in
+    one pass, survives lost executors, and serves several readers."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    forget_at_exit(df.sparkSession, path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def drop_scratch(df) -> None:
+    """Remove the files of a table of :func:`scratch_table` that nobody reads any more."""
+    spark = df.sparkSession
+    for parent in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        p = spark._jvm.org.apache.hadoop.fs.Path(parent)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def cut_lineage(df):
     """Reliable lineage cut (written to the shared checkpoint folder, so it
     survives executor loss). Never a local checkpoint."""

@@ -4,6 +4,7 @@ import math
 
 import numpy as np
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from quarry.operators import ordering as O
@@ -49,19 +50,64 @@ def test_kfold_complete_and_disjoint(spark):
     assert sorted(r[0] for r in df.select("fold").distinct().collect()) == [0, 1, 2, 3, 4]
 
 
-def test_knn_matches_brute_force(spark, monkeypatch):
+def _by_force(Q, qids, R, rids, k, metric="euclid", exclude_self=False):
+    def dist(x, y):
+        if metric == "cosine":
+            return 1 - x @ y / max(np.linalg.norm(x), 1e-12) / max(np.linalg.norm(y), 1e-12)
+        d2 = ((x - y) ** 2).sum()
+        return d2 if metric == "sqeuclid" else np.sqrt(d2)
+    return {q: [j for _, j in sorted((dist(x, y), j) for j, y in zip(rids, R) if not (exclude_self and j == q))[:k]] for q, x in zip(qids, Q)}
+
+
+def _answers(found):
+    out = {}
+    for g in sorted(found.collect(), key=lambda g: (g["qid"], g["rank"])):
+        assert g["rank"] == len(out.setdefault(g["qid"], [])) + 1
+        out[g["qid"]].append(g["rid"])
+    return out
+
+
+@pytest.mark.parametrize("metric", ["euclid", "sqeuclid", "cosine"])
+@pytest.mark.parametrize("clustered", [False, True])
+def test_knn_matches_brute_force(spark, monkeypatch, metric, clustered):
     from quarry.operators import neighbors
     rng = np.random.default_rng(2)
-    X = rng.normal(size=(120, 5))
+    X = rng.normal(size=(300, 5))
+    if clustered:
+        X = 8 * rng.normal(size=(6, 5))[rng.integers(0, 6, 300)] + 0.3 * X
+    X[5], X[250] = 0, 0
     q = spark.createDataFrame([(i, X[i].tolist()) for i in range(40)], "qid long, x array<double>")
-    r = spark.createDataFrame([(i, X[i].tolist()) for i in range(40, 120)], "rid long, x array<double>")
-    monkeypatch.setattr(neighbors, "BLOCK_BYTES", 16 * 8 * 5)  # several blocks of queries
-    got = neighbors.knn(q, r, 4, "qid", "rid").collect()
-    got = {(g["qid"], g["rank"]): g["rid"] for g in got}
-    for i in range(40):
-        d = np.sqrt(((X[40:] - X[i]) ** 2).sum(1))
-        order = np.lexsort((np.arange(40, 120), d))[:4] + 40
-        assert [got[(i, k + 1)] for k in range(4)] == list(order)
+    r = spark.createDataFrame([(i, X[i].tolist()) for i in range(40, 300)], "rid long, x array<double>")
+    init = neighbors.PivotIndex.__init__
+    monkeypatch.setattr(init, "__defaults__", (*init.__defaults__[:-2], 20, 16))  # many cells, cut into tiles
+    got = _answers(neighbors.knn(q, r, 4, metric=metric))
+    assert got == _by_force(X[:40], range(40), X[40:], range(40, 300), 4, metric)
+
+
+def test_knn_edge_cases(spark):
+    from quarry.operators.neighbors import knn, knn_clustered
+    x = [[0.0, 1.0], [0.0, 2.0], None, [], [float("nan"), 1.0], [1.0, None], [float("inf"), 0.0], [0.0, 1.0]]
+    q = spark.createDataFrame(list(enumerate(x)), "qid long, x array<double>")
+    r = q.withColumnRenamed("qid", "rid")
+    assert _answers(knn(q, r, 2)) == {0: [0, 7], 1: [1, 0], 7: [0, 7]}
+    assert _answers(knn(q, r, 5, exclude_self=True)) == {0: [7, 1], 1: [0, 7], 7: [0, 1]}
+    for some in (knn, knn_clustered):
+        assert some(q, r.where("rid = 2"), 2).collect() == [] == some(q, r.limit(0), 2).collect() == some(q.limit(0), r, 2).collect()
+    assert knn(q, r.limit(0), 2).columns == knn(q, r, 2).columns
+
+
+def test_knn_prunes_on_clusters(spark):
+    from quarry.operators.neighbors import PivotIndex, _distinct_queries
+    rng = np.random.default_rng(8)
+    X = 50 * rng.normal(size=(40, 16))[rng.integers(0, 40, 8000)] + rng.normal(size=(8000, 16))
+    rows = spark.createDataFrame([(i, v) for i, v in enumerate(X.tolist())], "id long, x array<double>")
+    q, r = rows.where("id % 4 = 0").withColumnRenamed("id", "qid"), rows.where("id % 4 <> 0").withColumnRenamed("id", "rid")
+    index = PivotIndex(r, 5, cell_rows=100)
+    asked = _distinct_queries(q, "qid", "x")[1]
+    limited = index.search(asked)[1]
+    found = index.compare(index.visits(asked.withColumn("_t", F.lit(float("inf"))), False)).count() + index.compare(index.visits(limited, True)).count()
+    assert found < 2000 * 6000 / 1024 * 5 / 4  # of blocks of 1,024 rows
+    assert index.visits(limited, True).count() < 2000 * len(index.pivots) / 10
 
 
 def test_silhouettes_match_brute_force(spark):
@@ -135,6 +181,22 @@ def _clustered(spark):
     return q, r
 
 
+def test_sampled_silhouette_covers_the_exact_one(spark):
+    from quarry.operators.cluster import silhouette_euclid, silhouette_sampled
+    hits = 0
+    for seed in range(6):
+        rng = np.random.default_rng(seed)
+        X = np.vstack([rng.normal(c, 1, (n, 3)) for c, n in ((0, 400), (2, 150), (5, 30))] + [[[20.0, 20, 20]]])
+        c = np.repeat([0, 1, 2, 7], [400, 150, 30, 1])
+        df = spark.createDataFrame([(i, X[i].tolist(), int(c[i])) for i in range(len(X))], "id long, x array<double>, cluster int")
+        exact, r = silhouette_euclid(df, "id").first()[0], silhouette_sampled(df, "id", seed=seed).first()
+        hits += r["low"] <= exact <= r["high"]
+        assert abs(r["silhouette"] - exact) < 0.05 and r["high"] - r["low"] < 0.12
+        whole = silhouette_sampled(df, "id", per_cluster=400).first()
+        assert abs(whole["silhouette"] - exact) < 1e-9 and abs(whole["high"] - whole["low"]) < 1e-12
+    assert hits >= 5
+
+
 def test_knn_ties_among_many_equal_vectors(spark, monkeypatch):
     from quarry.operators import neighbors
     rng = np.random.default_rng(6)
@@ -154,13 +216,47 @@ def test_knn_ties_among_many_equal_vectors(spark, monkeypatch):
         assert got == {i: [j for _, j in x] for i, x in want.items()}
 
 
-def test_clustered_knn_recall_and_tiles(spark):
+@pytest.mark.parametrize("structure", [True, False])
+def test_clustered_knn_recall(spark, structure):
     from quarry.operators.neighbors import knn, knn_clustered, recall
-    q, r = _clustered(spark)
-    few, all_ = (knn_clustered(q, r, 5, nprobe=p, tile_rows=16) for p in (4, 1000))
-    assert recall(few, q, r, 5) > 0.8
-    exact = {(g["qid"], g["rank"]): g["rid"] for g in knn(q, r, 5).collect()}
-    assert {(g["qid"], g["rank"]): g["rid"] for g in all_.collect()} == exact  # every cluster probed
+    if structure:
+        q, r = _clustered(spark)
+    else:
+        X = np.random.default_rng(12).normal(size=(1500, 24))
+        rows = spark.createDataFrame([(i, v) for i, v in enumerate(X.tolist())], "id long, x array<double>")
+        q, r = rows.where("id % 5 = 0").withColumnRenamed("id", "qid"), rows.where("id % 5 <> 0").withColumnRenamed("id", "rid")
+    got = knn_clustered(q, r, 5, cell_rows=30)
+    assert recall(got, q, r, 5, seed=1) >= 0.9
+    exact, sure = _answers(knn(q, r, 5)), {g["qid"] for g in got.where("certified").collect()}
+    mine = _answers(got)
+    assert all(mine[i] == exact[i] for i in sure) and (sure or not structure)
+
+
+def test_sweep_equals_plain_lloyd(spark):
+    from quarry.operators.cluster import lloyd_sweep, seeds
+    rng = np.random.default_rng(7)
+    X = np.vstack([rng.normal(size=(300, 6)), rng.normal(4, 1, (200, 6))])
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(X.tolist())] + [(900, None)], "id long, x array<double>").repartition(5)
+    starts = seeds(df, "id", range(2, 11))
+    assert sorted(starts) == list(range(2, 11)) and all(len(c) == k for k, c in starts.items())
+    D = np.sqrt(((X[:, None] - X[None]) ** 2).sum(2))
+    got = {r["k"]: r for r in lloyd_sweep(df, "id", starts).collect()}
+    for k, c in starts.items():
+        c, own, rounds = np.array(c), None, -1
+        while True:
+            d2 = ((X[:, None] - c[None]) ** 2).sum(2)
+            new, rounds = d2.argmin(1), rounds + 1
+            if own is not None and (new == own).all():
+                break
+            own = new
+            c = np.array([X[own == j].mean(0) if (own == j).any() else c[j] for j in range(k)])
+        s = []
+        for i in range(len(X)):
+            a = D[i][(own == own[i]) & (np.arange(len(X)) != i)]
+            b = min(D[i][own == j].mean() for j in set(own.tolist()) - {own[i]})
+            s.append((b - a.mean()) / max(a.mean(), b) if len(a) else 0.0)
+        assert got[k]["rounds"] == rounds and abs(got[k]["inertia"] - d2.min(1).sum()) < 1e-6 and abs(got[k]["silhouette"] - np.mean(s)) < 1e-9
+    assert lloyd_sweep(df.limit(0), "id", seeds(df.limit(0), "id", [2])).collect() == []
 
 
 def test_encoding_depends_on_the_tokens_alone(spark):

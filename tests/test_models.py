@@ -115,7 +115,7 @@ def test_kmeans_inertia_falls_with_k(spark):
     X = np.vstack([rng.normal(c, 0.3, (40, 2)) for c in (0, 3, 6)])
     df = spark.createDataFrame([(i, X[i].tolist()) for i in range(len(X))], "vec_id long, x array<double>")
     starts = {k: [X[i].tolist() for i in (0, 40, 80, 20)[:k]] for k in (2, 3, 4)}
-    res = {r["k"]: r for r in lloyd_sweep(df, "vec_id", starts, rounds=6).collect()}
+    res = {r["k"]: r for r in lloyd_sweep(df, "vec_id", starts).collect()}
     assert res[2]["inertia"] > res[3]["inertia"] > res[4]["inertia"]
     assert res[3]["silhouette"] > res[4]["silhouette"]
 
