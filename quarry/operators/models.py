@@ -1,6 +1,7 @@
 """Spark ML estimators with the reference's settings, plus the ensemble
-pieces Spark lacks (hard/soft voting, out-of-fold stacking, bagging with an
-out-of-bag score, random-Fourier-feature RBF approximation).
+pieces Spark lacks (hard/soft voting, out-of-fold stacking,
+random-Fourier-feature RBF approximation); bagged and boosted trees are in
+:mod:`quarry.operators.trees`.
 
 Library parameter mappings (regularisation written per-sample in Spark):
 * logistic, C = 1: regParam = 1 / (C n), no standardisation;
@@ -11,12 +12,11 @@ Library parameter mappings (regularisation written per-sample in Spark):
 
 from __future__ import annotations
 
-from concurrent.futures import ThreadPoolExecutor
 from typing import Sequence
 
 import numpy as np
 from pyspark.ml import Pipeline
-from pyspark.ml.classification import (DecisionTreeClassifier, GBTClassifier, LinearSVC, LogisticRegression,
+from pyspark.ml.classification import (DecisionTreeClassifier, LinearSVC, LogisticRegression,
                                        MultilayerPerceptronClassifier, OneVsRest, RandomForestClassifier)
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import RandomForestRegressor
@@ -24,8 +24,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarry.functions.hashing import hash_unit
-from quarry.operators.sampling import poisson1_draw
 
 
 def with_vector(df: DataFrame, arr: str = "x", out: str = "features") -> DataFrame:
@@ -47,10 +45,6 @@ def svm_estimator(train: DataFrame, C: float = 1.0, max_iter: int = 100):
     return LinearSVC(featuresCol="features", labelCol="label", regParam=1.0 / (C * train.count()), maxIter=max_iter)
 
 
-def boosting_estimator(max_iter: int = 20, max_depth: int = 5, seed: int = 42):
-    return GBTClassifier(featuresCol="features", labelCol="label", maxIter=max_iter, maxDepth=max_depth, seed=seed)
-
-
 def fit_rows(train: DataFrame) -> DataFrame:
     """The columns that a fit reads, kept for its many passes; unpersist after."""
     return train.select("features", "label").persist()
@@ -115,39 +109,6 @@ def predict(model, df: DataFrame, id_col: str, label: str = "label", name: str |
     return p.withColumn("model", F.lit(name)) if name else p
 
 
-def bagging(train: DataFrame, test: DataFrame, id_col: str, n_bags: int = 20, label: str = "label",
-            seed: int = 42, parallelism: int = 4) -> tuple[DataFrame, DataFrame]:
-    """Random-feature trees on Poisson bootstrap bags (draw counts used as
-    row weights). Returns (out-of-bag predictions of the training rows,
-    test predictions), both majority votes (ties -> smallest class)."""
-    bags = []
-    for b in range(n_bags):
-        w = train.withColumn("draws", poisson1_draw(hash_unit(seed, id_col, F.lit(f"bag{b}"))).cast("double"))
-        bags.append(w)
-
-    def fit(i):
-        est = RandomForestClassifier(featuresCol="features", labelCol=label, numTrees=1, bootstrap=False,
-                                     featureSubsetStrategy="sqrt", maxDepth=30, seed=seed + i, weightCol="draws")
-        return est.fit(bags[i].filter(F.col("draws") > 0))
-
-    with ThreadPoolExecutor(max_workers=parallelism) as ex:
-        models = list(ex.map(fit, range(n_bags)))
-    oob_parts, test_parts = [], []
-    for i, m in enumerate(models):
-        oob_rows = bags[i].filter(F.col("draws") == 0)
-        oob_parts.append(m.transform(oob_rows).select(id_col, label, F.col("prediction").cast("int").alias("p")))
-        test_parts.append(m.transform(test).select(id_col, label, F.col("prediction").cast("int").alias("p")))
-
-    def vote(parts):
-        u = parts[0]
-        for p in parts[1:]:
-            u = u.unionByName(p)
-        c = u.groupBy(id_col, label, "p").agg(F.count("*").alias("n"))
-        return c.groupBy(id_col, label).agg(F.max_by("p", F.struct(F.col("n"), -F.col("p"))).alias("pred"))
-
-    return vote(oob_parts), vote(test_parts)
-
-
 def stacking(train: DataFrame, test: DataFrame, id_col: str, k: int = 5, label: str = "label", seed: int = 42,
              meta_trees: int = 50) -> DataFrame:
     """Base logistic + tree; the meta forest learns from out-of-fold class

@@ -10,6 +10,7 @@ from quarry.functions import text as TX
 from quarry.operators import metrics as M
 from quarry.operators import models as MD
 from quarry.operators import prep as P
+from quarry.operators import trees as TR
 from quarry.plans.common import SEED, emb, tbl
 from quarry.plans.registry import register
 from quarry.session import cut_lineage
@@ -25,6 +26,11 @@ def _xy(spark, sf, binary=False):
     return e.filter("split = 'train'"), e.filter("split = 'test'")
 
 
+def _arrays(spark, sf):
+    e = emb(spark, sf).withColumn("label", F.col("label").cast("double"))
+    return e.filter("split = 'train'"), e.filter("split = 'test'")
+
+
 def _with_accuracy(preds, *scores):
     """Add the accuracy of the predictions (and given scores) to every row."""
     preds = cut_lineage(preds)
@@ -63,13 +69,13 @@ def q_mdl_tree(spark, sf):
 
 @register("mdl_random_forest")
 def q_mdl_random_forest(spark, sf):
-    """100 trees, sqrt features per split, with the test accuracy and an
-    out-of-bag score: the share of training rows that the bagged trees that
-    haven't seen them vote right on."""
-    tr, te = _xy(spark, sf)
-    oob, _ = MD.bagging(tr, te, "vec_id", 20, seed=SEED)
-    score = oob.agg(F.avg((F.col("pred") == F.col("label")).cast("double"))).first()[0]
-    return _with_accuracy(MD.predict(MD.forest(tr, 100), te, "vec_id"), ("oob_score", score))
+    """100 trees on Poisson bags, sqrt features per split, with the test accuracy
+    and the out-of-bag score of the same trees: the share of training rows that
+    the trees that haven't seen them vote right on."""
+    tr, te = _arrays(spark, sf)
+    forest = TR.fit_forest(tr, "vec_id", 100, seed=SEED)
+    score = forest.out_of_bag().agg(F.avg((F.col("pred") == F.col("y")).cast("double"))).first()[0]
+    return _with_accuracy(forest.predict(te, "vec_id"), ("oob_score", score))
 
 
 @register("mdl_random_forest_reg")
@@ -111,23 +117,23 @@ def q_mdl_stacking(spark, sf):
 
 @register("mdl_bagging")
 def q_mdl_bagging(spark, sf):
-    """20 random-feature trees on Poisson bootstrap bags; out-of-bag
-    predictions of training rows and voted test predictions."""
-    tr, te = _xy(spark, sf)
-    oob, test = MD.bagging(tr, te, "vec_id", 20, seed=SEED)
-    return oob.withColumn("split", F.lit("oob")).unionByName(test.withColumn("split", F.lit("test")))
+    """20 random-feature trees on Poisson bootstrap bags, grown together;
+    out-of-bag predictions of training rows and test predictions, both by
+    majority vote."""
+    tr, te = _arrays(spark, sf)
+    forest = TR.fit_forest(tr, "vec_id", 20, seed=SEED)
+    forest.hard = True
+    oob = forest.out_of_bag().select(F.col("id").alias("vec_id"), F.col("y").cast("double").alias("label"), "pred", F.lit("oob").alias("split"))
+    test = forest.predict(te, "vec_id").withColumn("split", F.lit("test"))
+    return oob.unionByName(test)
 
 
 @register("mdl_boosting")
 def q_mdl_boosting(spark, sf):
-    """Gradient-boosted trees, one ensemble against the rest for each class."""
-    tr, te = _xy(spark, sf)
-    tr = MD.fit_rows(tr)
-    try:
-        model = MD.one_vs_rest(MD.boosting_estimator(), tr)
-    finally:
-        tr.unpersist()
-    return _with_accuracy(MD.predict(model, te, "vec_id"))
+    """Gradient-boosted trees on the softmax loss of all classes at once: 20
+    rounds of depth 5, with the test accuracy."""
+    tr, te = _arrays(spark, sf)
+    return _with_accuracy(TR.fit_boosting(tr, "vec_id", rounds=20, max_depth=5).predict(te, "vec_id"))
 
 
 @register("mdl_mlp")
@@ -166,7 +172,8 @@ def q_prep_pipeline(spark, sf):
 def q_mdl_token_probe(spark, sf):
     """Per-character label (letter / space / other) by a logistic probe trained
     on the train split of conversations, from the one-hot characters of a +-1
-    window and from the embedding of the character: the confusion counts on
+    window and from the embedding of the character (zeros for one that has
+    none, which stays in the counts): the confusion counts on
     valid and test, with weighted F1 and accuracy of each. Equal windows are
     counted first and weigh as much as they occur, so the fits and the metrics
     run on distinct windows, not on characters."""
@@ -187,9 +194,12 @@ def q_mdl_token_probe(spark, sf):
                         handleInvalid="keep").fit(tok)
     onehot = VectorAssembler(inputCols=["o1", "o2", "o3"], outputCol="features").transform(enc.transform(tok))
     table = tbl(spark, sf, "embeddings").select(F.col("vec_id").alias("cur"), F.col("embedding").alias("x"))
-    known = tok.groupBy("split", "cur", "label").agg(F.sum("n").alias("n")).join(table, "cur")
+    width = table.agg(F.max(F.size("x"))).first()[0] or 1
+    zero = F.array_repeat(F.lit(0.0), width)  # of a token that the embedding table doesn't have
+    every = (tok.groupBy("split", "cur", "label").agg(F.sum("n").alias("n")).join(table, "cur", "left")
+             .withColumn("x", F.coalesce(F.col("x").cast("array<double>"), zero)))
     counts = None
-    for name, feats in (("onehot", onehot), ("embedding", MD.with_vector(known))):
+    for name, feats in (("onehot", onehot), ("embedding", MD.with_vector(every))):
         feats = feats.select("split", "label", "n", "features").persist()
         lr = LogisticRegression(featuresCol="features", labelCol="label", weightCol="n", maxIter=50, regParam=1e-4)
         pred = lr.fit(feats.filter("split = 'train'")).transform(feats.filter("split != 'train'"))
