@@ -3,21 +3,30 @@ bigram language model and byte-pair merges.
 
 Design: a document stays one row; tokens are produced by JVM array
 functions inside the scan stage. Vocabularies are tables, indexed by a
-distributed sort; encoding is a join on the token, by position, at every size.
+distributed sort; encoding looks tokens up in slices of them, at every size.
 """
 
 from __future__ import annotations
 
 from typing import Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+import pyarrow.parquet as pq
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quarry.functions import text as TX
 from quarry.functions.hashing import hash_unit
 from quarry.operators.ordering import with_global_index
 from quarry.operators.small import local_frame
-from quarry.session import cut_lineage
+from quarry.session import cut_lineage, scratch_table
+
+SLICE_TOKENS, HELD_SLICES = 1 << 20, 4   # of a vocabulary: tokens of a file, and files that a worker keeps
+
 
 def token_counts(df: DataFrame, tokens: Column) -> DataFrame:
     """(token, n) over all rows — a partial+final aggregation."""
@@ -41,29 +50,65 @@ def encode_frame(df: DataFrame, tokens: Column, vocab: DataFrame, out: str = "id
     return encode_frames(df, {out: (tokens, vocab)})
 
 
+def _slices(vocab: DataFrame) -> list[str]:
+    """The vocabulary in the shared folder, sorted by token and cut into files of
+    about ``SLICE_TOKENS``."""
+    parts = max(1, -(-vocab.count() // SLICE_TOKENS))
+    rows = vocab.select(F.col("token").cast("string").alias("token"), F.col("idx").cast("int").alias("idx"))
+    rows = rows.coalesce(1) if parts == 1 else rows.repartitionByRange(parts, "token").sortWithinPartitions("token")
+    return sorted(scratch_table(rows, "vocabulary").inputFiles())
+
+
+_READ: dict[str, pa.Table] = {}  # of this worker process: the slices read last, ``HELD_SLICES`` at most
+
+
+def _slice(path: str) -> pa.Table:
+    if path not in _READ:
+        while len(_READ) >= HELD_SLICES:
+            del _READ[next(iter(_READ))]
+        store, base = fs.FileSystem.from_uri(path) if ":" in path else (fs.LocalFileSystem(), path)
+        _READ[path] = pq.read_table(base, filesystem=store).combine_chunks()
+    return _READ[path]
+
+
+def _indices(tokens: pa.Array, paths: list[str]) -> pa.Array:
+    """The index of each token: the distinct ones are looked up, slice by slice."""
+    coded = tokens.dictionary_encode()
+    words, found = coded.dictionary, np.full(len(coded.dictionary), -1, np.int64)
+    for path in paths:
+        part = _slice(path)
+        if part.num_rows:
+            at = pc.index_in(words, value_set=part.column("token").combine_chunks())
+            has = np.flatnonzero(at.is_valid().to_numpy(zero_copy_only=False))
+            found[has] = part.column("idx").to_numpy()[at.drop_null().to_numpy()]
+    known = pa.array(found.astype(np.int32), mask=found < 0)
+    return known.take(coded.indices)
+
+
 def encode_frames(df: DataFrame, columns: dict[str, tuple[Column, DataFrame]]) -> DataFrame:
     """Add several index arrays, {name: (tokens, vocabulary)}, side by side.
 
-    The indices depend on the tokens alone, so each distinct set of token
-    arrays is encoded once: exploded with positions, joined to the
-    vocabularies, put together again by position, and joined back. Arrays are
-    told apart by a 128-bit hash, so rows with equal keys but other tokens stay
-    apart."""
-    names, arrays = df.columns, [tokens for tokens, _ in columns.values()]
-    size = {out: F.size(f"_t.{out}").alias(f"_n_{out}") for out in columns}
-    h = df.withColumns({"_h": F.xxhash64(*arrays), "_g": F.xxhash64(F.lit(1), *arrays),
-                        "_t": F.struct(*[t.alias(out) for out, (t, _) in columns.items()])})
-    each = h.select("_h", "_g", "_t").dropDuplicates(["_h", "_g"]).select(
-        "_h", "_g", *size.values(), F.posexplode(F.arrays_zip(*[f"_t.{out}" for out in columns])).alias("_p", "_z"))
-    for out, (_, vocab) in columns.items():
-        v = vocab.select(F.col("token").alias(f"_w_{out}"), F.col("idx").cast("int").alias(f"_i_{out}"))
-        each = each.withColumn(f"_w_{out}", F.col(f"_z.{out}")).join(v, f"_w_{out}", "left")
-    sizes = [f"_n_{out}" for out in columns]
-    cells = F.array_sort(F.collect_list(F.struct("_p", *[f"_i_{out}" for out in columns])))
-    whole = each.groupBy("_h", "_g", *sizes).agg(cells.alias("_s")).select("_h", "_g", *[
-        F.slice(F.col(f"_s._i_{out}"), F.lit(1), F.col(f"_n_{out}")).alias(f"_o_{out}") for out in columns])
-    joined = h.drop("_t").join(whole, ["_h", "_g"], "left")
-    return joined.select(*names, *[F.coalesce(f"_o_{out}", F.array().cast("array<int>")).alias(out) for out in columns])
+    A vocabulary, of any size, lies in the shared folder in slices; a task looks
+    the distinct tokens of a batch up slice by slice. So encoding is a narrow
+    step: no join, no row for a token, and no vocabulary that a task must hold
+    whole. Null tokens and null arrays: null and empty."""
+    paths = {out: _slices(vocab) for out, (_, vocab) in columns.items()}
+    names, n = df.columns, len(df.columns)
+    rows = df.select(*[F.col(f"`{c}`") for c in names], *[F.coalesce(t, F.array().cast("array<string>")).alias(f"_t_{out}") for out, (t, _) in columns.items()])
+    schema = T.StructType([*df.schema.fields, *[T.StructField(out, T.ArrayType(T.IntegerType())) for out in columns]])
+
+    def run(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            made = []
+            for i, out in enumerate(paths):
+                arrays = batch.column(n + i)
+                offsets = arrays.offsets.to_numpy() - arrays.offsets[0].as_py()
+                made.append(pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), _indices(arrays.flatten(), paths[out])))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:n], *made], names=schema.names)
+
+    return rows.mapInArrow(run, schema)
 
 
 def pad_batch(df: DataFrame, ids: str, labels: str, batch: str, pad_idx: int = 0,

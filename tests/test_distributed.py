@@ -280,6 +280,20 @@ def test_several_arrays_are_encoded_side_by_side(spark):
     assert got == [(1, [0, 1], [5]), (1, [0, 1], [5]), (2, [], [6, 5, None]), (3, [], [])]
 
 
+def test_vocabularies_in_slices(spark, monkeypatch):
+    from quarry.functions import text as TX
+    from quarry.operators import text as T
+    monkeypatch.setattr(T, "SLICE_TOKENS", 7)
+    rng = np.random.default_rng(5)
+    texts = ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz éñ漢😀\n"), rng.integers(0, 40))) for _ in range(200)] + [None]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string").repartition(3)
+    vocab = T.vocabulary(df, TX.chars("text"))
+    assert len(T._slices(vocab)) > 3
+    index = {r["token"]: r["idx"] for r in vocab.collect()}
+    got = {r["id"]: r["ids"] for r in T.encode_frame(df, TX.chars("text"), vocab).collect()}
+    assert got == {i: [index[c] for c in t or ""] for i, t in enumerate(texts)}
+
+
 def test_two_valued_column_sorts_no_ties(spark, monkeypatch):
     monkeypatch.setattr(O, "_FINAL_ROWS", 10)
     vals = [1.0] * 700 + [2.0] * 301
