@@ -1,20 +1,17 @@
 """Spark ML estimators with the reference's settings, plus the ensemble
-pieces Spark lacks (hard/soft voting, out-of-fold stacking,
-random-Fourier-feature RBF approximation); bagged and boosted trees are in
+pieces Spark lacks (hard/soft voting, out-of-fold stacking); bagged and boosted trees are in
 :mod:`quarry.operators.trees`.
 
 Library parameter mappings (regularisation written per-sample in Spark):
 * logistic, C = 1: regParam = 1 / (C n), no standardisation;
-* linear SVM, C = 1: regParam = 1 / (C n);
-* RBF SVM: Spark has no kernel SVM, so x -> sqrt(2/D) cos(W x + b) with
-  W ~ N(0, 2 gamma), b ~ U(0, 2 pi), gamma = 1 / (d var(X)), then a linear SVM.
+* linear SVM, C = 1: regParam = 1 / (C n); the RBF one is in
+  :mod:`quarry.operators.kernel`, with gamma = 1 / (d var(X)).
 """
 
 from __future__ import annotations
 
 from typing import Sequence
 
-import numpy as np
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import (DecisionTreeClassifier, LinearSVC, LogisticRegression,
                                        MultilayerPerceptronClassifier, OneVsRest, RandomForestClassifier)
@@ -22,7 +19,6 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 
 
@@ -55,29 +51,6 @@ def one_vs_rest(estimator, train: DataFrame, parallelism: int = 8):
     return OneVsRest(classifier=estimator, featuresCol="features", labelCol="label", parallelism=parallelism).fit(train)
 
 
-def rff_transform(df: DataFrame, x: str, d_out: int, gamma: float, seed: int = 42, out: str = "rff") -> DataFrame:
-    """Random Fourier features for the RBF kernel exp(-gamma |x - y|²); the
-    projection (d x D, a small model) ships with the closure and each Arrow
-    batch is one matrix product."""
-    d = len(df.select(x).first()[0])
-    rng = np.random.default_rng(seed)
-    W = rng.normal(0.0, np.sqrt(2.0 * gamma), size=(d, d_out))
-    b = rng.uniform(0.0, 2.0 * np.pi, size=d_out)
-    scale = np.sqrt(2.0 / d_out)
-    cols = df.columns
-    schema = T.StructType(list(df.schema.fields) + [T.StructField(out, T.ArrayType(T.DoubleType()))])
-
-    def fn(batches):
-        for pdf in batches:
-            X = np.stack(pdf[x].to_numpy()) if len(pdf) else np.zeros((0, d))
-            Z = scale * np.cos(X @ W + b)
-            pdf = pdf[cols].copy()
-            pdf[out] = list(Z)
-            yield pdf
-
-    return df.mapInPandas(fn, schema)
-
-
 def rbf_gamma_scale(df: DataFrame, x: str) -> float:
     """gamma = 1 / (d * var(X)) over all coordinates."""
     r = df.select(F.explode(x).alias("v")).agg(F.var_pop("v").alias("v"), F.count("*").alias("n")).first()

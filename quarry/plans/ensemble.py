@@ -7,6 +7,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quarry.functions import text as TX
+from quarry.operators import kernel as K
 from quarry.operators import metrics as M
 from quarry.operators import models as MD
 from quarry.operators import prep as P
@@ -48,17 +49,12 @@ def q_mdl_logistic(spark, sf):
 
 @register("mdl_svm")
 def q_mdl_svm(spark, sf):
-    """Max-margin classifier on classes 0/1, C = 1: linear and RBF (random
-    Fourier features, gamma = 'scale')."""
+    """Max-margin classifier on classes 0/1, C = 1: linear, and with the RBF
+    kernel (gamma = 'scale') on landmarks."""
     tr, te = _xy(spark, sf, binary=True)
     lin = MD.predict(MD.linear_svm(tr), te, "vec_id", name="linear")
-    g = MD.rbf_gamma_scale(tr, "x")
-    trf = MD.with_vector(MD.rff_transform(tr.drop("features"), "x", 256, g, SEED), "rff").persist()
-    tef = MD.with_vector(MD.rff_transform(te.drop("features"), "x", 256, g, SEED), "rff")
-    model = MD.linear_svm(trf)
-    trf.unpersist()
-    rbf = MD.predict(model, tef, "vec_id", name="rbf")
-    return lin.unionByName(rbf)
+    machine = K.fit_rbf_svm(tr, "vec_id", gamma=MD.rbf_gamma_scale(tr, "x"), seed=SEED)
+    return lin.unionByName(machine.predict(te, "vec_id").withColumn("model", F.lit("rbf")))
 
 
 @register("mdl_tree")
