@@ -156,6 +156,9 @@ def encode_texts(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col:
     little-endian 32-bit integers and of the bytes that the ids decode to. Null
     and empty texts have no ids. Rows are encoded one by one, without a shuffle;
     the ranks (one vocabulary, whatever the data) go to the tasks as a broadcast.
+    A very long text, or pre-token, is encoded whole: the queue's work grows with
+    its length times the logarithm. Repeated rows give equal rows, null ids stay
+    null, an empty table gives an empty result; other columns aren't read.
     """
     shared = docs.sparkSession.sparkContext.broadcast(ranks)
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), utf8(text_col).alias("text"))

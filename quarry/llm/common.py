@@ -42,7 +42,6 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the cluster's shared folder and read it back: cuts the
     lineage, survives lost executors, and lets several consumers share it."""
     path = scratch_path(df.sparkSession, name)
-    path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     forget_at_exit(df.sparkSession, path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -43,6 +43,9 @@ def drop_shared_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     lines becomes empty. Documents are told apart by id (null ids count as one
     document); repeated rows are treated alike. With ``counts``, the result is
     (id, n_lines, n_dropped, text) instead. ``length_col`` gets the new length.
+    A very long text is split in its own row; its lines are spread over tasks for
+    the counts. An empty table gives an empty result; names of other columns may
+    clash with any used here.
     """
     ids, text = F.col(f"`{id_col}`"), F.col(f"`{text_col}`")
     a, b = _row_key(id_col, text_col)
@@ -57,6 +60,7 @@ def drop_shared_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     row = dict(zip(("a", "b", "ga", "gb", "gone", "lines"), free_names(docs, "a", "b", "ga", "gb", "gone", "lines")))
     gone = (hashed.join(often, (F.col("h") == F.col("oh")) & (F.col("g") == F.col("og")), "left_semi")
             .groupBy(F.col("a").alias(row["ga"]), F.col("b").alias(row["gb"])).agg(F.collect_set("pos").alias(row["gone"])))
+    gone = written(gone, "gone")  # so that Spark can split a row that is repeated very often
     here = docs.withColumns({row["a"]: a, row["b"]: b}).join(
         gone, (F.col(row["a"]) == F.col(row["ga"])) & (F.col(row["b"]) == F.col(row["gb"])), "left")
     # split once a row: inside the lambda below only the column is looked up

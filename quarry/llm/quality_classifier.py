@@ -107,7 +107,8 @@ def classify_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
     Only the text is scored: null and empty texts are, as a text without
     characters. Repeated rows get equal scores. Without labels, or with one kind
     only, every row scores the share of 1 (a half without any). A null id is
-    scored and isn't held out.
+    scored and isn't held out. The statistics of a very long text are taken over
+    all of it. An empty table gives an empty result; other columns aren't read.
     """
     rows = written(document_features(docs, id_col, text_col), "features")
     trees = train(rows, training_labels(labels, id_col, label_col, MOST_TRAINING_ROWS))

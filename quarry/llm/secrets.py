@@ -48,7 +48,9 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Spans are in code points, end exclusive, by start and then rule order;
     within a kind they are leftmost, longest and do not overlap, across kinds
     they may. Null or empty text: no spans. A null id, repeated rows and extra
-    columns change nothing: rows are scanned one by one, without a shuffle.
+    columns change nothing: rows are scanned one by one, without a shuffle. A
+    very long text is scanned whole, in memory of a few times its bytes. An
+    empty table gives an empty result.
     """
     scanner = Scanner(rules)
     kinds = [r.kind for r in rules]

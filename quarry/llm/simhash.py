@@ -180,7 +180,9 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     ``component_id`` is the smallest id that links reach, its own included.
     Texts with fewer than ``size`` words hash as they are; null, empty and blank
     ones have fingerprint 0, which links like any other. Repeated rows each get a
-    row. A null id is smallest only where no other is reached. Empty in, empty out.
+    row. A null id is smallest only where no other is reached. A very long text
+    is hashed whole, 65,536 shingles at a time. Empty in, empty out; other columns
+    aren't read.
     """
     return _grouped(docs, id_col, text_col, size, most_bits).select(
         F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
