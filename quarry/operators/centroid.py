@@ -2,7 +2,7 @@
 
 Class means are one partial+final aggregation over exploded coordinates
 (only K*d partial rows per partition cross the shuffle). The fitted model
-(K centroid vectors, K checked against a bound) is then shipped to the
+(K centroid vectors, bounded in bytes where collected) is then shipped to the
 executors as a literal, so scoring is a narrow projection: no join, no
 cross product, no shuffle of the data.
 """
@@ -16,7 +16,6 @@ from quarry.functions import vec as V
 from quarry.operators.small import collect_small
 
 SIMILARITIES = ("cosine", "euc", "dot")
-MAX_CLASSES = 100_000
 
 
 def class_average_long(df: DataFrame, features: str = "x", label: str = "label") -> DataFrame:
