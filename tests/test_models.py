@@ -224,16 +224,21 @@ def test_ensembles_fit_in_full(spark, monkeypatch):
     import __spark_entry__ as E
     from quarry.plans import ensemble
     from tests.conftest import SF_SMALL
-    seen = []
+    seen = {}
 
-    def fit(estimator, train, parallelism=8):
-        seen.append(estimator)
+    def one_vs_rest(estimator, train, parallelism=8):
+        seen["voting"] = estimator.getMaxIter()
         raise InterruptedError
 
-    monkeypatch.setattr(ensemble.MD, "one_vs_rest", fit)
+    def boosting(train, id_col, **options):
+        seen["boosting"] = options
+        raise InterruptedError
+
+    monkeypatch.setattr(ensemble.MD, "one_vs_rest", one_vs_rest)
+    monkeypatch.setattr(ensemble.TR, "fit_boosting", boosting)
     for name in ("mdl_boosting", "mdl_voting"):
         try:
             E.queries()[name](spark, SF_SMALL)
         except InterruptedError:
             pass
-    assert (seen[0].getMaxIter(), seen[0].getMaxDepth(), seen[1].getMaxIter()) == (20, 5, 100)
+    assert seen == {"boosting": {"rounds": 20, "max_depth": 5}, "voting": 100}
