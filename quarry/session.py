@@ -89,12 +89,16 @@ def scratch_table(df, name: str):
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def remove_scratch(spark: SparkSession, *paths: str) -> None:
+    """Remove scratch folders that nobody reads any more."""
+    for path in paths:
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def drop_scratch(df) -> None:
     """Remove the files of a table of :func:`scratch_table` that nobody reads any more."""
-    spark = df.sparkSession
-    for parent in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        p = spark._jvm.org.apache.hadoop.fs.Path(parent)
-        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    remove_scratch(df.sparkSession, *{f.rpartition("/")[0] for f in df.inputFiles()})
 
 
 def cut_lineage(df):
