@@ -23,7 +23,7 @@ from quarry.functions import text as TX
 from quarry.functions.hashing import hash_unit
 from quarry.operators.ordering import with_global_index
 from quarry.operators.small import local_frame
-from quarry.session import cut_lineage, forget_at_exit, remove_scratch, scratch_path, scratch_table
+from quarry.session import cut_lineage, scratch_table
 
 SLICE_TOKENS, HELD_SLICES = 1 << 20, 4   # of a vocabulary: tokens of a file, and files that a worker keeps
 
@@ -173,118 +173,55 @@ def bigram_loglik(pairs: DataFrame, key: str, model: DataFrame) -> DataFrame:
     return j.groupBy(key).agg(F.sum(n).alias("n_bigrams"), F.sum(F.col("n") * F.log("p")).alias("loglik"))
 
 
-# Longer words are counted anew each round: the log holds a word once for each of its pairs.
-LONG_WORD = 64
-
-
 def bpe_learn(word_counts: DataFrame, n_merges: int, word: str = "word", count: str = "n",
               checkpoint_every: int = 10) -> list[tuple[str, str, int]]:
-    """Learn byte-pair merges from a (word, n) table: [(left, right, count)].
-
-    A log (a, b, word, n, d) says by how much d a word adds to the count of a
-    pair. It is written once for all words, in the order of the pairs, and each
-    round appends the changes of its own merge. So the log is both the index from
-    a pair to its words (those whose changes sum to more than zero) and the source
-    of the counts, and a round reads the rows of one pair (a filter pushed to the
-    sorted files), replays the merges on these words only, and writes what changes.
-    The counts, a row for each pair, are summed up anew every ``checkpoint_every``
-    rounds, when the rounds' parts of the log become one as well. Only the winning pair (ties: the smallest) reaches the driver.
-
-    Rows of one word are added up; null words, words of one symbol and words
-    without a count above zero have no pairs. Words longer than ``LONG_WORD``
-    symbols are rewritten and counted each round instead. No pair is left or no
-    row is there: the list ends.
+    """Learn byte-pair merges from a (word, n) table.
+
+    Per round: adjacent symbol pairs of every word, weighted by the word
+    count (partial aggregation), the most frequent pair wins (ties: smallest
+    pair), and every word is rewritten by a left-to-right merge. Only the
+    winning pair reaches the driver; the word table stays distributed and
+    its lineage is cut to the shared checkpoint folder periodically.
     """
-    spark = word_counts.sparkSession
-    spent: list[str] = []
-
-    def store(df: DataFrame, name: str) -> str:
-        path = scratch_path(spark, name)
-        df.write.parquet(path)
-        forget_at_exit(spark, path)
-        return path
-
-    def load(schema: str, *paths: str) -> DataFrame:
-        return spark.read.schema(schema).parquet(*paths)
-
-    def summed(pairs: DataFrame) -> DataFrame:
-        return pairs.groupBy("a", "b").agg(F.sum("d").alias("d"))
-
-    PAIR, LOG, LONG = "a string, b string, d long", "a string, b string, word string, n long, d long", "sym array<string>, n long"
-    w = (word_counts.groupBy(F.col(word).alias("word")).agg(F.sum(F.col(count).cast("long")).alias("n"))
-         .filter("n > 0").withColumn("sym", F.split("word", "")).filter(F.size("sym") > 1))
-    words = store(w, "bpe-words")
-    w = load("word string, n long, sym array<string>", words)
-    changes = (w.filter(F.size("sym") <= LONG_WORD).select(F.explode(bigrams(F.col("sym"))).alias("g"), "word", "n")
-               .select("g.a", "g.b", "word", "n", F.col("n").alias("d")))
-    log = [store(changes.repartitionByRange("a", "b", "word").sortWithinPartitions("a", "b"), "bpe-log")]
-    counts = [store(summed(load(PAIR, *log)), "bpe-counts")]
-    long = store(w.filter(F.size("sym") > LONG_WORD).select("sym", "n"), "bpe-long")
-    has_long = not load(LONG, long).isEmpty()
-    remove_scratch(spark, words)
-    merges: list[tuple[str, str, int]] = []
-    while len(merges) < n_merges:
-        pairs = load(PAIR, *counts)
-        if has_long:
-            pairs = pairs.unionByName(load(LONG, long).select(F.explode(bigrams(F.col("sym"))).alias("g"), F.col("n").alias("d"))
-                                      .select("g.a", "g.b", "d"))
-        best = summed(pairs).filter("d > 0").orderBy(F.desc("d"), "a", "b").limit(1).collect()
-        if not best:
-            break
-        a, b, c = best[0]
-        touched = (load(LOG, *log).filter((F.col("a") == a) & (F.col("b") == b))
-                   .groupBy("word", "n").agg(F.sum("d").alias("d")).filter("d > 0"))
-        signed = _bound(bpe_apply(F.col("word"), merges), lambda old: F.concat(
-            _signed(old, -1), _bound(merge_pair(old, a, b), lambda new: _signed(new, 1))))
-        changes = (touched.select("word", "n", F.explode(signed).alias("g"))
-                   .groupBy("g.a", "g.b", "word", "n").agg((F.sum("g.s") * F.col("n")).alias("d")).filter("d <> 0"))
-        log.append(store(changes.sortWithinPartitions("a", "b"), "bpe-log"))
-        counts.append(log[-1])
-        merges.append((a, b, int(c)))
-        if has_long:
-            spent.append(long)
-            long = store(load(LONG, long).select(merge_pair(F.col("sym"), a, b).alias("sym"), "n"), "bpe-long")
-        if checkpoint_every and len(merges) % checkpoint_every == 0:
-            # the rounds' parts become one, in the order of the pairs; the first stays
-            spent += [counts[0], *log[1:]]
-            counts = [store(summed(load(PAIR, *counts)), "bpe-counts")]
-            later = load(LOG, *log[1:]).repartitionByRange("a", "b", "word").sortWithinPartitions("a", "b")
-            log = [log[0], store(later, "bpe-log")]
-            remove_scratch(spark, *spent)
-            spent = []
-    remove_scratch(spark, *spent, *log, counts[0], long)
+    w = (word_counts.select(F.split(F.col(word), "").alias("sym"), F.col(count).alias("n"))
+         .filter(F.size("sym") > 1).persist())
+    merges = []
+    try:
+        for r in range(n_merges):
+            pairs = (w.select(F.explode(bigrams(F.col("sym"))).alias("g"), "n")
+                     .groupBy("g.a", "g.b").agg(F.sum("n").alias("c")))
+            best = pairs.orderBy(F.desc("c"), "a", "b").limit(1).collect()
+            if not best:
+                break
+            a, b, c = best[0]["a"], best[0]["b"], best[0]["c"]
+            merges.append((a, b, int(c)))
+            touched = F.array_contains("sym", a) & F.array_contains("sym", b)
+            nxt = w.select(F.when(touched, merge_pair(F.col("sym"), a, b)).otherwise(F.col("sym")).alias("sym"), "n")
+            nxt = nxt.filter(F.size("sym") > 1)  # single-symbol words yield no pairs
+            if checkpoint_every and (r + 1) % checkpoint_every == 0:
+                nxt = cut_lineage(nxt)
+            else:
+                nxt = nxt.persist()
+                nxt.count()
+            w.unpersist()
+            w = nxt
+    finally:
+        w.unpersist()
     return merges
 
 
-def _bound(value: Column, use) -> Column:
-    """``use`` of a value that is written down, and worked out, only once."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
-
-
-def _signed(sym: Column, sign: int) -> Column:
-    """(a, b, s) of every adjacent pair."""
-    return F.transform(bigrams(sym), lambda g: F.struct(g["a"].alias("a"), g["b"].alias("b"), F.lit(sign).alias("s")))
-
-
-def merge_pair(sym: Column, a: str | Column, b: str | Column) -> Column:
-    """Left-to-right merge of every adjacent (a, b) in a symbol array, in time
-    linear in its length: the symbols are marked in a string, in which heads and
-    tails of the merged pairs are found by one replacement."""
-    a, b = F.lit(a), F.lit(b)
-
-    def merged(s):
-        marks = F.array_join(F.transform(s, lambda t: F.when(t == a, "1").when(t == b, "2").otherwise("0")), "")
-        marks = F.replace(marks, F.when(a == b, F.lit("11")).otherwise(F.lit("12")), F.lit("34"))
-        out = F.zip_with(s, F.split(marks, ""), lambda t, m: F.when(m == "3", F.concat(a, b)).when(m != "4", t))
-        return F.when(F.array_contains(s, a) & F.array_contains(s, b), F.filter(out, lambda t: t.isNotNull())).otherwise(s)
-
-    return _bound(sym, merged)
+def merge_pair(sym: Column, a: str, b: str) -> Column:
+    """Left-to-right merge of every adjacent (a, b) in a symbol array."""
+    ab = a + b
+    return F.aggregate(
+        sym, F.array().cast("array<string>"),
+        lambda acc, t: F.when((F.size(acc) > 0) & (F.element_at(acc, -1) == F.lit(a)) & (t == F.lit(b)),
+                              F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(F.lit(ab))))
+        .otherwise(F.concat(acc, F.array(t))))
 
 
 def bpe_apply(word: Column, merges: list[tuple]) -> Column:
-    """The symbols of a word after the merges, in the order of learning."""
     sym = F.split(word, "")
-    if not merges:
-        return sym
-    steps = F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b, *_ in merges))
-    return F.aggregate(steps, sym, lambda s, m: merge_pair(s, m["a"], m["b"]))
+    for a, b, *_ in merges:
+        sym = merge_pair(sym, a, b)
+    return sym

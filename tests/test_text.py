@@ -2,8 +2,6 @@
 sequences, one-token rows in the bigram model."""
 
 import math
-import random
-from collections import Counter
 
 from pyspark.sql import functions as F
 
@@ -60,47 +58,3 @@ def test_mlm_mask_is_seeded_and_consistent(spark):
     assert 10 < len(hidden) < 60
     assert all(r["l"][k] == k + 1 for k in hidden)
     assert all(r["l"][k] == -100 for k in range(199) if k not in hidden)
-
-
-def _plain_merges(counts, n):
-    seqs, merges = {w: list(w) for w, c in counts.items() if c > 0}, []
-    for _ in range(n):
-        pairs = Counter()
-        for w, seq in seqs.items():
-            for p in zip(seq, seq[1:]):
-                pairs[p] += counts[w]
-        if not pairs:
-            break
-        (a, b), c = min(pairs.items(), key=lambda t: (-t[1], t[0]))
-        merges.append((a, b, c))
-        for w, seq in seqs.items():
-            out, i = [], 0
-            while i < len(seq):
-                hit = seq[i:i + 2] == [a, b]
-                out.append(a + b if hit else seq[i])
-                i += 2 if hit else 1
-            seqs[w] = out
-    return merges, seqs
-
-
-def test_merges_of_long_tied_repeated_and_null_words(spark):
-    """Words over LONG_WORD symbols, runs of one symbol, equal counts, words in
-    several rows, without a count, empty and null; compacted and not."""
-    from quarry.operators.text import LONG_WORD, bpe_apply, bpe_learn
-    rng = random.Random(1)
-    words = ["lower"] * 3 + ["aaa", "aaaaa", "ab" * LONG_WORD, "a" * (2 * LONG_WORD + 3), None, "x", "", "\x1e\x1f", "é漢" * 3]
-    words += ["".join(rng.choices("abc", k=rng.randint(1, LONG_WORD + 20))) for _ in range(40)]
-    rows = [(w, None if w == "x" else rng.randint(0, 9)) for w in words]
-    df = spark.createDataFrame(rows, "token string, k long")
-    counts = Counter()
-    for w, n in rows:
-        if w:
-            counts[w] += n or 0
-    expect, seqs = _plain_merges(counts, 9)
-    merges = bpe_learn(df, 9, word="token", count="k", checkpoint_every=4)
-    assert merges == expect
-    got = {r[0]: r[1] for r in df.select("token", bpe_apply(F.col("token"), merges)).collect()}
-    assert all(got[w] == seq for w, seq in seqs.items())
-    assert bpe_learn(df.limit(0), 3, word="token", count="k") == []
-    few = spark.createDataFrame([("ab", 2)], "word string, n long")
-    assert bpe_learn(few, 5) == [("a", "b", 2)]
