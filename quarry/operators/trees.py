@@ -6,6 +6,10 @@ of all trees together; Spark adds the sums up and finds the best split of each
 node where its sums meet, and only the splits come to the driver. A pass costs as
 much for a hundred trees as its sums do, and nobody holds the rows.
 
+* Where a level of a forest has more open nodes than the driver should know of
+  (``MOST_OPEN``), those with few rows are handed over: their rows are dealt to
+  bounded groups, each of which grows its nodes to the end, and what they grew
+  stays a table that votes are joined with.
 * A forest bags by Poisson draws, kept with the row as weights, so that the rows
   that a tree has not seen are known and the out-of-bag votes are those of the
   very trees that predict.
@@ -18,7 +22,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -29,7 +33,9 @@ from quarry.session import drop_scratch, scratch_table
 
 BINS = 32
 PART_CELLS = 1 << 21    # sums that one group holds
-_KEPT_CELLS = 1 << 22   # and a task, before it adds up what it has
+_KEPT_CELLS = 1 << 21   # and a task, before it adds up what it has
+MOST_OPEN = 1 << 15     # nodes of a level that come to the driver, before small ones are handed over
+GROUP_ROWS = 1 << 14    # rows of a node that may be handed over, and of the nodes grown in one group
 _ACCURACY = 10_000      # of the quantiles
 ROUNDS_KEPT = 5         # of boosting, before the margins are written
 
@@ -108,16 +114,19 @@ def _score(sums: np.ndarray, kind: str, penalty: float) -> np.ndarray:
 
 def best_splits(table: DataFrame, cells, n_nodes: int, slots: int, bins: int, width: int, kind: str, penalty: float = 0.0,
                 least: float = 1e-9) -> dict[str, np.ndarray]:
-    """The best (slot, bin) of each node: ``cells(batch)`` gives, for the rows of
+    """The best (slot, bin) of each node: ``cells(batch)`` yields, for the rows of
     a batch, keys ((node * slots + slot) * bins + bin) and ``width`` sums, the last
-    of them the weight of the rows unless ``kind`` is gini."""
+    of them the weight of the rows; for gini keys (... * width + class) and one
+    sum, as most cells of a small node hold one class."""
     per = max(1, PART_CELLS // (slots * bins * width))  # nodes of a group
+    wide, own = (1, slots * bins * width) if kind == "gini" else (width, slots * bins)  # sums of a key, keys of a node
 
     def summed(batches):
         keys, sums, size = [], [], 0
         for batch in batches:
-            k, s = cells(batch)
-            if len(k):
+            for k, s in cells(batch):
+                if not len(k):
+                    continue
                 k, s = _added([k], [s])
                 keys.append(k)
                 sums.append(s)
@@ -133,7 +142,7 @@ def best_splits(table: DataFrame, cells, n_nodes: int, slots: int, bins: int, wi
             yield parts(*_added(keys, sums))
 
     def parts(k, s):
-        part = k // (per * slots * bins)
+        part = k // (per * own)
         begin = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])).tolist()
         ends = [*begin[1:], len(k)]
         return pa.RecordBatch.from_arrays([pa.array(part[begin].astype(np.int32)), pa.array([k[a:z].tobytes() for a, z in zip(begin, ends)], pa.binary()),
@@ -142,10 +151,10 @@ def best_splits(table: DataFrame, cells, n_nodes: int, slots: int, bins: int, wi
     def split(group: pa.Table) -> pa.Table:
         part = group["part"][0].as_py()
         k, s = _added([np.frombuffer(x, np.int64) for x in group["keys"].to_pylist()],
-                      [np.frombuffer(x, np.float64).reshape(-1, width) for x in group["sums"].to_pylist()])
+                      [np.frombuffer(x, np.float64).reshape(-1, wide) for x in group["sums"].to_pylist()])
         m = min(per, n_nodes - part * per)
-        dense = np.zeros((m * slots * bins, width))
-        dense[k - part * per * slots * bins] = s
+        dense = np.zeros((m * own, wide))
+        dense[k - part * per * own] = s
         dense = dense.reshape(m, slots, bins, width)
         left = dense.cumsum(axis=2)
         total = left[:, :1, -1:, :]
@@ -171,6 +180,57 @@ def best_splits(table: DataFrame, cells, n_nodes: int, slots: int, bins: int, wi
     return out
 
 
+def _mix(x: np.ndarray) -> np.ndarray:
+    """The splitmix64 finaliser."""
+    x = x.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def grow_rest(root: np.ndarray, y: np.ndarray, w: np.ndarray, b: np.ndarray, names: np.ndarray, levels: np.ndarray, slots: int, bins: int, k: int,
+              seed: int, least: float = 1e-9) -> Trees:
+    """Trees below some nodes, to the end: ``root`` tells each row's node, ``names``
+    and ``levels`` the nodes' numbers in the forest and how deep they may still grow.
+    Only cuts between values that a node has are looked at, so small nodes cost little."""
+    trees, at = Trees(len(names), k), root.copy()
+    trees.value[:] = np.bincount(root * k + y, w, len(names) * k).reshape(-1, k)
+    path, open_ = _mix(names.astype(np.uint64) ^ _mix(np.array([seed]))), trees.roots.copy()
+    for step in range(int(levels.max(initial=0))):
+        open_ = open_[levels[trees.tree[open_]] > step]
+        if not len(open_):
+            break
+        number = np.full(len(trees.feature), -1)
+        number[open_] = np.arange(len(open_))
+        rows = np.flatnonzero(number[at] >= 0)
+        own = number[at[rows]]
+        subset = np.argsort(_mix(path[open_][:, None] + np.arange(b.shape[1], dtype=np.uint64)), axis=1, kind="stable")[:, :slots]
+        key = ((own[:, None] * slots + np.arange(slots)) * bins + b[rows[:, None], subset[own]]).ravel()
+        cell, where = np.unique(key, return_inverse=True)
+        sums = np.bincount(where * k + np.repeat(y[rows], slots), np.repeat(w[rows], slots), len(cell) * k).reshape(-1, k)
+        upto = np.cumsum(sums, axis=0)
+        slot = cell // bins
+        begin = np.flatnonzero(np.concatenate([[True], slot[1:] != slot[:-1]]))
+        left = upto - np.repeat((upto - sums)[begin], np.diff([*begin, len(cell)]), axis=0)
+        node = slot // slots
+        total = trees.value[open_[node]]
+        right = total - left
+        gain = _score(left, "gini", 0.0) + _score(right, "gini", 0.0) - _score(total, "gini", 0.0)
+        gain = np.where((left.sum(-1) > 0.5) & (right.sum(-1) > 0.5), gain, -np.inf)
+        top = np.maximum.reduceat(gain, np.searchsorted(node, np.arange(len(open_))))
+        near = np.flatnonzero(gain >= top[node] - 1e-12 * total.sum(-1))
+        best = near[np.unique(node[near], return_index=True)[1]]  # the first of equally good ones
+        best = best[gain[best] > least]
+        parents = open_[node[best]]
+        new = trees.split(parents, subset[node[best], slot[best] % slots], cell[best] % bins, left[best], right[best])
+        path = np.concatenate([path, _mix(np.repeat(path[parents], 2) * np.uint64(2) + np.tile(np.arange(2, dtype=np.uint64), len(parents)))])
+        moved = rows[trees.feature[at[rows]] >= 0]
+        n = at[moved]
+        at[moved] = trees.left[n] + (b[moved, trees.feature[n]] > trees.cut[n])
+        open_ = new[(trees.value[new] > 0).sum(axis=1) > 1]
+    return trees
+
+
 def binned_rows(df: DataFrame, cuts: list[np.ndarray], id_col: str, label_col: str, features: str, classes: list, extra: dict | None = None) -> DataFrame:
     """(id, y, bins, ...) written once: the number of the class, a byte for each feature."""
     number, names = {c: i for i, c in enumerate(classes)}, ["id", "y", "bins", *(extra or {})]
@@ -226,12 +286,132 @@ class Forest(Ensemble):
 
     hard = False
     rows: DataFrame  # the binned training rows, with their draws
+    deep: DataFrame  # what was grown below the nodes that were handed over
+    part = np.zeros(0, np.int64)  # of each node the group that it was handed to, or -1; empty if none was
+
+    def hand_over(self, nodes: np.ndarray, levels: np.ndarray, slots: int, bins: int, seed: int) -> None:
+        """Grow these nodes to the end, some of them in each group of ``GROUP_ROWS`` rows."""
+        trees, k = self.trees, len(self.classes)
+        weight = trees.value[nodes].sum(axis=1)
+        part, filled, left = np.zeros(len(nodes), np.int64), 0, GROUP_ROWS
+        for i, v in enumerate(weight.tolist()):
+            if v > left and left < GROUP_ROWS:
+                filled, left = filled + 1, GROUP_ROWS
+            part[i], left = filled, left - v
+        self.part = np.full(len(trees.feature), -1)
+        self.part[nodes] = part
+        deeper = np.zeros(len(trees.feature), np.int64)
+        deeper[nodes] = levels
+
+        def dealt(batches):
+            for batch in batches:
+                b, w = _bytes(batch.column(1)), _bytes(batch.column(2))
+                for t in range(len(trees.roots)):
+                    seen = np.flatnonzero(w[:, t])
+                    node = trees.leaves(b[seen], t)
+                    seen, node = seen[self.part[node] >= 0], node[self.part[node] >= 0]
+                    if len(seen):
+                        yield pa.RecordBatch.from_arrays([pa.array(self.part[node].astype(np.int32)), pa.array(node), batch.column(0).take(pa.array(seen)),
+                                                          pa.array(w[seen, t].astype(np.int32)), batch.column(1).take(pa.array(seen))], names=["part", "node", "y", "w", "bins"])
+
+        def grown(group: pa.Table) -> pa.Table:
+            node, (y, w) = group["node"].to_numpy(), (group[c].to_numpy().astype(np.int64) for c in ("y", "w"))
+            names, root = np.unique(node, return_inverse=True)
+            own = grow_rest(root, y, w.astype(float), _bytes(group["bins"]), names, deeper[names], slots, bins, k, seed)
+            return pa.Table.from_arrays([pa.array([group["part"][0].as_py()], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in (
+                names, own.feature.astype(np.int64), own.cut, own.left, own.value))], names=["part", "names", "feature", "cut", "left", "value"])
+
+        rows = self.rows.select("y", "bins", "draws").mapInArrow(dealt, "part int, node long, y int, w int, bins binary")
+        self.deep = scratch_table(rows.groupBy("part").applyInArrow(
+            grown, "part int, names binary, feature binary, cut binary, left binary, value binary"), "forest-rest")
+
+    def _shares(self, value: np.ndarray) -> np.ndarray:
+        return np.eye(len(self.classes))[value.argmax(axis=1)] if self.hard else value / np.maximum(value.sum(axis=1, keepdims=True), 1e-300)
+
+    def _winners(self, rows: DataFrame) -> DataFrame:
+        """(rid, cls): what the trees vote for each of ``rows`` (rid, bins, draws: null
+        for the votes of all trees, else of those that drew 0), joined with what
+        was grown in the groups."""
+        k = len(self.classes)
+
+        def leaves(batch):
+            b = _bytes(batch.column(1))
+            draws = _bytes(batch.column(2)) if batch.column(2).null_count == 0 else None
+            for t in range(len(self.trees.roots)):
+                seen = np.arange(len(b)) if draws is None else np.flatnonzero(draws[:, t] == 0)
+                yield seen, self.trees.leaves(b[seen], t)
+
+        def long_form(rid, votes):
+            i, c = np.nonzero(votes)
+            return [pa.array(rid[i]), pa.array(c.astype(np.int32)), pa.array(votes[i, c])]
+
+        def shallow(batches):
+            for batch in batches:
+                votes = np.zeros((batch.num_rows, k))
+                for seen, node in leaves(batch):
+                    here = self.part[node] < 0
+                    votes[seen[here]] += self._shares(self.trees.value[node[here]])
+                yield pa.RecordBatch.from_arrays(long_form(batch.column(0).to_numpy(), votes), names=["rid", "cls", "v"])
+
+        def visits(batches):
+            for batch in batches:
+                for seen, node in leaves(batch):
+                    there = self.part[node] >= 0
+                    seen, node = pa.array(seen[there]), node[there]
+                    yield pa.RecordBatch.from_arrays([pa.array(self.part[node].astype(np.int32)), pa.array(node), batch.column(0).take(seen),
+                                                      batch.column(1).take(seen)], names=["part", "node", "rid", "bins"])
+
+        def voted(key: tuple, go: pa.Table, rest: pa.Table) -> pa.Table:
+            rid, votes = np.zeros(0, np.int64), np.zeros((0, k))
+            if go.num_rows and rest.num_rows:
+                names, feature, cut, left = (np.frombuffer(rest[c][0].as_py(), np.int64) for c in ("names", "feature", "cut", "left"))
+                value, b = np.frombuffer(rest["value"][0].as_py(), np.float64).reshape(-1, k), _bytes(go["bins"])
+                at = np.searchsorted(names, go["node"].to_numpy())
+                open_ = np.flatnonzero(feature[at] >= 0)
+                while len(open_):
+                    n = at[open_]
+                    at[open_] = left[n] + (b[open_, feature[n]] > cut[n])
+                    open_ = open_[feature[at[open_]] >= 0]
+                rid, row = np.unique(go["rid"].to_numpy(), return_inverse=True)
+                votes = np.zeros((len(rid), k))
+                np.add.at(votes, row, self._shares(value[at]))
+            return pa.Table.from_arrays(long_form(rid, votes), names=["rid", "cls", "v"])
+
+        rows = rows.select("rid", "bins", "draws")
+        go = rows.mapInArrow(visits, "part int, node long, rid long, bins binary")
+        tiles = scratch_table(go.groupBy("part").agg(F.ceil(F.count("*") / (4 * GROUP_ROWS)).cast("int").alias("tiles")), "forest-tiles")
+        go = go.join(tiles, "part").withColumn("tile", F.pmod(F.xxhash64("rid"), F.col("tiles")).cast("int")).drop("tiles")
+        rest = self.deep.join(tiles, "part").withColumn("tile", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).drop("tiles")
+        form = "rid long, cls int, v double"
+        each = rows.mapInArrow(shallow, form).unionByName(
+            go.groupBy("part", "tile").cogroup(rest.groupBy("part", "tile")).applyInArrow(voted, form))
+        total = each.groupBy("rid", "cls").agg(F.round(F.sum("v"), 9).alias("v"))  # however the sums were added up
+        return total.groupBy("rid").agg(F.max_by("cls", F.struct("v", -F.col("cls"))).alias("cls"))
+
+    def predict(self, df: DataFrame, id_col: str, label_col: str = "label", features: str = "x") -> DataFrame:
+        if not len(self.part):
+            return super().predict(df, id_col, label_col, features)
+        rows = df.where(F.col(features).isNotNull()).select(F.col(id_col), F.col(label_col), F.col(features).cast("array<double>").alias("_x"))
+
+        def run(batches):
+            for batch in batches:
+                bins = _binned(_matrix(batch.column(2), len(self.cuts)), self.cuts)
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([b.tobytes() for b in bins], pa.binary())],
+                                                 names=[id_col, label_col, "bins"])
+
+        schema = T.StructType([*rows.schema.fields[:2], T.StructField("bins", T.BinaryType())])
+        rows = scratch_table(rows.mapInArrow(run, schema).withColumn("rid", F.monotonically_increasing_id()), "forest-asked")
+        won = self._winners(rows.withColumn("draws", F.lit(None).cast("binary")))
+        return rows.join(won, "rid").select(id_col, label_col, self._class("cls").alias("pred"))
+
+    def _class(self, number: str) -> Column:
+        return F.element_at(F.array(*[F.lit(int(c)) for c in self.classes]), F.col(number) + 1)
 
     def _votes(self, bins: np.ndarray, draws: np.ndarray | None = None) -> np.ndarray:
         out = np.zeros((len(bins), len(self.classes)))
         for t in range(len(self.trees.roots)):
             v = self.trees.value[self.trees.leaves(bins, t)]
-            v = np.eye(len(self.classes))[v.argmax(axis=1)] if self.hard else v / np.maximum(v.sum(axis=1, keepdims=True), 1e-300)
+            v = self._shares(v)
             out += v if draws is None else v * (draws[:, t] == 0)[:, None]
         return out
 
@@ -240,6 +420,9 @@ class Forest(Ensemble):
 
     def out_of_bag(self) -> DataFrame:
         """(id, y, pred): of each training row that a tree hasn't seen, the vote of such trees."""
+        if len(self.part):
+            rows = scratch_table(self.rows.withColumn("rid", F.monotonically_increasing_id()), "forest-bag")
+            return rows.join(self._winners(rows), "rid").select("id", self._class("y").alias("y"), self._class("cls").alias("pred"))
         classes = np.array(self.classes)
 
         def run(batches):
@@ -273,7 +456,7 @@ def fit_forest(df: DataFrame, id_col: str, n_trees: int = 100, label_col: str =
     if not k:
         return out
     slots = min(d, per_split or max(1, round(d ** 0.5)))
-    table, open_ = rows.select("y", "bins", "draws"), trees.roots.copy()
+    table, open_, handed = rows.select("y", "bins", "draws"), trees.roots.copy(), []
     for depth in range(max_depth):
         if not len(open_):
             break
@@ -284,20 +467,12 @@ def fit_forest(df: DataFrame, id_col: str, n_trees: int = 100, label_col: str =
 
         def cells(batch):
             y, b, w = batch.column(0).to_numpy(), _bytes(batch.column(1)), _bytes(batch.column(2))
-            keys, sums = [np.zeros(0, np.int64)], [np.zeros((0, k))]
             for t in some:
                 seen = np.flatnonzero(w[:, t])
                 at = number[trees.leaves(b[seen], t)]
                 seen, at = seen[at >= 0], at[at >= 0]
-                if len(seen):
-                    own = (at[:, None] * slots + np.arange(slots)) * bins + b[seen[:, None], subset[at]]
-                    one = np.zeros((len(seen), k))
-                    one[np.arange(len(seen)), y[seen]] = w[seen, t]
-                    one = np.repeat(one, slots, axis=0)
-                    got = _added([own.ravel()], [one])
-                    keys.append(got[0])
-                    sums.append(got[1])
-            return np.concatenate(keys), np.concatenate(sums)
+                own = ((at[:, None] * slots + np.arange(slots)) * bins + b[seen[:, None], subset[at]]) * k + y[seen][:, None]
+                yield own.ravel(), np.repeat(w[seen, t].astype(float), slots)[:, None]
 
         found = best_splits(table, cells, len(open_), slots, bins, k, "gini")
         if depth == 0:
@@ -307,6 +482,12 @@ def fit_forest(df: DataFrame, id_col: str, n_trees: int = 100, label_col: str =
         feature = subset[found["node"][good], found["slot"][good]]
         new = trees.split(nodes, feature, found["cut"][good], found["left"][good], (found["total"] - found["left"])[good])
         open_ = new[(trees.value[new] > 0).sum(axis=1) > 1]  # the others are pure
+        if len(open_) > MOST_OPEN or handed:
+            small = trees.value[open_].sum(axis=1) <= GROUP_ROWS
+            handed.append(np.stack([open_[small], np.full(small.sum(), max_depth - depth - 1)]))
+            open_ = open_[~small]
+    if handed:
+        out.hand_over(*np.concatenate(handed, axis=1), slots, bins, seed)
     return out
 
 
@@ -389,7 +570,7 @@ def fit_boosting(df: DataFrame, id_col: str, label_col: str = "label", features:
                     has = np.flatnonzero(dense[:, 2])
                     keys.append(has + first)
                     sums.append(dense[has])
-                return np.concatenate(keys), np.concatenate(sums)
+                yield np.concatenate(keys), np.concatenate(sums)
 
             found = best_splits(table.select("y", "bins", "m"), cells, len(open_), d, bins, 3, "newton", penalty)
             leaf = lambda s: (s[:, 0] / (s[:, 1] + penalty))[:, None] * (k - 1) / k

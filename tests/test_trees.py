@@ -134,3 +134,79 @@ def test_edge_cases(spark):
         assert {r["pred"] for r in fit(same).predict(same, "id").collect()} == {2}
     mixed = same.unionByName(spark.createDataFrame([(20, 1.0, [1.0, 1.0])], none.schema))  # nothing to tell the classes by
     assert {r["pred"] for r in TR.fit_forest(mixed, "id", 3).predict(mixed, "id").collect()} == {2}
+
+
+def _walk(forest, deep, b, t):
+    """The sums in the leaf of a row in a tree, node by node, also below a node that was handed over."""
+    trees, at = forest.trees, forest.trees.roots[t]
+    while trees.feature[at] >= 0:
+        at = trees.left[at] + (b[trees.feature[at]] > trees.cut[at])
+    if forest.part[at] < 0:
+        return trees.value[at], at
+    names, feature, cut, left, value = deep[forest.part[at]]
+    n = int(np.flatnonzero(names == at)[0])
+    while feature[n] >= 0:
+        n = left[n] + (b[feature[n]] > cut[n])
+    return value[n], at
+
+
+@pytest.mark.parametrize("hard", [False, True])
+def test_forest_with_more_open_nodes_than_the_driver_holds(spark, monkeypatch, hard):
+    from quarry.operators.small import collect_small
+    monkeypatch.setattr(TR, "collect_small", lambda df, what: collect_small(df, what, 1 << 16))  # 30 splits
+    monkeypatch.setattr(TR, "MOST_OPEN", 12, raising=False)
+    monkeypatch.setattr(TR, "GROUP_ROWS", 60, raising=False)
+    rng = np.random.default_rng(7)
+    x, y = rng.normal(size=(400, 5)).round(2), rng.integers(0, 3, 400)
+    df = _frame(spark, np.vstack([x, x[:30]]), np.concatenate([y, y[:30]])).withColumn("id", F.col("id") % 400)  # some rows twice
+    forest = TR.fit_forest(df, "id", 6, bins=16, seed=5)
+    forest.hard = hard
+    whole = forest.deep.collect()
+    assert len(whole) > 10
+    deep = {r["part"]: [*(np.frombuffer(r[c], np.int64) for c in ("names", "feature", "cut", "left")), np.frombuffer(r["value"], float).reshape(-1, 3)] for r in whole}
+    rows = [(r["id"], r["y"], np.frombuffer(r["bins"], np.uint8), np.frombuffer(r["draws"], np.uint8)) for r in forest.rows.collect()]
+    # what lies in a leaf is what its tree drew, and a leaf that is not pure can't be cut
+    inside = {}
+    for _, c, b, w in rows:
+        for t in range(6):
+            if w[t]:
+                value, at = _walk(forest, deep, b, t)
+                inside.setdefault((at, value.tobytes(), id(value.base), value.ctypes.data), []).append((c, w[t], b.tobytes()))
+    for (_, value, *_), got in inside.items():
+        assert np.frombuffer(value).tolist() == [sum(int(w) for c, w, _ in got if c == k) for k in range(3)]
+        assert len({c for c, _, _ in got}) == 1 or len({b for _, _, b in got}) == 1 or len({b for _, _, b in got}) < 4
+    vote = lambda v: np.eye(3)[v.argmax()] if hard else v / v.sum()
+
+    def pred(b, trees):
+        return int(np.round(sum(vote(_walk(forest, deep, b, t)[0]) for t in trees), 9).argmax())
+
+    want = sorted((i, c, pred(b, np.flatnonzero(w == 0))) for i, c, b, w in rows if (w == 0).any())
+    assert sorted(map(tuple, forest.out_of_bag().collect())) == want
+    want = sorted((i, c, pred(b, range(6))) for i, c, b, _ in rows)
+    assert sorted((r["id"], int(r["label"]), r["pred"]) for r in forest.predict(df, "id").collect()) == want
+
+
+def test_rest_of_a_tree_equals_plain_version():
+    rng = np.random.default_rng(8)
+    n, k, bins, slots = 150, 3, 8, 2
+    b, y, w = rng.integers(0, bins, (n, 4)).astype(np.uint8), rng.integers(0, k, n), rng.integers(1, 3, n).astype(float)
+    root, names, levels = rng.integers(0, 2, n), np.array([17, 40]), np.array([30, 2])
+    trees = TR.grow_rest(root, y, w, b, names, levels, slots, bins, k, 1)
+    path = TR._mix(names.astype(np.uint64) ^ TR._mix(np.array([1])))
+    todo = [(i, root == i, path[i], int(levels[i])) for i in range(2)]
+    seen = 0
+    while todo:
+        node, rows, name, left = todo.pop()
+        sums = np.zeros((n, k))
+        sums[np.arange(n), y] = w
+        assert trees.value[node].tolist() == sums[rows].sum(0).tolist()
+        subset = np.argsort(TR._mix(name + np.arange(4, dtype=np.uint64)), kind="stable")[:slots]
+        found = _plain_split(b[rows], sums[rows], subset, bins, "gini") if left and (sums[rows].sum(0) > 0).sum() > 1 else None
+        assert (trees.feature[node] >= 0) == bool(found)
+        if found:
+            seen += 1
+            feature, cut = subset[found[0]], found[1]
+            assert (trees.feature[node], trees.cut[node]) == (feature, cut)
+            for side in (0, 1):
+                todo.append((trees.left[node] + side, rows & ((b[:, feature] > cut) == side), TR._mix(name[None] * np.uint64(2) + np.uint64(side))[0], left - 1))
+    assert seen > 20
