@@ -19,10 +19,11 @@ from pyspark.sql import types as T
 from quarry.functions import vec as V
 from quarry.functions.hashing import hash_u60, hash_unit
 from quarry.operators import centroid as C
-from quarry.operators.neighbors import TILE_ROWS, _tiles
+from quarry.operators.neighbors import _tiles
 from quarry.operators.small import collect_small, local_frame
 
 SEED_ROUNDS, MOST_ROUNDS = 5, 300
+TILE_ROWS, STRIP_ROWS, LEAST_TILES = 1 << 14, 512, 8  # rows of a tile of pairs, and that meet the other tile at once; tiles of a small table
 SAMPLED_ROWS = 50   # of a cluster, for an estimated silhouette
 
 
@@ -200,8 +201,10 @@ def silhouettes_euclid(df: DataFrame, id_col: str, clusters: list[str], features
                        tile_rows: int = TILE_ROWS) -> DataFrame:
     """(clustering, silhouette) for several cluster columns at once: each pair
     of tiles of rows is one group, in one order only, whose distances serve
-    both sides and all clusterings. A group holds two tiles at the most."""
-    t = _tiles(df.count(), tile_rows)
+    both sides and all clusterings. A group holds two tiles at the most, and the
+    distances of a strip of one to the other."""
+    n = df.count()
+    t = max(_tiles(n, tile_rows), min(LEAST_TILES, _tiles(n, STRIP_ROWS)))
     base = df.select(F.xxhash64(id_col).alias("_id"), F.col(features).cast("array<double>").alias("_x"),
                      F.array(*[F.col(c).cast("int") for c in clusters]).alias("_c"), F.pmod(F.xxhash64(id_col), F.lit(t)).cast("int").alias("_t"))
     pairs = F.transform(F.sequence(F.lit(0), F.lit(t - 1)),
@@ -212,24 +215,42 @@ def silhouettes_euclid(df: DataFrame, id_col: str, clusters: list[str], features
     def block(pdf: pd.DataFrame) -> pd.DataFrame:
         a, b = pdf["i"].iat[0], pdf["j"].iat[0]
         tile = pdf["_t"].to_numpy()
-        out = []
-        sides = [(tile == a, tile == b)] + ([(tile == b, tile == a)] if a != b else [])
         x, ids, cs = np.stack(pdf["_x"].to_numpy()), pdf["_id"].to_numpy(), np.stack(pdf["_c"].to_numpy())
-        for left, right in sides:
-            A, B = x[left], x[right]
-            if not len(A) or not len(B):
-                continue
-            d2 = (A * A).sum(1)[:, None] + (B * B).sum(1)[None, :] - 2.0 * A @ B.T
-            D = np.sqrt(np.maximum(d2, 0.0))
-            same = ids[left][:, None] == ids[right][None, :]
-            D[same] = 0.0
-            for k in range(cs.shape[1]):
-                seen, at = np.unique(cs[right, k], return_inverse=True)
-                one = np.eye(len(seen))[at]
-                sums, counts = D @ one, one.sum(0)[None, :] - same @ one
-                out.append(pd.DataFrame({"_id": np.repeat(ids[left], len(seen)), "clustering": k, "own": np.repeat(cs[left, k], len(seen)),
-                                         "other": np.tile(seen, len(A)), "s": sums.ravel(), "n": counts.ravel().astype("int64")}))
-        return pd.concat(out, ignore_index=True) if out else pd.DataFrame({c: [] for c in ("_id", "clustering", "own", "other", "s", "n")})
+        left, right = np.flatnonzero(tile == a), np.flatnonzero(tile == b)
+        if not len(left) or not len(right):
+            return pd.DataFrame({c: [] for c in ("_id", "clustering", "own", "other", "s", "n")})
+        # a column for each cluster of each clustering
+        seen = [[np.unique(cs[side, k], return_inverse=True) for k in range(cs.shape[1])] for side in (left, right)]
+        one_left, one_right = (np.concatenate([np.eye(len(c))[at] for c, at in side], axis=1) for side in seen)
+        A, B, square = x[left], x[right], (x * x).sum(1)
+        sums = np.zeros((len(left), one_right.shape[1]))
+        counts = np.tile(one_right.sum(0), (len(left), 1))
+        back = np.zeros((len(right), one_left.shape[1]))
+        for at in range(0, len(left), STRIP_ROWS):
+            own = slice(at, at + STRIP_ROWS)
+            D = A[own] @ B.T
+            D *= -2.0
+            D += square[left[own], None]
+            D += square[None, right]
+            np.sqrt(np.maximum(D, 0.0, out=D), out=D)
+            if a == b:  # equal ids are in one tile
+                same = ids[left[own], None] == ids[None, right]
+                D[same] = 0.0
+                i, j = np.nonzero(same)
+                np.subtract.at(counts, i + at, one_right[j])
+            else:
+                back += D.T @ one_left[own]
+            sums[own] = D @ one_right
+        out = []
+        sides = [(left, seen[1], sums, counts)] + ([(right, seen[0], back, np.tile(one_left.sum(0), (len(right), 1)))] if a != b else [])
+        for rows, kinds, total, number in sides:
+            first = 0
+            for k, (names, _) in enumerate(kinds):
+                last = first + len(names)
+                out.append(pd.DataFrame({"_id": np.repeat(ids[rows], len(names)), "clustering": k, "own": np.repeat(cs[rows, k], len(names)),
+                                         "other": np.tile(names, len(rows)), "s": total[:, first:last].ravel(), "n": number[:, first:last].ravel().astype("int64")}))
+                first = last
+        return pd.concat(out, ignore_index=True)
 
     sums = (rows.groupBy("i", "j").applyInPandas(block, schema)
             .groupBy("clustering", "_id", "own", "other").agg(F.sum("s").alias("s"), F.sum("n").alias("n")))

@@ -349,3 +349,20 @@ def test_collects_are_bounded_in_bytes(spark):
     assert len(collect_small(df)) == 1000
     with pytest.raises(TooLargeError):
         collect_small(df, "ids", max_bytes=4000)
+
+
+def test_silhouettes_in_strips(spark, monkeypatch):
+    from quarry.operators import cluster as CL
+    monkeypatch.setattr(CL, "STRIP_ROWS", 7)
+    rng = np.random.default_rng(11)
+    x, a, b = rng.normal(size=(90, 3)), rng.integers(0, 3, 90), rng.integers(0, 2, 90)
+    df = spark.createDataFrame([(i, v, int(p), int(q)) for i, (v, p, q) in enumerate(zip(x.tolist(), a, b))], "id long, x array<double>, a int, b int")
+    got = {r["clustering"]: r["silhouette"] for r in CL.silhouettes_euclid(df, "id", ["a", "b"], tile_rows=25).collect()}
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+    for k, c in enumerate((a, b)):
+        s = []
+        for i in range(90):
+            own = (c == c[i]) & (np.arange(90) != i)
+            near, far = d[i, own].mean(), min(d[i, c == o].mean() for o in set(c.tolist()) - {c[i]})
+            s.append((far - near) / max(near, far))
+        assert abs(got[k] - np.mean(s)) < 1e-9
