@@ -9,8 +9,10 @@ together can't hold a nearer row, so a second round ships the query only to the
 cells that are left, and only rows within the distance come back. The answer is
 exact, ties included (distance, then reference id).
 
-A cell and the queries that visit it are cut into tiles of bounded size, each
-pair of which is one group. Equal reference vectors are kept with their smallest
+Cells lie together in bundles, and a query is shipped once to a bundle with the
+numbers of the cells that it visits there, so that what is shipped grows with the
+queries even where every cell must be visited. A bundle and its queries are cut
+into tiles of bounded size, each pair of which is one group. Equal reference vectors are kept with their smallest
 ids only, equal query vectors are searched once.
 
 Approximate search visits the nearest cells only, as many as a sample of
@@ -33,6 +35,7 @@ from quarry.session import scratch_table
 
 TILE_ROWS = 4096
 CELL_ROWS, MOST_PIVOTS = 1024, 1 << 16  # rows of a cell, about; pivots that every task holds
+BUNDLES, BUNDLE_TILES = 16, 4  # bundles of cells, about, and tiles of rows that one may hold
 MOST_CANDIDATES = 1 << 17   # pairs whose distances are worked out at once
 
 
@@ -138,6 +141,12 @@ class PivotIndex:
         self.counts, self.radius = np.zeros(len(self.pivots), np.int64), np.zeros(len(self.pivots))
         for r in collect_small(self.rows.groupBy("_c").agg(F.count("*").alias("n"), F.max("_d").alias("r")), "cells"):
             self.counts[r["_c"]], self.radius[r["_c"]] = r["n"], r["r"]
+        self.bundle_rows = min(BUNDLE_TILES * tile_rows, max(cell_rows, n // BUNDLES))
+        self.bundle, filled, b = np.zeros(len(self.pivots), np.int64), 0, 0
+        for c, m in enumerate(self.counts.tolist()):
+            if filled and filled + m > self.bundle_rows:
+                filled, b = 0, b + 1
+            self.bundle[c], filled = b, filled + m
 
     def __getstate__(self):  # what goes to the tasks
         return {k: v for k, v in self.__dict__.items() if not isinstance(v, DataFrame)}
@@ -179,10 +188,10 @@ class PivotIndex:
         return out & (self.counts > 0)
 
     def visits(self, queries: DataFrame, second: bool, probes: int | None = None) -> DataFrame:
-        """(_qid, _x, _t, _c) for each cell that a query visits: at first its own
-        (or the nearest, until they have k rows), later the others that may hold
-        a row within ``_t``, its k-th distance so far; of the ``probes`` nearest
-        cells only, if that is given."""
+        """(_qid, _x, _t, _b, _cs) for each bundle with cells that a query visits: at
+        first its own (or the nearest, until they have k rows), later the others
+        that may hold a row within ``_t``, its k-th distance so far; of the
+        ``probes`` nearest cells only, if that is given."""
         def run(batches):
             for pdf in batches:
                 for at in self._steps(len(pdf)):
@@ -195,38 +204,52 @@ class PivotIndex:
                         if probes is not None:
                             go &= np.argsort(np.argsort(d, axis=1, kind="stable"), axis=1) < probes
                     qi, ci = np.nonzero(go)
-                    yield part.iloc[qi].assign(_c=ci.astype("int32"))
+                    b = self.bundle[ci]  # grows with the number of the cell
+                    begin = np.flatnonzero(np.concatenate([[True], (qi[1:] != qi[:-1]) | (b[1:] != b[:-1])])[:len(qi)])
+                    go = part.iloc[qi[begin]]
+                    cells = np.split(ci.astype("int32"), begin[1:]) if len(begin) else []
+                    yield go.assign(_b=b[begin].astype("int32"), _cs=pd.Series(cells, go.index, dtype=object))
 
-        return queries.mapInPandas(run, T.StructType([*queries.schema.fields, T.StructField("_c", T.IntegerType())]))
+        return queries.mapInPandas(run, T.StructType([*queries.schema.fields, T.StructField("_b", T.IntegerType()),
+                                                      T.StructField("_cs", T.ArrayType(T.IntegerType()))]))
 
     def compare(self, visits: DataFrame) -> DataFrame:
-        """(_qid, _rid, dist, ...extra): of each tile of a visited cell the k
-        nearest rows within the query's distance so far."""
+        """(_qid, _rid, dist, ...extra): of each pair of tiles the k
+        nearest rows of the visited cells within the query's distance so far."""
         tile, k, metric, extra = self.tile_rows, self.k, self.metric, self.extra
-        visits = scratch_table(visits, "knn-visits")  # one row for each query and cell
-        sizes = visits.groupBy("_c").agg(F.ceil(F.count("*") / tile).cast("int").alias("_nq"))
-        tiles = self.rows.groupBy("_c").agg(F.ceil(F.count("*") / tile).cast("int").alias("_nr")).join(sizes, "_c")
+        visits = scratch_table(visits, "knn-visits")  # one row for each query and bundle
+        bundles = local_frame(visits.sparkSession, enumerate(self.bundle.tolist()), "_c int, _b int")
+        rows = self.rows.join(bundles, "_c")
+        sizes = visits.groupBy("_b").agg(F.ceil(F.count("*") / tile).cast("int").alias("_nq"))
+        tiles = rows.groupBy("_b").agg(F.ceil(F.count("*") / self.bundle_rows).cast("int").alias("_nr")).join(sizes, "_b")
         own = lambda c, m: F.pmod(F.xxhash64(c), F.col(m)).cast("int")
         every = lambda m: F.explode(F.sequence(F.lit(0), F.col(m) - 1))
-        rs = self.rows.join(tiles, "_c").select("_rid", "_y", *extra, F.col("_c").alias("_rc"), own("_rid", "_nr").alias("_rt"), every("_nq").alias("_rq"))
-        qs = visits.join(tiles, "_c").select("_qid", "_x", "_t", "_c", own("_qid", "_nq").alias("_qq"), every("_nr").alias("_qr"))
+        rs = rows.join(tiles, "_b").select("_rid", "_y", *extra, "_c", F.col("_b").alias("_rb"), own("_rid", "_nr").alias("_rt"), every("_nq").alias("_rq"))
+        qs = visits.join(tiles, "_b").select("_qid", "_x", "_t", "_cs", "_b", own("_qid", "_nq").alias("_qq"), every("_nr").alias("_qr"))
         schema = T.StructType([visits.schema["_qid"], T.StructField("_rid", self.schema["_rid"].dataType), T.StructField("dist", T.DoubleType()),
                                *[self.schema[c] for c in extra]])
 
         def block(qp: pd.DataFrame, rp: pd.DataFrame) -> pd.DataFrame:
             out = [rp.iloc[:0][["_rid", *extra]].assign(_qid=qp["_qid"].iloc[:0].to_numpy(), dist=np.zeros(0))[[f.name for f in schema.fields]]]
             if len(qp) and len(rp):
-                rid, y = rp["_rid"].to_numpy(), np.stack(rp["_y"].to_numpy())
-                for a in range(0, len(qp), 512):
-                    part = qp.iloc[a:a + 512]
-                    qid = part["_qid"].to_numpy()
-                    qi, ri, d = _nearest_of(qid, np.stack(part["_x"].to_numpy()), rid, y, k, metric)
-                    near = d <= part["_t"].to_numpy()[qi]
-                    found = rp.iloc[ri[near]][["_rid", *extra]].assign(_qid=qid[qi[near]], dist=d[near])
-                    out.append(found[[f.name for f in schema.fields]])
-            return pd.concat(out, ignore_index=True) if len(out) > 1 else out[0]
-
-        return qs.groupBy("_c", "_qq", "_qr").cogroup(rs.groupBy("_rc", "_rq", "_rt")).applyInPandas(block, schema)
+                rid, y, cell = rp["_rid"].to_numpy(), np.stack(rp["_y"].to_numpy()), rp["_c"].to_numpy()
+                qid, x, t = qp["_qid"].to_numpy(), np.stack(qp["_x"].to_numpy()), qp["_t"].to_numpy()
+                goes, to = np.repeat(np.arange(len(qp)), [len(c) for c in qp["_cs"]]), np.concatenate(list(qp["_cs"]))
+                for c in np.unique(cell):
+                    mine, all_visit = np.flatnonzero(cell == c), goes[to == c]
+                    for a in range(0, len(all_visit), 512):
+                        visit = all_visit[a:a + 512]
+                        qi, ri, d = _nearest_of(qid[visit], x[visit], rid[mine], y[mine], k, metric)
+                        near = d <= t[visit][qi]
+                        found = rp.iloc[mine[ri[near]]][["_rid", *extra]].assign(_qid=qid[visit[qi[near]]], dist=d[near])
+                        out.append(found[[f.name for f in schema.fields]])
+            if len(out) == 1:
+                return out[0]
+            found = pd.concat(out, ignore_index=True)
+            found = found.iloc[np.lexsort((found["_rid"], found["dist"], found["_qid"]))]
+            return found[found.groupby("_qid").cumcount() < k]  # of all cells of the group
+
+        return qs.groupBy("_b", "_qq", "_qr").cogroup(rs.groupBy("_rb", "_rq", "_rt")).applyInPandas(block, schema)
 
     def best(self, found: DataFrame) -> DataFrame:
         nth = F.row_number().over(Window.partitionBy("_qid").orderBy("dist", "_rid"))

@@ -366,3 +366,24 @@ def test_silhouettes_in_strips(spark, monkeypatch):
             near, far = d[i, own].mean(), min(d[i, c == o].mean() for o in set(c.tolist()) - {c[i]})
             s.append((far - near) / max(near, far))
         assert abs(got[k] - np.mean(s)) < 1e-9
+
+
+def test_knn_ships_a_query_once_to_a_bundle(spark):
+    from quarry.operators.neighbors import PivotIndex, knn
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(600, 24))  # without structure: nearly every cell must be visited
+    rows = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "rid long, x array<double>")
+    index = PivotIndex(rows, 3, cell_rows=10)
+    queries = rows.where("rid < 40").select(F.col("rid").alias("_qid"), F.col("x").alias("_x"))
+    top, limited = index.search(queries)
+    assert len(index.pivots) > 50 and index.visits(limited, True).count() <= 40 * 25
+    want = {}
+    for i in range(40):
+        d = np.sqrt(((x - x[i]) ** 2).sum(1))
+        want[i] = sorted(zip(d.tolist(), range(600)))[:3]
+    got = {}
+    for r in top.collect():
+        got.setdefault(r["_qid"], []).append((r["dist"], r["_rid"]))
+    assert {i: [j for _, j in sorted(v)] for i, v in got.items()} == {i: [j for _, j in v] for i, v in want.items()}
+    found = knn(rows.where("rid < 40").withColumnRenamed("rid", "qid"), rows, 3)
+    assert {(r["qid"], r["rid"]) for r in found.collect()} == {(i, j) for i, v in want.items() for _, j in v}
