@@ -4,10 +4,12 @@ Texts are read as the bytes of their UTF-8, nothing folded, so the model has as
 many n-grams as the corpus has and grows with it; one model serves all languages,
 as its contexts tell which one a text is in, also where it quotes another.
 
-An n-gram counts as often as different bytes come before it (at the highest order
-too), so that a passage copied many times counts once. A task keeps, for each
-n-gram that it has read, which bytes came before as 256 bits; Spark puts the bits
-of all tasks together, and the lower orders, discounts and back-off weights follow
+At the highest order an n-gram counts as often as it occurs (``raw``), at the lower
+ones as often as different bytes come before it. A second form counts these at the
+highest order too, so that a passage copied many times counts once; both forms have
+the same n-grams, so one look-up gives both. A task keeps, for each n-gram that it
+has read, how often it did and which bytes came before as 256 bits; Spark puts what
+all tasks have together, and the lower orders, discounts and back-off weights follow
 by grouping and joining on the n-grams. The result is written to the shared
 folder as slices of one array sorted by hash; a task reads them slice by slice,
 so neither the driver nor a task ever holds more than a slice of a large model.
@@ -28,7 +30,7 @@ from quarry.llm.common import same_bytes, utf8, written
 from quarry.operators.small import collect_small
 
 ORDER = 5                          # bytes of an n-gram; with the byte before it, 7 at most
-SLICE_ROWS = 1 << 22               # entries of a slice, 12 bytes each and up to 8 for where they begin
+SLICE_ROWS = 1 << 22               # entries of a slice, 12 bytes each (16 with both forms) and up to 8 for where they begin
 _STEP, _CHUNK = 1 << 20, 1 << 20   # bytes of a piece of a long text, and worked on at once
 _KEPT_KEYS = 1 << 22               # n-grams that a task holds before it passes them on
 _HELD_TEXT = 1 << 26               # bytes of text that a task goes over once for each slice
@@ -62,8 +64,17 @@ def _chunks(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.nda
         yield flush(numbers, pieces)
 
 
-def _masks(keys: np.ndarray) -> list[pa.Array]:
-    """(gram, four masks) of sorted keys that hold the byte before in the lowest place."""
+def _summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct keys and what their counts add up to."""
+    k, n = np.concatenate(keys), np.concatenate(counts)
+    order = np.argsort(k, kind="stable")  # of runs that are sorted already
+    k = k[order]
+    begin = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
+    return k[begin], np.add.reduceat(n[order], begin)
+
+
+def _masks(keys: np.ndarray, counts: np.ndarray) -> list[pa.Array]:
+    """(gram, four masks, how often) of sorted keys that hold the byte before in the lowest place."""
     gram, byte = keys >> np.uint64(8), keys & np.uint64(255)
     first = np.concatenate([[True], gram[1:] != gram[:-1]])
     begin = np.flatnonzero(first)
@@ -71,15 +82,16 @@ def _masks(keys: np.ndarray) -> list[pa.Array]:
     out = [pa.array(gram[begin].view(np.int64))]
     for word in range(4):
         out.append(pa.array(np.bitwise_or.reduceat(np.where(byte >> np.uint64(6) == word, bit, np.uint64(0)), begin).view(np.int64)))
-    return out
+    return [*out, pa.array(np.add.reduceat(counts, begin))]
 
 
-def count_ngrams(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """(gram long, n long): the n-grams of all texts and how many different bytes come before each."""
-    names = ["gram", "m0", "m1", "m2", "m3"]
+def count_ngrams(docs: DataFrame, text_col: str = "text", raw: bool = False) -> DataFrame:
+    """(gram long, n long): the n-grams of all texts and how many different bytes come before
+    each; with ``raw`` also (raw long) how often each occurs."""
+    names = ["gram", "m0", "m1", "m2", "m3", "raw"]
 
     def run(batches):
-        kept, size = [], 0
+        kept, counts, size = [], [], 0
         for batch in batches:
             for grams, _, begins, ends in _chunks(same_bytes(batch.column(0))):
                 inside = np.ones(len(grams), bool)
@@ -87,21 +99,23 @@ def count_ngrams(docs: DataFrame, text_col: str = "text") -> DataFrame:
                 inside[pads[pads < len(grams)]] = False
                 # n-grams of a piece begin one byte before its context, so they follow from the place after it
                 own = grams[inside]
-                keys = np.unique((own & _SUFFIX) << np.uint64(8) | own >> np.uint64(8 * ORDER))
+                keys, often = np.unique((own & _SUFFIX) << np.uint64(8) | own >> np.uint64(8 * ORDER), return_counts=True)
                 kept.append(keys)
+                counts.append(often)
                 size += len(keys)
                 if size >= _KEPT_KEYS:
-                    kept = [np.unique(np.concatenate(kept))]
-                    size = len(kept[0])
+                    keys, often = _summed(kept, counts)
+                    kept, counts, size = [keys], [often], len(keys)
                     if size >= _KEPT_KEYS // 2:
-                        yield pa.RecordBatch.from_arrays(_masks(kept[0]), names=names)
-                        kept, size = [], 0
+                        yield pa.RecordBatch.from_arrays(_masks(keys, often), names=names)
+                        kept, counts, size = [], [], 0
         if size:
-            yield pa.RecordBatch.from_arrays(_masks(np.unique(np.concatenate(kept))), names=names)
+            yield pa.RecordBatch.from_arrays(_masks(*_summed(kept, counts)), names=names)
 
     rows = docs.select(utf8(text_col).alias("text"))
-    seen = rows.mapInArrow(run, ", ".join(f"{c} long" for c in names)).groupBy("gram").agg(*[F.bit_or(m).alias(m) for m in names[1:]])
-    return seen.select("gram", sum((F.bit_count(m) for m in names[2:]), F.bit_count("m0")).cast("long").alias("n"))
+    seen = rows.mapInArrow(run, ", ".join(f"{c} long" for c in names)).groupBy("gram").agg(
+        *[F.bit_or(m).alias(m) for m in names[1:5]], *([F.sum("raw").alias("raw")] if raw else []))
+    return seen.select("gram", sum((F.bit_count(m) for m in names[2:5]), F.bit_count("m0")).cast("long").alias("n"), *(["raw"] if raw else []))
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -129,31 +143,37 @@ def discounts(n1: int, n2: int, n3: int, n4: int) -> list[float]:
 
 def estimate(counts: DataFrame) -> DataFrame:
     """(order, gram, value): the log probability of each n-gram of each order and,
-    with ``_CONTEXT`` added to the order, the log back-off weight of each context."""
+    with ``_CONTEXT`` added to the order, the log back-off weight of each context;
+    where the counts have ``raw``, also (raw) what these are by it."""
+    forms = [c for c in ("n", "raw") if c in counts.columns]
     tables = {ORDER: counts}
     for order in range(ORDER - 1, 0, -1):
         tables[order] = tables[order + 1].groupBy(F.col("gram").bitwiseAND((1 << 8 * order) - 1).alias("gram")).agg(F.count(F.lit(1)).alias("n"))
     every = None
-    for order, t in tables.items():
-        t = t.select(F.lit(order).alias("order"), "gram", "n")
+    for order, t in tables.items():  # raw: of the highest order; below it both forms are one
+        t = t.select(F.lit(order).alias("order"), "gram", "n", *[F.col(c if order == ORDER else "n").alias(c) for c in forms[1:]])
         every = t if every is None else every.unionByName(t)
     every = written(every, "ngram-counts")
-    few = {(r["order"], r["n"]): r["count"] for r in every.where("n <= 4").groupBy("order", "n").count().collect()}
+    few = {c: {(r["order"], r[c]): r["count"] for r in every.where(f"{c} <= 4").groupBy("order", c).count().collect()} for c in forms}
     out, lower = None, None
     for order in range(1, ORDER + 1):
-        d = [F.lit(x) for x in discounts(*(few.get((order, k), 0) for k in (1, 2, 3, 4)))]
+        own = forms if order == ORDER else forms[:1]
+        d = {c: [F.lit(x) for x in discounts(*(few[c].get((order, k), 0) for k in (1, 2, 3, 4)))] for c in own}
         t = (every.where(F.col("order") == order)
-             .select("gram", "n", F.when(F.col("n") == 1, d[0]).when(F.col("n") == 2, d[1]).otherwise(d[2]).alias("d"),
+             .select("gram", *own, *[F.when(F.col(c) == 1, d[c][0]).when(F.col(c) == 2, d[c][1]).otherwise(d[c][2]).alias(f"d_{c}") for c in own],
                      F.shiftright("gram", 8).alias("context"), F.col("gram").bitwiseAND((1 << 8 * (order - 1)) - 1).alias("shorter")))
-        total = t.groupBy("context").agg(F.sum("n").alias("total"), (F.sum("d") / F.sum("n")).alias("weight"))
+        total = t.groupBy("context").agg(*[x for c in own for x in (F.sum(c).alias(f"total_{c}"), (F.sum(f"d_{c}") / F.sum(c)).alias(f"weight_{c}"))])
         t = t.join(total, "context")
         t = t.withColumn("below", F.lit(1 / 256)) if lower is None else t.join(lower, "shorter")
-        t = t.select("gram", "context", "weight", ((F.col("n") - F.col("d")) / F.col("total") + F.col("weight") * F.col("below")).alias("p"))
+        t = t.select("gram", "context", *[f"weight_{c}" for c in own], *[
+            ((F.col(c) - F.col(f"d_{c}")) / F.col(f"total_{c}") + F.col(f"weight_{c}") * F.col("below")).alias(f"p_{c}") for c in own])
         t = written(t, "ngram-order")
-        lower = t.select(F.col("gram").alias("shorter"), F.col("p").alias("below"))
-        for part in (t.select(F.lit(order).alias("order"), "gram", F.log("p").cast("float").alias("value")),
-                     t.groupBy("context").agg(F.log(F.max("weight")).cast("float").alias("value"))
-                     .select(F.lit(order + _CONTEXT).alias("order"), F.col("context").alias("gram"), "value")):
+        lower = t.select(F.col("gram").alias("shorter"), F.col("p_n").alias("below"))
+        names = {"n": "value", "raw": "raw"}
+        ps = [F.log(f"p_{c if c in own else 'n'}").cast("float").alias(names[c]) for c in forms]
+        weights = [F.log(F.max(f"weight_{c if c in own else 'n'}")).cast("float").alias(names[c]) for c in forms]
+        for part in (t.select(F.lit(order).alias("order"), "gram", *ps),
+                     t.groupBy("context").agg(*weights).select(F.lit(order + _CONTEXT).alias("order"), F.col("context").alias("gram"), *[names[c] for c in forms])):
             out = part if out is None else out.unionByName(part)
     return out
 
@@ -191,15 +211,17 @@ def _read(path: str) -> Slice:
         _HELD.clear()
         store, base = fs.FileSystem.from_uri(path) if ":" in path else (fs.LocalFileSystem(), path)
         table = pq.read_table(base, filesystem=store)
-        _HELD[path] = Slice(table.column("hash").to_numpy(), table.column("value").to_numpy())
+        values = [table.column(c).to_numpy() for c in table.column_names if c != "hash"]
+        _HELD[path] = Slice(table.column("hash").to_numpy(), values[0] if len(values) == 1 else np.stack(values, axis=1))
     return _HELD[path]
 
 
 class NgramModel:
-    """The slices' paths; what a task needs to score texts."""
+    """The slices' paths; what a task needs to score texts. With both ``forms``
+    every probability and score is a pair: by the different bytes, by raw counts."""
 
-    def __init__(self, paths: list[str]) -> None:
-        self.paths = paths
+    def __init__(self, paths: list[str], forms: int = 1) -> None:
+        self.paths, self.shape = paths, () if forms == 1 else (forms,)
 
     def _values(self, order: int, gram: np.ndarray, total: np.ndarray, where) -> np.ndarray:
         """Add what the model has for the n-grams to ``total`` by ``where``; says which it has."""
@@ -214,13 +236,13 @@ class NgramModel:
                 mine = np.clip(mine, np.uint64(part.low), np.uint64(part.high))
             at, seen = part.find(mine)
             seen &= part.hashes[at] == want[some]
-            where(total, some, np.where(seen, part.values[at], 0))
+            where(total, some, np.where(seen.reshape(-1, *(1 for _ in self.shape)), part.values[at], 0))
             out[some] |= seen
         return out
 
     def log_p(self, grams: np.ndarray) -> np.ndarray:
         """Log probability of the last byte of each n-gram of the highest order after the others."""
-        out, left = np.zeros(len(grams)), np.arange(len(grams))
+        out, left = np.zeros((len(grams), *self.shape)), np.arange(len(grams))
         for order in range(ORDER, 0, -1):
             own = grams[left] & np.uint64((1 << 8 * order) - 1)
 
@@ -237,9 +259,9 @@ class NgramModel:
 
     def score(self, texts: list[bytes]) -> np.ndarray:
         """Of each text the negative log probability (0 for an empty text)."""
-        out = np.zeros(len(texts))
+        out = np.zeros((len(texts), *self.shape))
         for grams, numbers, begins, ends in _chunks(texts):
-            logs = np.concatenate([[0.0], np.cumsum(self.log_p(grams & _SUFFIX))])
+            logs = np.concatenate([np.zeros((1, *self.shape)), np.cumsum(self.log_p(grams & _SUFFIX), axis=0)])
             np.add.at(out, numbers, logs[begins] - logs[ends])
         return out
 
@@ -261,20 +283,20 @@ def held(batches: Iterator[pa.RecordBatch], column: int, slices: int) -> Iterato
         yield from pa.Table.from_batches(some).combine_chunks().to_batches()
 
 
-def fit(docs: DataFrame, text_col: str = "text") -> NgramModel:
-    """Count, estimate, and write the slices."""
-    counts = written(count_ngrams(docs, text_col), "ngram-types")  # the texts are read once
+def fit(docs: DataFrame, text_col: str = "text", raw: bool = False) -> NgramModel:
+    """Count, estimate, and write the slices; with ``raw`` in both forms."""
+    counts = written(count_ngrams(docs, text_col, raw), "ngram-types")  # the texts are read once
     entries = written(estimate(counts), "ngram-entries")
-    slices = max(1, -(-entries.count() // SLICE_ROWS))
+    slices, names = max(1, -(-entries.count() // SLICE_ROWS)), ["value", "raw"] if raw else ["value"]
 
     def hashed(batches):
         for batch in batches:
             h = _hash(batch.column(0).to_numpy(), batch.column(1).to_numpy()).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(h), batch.column(2)], names=["hash", "value"])
+            yield pa.RecordBatch.from_arrays([pa.array(h), *batch.columns[2:]], names=["hash", *names])
 
-    rows = entries.select("order", "gram", "value").mapInArrow(hashed, "hash long, value float")
+    rows = entries.select("order", "gram", *names).mapInArrow(hashed, ", ".join(["hash long", *(f"{c} float" for c in names)]))
     model = written(rows.repartitionByRange(slices, "hash").sortWithinPartitions("hash"), "ngram-model")
-    return NgramModel(sorted(model.inputFiles()))
+    return NgramModel(sorted(model.inputFiles()), len(names))
 
 
 def language_key(known: list[str], lang_col: str = "lang") -> Column:

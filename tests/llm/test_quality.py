@@ -85,6 +85,40 @@ def test_model_equals_plain_version(spark, monkeypatch, slice_rows):
     assert np.allclose(model.score(data), want, rtol=1e-5)
 
 
+@pytest.mark.parametrize("small", [False, True])
+def test_highest_order_counts_occurrences(spark, monkeypatch, small):
+    if small:
+        monkeypatch.setattr(ngram, "SLICE_ROWS", 40)
+        monkeypatch.setattr(ngram, "_KEPT_KEYS", 20)
+    texts = TEXTS + ["the mill " * 9] * 3  # copies count as often as they occur
+    docs = documents(spark, [(i, t, "en", "a") for i, t in enumerate(texts)] + [(19, None, "en", "a")])
+    data, raw = [t.encode() for t in texts], {}
+    for s in (b" " * 4 + t for t in data):
+        for i in range(4, len(s)):
+            raw[tuple(s[i - 4:i + 1])] = raw.get(tuple(s[i - 4:i + 1]), 0) + 1
+    types, seen = plain_model(data)
+    d = [0, *ngram.discounts(*(sum(v == k for v in raw.values()) for k in (1, 2, 3, 4)))]
+
+    def p(g):
+        after = {h: c for h, c in raw.items() if h[:-1] == g[:-1]}
+        if not after:
+            return types(g[1:])
+        total, c = sum(after.values()), raw.get(g, 0)
+        return (c - d[min(c, 3)]) / total + sum(d[min(c, 3)] for c in after.values()) / total * types(g[1:])
+
+    rows = {r["gram"]: r["raw"] for r in ngram.count_ngrams(docs, raw=True).collect()}
+    assert rows == {int.from_bytes(bytes(g), "big"): c for g, c in raw.items()} and set(seen) == set(raw)
+    model = ngram.fit(docs, raw=True)
+    grams = [*raw, (0,) * 5, tuple(b" the!"), tuple(b"millx")]
+    got = np.exp(model.log_p(np.array([int.from_bytes(bytes(g), "big") for g in grams], np.uint64)))
+    assert np.allclose(got[:, 0], [types(g) for g in grams], rtol=1e-5) and np.allclose(got[:, 1], [p(g) for g in grams], rtol=1e-5)
+    want = [-sum(math.log(p(tuple(s[i - 4:i + 1]))) for i in range(4, len(s))) for s in (b" " * 4 + t for t in data)]
+    assert np.allclose(model.score(data)[:, 1], want, rtol=1e-5)
+    # the perplexity of a text is by raw counts
+    got = {r["doc_id"]: r["perplexity"] for r in quality_rules.quality_rules(docs).collect()}
+    assert np.allclose([got[i] for i in range(len(data))], np.exp(want / np.maximum([len(t.split()) for t in data], 1)), rtol=1e-4)
+
+
 def test_copies_count_once(spark):
     one, many = (ngram.count_ngrams(documents(spark, [(i, t, "en", "a") for i, t in enumerate(x)])) for x in (TEXTS, TEXTS * 30))
     assert sorted(map(tuple, one.collect())) == sorted(map(tuple, many.repartition(3).collect()))
