@@ -20,6 +20,8 @@ from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarry.operators import trees as TR
+from quarry.session import cut_lineage
 
 
 def with_vector(df: DataFrame, arr: str = "x", out: str = "features") -> DataFrame:
@@ -86,25 +88,31 @@ def stacking(train: DataFrame, test: DataFrame, id_col: str, k: int = 5, label:
              meta_trees: int = 50) -> DataFrame:
     """Base logistic + tree; the meta forest learns from out-of-fold class
     probabilities (fold = seeded hash mod k); test rows use base models
-    refitted on all training rows."""
+    refitted on all training rows. The trees of all folds and of all rows grow
+    together: what a tree leaves out is a draw of 0."""
     from quarry.operators.prep import kfold
-    tr = kfold(train, id_col, k, seed)
-
-    def base_probs(fit_df, apply_df):
-        lr = logistic(fit_df, label=label)
-        dt = tree(fit_df, label=label, seed=seed)
-        a = lr.transform(apply_df).select(id_col, vector_to_array("probability").alias("p_lr"))
-        b = dt.transform(apply_df).select(id_col, vector_to_array("probability").alias("p_dt"))
-        return a.join(b, id_col)
+    tr = cut_lineage(kfold(train, id_col, k, seed).select(id_col, label, "features", "fold"))
+    arrays = lambda df: df.withColumn("_x", vector_to_array("features"))
+    draws = F.transform(F.sequence(F.lit(0), F.lit(k)), lambda t: (t != F.col("fold")).cast("int"))
+    dt = TR.fit_forest(arrays(tr), id_col, k + 1, label, "_x", seed=seed, per_split=1 << 30, draws=draws, early=True)
+
+    def by_logistic(fit_df, apply_df):
+        rows = fit_df.select(label, "features").persist()
+        try:
+            return logistic(rows, label=label).transform(apply_df).select(id_col, vector_to_array("probability").alias("p_lr"))
+        finally:
+            rows.unpersist()
 
     oof = None
     for f in range(k):
-        part = base_probs(tr.filter(F.col("fold") != f), tr.filter(F.col("fold") == f))
+        part = by_logistic(tr.filter(F.col("fold") != f), tr.filter(F.col("fold") == f))
         oof = part if oof is None else oof.unionByName(part)
-    meta_train = with_vector(tr.select(id_col, label).join(oof, id_col).withColumn("z", F.concat("p_lr", "p_dt")), "z")
-    meta = forest(meta_train, meta_trees, label, seed)
-    tz = test.select(id_col, label).join(base_probs(train, test), id_col).withColumn("z", F.concat("p_lr", "p_dt"))
-    return predict(meta, with_vector(tz, "z"), id_col, label)
+    oof = oof.join(dt.out_of_bag_shares().select(F.col("id").alias(id_col), F.col("shares").alias("p_dt")), id_col)
+    meta_train = cut_lineage(tr.select(id_col, label).join(oof, id_col).select(id_col, label, F.concat("p_lr", "p_dt").alias("z")))
+    meta = TR.fit_forest(meta_train, id_col, meta_trees, label, "z", seed=seed, early=True)
+    p_dt = dt.class_shares(arrays(test), id_col, label, "_x", [k]).withColumnRenamed("shares", "p_dt")
+    tz = test.select(id_col, label).join(by_logistic(tr, test).join(p_dt, id_col), id_col)
+    return meta.predict(tz.select(id_col, label, F.concat("p_lr", "p_dt").alias("z")), id_col, label, "z")
 
 
 def pipeline_regression(train: DataFrame, cols: Sequence[str], label: str):

@@ -9,7 +9,9 @@ much for a hundred trees as its sums do, and nobody holds the rows.
 * Where a level of a forest has more open nodes than the driver should know of
   (``MOST_OPEN``), those with few rows are handed over: their rows are dealt to
   bounded groups, each of which grows its nodes to the end, and what they grew
-  stays a table that votes are joined with.
+  stays a table that votes are joined with. ``early`` hands over every node as soon
+  as it has few rows: a row is then dealt once for each tree, where a level's sums
+  of small nodes are about as many as the rows, so the work grows as the rows do.
 * A forest bags by Poisson draws, kept with the row as weights, so that the rows
   that a tree has not seen are known and the out-of-bag votes are those of the
   very trees that predict.
@@ -36,6 +38,7 @@ PART_CELLS = 1 << 21    # sums that one group holds
 _KEPT_CELLS = 1 << 21   # and a task, before it adds up what it has
 MOST_OPEN = 1 << 15     # nodes of a level that come to the driver, before small ones are handed over
 GROUP_ROWS = 1 << 14    # rows of a node that may be handed over, and of the nodes grown in one group
+GROUP_CELLS = 1 << 18   # and these times the features of a split, where they are handed over early
 _ACCURACY = 10_000      # of the quantiles
 ROUNDS_KEPT = 5         # of boosting, before the margins are written
 
@@ -289,14 +292,14 @@ class Forest(Ensemble):
     deep: DataFrame  # what was grown below the nodes that were handed over
     part = np.zeros(0, np.int64)  # of each node the group that it was handed to, or -1; empty if none was
 
-    def hand_over(self, nodes: np.ndarray, levels: np.ndarray, slots: int, bins: int, seed: int) -> None:
-        """Grow these nodes to the end, some of them in each group of ``GROUP_ROWS`` rows."""
+    def hand_over(self, nodes: np.ndarray, levels: np.ndarray, slots: int, bins: int, seed: int, most: int) -> None:
+        """Grow these nodes to the end, some of them in each group of ``most`` rows."""
         trees, k = self.trees, len(self.classes)
         weight = trees.value[nodes].sum(axis=1)
-        part, filled, left = np.zeros(len(nodes), np.int64), 0, GROUP_ROWS
+        part, filled, left = np.zeros(len(nodes), np.int64), 0, most
         for i, v in enumerate(weight.tolist()):
-            if v > left and left < GROUP_ROWS:
-                filled, left = filled + 1, GROUP_ROWS
+            if v > left and left < most:
+                filled, left = filled + 1, most
             part[i], left = filled, left - v
         self.part = np.full(len(trees.feature), -1)
         self.part[nodes] = part
@@ -329,10 +332,20 @@ class Forest(Ensemble):
         return np.eye(len(self.classes))[value.argmax(axis=1)] if self.hard else value / np.maximum(value.sum(axis=1, keepdims=True), 1e-300)
 
     def _winners(self, rows: DataFrame) -> DataFrame:
-        """(rid, cls): what the trees vote for each of ``rows`` (rid, bins, draws: null
+        """(rid, cls): the class with the most votes, see :meth:`_tally`."""
+        return self._tally(rows).groupBy("rid").agg(F.max_by("cls", F.struct("v", -F.col("cls"))).alias("cls"))
+
+    def _shares_of(self, rows: DataFrame) -> DataFrame:
+        """(rid, shares): what part of its votes each class has, see :meth:`_tally`."""
+        votes = self._tally(rows).groupBy("rid").agg(F.map_from_entries(F.collect_list(F.struct("cls", "v"))).alias("m"), F.sum("v").alias("all"))
+        own = [F.coalesce(F.element_at("m", F.lit(c)), F.lit(0.0)) / F.col("all") for c in range(len(self.classes))]
+        return votes.select("rid", F.array(*own).alias("shares"))
+
+    def _tally(self, rows: DataFrame) -> DataFrame:
+        """(rid, cls, v): what the trees vote for each of ``rows`` (rid, bins, draws: null
         for the votes of all trees, else of those that drew 0), joined with what
         was grown in the groups."""
-        k = len(self.classes)
+        k, part = len(self.classes), self.part if len(self.part) else np.full(len(self.trees.feature), -1)
 
         def leaves(batch):
             b = _bytes(batch.column(1))
@@ -349,16 +362,16 @@ class Forest(Ensemble):
             for batch in batches:
                 votes = np.zeros((batch.num_rows, k))
                 for seen, node in leaves(batch):
-                    here = self.part[node] < 0
+                    here = part[node] < 0
                     votes[seen[here]] += self._shares(self.trees.value[node[here]])
                 yield pa.RecordBatch.from_arrays(long_form(batch.column(0).to_numpy(), votes), names=["rid", "cls", "v"])
 
         def visits(batches):
             for batch in batches:
                 for seen, node in leaves(batch):
-                    there = self.part[node] >= 0
+                    there = part[node] >= 0
                     seen, node = pa.array(seen[there]), node[there]
-                    yield pa.RecordBatch.from_arrays([pa.array(self.part[node].astype(np.int32)), pa.array(node), batch.column(0).take(seen),
+                    yield pa.RecordBatch.from_arrays([pa.array(part[node].astype(np.int32)), pa.array(node), batch.column(0).take(seen),
                                                       batch.column(1).take(seen)], names=["part", "node", "rid", "bins"])
 
         def voted(key: tuple, go: pa.Table, rest: pa.Table) -> pa.Table:
@@ -377,20 +390,19 @@ class Forest(Ensemble):
                 np.add.at(votes, row, self._shares(value[at]))
             return pa.Table.from_arrays(long_form(rid, votes), names=["rid", "cls", "v"])
 
-        rows = rows.select("rid", "bins", "draws")
+        rows, form = rows.select("rid", "bins", "draws"), "rid long, cls int, v double"
+        each = rows.mapInArrow(shallow, form)
+        if not len(self.part):
+            return each.groupBy("rid", "cls").agg(F.round(F.sum("v"), 9).alias("v"))
         go = rows.mapInArrow(visits, "part int, node long, rid long, bins binary")
         tiles = scratch_table(go.groupBy("part").agg(F.ceil(F.count("*") / (4 * GROUP_ROWS)).cast("int").alias("tiles")), "forest-tiles")
         go = go.join(tiles, "part").withColumn("tile", F.pmod(F.xxhash64("rid"), F.col("tiles")).cast("int")).drop("tiles")
         rest = self.deep.join(tiles, "part").withColumn("tile", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).drop("tiles")
-        form = "rid long, cls int, v double"
-        each = rows.mapInArrow(shallow, form).unionByName(
-            go.groupBy("part", "tile").cogroup(rest.groupBy("part", "tile")).applyInArrow(voted, form))
-        total = each.groupBy("rid", "cls").agg(F.round(F.sum("v"), 9).alias("v"))  # however the sums were added up
-        return total.groupBy("rid").agg(F.max_by("cls", F.struct("v", -F.col("cls"))).alias("cls"))
+        each = each.unionByName(go.groupBy("part", "tile").cogroup(rest.groupBy("part", "tile")).applyInArrow(voted, form))
+        return each.groupBy("rid", "cls").agg(F.round(F.sum("v"), 9).alias("v"))  # however the sums were added up
 
-    def predict(self, df: DataFrame, id_col: str, label_col: str = "label", features: str = "x") -> DataFrame:
-        if not len(self.part):
-            return super().predict(df, id_col, label_col, features)
+    def _asked(self, df: DataFrame, id_col: str, label_col: str, features: str) -> DataFrame:
+        """(id, label, bins, rid) of the rows that have a vector, written once."""
         rows = df.where(F.col(features).isNotNull()).select(F.col(id_col), F.col(label_col), F.col(features).cast("array<double>").alias("_x"))
 
         def run(batches):
@@ -400,7 +412,23 @@ class Forest(Ensemble):
                                                  names=[id_col, label_col, "bins"])
 
         schema = T.StructType([*rows.schema.fields[:2], T.StructField("bins", T.BinaryType())])
-        rows = scratch_table(rows.mapInArrow(run, schema).withColumn("rid", F.monotonically_increasing_id()), "forest-asked")
+        return scratch_table(rows.mapInArrow(run, schema).withColumn("rid", F.monotonically_increasing_id()), "forest-asked")
+
+    def class_shares(self, df: DataFrame, id_col: str, label_col: str = "label", features: str = "x", trees: list[int] | None = None) -> DataFrame:
+        """(id, shares): the probabilities of the classes by all trees, or by some of them."""
+        rows = self._asked(df, id_col, label_col, features)
+        asked = None if trees is None else bytearray(int(t not in trees) for t in range(len(self.trees.roots)))
+        return rows.join(self._shares_of(rows.withColumn("draws", F.lit(asked).cast("binary"))), "rid").select(id_col, "shares")
+
+    def out_of_bag_shares(self) -> DataFrame:
+        """(id, shares): of each training row that a tree hasn't seen, the probabilities by such trees."""
+        rows = scratch_table(self.rows.withColumn("rid", F.monotonically_increasing_id()), "forest-bag")
+        return rows.join(self._shares_of(rows), "rid").select("id", "shares")
+
+    def predict(self, df: DataFrame, id_col: str, label_col: str = "label", features: str = "x") -> DataFrame:
+        if not len(self.part):
+            return super().predict(df, id_col, label_col, features)
+        rows = self._asked(df, id_col, label_col, features)
         won = self._winners(rows.withColumn("draws", F.lit(None).cast("binary")))
         return rows.join(won, "rid").select(id_col, label_col, self._class("cls").alias("pred"))
 
@@ -439,14 +467,16 @@ class Forest(Ensemble):
 
 
 def fit_forest(df: DataFrame, id_col: str, n_trees: int = 100, label_col: str = "label", features: str = "x", max_depth: int = 30,
-               seed: int = 42, bins: int = BINS, per_split: int | None = None) -> Forest:
+               seed: int = 42, bins: int = BINS, per_split: int | None = None, draws: Column | None = None, early: bool = False) -> Forest:
     """A forest of ``n_trees`` on Poisson bootstrap bags (draws by a seeded hash
-    of the id), each split the best by Gini impurity among ``per_split`` random
-    features of the node (the root of their number), until nodes are pure."""
+    of the id; or as the array ``draws`` tells), each split the best by Gini impurity
+    among ``per_split`` random features of the node (the root of their number), until
+    nodes are pure."""
     classes = _classes(df, label_col)
     cuts = cut_points(df, features, bins)
-    draws = F.transform(F.sequence(F.lit(0), F.lit(n_trees - 1)),
-                        lambda b: poisson1_draw(hash_unit(seed, F.col(id_col), F.concat(F.lit("bag"), b.cast("string")))).cast("byte"))
+    if draws is None:
+        draws = F.transform(F.sequence(F.lit(0), F.lit(n_trees - 1)),
+                            lambda b: poisson1_draw(hash_unit(seed, F.col(id_col), F.concat(F.lit("bag"), b.cast("string")))).cast("byte"))
     packed = F.unhex(F.concat_ws("", F.transform(draws, lambda v: F.lpad(F.hex(v.cast("long")), 2, "0"))))
     rows = binned_rows(df, cuts, id_col, label_col, features, classes, {"draws": packed})
     d, k = len(cuts), len(classes)
@@ -457,6 +487,7 @@ def fit_forest(df: DataFrame, id_col: str, n_trees: int = 100, label_col: str =
         return out
     slots = min(d, per_split or max(1, round(d ** 0.5)))
     table, open_, handed = rows.select("y", "bins", "draws"), trees.roots.copy(), []
+    most = max(1, GROUP_CELLS // max(1, slots)) if early else GROUP_ROWS
     for depth in range(max_depth):
         if not len(open_):
             break
@@ -482,15 +513,20 @@ def fit_forest(df: DataFrame, id_col: str, n_trees: int = 100, label_col: str =
         feature = subset[found["node"][good], found["slot"][good]]
         new = trees.split(nodes, feature, found["cut"][good], found["left"][good], (found["total"] - found["left"])[good])
         open_ = new[(trees.value[new] > 0).sum(axis=1) > 1]  # the others are pure
-        if len(open_) > MOST_OPEN or handed:
-            small = trees.value[open_].sum(axis=1) <= GROUP_ROWS
+        if early or len(open_) > MOST_OPEN or handed:
+            small = trees.value[open_].sum(axis=1) <= most
             handed.append(np.stack([open_[small], np.full(small.sum(), max_depth - depth - 1)]))
             open_ = open_[~small]
-    if handed:
-        out.hand_over(*np.concatenate(handed, axis=1), slots, bins, seed)
+    if sum(h.shape[1] for h in handed):
+        out.hand_over(*np.concatenate(handed, axis=1), slots, bins, seed, most)
     return out
 
 
+def fit_tree(df: DataFrame, id_col: str, label_col: str = "label", features: str = "x", max_depth: int = 30, seed: int = 42) -> Forest:
+    """One tree on every row, each split the best among all features."""
+    return fit_forest(df, id_col, 1, label_col, features, max_depth, seed, per_split=1 << 30, draws=F.array(F.lit(1)), early=True)
+
+
 class Boosted(Ensemble):
     """One tree per class and round; tree r * classes + c adds to class c."""
 

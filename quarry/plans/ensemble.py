@@ -59,8 +59,8 @@ def q_mdl_svm(spark, sf):
 
 @register("mdl_tree")
 def q_mdl_tree(spark, sf):
-    tr, te = _xy(spark, sf)
-    return MD.predict(MD.tree(tr), te, "vec_id")
+    tr, te = _arrays(spark, sf)
+    return TR.fit_tree(tr, "vec_id", seed=SEED).predict(te, "vec_id")
 
 
 @register("mdl_random_forest")
@@ -91,15 +91,14 @@ def q_mdl_voting(spark, sf):
     """Logistic + tree + linear SVM (one against the rest), hard vote over
     all classes, with its accuracy."""
     tr, te = _xy(spark, sf)
+    u = TR.fit_tree(tr, "vec_id", seed=SEED).predict(te, "vec_id")
     tr = MD.fit_rows(tr)
     try:
-        models = [MD.logistic(tr), MD.tree(tr), MD.one_vs_rest(MD.svm_estimator(tr), tr)]
+        models = [MD.logistic(tr), MD.one_vs_rest(MD.svm_estimator(tr), tr)]
     finally:
         tr.unpersist()
-    u = None
     for m in models:
-        p = MD.predict(m, te, "vec_id")
-        u = p if u is None else u.unionByName(p)
+        u = u.unionByName(MD.predict(m, te, "vec_id"))
     voted = M.hard_vote(u.select("vec_id", "pred")).join(te.select("vec_id", F.col("label").cast("int").alias("label")), "vec_id")
     return _with_accuracy(voted)
 

@@ -210,3 +210,50 @@ def test_rest_of_a_tree_equals_plain_version():
             for side in (0, 1):
                 todo.append((trees.left[node] + side, rows & ((b[:, feature] > cut) == side), TR._mix(name[None] * np.uint64(2) + np.uint64(side))[0], left - 1))
     assert seen > 20
+
+
+def test_early_hand_over_is_one_whole_tree(spark, monkeypatch):
+    monkeypatch.setattr(TR, "GROUP_CELLS", 200)  # 40 rows of a node
+    x, y = _data(seed=5)
+    df = _frame(spark, x, y)
+    tree = TR.fit_tree(df, "id", max_depth=30)
+    assert len(tree.part) and len(tree.part) < 60 and tree.deep.count() > 1  # the driver has the first levels only
+    got = {r["id"]: r["pred"] for r in tree.predict(df, "id").collect()}
+    b = TR._binned(x, tree.cuts)
+    alone = {tuple(v) for v, n in zip(*np.unique(b, axis=0, return_counts=True)) if n == 1}
+    assert all(got[i] == y[i] for i in range(len(x)) if tuple(b[i]) in alone) and len(alone) > 200  # grown until nodes are pure
+    whole = TR.fit_forest(df, "id", 1, per_split=5, draws=F.array(F.lit(1)), max_depth=30)
+    assert not len(whole.part)
+    rng = np.random.default_rng(1)
+    other = _frame(spark, rng.normal(size=(300, 5)), np.zeros(300))
+    a, z = ({r["id"]: r["pred"] for r in t.predict(other, "id").collect()} for t in (tree, whole))
+    assert np.mean([a[i] == z[i] for i in a]) > 0.85  # but for splits that are equally good
+
+
+def test_trees_of_all_folds_grow_together(spark, monkeypatch):
+    from quarry.operators import models as MD
+    monkeypatch.setattr(TR, "GROUP_CELLS", 200)
+    x, y = _data(n=600, seed=6)
+    df = _frame(spark, x, y).withColumn("fold", (F.col("id") % 3).cast("int"))
+    draws = F.transform(F.sequence(F.lit(0), F.lit(3)), lambda t: (t != F.col("fold")).cast("int"))
+    forest = TR.fit_forest(df, "id", 4, per_split=5, draws=draws, early=True)
+    got = {r["id"]: r["shares"] for r in forest.out_of_bag_shares().collect()}
+    assert len(got) == 600 and all(abs(sum(v) - 1) < 1e-9 for v in got.values())
+    for fold in range(3):  # the tree of a fold is that of the other rows alone
+        own = TR.fit_forest(df.where(F.col("fold") != fold), "id", 1, per_split=5, draws=F.array(F.lit(1)), early=True)
+        own.cuts = forest.cuts
+        want = {r["id"]: r["shares"] for r in own.class_shares(df.where(F.col("fold") == fold), "id").collect()}
+        assert np.mean([np.argmax(got[i]) == np.argmax(v) for i, v in want.items()]) > 0.75
+    every = {r["id"]: r["shares"] for r in forest.class_shares(df, "id", trees=[3]).collect()}
+    assert np.mean([np.argmax(every[i]) == y[i] for i in every]) > 0.97
+    vectors = MD.with_vector(df.drop("fold"))
+    out = MD.stacking(vectors.where("id % 4 != 0"), vectors.where("id % 4 = 0"), "id", 3, meta_trees=10).collect()
+    assert len(out) == 150 and np.mean([r["pred"] == r["label"] for r in out]) > 0.75
+
+
+def test_tree_of_one_class_or_no_rows(spark):
+    x, y = _data(n=40)
+    assert {r["pred"] for r in TR.fit_tree(_frame(spark, x, y * 0 + 2), "id").predict(_frame(spark, x, y), "id").collect()} == {2}
+    assert TR.fit_tree(_frame(spark, x, y).limit(0), "id").predict(_frame(spark, x, y), "id").collect() == []
+    forest = TR.fit_forest(_frame(spark, x, y * 0), "id", 2, draws=F.array((F.col("id") % 2).cast("int"), F.lit(1)), early=True)
+    assert [(r["id"], r["shares"]) for r in forest.out_of_bag_shares().orderBy("id").collect()] == [(i, [1.0]) for i in range(0, 40, 2)]
