@@ -23,10 +23,14 @@ from quarry.functions import text as TX
 from quarry.functions.hashing import hash_unit
 from quarry.operators.ordering import with_global_index
 from quarry.operators.small import local_frame
-from quarry.session import cut_lineage, scratch_table
+from quarry.session import cut_lineage, drop_scratch, scratch_table
 
 SLICE_TOKENS, HELD_SLICES = 1 << 20, 4   # of a vocabulary: tokens of a file, and files that a worker keeps
 
+_COUNTED_TOKENS = 1 << 20  # whose pairs are counted at once
+_WHOLE_PAIRS = 1 << 20     # pairs that a task holds before it adds up what it has
+_FIRST_MERGED = 0x110000   # symbols below are characters
+
 
 def token_counts(df: DataFrame, tokens: Column) -> DataFrame:
     """(token, n) over all rows — a partial+final aggregation."""
@@ -145,13 +149,39 @@ def bigrams(tokens: Column) -> Column:
 
 
 def pair_counts(df: DataFrame, key: str, tokens: Column) -> DataFrame:
-    """(key, a, b, n): adjacent pairs of every row, counted per row and written
-    once; a row without a pair has one line with b (and, without tokens, a)
-    null, so that no row and no lone token is lost."""
-    t = df.select(key, tokens.alias("_t"))
-    lone = F.array(F.struct(F.get("_t", F.lit(0)).alias("a"), F.lit(None).cast("string").alias("b")))
-    g = t.select(key, F.explode(F.when(F.size("_t") >= 2, bigrams(F.col("_t"))).otherwise(lone)).alias("g"))
-    return cut_lineage(g.groupBy(key, "g.a", "g.b").agg(F.count("*").alias("n")))
+    """(key, a, b, n): adjacent pairs of every row, counted per row within its batch
+    and written once, without a shuffle (rows with equal keys have lines of their
+    own); a row without a pair has one line with b (and, without tokens, a) null, so
+    that no row and no lone token is lost."""
+    t = df.select(key, F.coalesce(tokens, F.array().cast("array<string>")).alias("_t"))
+    schema = T.StructType([t.schema[key], T.StructField("a", T.StringType()), T.StructField("b", T.StringType()), T.StructField("n", T.LongType())])
+
+    def counted(keys, tokens, lens):
+        coded = tokens.dictionary_encode()
+        words, v = pa.concat_arrays([coded.dictionary, pa.nulls(1, coded.dictionary.type)]), len(coded.dictionary) + 1
+        codes = coded.indices.fill_null(v - 1).to_numpy(zero_copy_only=False).astype(np.int64)
+        row = np.repeat(np.arange(len(lens)), lens)
+        pairs, n = np.unique(((row[:-1] * v + codes[:-1]) * v + codes[1:])[row[1:] == row[:-1]], return_counts=True)
+        lone, end = np.flatnonzero(lens < 2), np.cumsum(lens)
+        first = np.where(lens[lone] == 1, codes[np.minimum(end[lone] - 1, len(codes) - 1)] if len(codes) else v - 1, v - 1)
+        at = np.concatenate([pairs // (v * v), lone])
+        return pa.RecordBatch.from_arrays([keys.take(pa.array(at)), words.take(pa.array(np.concatenate([pairs // v % v, first]))),
+                                           words.take(pa.array(np.concatenate([pairs % v, np.full(len(lone), v - 1)]))),
+                                           pa.array(np.concatenate([n, np.ones(len(lone), np.int64)]))], names=schema.names)
+
+    def run(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            arrays = batch.column(1)
+            offsets, flat = arrays.offsets.to_numpy() - arrays.offsets[0].as_py(), arrays.flatten()
+            begin = 0
+            while begin < batch.num_rows:  # some rows at a time, of _COUNTED_TOKENS if not of one row
+                end = max(begin + 1, int(np.searchsorted(offsets, offsets[begin] + _COUNTED_TOKENS, side="right")) - 1)
+                yield counted(batch.column(0)[begin:end], flat[int(offsets[begin]):int(offsets[end])], np.diff(offsets[begin:end + 1]))
+                begin = end
+
+    return scratch_table(t.mapInArrow(run, schema), "pairs")
 
 
 def bigram_model(pairs: DataFrame) -> DataFrame:
@@ -173,55 +203,130 @@ def bigram_loglik(pairs: DataFrame, key: str, model: DataFrame) -> DataFrame:
     return j.groupBy(key).agg(F.sum(n).alias("n_bigrams"), F.sum(F.col("n") * F.log("p")).alias("loglik"))
 
 
+class _Symbols:
+    """Numbers of symbols: the code point of a character, and from ``_FIRST_MERGED``
+    on those that merges made; a text has one number, however it was merged."""
+
+    def __init__(self) -> None:
+        self.made: list[str] = []
+
+    def number(self, text: str) -> int:
+        if len(text) == 1:
+            return ord(text)
+        if text not in self.made:
+            self.made.append(text)
+        return _FIRST_MERGED + self.made.index(text)
+
+    def text(self, number: int) -> str:
+        return chr(number) if number < _FIRST_MERGED else self.made[number - _FIRST_MERGED]
+
+    def steps(self, merges: Sequence[tuple]) -> list[tuple[int, int, int]]:
+        return [(self.number(a), self.number(b), self.number(a + b)) for a, b, *_ in merges]
+
+
+def _split_words(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The code points of all words, and of each symbol the word that it is in."""
+    return np.frombuffer("".join(words).encode("utf-32-le"), np.int32), np.repeat(np.arange(len(words), dtype=np.int32), [len(w) for w in words])
+
+
+def _merged(sym: np.ndarray, word: np.ndarray, steps: Sequence[tuple[int, int, int]]) -> tuple[np.ndarray, np.ndarray]:
+    """Left-to-right merges of adjacent symbols of a word, one step after another."""
+    for a, b, ab in steps:
+        at = np.flatnonzero((sym[:-1] == a) & (sym[1:] == b) & (word[:-1] == word[1:]))
+        if not len(at):
+            continue
+        if a == b:  # of a run of matches every second is taken
+            begin = np.concatenate([[True], np.diff(at) > 1])
+            at = at[(at - at[begin][np.cumsum(begin) - 1]) % 2 == 0]
+        sym = sym.copy()
+        sym[at] = ab
+        keep = np.ones(len(sym), bool)
+        keep[at + 1] = False
+        sym, word = sym[keep], word[keep]
+    return sym, word
+
+
 def bpe_learn(word_counts: DataFrame, n_merges: int, word: str = "word", count: str = "n",
               checkpoint_every: int = 10) -> list[tuple[str, str, int]]:
     """Learn byte-pair merges from a (word, n) table.
 
     Per round: adjacent symbol pairs of every word, weighted by the word
-    count (partial aggregation), the most frequent pair wins (ties: smallest
-    pair), and every word is rewritten by a left-to-right merge. Only the
-    winning pair reaches the driver; the word table stays distributed and
-    its lineage is cut to the shared checkpoint folder periodically.
+    count (added up in each task, then by Spark), the most frequent pair wins (ties:
+    smallest pair). Words stay distributed, as numbers of symbols in arrays of a
+    batch's words; a task applies the merges since they were last written, left to
+    right, and they are written to the shared folder every ``checkpoint_every``
+    rounds. Only the winning pair reaches the driver.
     """
-    w = (word_counts.select(F.split(F.col(word), "").alias("sym"), F.col(count).alias("n"))
-         .filter(F.size("sym") > 1).persist())
-    merges = []
-    try:
-        for r in range(n_merges):
-            pairs = (w.select(F.explode(bigrams(F.col("sym"))).alias("g"), "n")
-                     .groupBy("g.a", "g.b").agg(F.sum("n").alias("c")))
-            best = pairs.orderBy(F.desc("c"), "a", "b").limit(1).collect()
-            if not best:
-                break
-            a, b, c = best[0]["a"], best[0]["b"], best[0]["c"]
-            merges.append((a, b, int(c)))
-            touched = F.array_contains("sym", a) & F.array_contains("sym", b)
-            nxt = w.select(F.when(touched, merge_pair(F.col("sym"), a, b)).otherwise(F.col("sym")).alias("sym"), "n")
-            nxt = nxt.filter(F.size("sym") > 1)  # single-symbol words yield no pairs
-            if checkpoint_every and (r + 1) % checkpoint_every == 0:
-                nxt = cut_lineage(nxt)
-            else:
-                nxt = nxt.persist()
-                nxt.count()
-            w.unpersist()
-            w = nxt
-    finally:
-        w.unpersist()
-    return merges
+    names = _Symbols()
+
+    def split(batches):
+        for batch in batches:
+            sym, at = _split_words(batch.column(0).to_pylist())
+            yield row(sym, at, batch.column(1).to_numpy())
 
+    def row(sym, at, n):
+        return pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in (sym, at, n.astype(np.int64))], names=["sym", "at", "n"])
 
-def merge_pair(sym: Column, a: str, b: str) -> Column:
-    """Left-to-right merge of every adjacent (a, b) in a symbol array."""
-    ab = a + b
-    return F.aggregate(
-        sym, F.array().cast("array<string>"),
-        lambda acc, t: F.when((F.size(acc) > 0) & (F.element_at(acc, -1) == F.lit(a)) & (t == F.lit(b)),
-                              F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(F.lit(ab))))
-        .otherwise(F.concat(acc, F.array(t))))
+    def words(batches):
+        for batch in batches:
+            for sym, at, n in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                yield *_merged(np.frombuffer(sym, np.int32), np.frombuffer(at, np.int32), since), np.frombuffer(n, np.int64)
+
+    def rewritten(batches):
+        for sym, at, n in words(batches):
+            several = np.bincount(at, minlength=len(n))[at] > 1  # single-symbol words yield no pairs
+            yield row(sym[several], at[several], n)
+
+    def added(keys, counts):
+        k, where = np.unique(np.concatenate(keys), return_inverse=True)
+        total = np.zeros(len(k), np.int64)
+        np.add.at(total, where, np.concatenate(counts))
+        return [k], [total]
+
+    def pairs(batches):
+        keys, counts = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for sym, at, n in words(batches):
+            inside = at[:-1] == at[1:]
+            keys.append((sym[:-1].astype(np.int64) << 32 | sym[1:])[inside])
+            counts.append(n[at[:-1][inside]])
+            if sum(map(len, keys)) >= _WHOLE_PAIRS:
+                keys, counts = added(keys, counts)
+        (k,), (c,) = added(keys, counts)
+        yield pa.RecordBatch.from_arrays([pa.array([names.text(x) for x in (k >> 32).tolist()], pa.string()),
+                                          pa.array([names.text(x) for x in (k & 0xFFFFFFFF).tolist()], pa.string()), pa.array(c)], names=["a", "b", "c"])
+
+    form, merges, since = "sym binary, at binary, n binary", [], []
+    rows = word_counts.where(F.length(word) > 1).select(F.col(word).cast("string"), F.col(count).cast("long"))
+    w = scratch_table(rows.mapInArrow(split, form), "bpe-words")
+    for r in range(n_merges):
+        best = (w.mapInArrow(pairs, "a string, b string, c long").groupBy("a", "b").agg(F.sum("c").alias("c"))
+                .orderBy(F.desc("c"), "a", "b").limit(1).collect())
+        if not best:
+            break
+        merges.append((best[0]["a"], best[0]["b"], int(best[0]["c"])))
+        since = since + names.steps(merges[-1:])
+        if checkpoint_every and (r + 1) % checkpoint_every == 0:
+            new = scratch_table(w.mapInArrow(rewritten, form), "bpe-words")
+            drop_scratch(w)
+            w, since = new, []
+    drop_scratch(w)
+    return merges
 
 
 def bpe_apply(word: Column, merges: list[tuple]) -> Column:
-    sym = F.split(word, "")
-    for a, b, *_ in merges:
-        sym = merge_pair(sym, a, b)
-    return sym
+    """The pieces of each word by the merges, in their order (null: null)."""
+    names = _Symbols()
+    steps = names.steps(merges)
+
+    def cut(words: pa.Array) -> pa.Array:
+        texts = words.fill_null("").to_pylist()
+        sym, at = _merged(*_split_words(texts), steps)
+        empty = np.setdiff1d(np.arange(len(texts)), at)  # the empty text is a piece
+        at, sym = np.concatenate([at, empty]), np.concatenate([sym, np.full(len(empty), -1)])
+        order = np.argsort(at, kind="stable")
+        known, code = np.unique(sym[order], return_inverse=True)
+        pieces = pa.array(["" if x < 0 else names.text(x) for x in known.tolist()], pa.string()).take(pa.array(code))
+        ends = np.cumsum(np.bincount(at, minlength=len(texts)))
+        return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pieces, mask=words.is_null())
+
+    return F.arrow_udf(cut, T.ArrayType(T.StringType()))(word)

@@ -58,3 +58,46 @@ def test_mlm_mask_is_seeded_and_consistent(spark):
     assert 10 < len(hidden) < 60
     assert all(r["l"][k] == k + 1 for k in hidden)
     assert all(r["l"][k] == -100 for k in range(199) if k not in hidden)
+
+
+def test_pairs_are_counted_in_pieces_without_a_shuffle(spark, monkeypatch):
+    from collections import Counter
+    from quarry.operators import text as T
+    plans = []
+
+    def kept(df, name):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return scratch(df, name)
+
+    scratch = T.scratch_table
+    monkeypatch.setattr(T, "scratch_table", kept)
+    monkeypatch.setattr(T, "_COUNTED_TOKENS", 5)
+    texts = ["abab", "", None, "x", "é漢漢漢漢漢漢漢", "ab", "abab", "zz"]
+    df = spark.createDataFrame([(i % 7, t) for i, t in enumerate(texts)], "id long, text string").coalesce(1)
+    got = Counter()
+    for r in T.pair_counts(df, "id", TX.chars("text")).collect():
+        got[r["id"], r["a"], r["b"]] += r["n"]
+    want = Counter()
+    for i, t in enumerate(texts):
+        for a, b in zip(t or "", (t or "")[1:]):
+            want[i % 7, a, b] += 1
+        if len(t or "") < 2:
+            want[i % 7, t or None, None] += 1
+    assert got == want
+    assert plans and not any("Exchange hash" in p for p in plans)
+
+
+def test_merges_of_words_in_batches(spark, monkeypatch):
+    from quarry.operators import text as T
+    monkeypatch.setattr(T, "_WHOLE_PAIRS", 3)
+    sym, at = T._split_words(["aaaaa", "aab", "b", "abcab"])
+    names = T._Symbols()
+    steps = names.steps([("a", "a"), ("aa", "a"), ("b", "c"), ("a", "bc"), ("a", "b"), ("ab", "c")])
+    assert steps[3][2] == steps[5][2]  # a text is one symbol, however it was merged
+    sym, at = T._merged(sym, at, steps)
+    assert [[names.text(x) for x in sym[at == w].tolist()] for w in range(4)] == [["aa", "aaa"], ["aa", "b"], ["b"], ["abc", "ab"]]
+    words = spark.createDataFrame([("aaaaa",), (None,), ("",), ("aab",), ("漢😀aa",)], "w string").coalesce(1)
+    got = words.select("w", T.bpe_apply(words["w"], [("a", "a"), ("漢", "😀"), ("漢😀", "aa")]).alias("p")).collect()
+    assert [r["p"] for r in got] == [["aa", "aa", "a"], None, [""], ["aa", "b"], ["漢😀aa"]]
+    counts = spark.createDataFrame([("abab", 3), ("aab", 2), ("c", 9), ("bbbb", 1)], "word string, n long")
+    assert T.bpe_learn(counts, 3, checkpoint_every=1) == T.bpe_learn(counts, 3) == [("a", "b", 8), ("ab", "ab", 3), ("b", "b", 3)]
