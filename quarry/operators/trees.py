@@ -38,6 +38,7 @@ PART_CELLS = 1 << 21    # sums that one group holds
 _KEPT_CELLS = 1 << 21   # and a task, before it adds up what it has
 MOST_OPEN = 1 << 15     # nodes of a level that come to the driver, before small ones are handed over
 GROUP_ROWS = 1 << 14    # rows of a node that may be handed over, and of the nodes grown in one group
+EARLY_ROWS = 1 << 19    # of all trees together: with more, nodes are handed over early unless said otherwise
 GROUP_CELLS = 1 << 18   # and these times the features of a split, where they are handed over early
 _ACCURACY = 10_000      # of the quantiles
 ROUNDS_KEPT = 5         # of boosting, before the margins are written
@@ -467,11 +468,13 @@ class Forest(Ensemble):
 
 
 def fit_forest(df: DataFrame, id_col: str, n_trees: int = 100, label_col: str = "label", features: str = "x", max_depth: int = 30,
-               seed: int = 42, bins: int = BINS, per_split: int | None = None, draws: Column | None = None, early: bool = False) -> Forest:
+               seed: int = 42, bins: int = BINS, per_split: int | None = None, draws: Column | None = None, early: bool | None = None) -> Forest:
     """A forest of ``n_trees`` on Poisson bootstrap bags (draws by a seeded hash
     of the id; or as the array ``draws`` tells), each split the best by Gini impurity
     among ``per_split`` random features of the node (the root of their number), until
-    nodes are pure."""
+    nodes are pure. ``early`` hands nodes over as soon as they have few rows, so that
+    the driver and the tasks never hold more than the first levels; by itself it is
+    done where the rows of all trees are more than ``EARLY_ROWS``."""
     classes = _classes(df, label_col)
     cuts = cut_points(df, features, bins)
     if draws is None:
@@ -487,6 +490,8 @@ def fit_forest(df: DataFrame, id_col: str, n_trees: int = 100, label_col: str =
         return out
     slots = min(d, per_split or max(1, round(d ** 0.5)))
     table, open_, handed = rows.select("y", "bins", "draws"), trees.roots.copy(), []
+    if early is None:
+        early = rows.count() * n_trees > EARLY_ROWS
     most = max(1, GROUP_CELLS // max(1, slots)) if early else GROUP_ROWS
     for depth in range(max_depth):
         if not len(open_):

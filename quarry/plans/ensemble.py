@@ -59,8 +59,8 @@ def q_mdl_svm(spark, sf):
 
 @register("mdl_tree")
 def q_mdl_tree(spark, sf):
-    tr, te = _arrays(spark, sf)
-    return TR.fit_tree(tr, "vec_id", seed=SEED).predict(te, "vec_id")
+    tr, te = _xy(spark, sf)
+    return MD.tree_predictions(tr, te, "vec_id", seed=SEED)
 
 
 @register("mdl_random_forest")
@@ -91,7 +91,7 @@ def q_mdl_voting(spark, sf):
     """Logistic + tree + linear SVM (one against the rest), hard vote over
     all classes, with its accuracy."""
     tr, te = _xy(spark, sf)
-    u = TR.fit_tree(tr, "vec_id", seed=SEED).predict(te, "vec_id")
+    u = MD.tree_predictions(tr, te, "vec_id", seed=SEED)
     tr = MD.fit_rows(tr)
     try:
         models = [MD.logistic(tr), MD.one_vs_rest(MD.svm_estimator(tr), tr)]

@@ -246,7 +246,10 @@ def test_trees_of_all_folds_grow_together(spark, monkeypatch):
         assert np.mean([np.argmax(got[i]) == np.argmax(v) for i, v in want.items()]) > 0.75
     every = {r["id"]: r["shares"] for r in forest.class_shares(df, "id", trees=[3]).collect()}
     assert np.mean([np.argmax(every[i]) == y[i] for i in every]) > 0.97
+    monkeypatch.setattr(MD, "SPARK_TREE_ROWS", 100)
     vectors = MD.with_vector(df.drop("fold"))
+    plain = MD.tree_predictions(vectors, vectors, "id").collect()
+    assert len(plain) == 600 and np.mean([r["pred"] == r["label"] for r in plain]) > 0.97
     out = MD.stacking(vectors.where("id % 4 != 0"), vectors.where("id % 4 = 0"), "id", 3, meta_trees=10).collect()
     assert len(out) == 150 and np.mean([r["pred"] == r["label"] for r in out]) > 0.75
 
@@ -257,3 +260,16 @@ def test_tree_of_one_class_or_no_rows(spark):
     assert TR.fit_tree(_frame(spark, x, y).limit(0), "id").predict(_frame(spark, x, y), "id").collect() == []
     forest = TR.fit_forest(_frame(spark, x, y * 0), "id", 2, draws=F.array((F.col("id") % 2).cast("int"), F.lit(1)), early=True)
     assert [(r["id"], r["shares"]) for r in forest.out_of_bag_shares().orderBy("id").collect()] == [(i, [1.0]) for i in range(0, 40, 2)]
+
+
+def test_large_forests_stay_out_of_the_tasks(spark, monkeypatch):
+    monkeypatch.setattr(TR, "EARLY_ROWS", 1000)
+    monkeypatch.setattr(TR, "GROUP_CELLS", 400)  # 200 rows of a node
+    x, y = _data(n=1600, seed=7)
+    forest = TR.fit_forest(_frame(spark, x, y), "id", 4, seed=3)
+    whole = TR.fit_forest(_frame(spark, x, y), "id", 4, seed=3, early=False)
+    assert not len(whole.part) and len(forest.trees.feature) < len(whole.trees.feature) / 5 and forest.deep.count() > 4
+    a, z = ({r["id"]: (r["y"], r["pred"]) for r in f.out_of_bag().collect()} for f in (forest, whole))
+    assert a.keys() == z.keys()
+    right = [np.mean([u == v for u, v in got.values()]) for got in (a, z)]
+    assert abs(right[0] - right[1]) < 0.1
