@@ -21,7 +21,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.operators import trees as TR
-from quarry.session import cut_lineage
+from quarry.session import cut_lineage, scratch_table
+
 SPARK_TREE_ROWS = 1 << 14  # beyond these a tree isn't Spark's, which passes over all rows for every so many nodes
 
 
@@ -82,6 +83,18 @@ def forest_regressor(train: DataFrame, n_trees: int = 100, label: str = "y", see
                                  seed=seed).fit(train)
 
 
+def forest_values(train: DataFrame, test: DataFrame, id_col: str, label: str = "y", seed: int = 42) -> DataFrame:
+    """(id, label, prediction) by 100 regression trees of depth 20 (``features``). Many
+    rows with few features are summed into the cells of the bins, where the trees grow."""
+    if train.count() > SPARK_TREE_ROWS:
+        checked = F.when(F.col(label).isNull() | F.isnan(label), F.raise_error(F.lit("Labels MUST NOT be Null or NaN"))).otherwise(F.col(label))
+        rows = scratch_table(train.select(id_col, checked.cast("double").alias(label), vector_to_array("features").alias("x")), "forest-rows")
+        fitted = TR.fit_grid_forest(rows, id_col, 100, label, seed=seed)
+        if fitted is not None:
+            return fitted.predict(test.withColumn("x", vector_to_array("features")), id_col, label)
+    return forest_regressor(train, label=label, seed=seed).transform(test).select(id_col, label, "prediction")
+
+
 def mlp(train: DataFrame, layers: Sequence[int], label: str = "label", max_iter: int = 100, seed: int = 42):
     return MultilayerPerceptronClassifier(featuresCol="features", labelCol=label, layers=list(layers),
                                           maxIter=max_iter, seed=seed).fit(train)

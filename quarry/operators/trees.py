@@ -18,18 +18,21 @@ much for a hundred trees as its sums do, and nobody holds the rows.
 * Boosting fits one tree per class and round to the softmax gradients; the
   margins are written with the rows every few rounds, so a pass looks at the
   trees since then only.
+* Regression on few features needs the rows once: the bins make a bounded grid, each
+  tree is grown to the end on what its draws add up to in the cells, and a row is
+  predicted by its cell.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quarry.functions.hashing import hash_unit
-from quarry.operators.sampling import poisson1_draw
+from quarry.operators.sampling import poisson1_draw, poisson1_thresholds
 from quarry.operators.small import collect_small
 from quarry.session import drop_scratch, scratch_table
 
@@ -40,6 +43,9 @@ MOST_OPEN = 1 << 15     # nodes of a level that come to the driver, before small
 GROUP_ROWS = 1 << 14    # rows of a node that may be handed over, and of the nodes grown in one group
 EARLY_ROWS = 1 << 19    # of all trees together: with more, nodes are handed over early unless said otherwise
 GROUP_CELLS = 1 << 18   # and these times the features of a split, where they are handed over early
+GRID_CELLS = 1 << 15    # that the bins of all features may make, where regression trees are grown on cells
+_SALTS = 8              # tasks that may share the rows of a cell
+_KEPT_ROWS = 1 << 12    # cells that a task keeps sums of
 _ACCURACY = 10_000      # of the quantiles
 ROUNDS_KEPT = 5         # of boosting, before the margins are written
 
@@ -193,12 +199,20 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 def grow_rest(root: np.ndarray, y: np.ndarray, w: np.ndarray, b: np.ndarray, names: np.ndarray, levels: np.ndarray, slots: int, bins: int, k: int,
-              seed: int, least: float = 1e-9) -> Trees:
+              seed: int, least: float = 1e-9, kind: str = "gini") -> Trees:
     """Trees below some nodes, to the end: ``root`` tells each row's node, ``names``
     and ``levels`` the nodes' numbers in the forest and how deep they may still grow.
-    Only cuts between values that a node has are looked at, so small nodes cost little."""
+    Only cuts between values that a node has are looked at, so small nodes cost little.
+    With ``kind`` newton ``y`` are numbers, and the two sums of a node are w y and w."""
+    def added(where, rows, times, size):
+        ys, ws = np.repeat(y[rows], times), np.repeat(w[rows], times)
+        if kind == "gini":
+            return np.bincount(where * k + ys, ws, size * k).reshape(-1, k)
+        return np.stack([np.bincount(where, ws * ys, size), np.bincount(where, ws, size)], axis=1)
+
+    weight = (lambda s: s.sum(-1)) if kind == "gini" else (lambda s: s[..., -1])
     trees, at = Trees(len(names), k), root.copy()
-    trees.value[:] = np.bincount(root * k + y, w, len(names) * k).reshape(-1, k)
+    trees.value[:] = added(root, np.arange(len(root)), 1, len(names))
     path, open_ = _mix(names.astype(np.uint64) ^ _mix(np.array([seed]))), trees.roots.copy()
     for step in range(int(levels.max(initial=0))):
         open_ = open_[levels[trees.tree[open_]] > step]
@@ -211,7 +225,7 @@ def grow_rest(root: np.ndarray, y: np.ndarray, w: np.ndarray, b: np.ndarray, nam
         subset = np.argsort(_mix(path[open_][:, None] + np.arange(b.shape[1], dtype=np.uint64)), axis=1, kind="stable")[:, :slots]
         key = ((own[:, None] * slots + np.arange(slots)) * bins + b[rows[:, None], subset[own]]).ravel()
         cell, where = np.unique(key, return_inverse=True)
-        sums = np.bincount(where * k + np.repeat(y[rows], slots), np.repeat(w[rows], slots), len(cell) * k).reshape(-1, k)
+        sums = added(where, rows, slots, len(cell))
         upto = np.cumsum(sums, axis=0)
         slot = cell // bins
         begin = np.flatnonzero(np.concatenate([[True], slot[1:] != slot[:-1]]))
@@ -219,10 +233,10 @@ def grow_rest(root: np.ndarray, y: np.ndarray, w: np.ndarray, b: np.ndarray, nam
         node = slot // slots
         total = trees.value[open_[node]]
         right = total - left
-        gain = _score(left, "gini", 0.0) + _score(right, "gini", 0.0) - _score(total, "gini", 0.0)
-        gain = np.where((left.sum(-1) > 0.5) & (right.sum(-1) > 0.5), gain, -np.inf)
+        gain = _score(left, kind, 0.0) + _score(right, kind, 0.0) - _score(total, kind, 0.0)
+        gain = np.where((weight(left) > 0.5) & (weight(right) > 0.5), gain, -np.inf)
         top = np.maximum.reduceat(gain, np.searchsorted(node, np.arange(len(open_))))
-        near = np.flatnonzero(gain >= top[node] - 1e-12 * total.sum(-1))
+        near = np.flatnonzero(gain >= top[node] - 1e-12 * weight(total))
         best = near[np.unique(node[near], return_index=True)[1]]  # the first of equally good ones
         best = best[gain[best] > least]
         parents = open_[node[best]]
@@ -231,7 +245,7 @@ def grow_rest(root: np.ndarray, y: np.ndarray, w: np.ndarray, b: np.ndarray, nam
         moved = rows[trees.feature[at[rows]] >= 0]
         n = at[moved]
         at[moved] = trees.left[n] + (b[moved, trees.feature[n]] > trees.cut[n])
-        open_ = new[(trees.value[new] > 0).sum(axis=1) > 1]
+        open_ = new[(trees.value[new] > 0).sum(axis=1) > 1 if kind == "gini" else weight(trees.value[new]) > 1.5]
     return trees
 
 
@@ -532,6 +546,122 @@ def fit_tree(df: DataFrame, id_col: str, label_col: str = "label", features: str
     return fit_forest(df, id_col, 1, label_col, features, max_depth, seed, per_split=1 << 30, draws=F.array(F.lit(1)), early=True)
 
 
+def grid_cuts(df: DataFrame, features: str = "x", bins: int = BINS) -> list[np.ndarray]:
+    """Where the bins of each feature end: between all of its values, or at its
+    quantiles if it has more values than ``bins``."""
+    cuts = cut_points(df, features, bins)
+    if not cuts:
+        return cuts
+    about = df.agg(*[F.approx_count_distinct(F.get(features, i)) for i in range(len(cuts))]).first()
+    few = [i for i, n in enumerate(about) if n <= 2 * bins]
+    found = df.agg(*[F.collect_set(F.get(features, i)) for i in few]).first() if few else ()
+    for i, values in zip(few, found):
+        if len(values) <= bins:
+            v = np.array(sorted(values), float)
+            cuts[i] = (v[:-1] + v[1:]) / 2
+    return cuts
+
+
+class GridForest:
+    """Regression trees on the cells that the bins of the features make: ``trees``
+    has one a row, ``grid`` the mean of what they say of each cell."""
+
+    def __init__(self, cuts: list[np.ndarray], trees: DataFrame) -> None:
+        self.cuts, self.shape, self.trees = cuts, tuple(len(c) + 1 for c in cuts), trees
+        shape, size = self.shape, int(np.prod(self.shape))
+
+        def said(batches):
+            total, n, bins = np.zeros(size), 0, np.stack(np.unravel_index(np.arange(size), shape), axis=1)
+            for batch in batches:
+                for r in batch.to_pylist():
+                    tree = Trees(1, 1)
+                    tree.feature, tree.cut, tree.left = (np.frombuffer(r[c], np.int64) for c in ("feature", "cut", "left"))
+                    total += np.frombuffer(r["value"])[tree.leaves(bins, 0)]
+                    n += 1
+            if n:
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(size)), pa.array(total), pa.array(np.full(size, n))], names=["cell", "v", "n"])
+
+        sums = trees.mapInArrow(said, "cell long, v double, n long").groupBy("cell").agg(F.sum("v").alias("v"), F.sum("n").alias("n"))
+        self.grid = scratch_table(sums.select("cell", (F.col("v") / F.col("n")).alias("prediction")), "forest-grid")
+
+    def predict(self, df: DataFrame, id_col: str, label_col: str = "y", features: str = "x") -> DataFrame:
+        """(id, label, prediction)"""
+        return _in_cells(df, self.cuts, id_col, label_col, features).join(self.grid, "cell").select(id_col, label_col, "prediction")
+
+
+def _in_cells(df: DataFrame, cuts: list[np.ndarray], id_col: str, label_col: str, features: str) -> DataFrame:
+    """(id, label, cell) of the rows that have features."""
+    rows = df.where(F.col(features).isNotNull()).select(id_col, label_col, F.col(features).cast("array<double>").alias("_x"))
+    shape = tuple(len(c) + 1 for c in cuts)
+
+    def run(batches):
+        for batch in batches:
+            bins = _binned(_matrix(batch.column(2), len(cuts)), cuts).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.ravel_multi_index(tuple(bins.T), shape))],
+                                             names=[id_col, label_col, "cell"])
+
+    return rows.mapInArrow(run, T.StructType([*rows.schema.fields[:2], T.StructField("cell", T.LongType())]))
+
+
+def fit_grid_forest(df: DataFrame, id_col: str, n_trees: int = 100, label_col: str = "y", features: str = "x", max_depth: int = 20,
+                    seed: int = 42, bins: int = BINS, per_split: int | None = None) -> GridForest | None:
+    """Regression trees on Poisson bootstrap bags (draws by a seeded hash of each
+    row), each split the one that leaves the least variance among ``per_split`` random
+    features of the node (a third). None if the bins make more than ``GRID_CELLS``."""
+    cuts = grid_cuts(df, features, bins)
+    shape = tuple(len(c) + 1 for c in cuts)
+    if not cuts or np.prod(shape, dtype=float) > GRID_CELLS:
+        return None
+    r = df.agg(F.avg(label_col), F.stddev_pop(label_col)).first()
+    mean, unit = r[0], r[1] or 1.0
+    slots = min(len(cuts), per_split or -(-len(cuts) // 3))
+    rows = _in_cells(df, cuts, id_col, label_col, features).withColumn("salt", F.pmod(F.xxhash64(id_col, label_col), F.lit(_SALTS)))
+    copy = F.row_number().over(Window.partitionBy("cell", "salt", id_col, label_col).orderBy("cell"))  # a row that comes twice is drawn twice
+    rows = rows.repartition("cell", "salt").withColumn("copy", copy).select(
+        "cell", ((F.col(label_col) - mean) / unit).alias("y"), F.xxhash64(F.lit(seed), id_col, label_col, "copy").alias("key"))
+    own, steps = _mix(np.arange(n_trees)), [np.uint64(int(t * 2**64)) for t in poisson1_thresholds()]
+
+    def drawn(batches):
+        keys, sums, size = [], [], 0
+        for batch in batches:
+            for a in range(0, batch.num_rows, 1024):
+                cell, y, key = (c.to_numpy() for c in batch.slice(a, 1024).columns)
+                u = _mix(key.view(np.uint64)[:, None] ^ own)
+                w = np.zeros(u.shape)
+                for step in steps:
+                    w += u >= step
+                k, s = _added([cell], [np.concatenate([w, w * y[:, None]], axis=1)])
+                keys.append(k)
+                sums.append(s)
+                size += len(k)
+                if size >= 2 * _KEPT_ROWS:
+                    k, s = _added(keys, sums)
+                    keys, sums, size = [k], [s], len(k)
+                    if size >= _KEPT_ROWS:
+                        yield by_tree(k, s)
+                        keys, sums, size = [], [], 0
+        if size:
+            yield by_tree(*_added(keys, sums))
+
+    def by_tree(k, s):
+        seen = [s[:, t] > 0 for t in range(n_trees)]
+        return pa.RecordBatch.from_arrays([pa.array(np.arange(n_trees, dtype=np.int32)), pa.array([k[i].tobytes() for i in seen], pa.binary()),
+                                           pa.array([s[i][:, [t, n_trees + t]].tobytes() for t, i in enumerate(seen)], pa.binary())], names=["tree", "cells", "sums"])
+
+    def grown(group: pa.Table) -> pa.Table:
+        tree = group["tree"][0].as_py()
+        cell, s = _added([np.frombuffer(x, np.int64) for x in group["cells"].to_pylist()], [np.frombuffer(x).reshape(-1, 2) for x in group["sums"].to_pylist()])
+        b = np.stack(np.unravel_index(cell, shape), axis=1)
+        out = grow_rest(np.zeros(len(cell), np.int64), s[:, 1] / s[:, 0], s[:, 0], b, np.array([tree]), np.array([max_depth]), slots, max(shape), 2, seed, kind="newton")
+        value = out.value[:, 0] / out.value[:, 1] * unit + mean
+        return pa.Table.from_arrays([pa.array([tree], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in (out.feature.astype(np.int64), out.cut, out.left, value))],
+                                    names=["tree", "feature", "cut", "left", "value"])
+
+    trees = rows.mapInArrow(drawn, "tree int, cells binary, sums binary").where(F.length("cells") > 0).groupBy("tree").applyInArrow(
+        grown, "tree int, feature binary, cut binary, left binary, value binary")
+    return GridForest(cuts, scratch_table(trees, "forest-trees"))
+
+
 class Boosted(Ensemble):
     """One tree per class and round; tree r * classes + c adds to class c."""
 

@@ -82,8 +82,8 @@ def q_mdl_random_forest_reg(spark, sf):
     p = P.exact_split(p, "p_partkey", 0.25, SEED)
     p = MD.with_vector(p.withColumn("x", F.array(F.col("p_size").cast("double"), F.col("p_brand_idx").cast("double"),
                                                   F.col("p_type_idx").cast("double"))))
-    m = MD.forest_regressor(p.filter("split = 'train'"))
-    return m.transform(p.filter("split = 'test'")).select("p_partkey", "y", F.round("prediction", R).alias("pred"))
+    m = MD.forest_values(p.filter("split = 'train'"), p.filter("split = 'test'"), "p_partkey")
+    return m.select("p_partkey", "y", F.round("prediction", R).alias("pred"))
 
 
 @register("mdl_voting")

@@ -273,3 +273,58 @@ def test_large_forests_stay_out_of_the_tasks(spark, monkeypatch):
     assert a.keys() == z.keys()
     right = [np.mean([u == v for u, v in got.values()]) for got in (a, z)]
     assert abs(right[0] - right[1]) < 0.1
+
+
+def _plain_means(b, y, depth):
+    """What a regression tree on all rows and features says of each row."""
+    best, at = 1e-9, None
+    for f in range(b.shape[1]):
+        for c in np.unique(b[:, f])[:-1]:
+            left = b[:, f] <= c
+            gain = y[left].sum() ** 2 / left.sum() + y[~left].sum() ** 2 / (~left).sum() - y.sum() ** 2 / len(y)
+            if gain > best + 1e-9:
+                best, at = gain, left
+    if at is None or not depth:
+        return np.full(len(y), y.mean())
+    out = np.empty(len(y))
+    out[at], out[~at] = _plain_means(b[at], y[at], depth - 1), _plain_means(b[~at], y[~at], depth - 1)
+    return out
+
+
+def _numbers(spark, n=900):
+    rng = np.random.default_rng(9)
+    x = np.stack([rng.integers(0, 12, n), rng.integers(0, 90, n), rng.integers(0, 3, n)], axis=1).astype(float)
+    y = 50.0 * (x[:, 0] > 4) + x[:, 1] + 20 * x[:, 2] * (x[:, 0] > 8) + rng.normal(size=n) + 900
+    return x, y, spark.createDataFrame([(i, v, list(r)) for i, (v, r) in enumerate(zip(y.tolist(), x.tolist()))], "id long, y double, x array<double>")
+
+
+def test_grid_tree_equals_plain_version(spark, monkeypatch):
+    monkeypatch.setattr(TR, "poisson1_thresholds", lambda: [0.0])  # every row once
+    monkeypatch.setattr(TR, "_KEPT_ROWS", 50)
+    x, y, df = _numbers(spark)
+    fitted = TR.fit_grid_forest(df, "id", 1, max_depth=5, bins=16, per_split=3)
+    assert fitted.shape[0] == 12 and fitted.shape[2] == 3 and 10 < fitted.shape[1] <= 16
+    want = _plain_means(TR._binned(x, fitted.cuts), y - y.mean(), 5) + y.mean()
+    got = {r["id"]: r["prediction"] for r in fitted.predict(df, "id").collect()}
+    assert np.abs(np.array([got[i] for i in range(len(y))]) - want).max() < 1e-6
+
+
+def test_grid_forest_draws_rows_and_learns(spark, monkeypatch):
+    from quarry.operators import models as MD
+    x, y, df = _numbers(spark)
+    train, test = df.where("id % 4 != 0"), df.where("id % 4 = 0")
+    monkeypatch.setattr(MD, "SPARK_TREE_ROWS", 100)
+    errors = []
+    for cells in (TR.GRID_CELLS, 10):  # with a grid too large the trees are Spark's
+        monkeypatch.setattr(TR, "GRID_CELLS", cells)
+        got = MD.forest_values(MD.with_vector(train), MD.with_vector(test), "id").collect()
+        errors.append(np.sqrt(np.mean([(r["prediction"] - r["y"]) ** 2 for r in got])))
+        assert len(got) == 225
+    assert errors[0] < 1.15 * errors[1] and errors[0] < 0.5 * y.std()
+    monkeypatch.setattr(TR, "GRID_CELLS", 1 << 15)
+    a, b = (TR.fit_grid_forest(d, "id", 10).predict(test, "id").orderBy("id").collect() for d in (train, train.repartition(7).orderBy("y")))
+    assert np.abs(np.array([r["prediction"] for r in a]) - [r["prediction"] for r in b]).max() < 1e-9
+    # rows without a key, or that come twice, are drawn one by one
+    same = spark.createDataFrame([(None, float(i % 2), [1.0]) for i in range(400)], df.schema)
+    said = [np.frombuffer(r["value"])[0] for r in TR.fit_grid_forest(same, "id", 40).trees.collect()]
+    assert len(set(said)) > 20 and 0.01 < np.std(said) < 0.06 and abs(np.mean(said) - 0.5) < 0.03
