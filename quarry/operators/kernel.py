@@ -26,8 +26,13 @@ _STEPS = 100   # of a group and round, for each of its rows
 
 
 def rbf(a: np.ndarray, b: np.ndarray, gamma: float) -> np.ndarray:
-    d2 = (a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2.0 * a @ b.T
-    return np.exp(-gamma * np.maximum(d2, 0.0))
+    d2 = a @ b.T
+    d2 *= -2.0
+    d2 += (a * a).sum(1)[:, None]
+    d2 += (b * b).sum(1)[None, :]
+    np.maximum(d2, 0.0, out=d2)
+    d2 *= -gamma
+    return np.exp(d2, out=d2)
 
 
 class Landmarks:
@@ -41,6 +46,11 @@ class Landmarks:
     def features(self, x: np.ndarray) -> np.ndarray:
         return rbf(x, self.points, self.gamma) @ self.root if len(self.points) else np.zeros((len(x), 0))
 
+    def scorer(self, weights: np.ndarray):
+        """What :meth:`features` times the weights is, of a vector for each landmark and not a matrix of them."""
+        points, gamma, of_points = self.points, self.gamma, self.root @ weights
+        return lambda x: rbf(x, points, gamma) @ of_points if len(points) else np.zeros(len(x))
+
 
 def pick_landmarks(rows: DataFrame, gamma: float, tolerance: float = RESIDUAL, most: int = MOST_LANDMARKS, block: int = BLOCK,
                    seed: int = 42) -> Landmarks:
@@ -83,18 +93,25 @@ def solve_pairs(kernel: np.ndarray, y: np.ndarray, alpha: np.ndarray, f: np.ndar
                 most: int | None = None) -> np.ndarray:
     """The dual variables after steps on the most violating pair, until none
     violates by more than ``tolerance``; ``f`` are the scores at the start."""
-    alpha, f, edge = alpha.copy(), f.copy(), 1e-9 * C  # what is this near a bound counts as on it
+    alpha, g, edge = alpha.copy(), y - f, 1e-9 * C  # what is this near a bound counts as on it
+
+    def bounds(i):  # 0 where the score may go up, or down, else infinite
+        above, below = alpha[i] > edge, alpha[i] < C - edge
+        return np.where(np.where(y[i] > 0, below, above), 0.0, -np.inf), np.where(np.where(y[i] > 0, above, below), 0.0, np.inf)
+
+    up, low = bounds(slice(None))
     for _ in range(most or _STEPS * len(y)):
-        up = np.where(((y > 0) & (alpha < C - edge)) | ((y < 0) & (alpha > edge)), y - f, -np.inf)
-        low = np.where(((y > 0) & (alpha > edge)) | ((y < 0) & (alpha < C - edge)), y - f, np.inf)
-        i, j = int(up.argmax()), int(low.argmin())
-        if up[i] - low[j] <= tolerance:
+        i, j = int((g + up).argmax()), int((g + low).argmin())
+        gap = (g[i] + up[i]) - (g[j] + low[j])
+        if gap <= tolerance:
             break
-        step = (up[i] - low[j]) / max(kernel[i, i] + kernel[j, j] - 2 * kernel[i, j], 1e-12)
+        step = gap / max(kernel[i, i] + kernel[j, j] - 2 * kernel[i, j], 1e-12)
         step = min(step, C - alpha[i] if y[i] > 0 else alpha[i], alpha[j] if y[j] > 0 else C - alpha[j])
         alpha[i] = min(max(alpha[i] + y[i] * step, 0.0), C)
         alpha[j] = min(max(alpha[j] - y[j] * step, 0.0), C)
-        f += step * (kernel[:, i] - kernel[:, j])
+        for changed in (i, j):
+            up[changed], low[changed] = bounds(changed)
+        g -= step * (kernel[i] - kernel[j])
     return alpha
 
 
@@ -103,18 +120,20 @@ class KernelMachine:
         self.landmarks, self.weights, self.bias, self.rounds, self.violation = landmarks, weights, bias, rounds, violation
 
     def scores(self, x: np.ndarray) -> np.ndarray:
-        return self.landmarks.features(x) @ self.weights + self.bias
+        return self.landmarks.scorer(self.weights)(x) + self.bias
 
     def predict(self, df: DataFrame, id_col: str, label_col: str = "label", features: str = "x") -> DataFrame:
         """(id, label, pred): 1 for a positive score."""
         rows = df.where(F.col(features).isNotNull()).select(F.col(id_col), F.col(label_col).cast("double").alias(label_col),
                                                             F.col(features).cast("array<double>").alias("_x"))
 
+        score, bias = self.landmarks.scorer(self.weights), self.bias
+
         def run(batches):
             for pdf in batches:
                 for a in range(0, len(pdf), 1024):
                     part = pdf.iloc[a:a + 1024]
-                    yield part[[id_col, label_col]].assign(pred=(self.scores(np.stack(part["_x"].to_numpy())) > 0).astype("int32"))
+                    yield part[[id_col, label_col]].assign(pred=(score(np.stack(part["_x"].to_numpy())) + bias > 0).astype("int32"))
 
         return rows.mapInPandas(run, f"{id_col} {rows.schema[id_col].dataType.simpleString()}, {label_col} double, pred int")
 
@@ -127,55 +146,73 @@ def fit_rbf_svm(df: DataFrame, id_col: str, label_col: str = "label", features:
     rows = df.where(F.col(features).isNotNull() & F.col(label_col).isNotNull()).select(
         F.col(id_col).cast("long").alias("id"), F.col(features).cast("array<double>").alias("x"),
         F.when(F.col(label_col) == 1, 1.0).otherwise(-1.0).alias("y"), F.lit(0.0).alias("alpha"))
-    table = scratch_table(rows, "svm-rows")
+    n, cores = rows.count(), df.sparkSession.sparkContext.defaultParallelism
+    groups = max(1, -(-n // group_rows))
+    table = scratch_table(rows.repartition(max(1, min(max(cores, groups), n // 128)), "id"), "svm-rows")
     marks = pick_landmarks(table, gamma, seed=seed)
-    m, n = len(marks.points), table.count()
-    w, bias, violation, groups, rounds = np.zeros(m), 0.0, np.inf, max(1, -(-n // group_rows)), 0
+    m = len(marks.points)
+    w, bias, violation, rounds = np.zeros(m), 0.0, np.inf, 0
+    edge = C * (1e-9 if groups == 1 else 1e-3)  # with several groups what should be at a bound halves its way there
+
+    def bounds(g, y, alpha):
+        return (g[((y > 0) & (alpha < C - edge)) | ((y < 0) & (alpha > edge))].max(initial=-np.inf),
+                g[((y > 0) & (alpha > edge)) | ((y < 0) & (alpha < C - edge))].min(initial=np.inf))
+
+    def optimum(rows):
+        """The bias and by how much the optimality conditions are violated."""
+        r = rows.agg(F.max("up").alias("up"), F.min("low").alias("low")).first()
+        if not np.isfinite([r["up"], r["low"]]).all():  # one class alone
+            return (r["up"] if np.isfinite(r["up"]) else r["low"]), 0.0
+        return (r["up"] + r["low"]) / 2, r["up"] - r["low"]
 
     def weights(batches):
         total = np.zeros(m)
         for pdf in batches:
-            pdf = pdf[pdf["alpha"] > 0]
-            for a in range(0, len(pdf), 1024):
-                part = pdf.iloc[a:a + 1024]
-                total += (part["alpha"] * part["y"]).to_numpy() @ marks.features(np.stack(part["x"].to_numpy()))
+            total += sum(np.frombuffer(v) for v in pdf["v"])
         yield pd.DataFrame({"i": np.arange(m), "v": total})
 
     while n and m and rounds < MOST_ROUNDS:
         start = w
 
         def local(pdf: pd.DataFrame) -> pd.DataFrame:
-            z, y, alpha = marks.features(np.stack(pdf["x"].to_numpy())), pdf["y"].to_numpy(), pdf["alpha"].to_numpy()
-            new = solve_pairs(z @ z.T, y, alpha, z @ start, C, tolerance / 10, _STEPS * len(y))
-            return pdf.assign(alpha=alpha + (new - alpha) / groups)[["id", "x", "y", "alpha"]]  # a mean of the groups' answers is feasible too
+            k, y, alpha = rbf(np.stack(pdf["x"].to_numpy()), marks.points, gamma), pdf["y"].to_numpy(), pdf["alpha"].to_numpy()
+            z = k @ marks.root
+            f = z @ start
+            up, low = bounds(y - f, y, alpha)
+            new = solve_pairs(z @ z.T, y, alpha, f, C, tolerance / 10, _STEPS * len(y))
+            alpha = alpha + (new - alpha) / groups  # a mean of the groups' answers is feasible too
+            first = np.arange(len(y)) == 0  # has what the group adds up to: its bounds at the start, its part of the new weights
+            return pdf.assign(alpha=alpha, v=np.where(first, np.array([((alpha * y) @ k).tobytes()], object), None),
+                              up=np.where(first, up, np.nan), low=np.where(first, low, np.nan))[["id", "x", "y", "alpha", "v", "up", "low"]]
 
         part = F.pmod(F.xxhash64("id", F.lit(rounds)), F.lit(groups))
-        new = scratch_table(table.withColumn("part", part).groupBy("part").applyInPandas(local, "id long, x array<double>, y double, alpha double"), "svm-rows")
+        new = scratch_table(table.select("id", "x", "y", "alpha", part.alias("part")).repartition(groups, "part").groupBy("part").applyInPandas(
+            local, "id long, x array<double>, y double, alpha double, v binary, up double, low double"), "svm-rows")
+        sums = new.where(F.col("v").isNotNull())
+        bias, violation = optimum(sums)
+        if violation <= tolerance:  # at the start of the round
+            drop_scratch(new)
+            break
         drop_scratch(table)
         table, rounds = new, rounds + 1
         w = np.zeros(m)
-        for r in collect_small(table.mapInPandas(weights, "i int, v double").groupBy("i").agg(F.sum("v").alias("v")), "weights"):
+        for r in collect_small(sums.select("v").mapInPandas(weights, "i int, v double").groupBy("i").agg(F.sum("v").alias("v")), "weights"):
             w[r["i"]] = r["v"]
-        now = w
-        edge = C * (1e-9 if groups == 1 else 1e-3)  # with several groups what should be at a bound halves its way there
-
-        def bounds(batches):
-            up, low = -np.inf, np.inf
-            for pdf in batches:
-                for a in range(0, len(pdf), 1024):
-                    part = pdf.iloc[a:a + 1024]
-                    y, alpha = part["y"].to_numpy(), part["alpha"].to_numpy()
-                    g = y - marks.features(np.stack(part["x"].to_numpy())) @ now
-                    up = max(up, g[((y > 0) & (alpha < C - edge)) | ((y < 0) & (alpha > edge))].max(initial=-np.inf))
-                    low = min(low, g[((y > 0) & (alpha > edge)) | ((y < 0) & (alpha < C - edge))].min(initial=np.inf))
-            yield pd.DataFrame({"up": [up], "low": [low]})
-
-        r = table.mapInPandas(bounds, "up double, low double").agg(F.max("up").alias("up"), F.min("low").alias("low")).first()
-        if not np.isfinite([r["up"], r["low"]]).all():  # one class alone
-            bias, violation = (r["up"] if np.isfinite(r["up"]) else r["low"]), 0.0
-            break
-        bias, violation = (r["up"] + r["low"]) / 2, r["up"] - r["low"]
-        if violation <= tolerance:
-            break
+        w = marks.root.T @ w
+    else:
+        if n and m:
+            score = marks.scorer(w)
+
+            def ends(batches):
+                up, low = -np.inf, np.inf
+                for pdf in batches:
+                    for a in range(0, len(pdf), 1024):
+                        part = pdf.iloc[a:a + 1024]
+                        y = part["y"].to_numpy()
+                        u, v = bounds(y - score(np.stack(part["x"].to_numpy())), y, part["alpha"].to_numpy())
+                        up, low = max(up, u), min(low, v)
+                yield pd.DataFrame({"up": [up], "low": [low]})
+
+            bias, violation = optimum(table.select("x", "y", "alpha").mapInPandas(ends, "up double, low double"))
     drop_scratch(table)
     return KernelMachine(marks, w, float(bias), rounds, float(violation))

@@ -62,3 +62,33 @@ def test_edge_cases(spark):
     assert {r["pred"] for r in K.fit_rbf_svm(_frame(spark, x, np.ones(6)), "id").predict(_frame(spark, x, np.ones(6)), "id").collect()} == {1}
     assert {r["pred"] for r in K.fit_rbf_svm(_frame(spark, x, np.zeros(6)), "id").predict(_frame(spark, x, np.ones(6)), "id").collect()} == {0}
     assert K.fit_rbf_svm(_frame(spark, x[:0], []), "id").predict(_frame(spark, x, np.ones(6)), "id").count() == 6
+
+
+def test_scorer_is_the_features_times_the_weights():
+    rng = np.random.default_rng(3)
+    marks, w = K.Landmarks(rng.normal(size=(40, 3)), 0.7), rng.normal(size=40)
+    x = rng.normal(size=(25, 3))
+    assert np.allclose(marks.scorer(w)(x), marks.features(x) @ w)
+    assert K.Landmarks(np.zeros((0, 3)), 0.7).scorer(np.zeros(0))(x).tolist() == [0.0] * 25
+
+
+def test_rounds_are_spread_over_tasks_and_conditions_hold(spark, monkeypatch):
+    files, plain = [], K.scratch_table
+
+    def seen(df, name):
+        out = plain(df, name)
+        files.append(len(out.inputFiles()))
+        return out
+
+    monkeypatch.setattr(K, "scratch_table", seen)
+    monkeypatch.setattr(K, "MOST_ROUNDS", 3)
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(900, 3))
+    y = ((x**2).sum(1) > 2.5).astype(int)
+    machine = K.fit_rbf_svm(_frame(spark, x, y).coalesce(1), "id", gamma=0.4, group_rows=100)
+    assert machine.rounds == 3 and min(files) >= 3  # neither the rows nor the groups of a round meet in a task or two
+    monkeypatch.undo()
+    alone = K.fit_rbf_svm(_frame(spark, x, y), "id", gamma=0.4)  # one group: the conditions are looked at at the start of the next round
+    assert alone.violation <= K.VIOLATION and alone.rounds >= 1
+    a = _exact(x, 2.0 * y - 1, 0.4)(x)
+    assert np.mean((alone.scores(x) > 0) == (a > 0)) > 0.98
